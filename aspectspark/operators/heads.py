@@ -1,6 +1,5 @@
 """Linear heads over vectors (P11 wide variant)."""
 
-from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,6 +12,10 @@ def linear_head_wide(df: DataFrame, vec: str, weights, bias=None,
     JVM literals.  ``W`` (n_out x dim) travels once per task in the closure."""
     import pandas as pd
 
+    from aspectspark.session import ship_package
+
+    ship_package(df.sparkSession)
+
     w = np.asarray(weights, dtype=np.float64)
     b = np.zeros(w.shape[0]) if bias is None else np.asarray(bias, dtype=np.float64)
 

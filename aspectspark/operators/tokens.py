@@ -6,7 +6,6 @@ regroup, all in the JVM.  A pretrained tokenizer can be plugged in through
 ``encode_with`` (Arrow-batched pandas UDF), loaded once per Python worker.
 """
 
-from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,6 +71,10 @@ def encode_with(df: DataFrame, text: str, fn, max_len: int = 128) -> DataFrame:
     pretrained fast tokenizer), run once per Arrow batch in a pandas UDF."""
     import pandas as pd
 
+    from aspectspark.session import ship_package
+
+    ship_package(df.sparkSession)
+
     @F.pandas_udf("array<int>")
     def _enc(s: pd.Series) -> pd.Series:
         return pd.Series(fn(s.tolist(), max_len))

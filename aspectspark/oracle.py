@@ -8,6 +8,8 @@ counts only (model training).
 
 from __future__ import annotations
 
+import re
+
 from aspectspark.functions.taxonomy import (
     ALLOWED_PAIRS, CATEGORIES, LEGACY_POLARITIES, POLARITIES, TOPICS)
 from aspectspark.functions.text import QUESTIONS, SEP_TEXT, TOKEN_SPLIT
@@ -31,8 +33,7 @@ def q_sql(text):
 
 def question_sql(stage, entity=None, topic=None, category=None):
     t = QUESTIONS[stage]
-    parts, rest = [], t
-    import re
+    parts = []
     for piece in re.split(r"(\{\w+\})", t):
         if not piece:
             continue
@@ -579,28 +580,25 @@ FROM gf GROUP BY id, sentence_form, category"""
 
 
 # ------------------------------------------------------------------ cascade
-def _decode(src, part, n_keep=True):
+def _decode(src, part):
     """Stage decode rows: s > 500, else the first argmax of the partition."""
     return (f"SELECT *, (s > 500) OR (NOT bool_or(s > 500) OVER (PARTITION BY {part}) AND "
             f"row_number() OVER (PARTITION BY {part} ORDER BY s DESC, i) = 1) AS hot FROM {src}")
 
 
 def cascade_sql(member: bool):
-    mk = "mb.m" if member else None
     key = "m, text" if member else "text"
     salt = (lambda: " || ':' || CAST(m AS VARCHAR)") if member else (lambda: "")
     base = ("d AS (SELECT DISTINCT text FROM documents),\n" +
             ("dm AS (SELECT CAST(r.range AS INTEGER) AS m, d.text FROM d, range(5) r),\n"
              if member else "dm AS (SELECT text FROM d),\n"))
-    sc = lambda prompt: f"{H(prompt + ' || :i' + salt())}"
-    # explicit per-stage score expressions
+    # per-stage score expressions
     s0 = H(f"{prompt_sql('trinary')} || ':' || CAST(i AS VARCHAR){salt()}")
     s1 = H(f"{prompt_sql('category')} || ':' || CAST(i AS VARCHAR){salt()}")
     ent = f"{C}[category + 1]"
     s2 = H(f"{prompt_sql('topic', entity=ent)} || ':' || CAST(i AS VARCHAR){salt()}")
     s3 = H(f"{prompt_sql('sentiment', topic=T + '[topic + 1]', category=ent)} || ':' || "
            f"CAST(i AS VARCHAR){salt()}")
-    del sc, mk
     return base + f"""st0 AS (SELECT *, r.range AS i, {s0} % 1000 AS s FROM dm, range(3) r),
 h0 AS ({_decode('st0', key)}),
 need1 AS (SELECT {key} FROM h0 WHERE hot AND i = 2),

@@ -14,13 +14,12 @@ Two kinds exist:
 ``SCORERS`` is the registry by name, like the reference's model loader.
 """
 
-from __future__ import annotations
 
 import hashlib
 from typing import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from aspectspark.functions.taxonomy import hash6
@@ -63,18 +62,22 @@ class PandasScorer:
     def column(self, prompt: Column, mask: Column | None = None) -> Column:
         import pandas as pd
 
+        from aspectspark.session import ship_package
+
+        ship_package(SparkSession.getActiveSession())
         loader, n = self.loader, self.n_labels
 
         @F.pandas_udf("array<double>")
         def _score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = loader()
             for s in batches:
-                out = pd.Series([None] * len(s), dtype=object)
-                todo = s.notna().to_numpy()
-                if todo.any():
-                    res = np.asarray(model(s[todo].tolist()), dtype=np.float64)
-                    out[todo] = list(res.reshape(-1, n))
-                yield out
+                out = [None] * len(s)
+                todo = np.flatnonzero(s.notna().to_numpy())
+                if len(todo):
+                    res = np.asarray(model(s.iloc[todo].tolist()), dtype=np.float64)
+                    for j, row in zip(todo, res.reshape(-1, n)):
+                        out[j] = row.tolist()
+                yield pd.Series(out, dtype=object)
 
         p = prompt if mask is None else F.when(mask, prompt)
         return _score(p)

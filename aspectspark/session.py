@@ -61,3 +61,37 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared directory."""
     root = shared_dir(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (``addPyFile`` of a
+    zip of the package, once per SparkContext).  Needed wherever a pandas
+    UDF closure refers to functions of this package."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    try:  # already importable on the workers (installed, or shipped by submit)
+        if spark.conf.get("aspectspark.shipped", "false") == "true":
+            _SHIPPED.add(key)
+            return
+    except Exception:  # noqa: BLE001
+        pass
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="aspectspark-pyfiles-")
+    path = os.path.join(out_dir, "aspectspark.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    spark.conf.set("aspectspark.shipped", "true")
+    _SHIPPED.add(key)
