@@ -262,7 +262,7 @@ def q_align_gold_pred(spark, sf):
 
 
 def q_first_match_join(spark, sf):
-    g = fx.gold_annotations(spark, sf).select("id", "pos", "aspect", "polarity")
+    g = fx.gold_labels(spark, sf).select("id", "pos", "aspect", "polarity")
     p = _member0(spark, sf).select("id", "pos", "aspect", "polarity")
     j = joins.first_match(g, p, ["id", "aspect"])
     return j.select("id", "pos", "aspect", "match_polarity", "match_pos")
@@ -334,7 +334,7 @@ def q_label_distribution(spark, sf):
 
 # ------------------------------------------------------------ metrics E1-E11
 def _counts(spark, sf):
-    g = fx.gold_annotations(spark, sf).select("id", "pos", "aspect", "polarity")
+    g = fx.gold_labels(spark, sf).select("id", "pos", "aspect", "polarity")
     return metrics.set_match_counts(g, _member0(spark, sf))
 
 
@@ -353,7 +353,7 @@ def _rounded(df):
 
 
 def q_prf1(spark, sf):
-    return _rounded(metrics.evaluation_report(_counts(spark, sf)))
+    return _rounded(metrics.evaluation_report(_counts(spark, sf)).drop("mode"))
 
 
 def q_accuracy(spark, sf):
@@ -523,10 +523,7 @@ def q_ensemble_predict(spark, sf):
 
 
 def q_evaluation_report(spark, sf):
-    c = _counts(spark, sf)
-    e = metrics.evaluation_report(c).withColumn("mode", F.lit("exact"))
-    s = metrics.evaluation_report(c, sticky=True).withColumn("mode", F.lit("sticky"))
-    return _rounded(e.unionByName(s))
+    return _rounded(metrics.evaluation_report(_counts(spark, sf), ("exact", "sticky")))
 
 
 def q_scorer(spark, sf):

@@ -86,17 +86,20 @@ def prf1(tp, fp, fn, zero_division=None):
     return p, r, f
 
 
-def evaluation_report(counts: DataFrame, sticky: bool = False,
+def evaluation_report(counts: DataFrame, modes: tuple[str, ...] = ("exact",),
                       zero_division=None) -> DataFrame:
-    """The two report rows, 'category extraction result' (aspect
-    only) and 'entire pipeline result' (aspect and polarity)."""
-    sfx = "_sticky" if sticky else ""
+    """Per FP mode (``exact`` and/or ``sticky``) the two report
+    rows, 'category extraction result' (aspect only) and 'entire pipeline
+    result' (aspect and polarity).  All rows come from the one counts row,
+    so the counts are computed once whatever the number of modes."""
     rows = []
-    for name, pre in (("category extraction result", "ce"),
-                      ("entire pipeline result", "pi")):
-        p, r, f = prf1(f"{pre}_tp", f"{pre}_fp{sfx}", f"{pre}_fn", zero_division)
-        rows.append(F.struct(F.lit(name).alias("result"), p.alias("precision"),
-                             r.alias("recall"), f.alias("f1")))
+    for mode in modes:
+        sfx = "_sticky" if mode == "sticky" else ""
+        for name, pre in (("category extraction result", "ce"),
+                          ("entire pipeline result", "pi")):
+            p, r, f = prf1(f"{pre}_tp", f"{pre}_fp{sfx}", f"{pre}_fn", zero_division)
+            rows.append(F.struct(F.lit(name).alias("result"), p.alias("precision"),
+                                 r.alias("recall"), f.alias("f1"), F.lit(mode).alias("mode")))
     return counts.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 

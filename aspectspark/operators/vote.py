@@ -14,23 +14,36 @@ from pyspark.sql import functions as F
 ASPECT_THRESHOLD = 2
 
 
+def _tallies(members: DataFrame, key: str) -> DataFrame:
+    """One aggregate for both vote tables: every annotation casts an aspect
+    vote (kind 0) and a polarity vote (kind 1).  ``n`` = votes, ``first`` =
+    (member, pos) where the value was first seen -- the reference's dict
+    insertion order.  Partial aggregation merges repeated votes map-side."""
+    votes = members.select(key, "member", "pos", F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("aspect").alias("value")),
+        F.struct(F.lit(1).alias("kind"), F.col("polarity").alias("value")))).alias("v"))
+    return votes.groupBy(key, F.col("v.kind").alias("kind"), F.col("v.value").alias("value")) \
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("member", "pos")).alias("first"))
+
+
 def vote_counts(members: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """V1: (aspect counts, polarity counts) per record.  Every annotation of
-    every member counts (duplicates too); ``first`` = (member, pos) where
-    the value was first seen, which is the reference's dict insertion order."""
-    first = F.min(F.struct("member", "pos")).alias("first")
-    aspects = members.groupBy(key, "aspect").agg(F.count(F.lit(1)).alias("n"), first)
-    polarities = members.groupBy(key, "polarity").agg(F.count(F.lit(1)).alias("n"), first)
+    every member counts (duplicates too)."""
+    t = _tallies(members, key)
+    aspects = t.filter(F.col("kind") == 0).select(key, F.col("value").alias("aspect"),
+                                                  "n", "first")
+    polarities = t.filter(F.col("kind") == 1).select(key, F.col("value").alias("polarity"),
+                                                     "n", "first")
     return aspects, polarities
 
 
-def _per_record(aspects: DataFrame, polarities: DataFrame, key: str) -> DataFrame:
-    a = aspects.select(key, F.struct("first", "aspect", "n").alias("a"))
-    p = polarities.select(key, F.struct("first", "polarity", "n").alias("p"))
-    a = a.withColumn("p", F.lit(None).cast(p.schema["p"].dataType))
-    p = p.withColumn("a", F.lit(None).cast(a.schema["a"].dataType))
-    return a.unionByName(p).groupBy(key).agg(
-        F.collect_list("a").alias("aspects"), F.collect_list("p").alias("polarities"))
+def _per_record(tallies: DataFrame, key: str) -> DataFrame:
+    """Per record: the aspect and polarity tallies as two arrays, bounded by
+    the label space."""
+    item = F.struct("first", "value", "n")
+    return tallies.groupBy(key).agg(
+        F.collect_list(F.when(F.col("kind") == 0, item)).alias("aspects"),
+        F.collect_list(F.when(F.col("kind") == 1, item)).alias("polarities"))
 
 
 def _keep_aspects(aspects_col, threshold: int):
@@ -39,9 +52,10 @@ def _keep_aspects(aspects_col, threshold: int):
     return F.array_sort(kept)          # by first-seen (member, pos)
 
 
+
 def _record_polarity(pols_col):
     ordered = F.array_sort(F.transform(pols_col, lambda x: F.struct(
-        (-x["n"]).alias("neg_n"), x["first"].alias("first"), x["polarity"].alias("polarity"))))
+        (-x["n"]).alias("neg_n"), x["first"].alias("first"), x["value"].alias("polarity"))))
     return F.get(ordered, 0)["polarity"]
 
 
@@ -49,16 +63,16 @@ def vote_aspects(aspects: DataFrame, threshold: int = ASPECT_THRESHOLD,
                  key: str = "id") -> DataFrame:
     """V2: aspects with ``n >= min(max_n, threshold)`` per record."""
     per = aspects.groupBy(key).agg(
-        F.collect_list(F.struct("first", "aspect", "n")).alias("a"))
+        F.collect_list(F.struct("first", F.col("aspect").alias("value"), "n")).alias("a"))
     return (per.select(key, F.explode(_keep_aspects(F.col("a"), threshold)).alias("x"))
-               .select(key, "x.aspect", "x.n"))
+               .select(key, F.col("x.value").alias("aspect"), "x.n"))
 
 
 def vote_polarity(polarities: DataFrame, key: str = "id") -> DataFrame:
     """V3: the record's polarity: highest count, ties to the first seen
     (the threshold of the reference never changes this choice)."""
     per = polarities.groupBy(key).agg(
-        F.collect_list(F.struct("first", "polarity", "n")).alias("p"))
+        F.collect_list(F.struct("first", F.col("polarity").alias("value"), "n")).alias("p"))
     return per.select(key, _record_polarity(F.col("p")).alias("polarity"))
 
 
@@ -69,11 +83,10 @@ def hard_vote(members: DataFrame, key: str = "id",
     first-seen order and all carry the one record polarity.  Join the
     result to the corpus with :func:`vote_lookup` (records without votes get
     an empty list)."""
-    aspects, polarities = vote_counts(members, key)
-    per = _per_record(aspects, polarities, key)
+    per = _per_record(_tallies(members, key), key)
     pol = _record_polarity(F.col("polarities"))
     kept = _keep_aspects(F.col("aspects"), threshold)
-    ann = F.transform(kept, lambda x: F.struct(x["aspect"].alias("aspect"),
+    ann = F.transform(kept, lambda x: F.struct(x["value"].alias("aspect"),
                                                 pol.alias("polarity")))
     return per.select(key, ann.alias("annotation"))
 

@@ -32,6 +32,9 @@ def get_session(master: str | None = None, app: str = "aspectspark",
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     )
+    if (master or "").startswith("local"):
+        # small local inputs: keep enough tasks for the CPU-heavy stages
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

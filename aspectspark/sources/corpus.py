@@ -113,8 +113,11 @@ def read_legacy_polarity(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _csv_writer(df: DataFrame, mode: str):
+    # the writer trims surrounding blanks by default; texts must stay whole
     return (df.write.mode(mode).option("header", True).option("quote", '"')
-              .option("escape", '"').option("lineSep", "\n"))
+              .option("escape", '"').option("lineSep", "\n")
+              .option("ignoreLeadingWhiteSpace", False)
+              .option("ignoreTrailingWhiteSpace", False))
 
 
 def write_stage_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -133,6 +136,8 @@ def read_stage_csv(spark: SparkSession, path: str, label: str = "array",
     schema = ", ".join(f"`{c}` string" for c in columns)
     df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
                .option("quote", '"').option("escape", '"').option("mode", "FAILFAST")
+               .option("ignoreLeadingWhiteSpace", False)
+               .option("ignoreTrailingWhiteSpace", False)
                .csv(path))
     lab = (F.from_json("label", "array<int>") if label == "array"
            else F.col("label").cast("int"))

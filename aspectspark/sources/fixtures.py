@@ -34,12 +34,20 @@ def sentence_col() -> F.Column:
 
 
 def gold_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec, pos, topic, category, pol (+ l_partkey, l_suppkey, q)."""
-    li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy(
+    """rec, pos, topic, category, pol (+ l_partkey, l_suppkey, q).
+
+    The window partitions by ``rec`` itself (not by the source column), so
+    its hash partitioning is recognised downstream: every later step keyed
+    by the record (member derivation, per-record aggregates, joins on the
+    record id) reuses this one shuffle instead of adding its own.
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("rec"), "l_linenumber", "l_partkey", "l_suppkey",
+        "l_quantity", "l_extendedprice", "l_returnflag")
+    w = Window.partitionBy("rec").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return li.select(
-        F.col("l_orderkey").alias("rec"),
+        "rec",
         (F.row_number().over(w) - 1).alias("pos"),
         (F.col("l_partkey") % 4).cast("int").alias("topic"),
         (F.col("l_suppkey") % 7).cast("int").alias("category"),
@@ -62,6 +70,13 @@ def _named(df: DataFrame) -> DataFrame:
               .withColumn("polarity", name_of("pol", POLARITIES)))
 
 
+def gold_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat gold without the sentence text: id, pos, aspect, polarity,
+    topic, category, pol (what the metrics need; no join to ``orders``)."""
+    return _named(gold_codes(spark, sf_dir)).select(
+        F.col("rec").alias("id"), "pos", "aspect", "polarity", "topic", "category", "pol")
+
+
 def gold_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat gold: id, sentence_form, pos, aspect, span, polarity, topic,
     category, pol.  Same rows as ``explode_annotations(gold_corpus(...))``
