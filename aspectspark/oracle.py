@@ -464,10 +464,20 @@ _PC = """pc3 AS (
   FROM sl, range(3) c GROUP BY c.range),
 pcf AS (SELECT *, coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0) AS f1 FROM pc3)"""
 
-SQL["f1_per_class"] = W(G, SL, _PC) + "SELECT cls, tp, fp, fn, round(f1, 6) AS f1 FROM pcf"
-SQL["f1_macro"] = W(G, SL, _PC) + "SELECT round(avg(f1), 6) AS f1_macro FROM pcf"
-SQL["f1_micro"] = W(G, SL, _PC) + """
-SELECT round(CAST(2 * sum(tp) AS DOUBLE) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1_micro FROM pcf"""
+_PCM = """pcm AS (
+  SELECT c.range AS cls,
+         count(*) FILTER (WHERE [a0, a1, a2][c.range + 1] = 1 AND [s0, s1, s2][c.range + 1] > 500) AS tp,
+         count(*) FILTER (WHERE [a0, a1, a2][c.range + 1] = 0 AND [s0, s1, s2][c.range + 1] > 500) AS fp,
+         count(*) FILTER (WHERE [a0, a1, a2][c.range + 1] = 1 AND [s0, s1, s2][c.range + 1] <= 500) AS fn
+  FROM sv, range(3) c GROUP BY c.range),
+pmf AS (SELECT CAST(cls AS INTEGER) AS cls, tp, fp, fn,
+               coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0) AS f1 FROM pcm)"""
+
+SQL["f1_per_class"] = W(G, SV, _PCM) + "SELECT cls, tp, fp, fn, round(f1, 6) AS f1 FROM pmf"
+SQL["f1_per_class_single"] = W(G, SL, _PC) + "SELECT cls, tp, fp, fn, round(f1, 6) AS f1 FROM pcf"
+SQL["f1_macro"] = W(G, SV, _PCM) + "SELECT round(avg(f1), 6) AS f1_macro FROM pmf"
+SQL["f1_micro"] = W(G, SV, _PCM) + """
+SELECT round(CAST(2 * sum(tp) AS DOUBLE) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1_micro FROM pmf"""
 
 SQL["prediction_distribution"] = W(G, SL) + """
 SELECT CAST(c.range AS INTEGER) AS cls, count(sl.p) AS n,
