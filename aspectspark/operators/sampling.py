@@ -43,40 +43,61 @@ def ranked(df: DataFrame, okey: str, tiebreak: list[str], lead: list[str] = (),
 
 
 def sample_exact(df: DataFrame, class_col: str, sizes: dict, keys: list[str],
-                 seed=42, on_short: str = "fail") -> DataFrame:
+                 seed=42, on_short: str = "fail", prefix_len: int = 3) -> DataFrame:
     """Exactly ``sizes[c]`` rows of class ``c``, without replacement,
     the rows with the smallest ``md5('seed:key')``.
 
-    The literal ``rn <= max(sizes)`` filter lets Spark insert a
-    WindowGroupLimit before the shuffle: each map task forwards at most
-    ``max(sizes)`` rows per class, so a class holding a third of the data
-    never reaches one task whole.  ``on_short='fail'`` raises when a class
-    has fewer rows than requested; ``'take_all'`` keeps what there is.
+    * ``max(sizes)`` within Spark's window-group-limit threshold: a
+      ``row_number() <= n`` filter, which Spark turns into a partial
+      WindowGroupLimit before the shuffle -- every map task forwards at most
+      ``n`` rows per class, so a class holding a third of the data never
+      reaches one task whole.
+    * larger samples: the two-level rank (:func:`ranked`), fully parallel.
+
+    ``on_short='fail'`` raises when a class has fewer rows than requested
+    (also when it has none); ``'take_all'`` keeps what there is.  The check
+    rides along in the same pass: one marker row per requested class is
+    ranked first in its class, and that row raises when its class comes up
+    short -- nothing is computed twice.
     """
-    okey = seeded_md5(seed, *keys)
-    x = df.withColumn("_okey", okey)
-    w = Window.partitionBy(class_col).orderBy("_okey", *keys)
-    top = max(sizes.values())
-    need = F.create_map(*[v for c, n in sizes.items() for v in (F.lit(c), F.lit(n))])
-    out = (x.withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") <= top)
-            .filter(F.col("_rn") <= F.try_element_at(need, F.col(class_col))))
-    if on_short == "fail":
-        # Bounded check: the sampled frame has at most sum(sizes) rows.
-        got = out.groupBy(class_col).agg(F.count(F.lit(1)).alias("_got"))
-        want = df.sparkSession.createDataFrame(
-            [(c, n) for c, n in sizes.items()], [class_col, "_want"])
-        short = F.coalesce("_got", F.lit(0)) < F.col("_want")
-        err = F.raise_error(F.concat(F.lit("sample_exact: class too small: "),
-                                     F.col(class_col).cast("string")))
-        # the check sits in a filter predicate so it can never be pruned
-        ok = (want.join(got, class_col, "left")
-                  .filter(F.when(short, err).otherwise(F.lit(True)))
-                  .select(class_col))
-        out = out.join(F.broadcast(ok), class_col, "left_semi")
-    elif on_short != "take_all":
+    if on_short not in ("fail", "take_all"):
         raise ValueError("on_short must be 'fail' or 'take_all'")
-    return out.drop("_okey", "_rn")
+    spark = df.sparkSession
+    x = df.withColumn("_okey", seeded_md5(seed, *keys)).withColumn("_m", F.lit(False))
+    off = 0
+    if on_short == "fail":
+        ctype = df.schema[class_col].dataType
+        markers = (spark.createDataFrame([(c,) for c in sizes], [class_col])
+                   .select(F.col(class_col).cast(ctype).alias(class_col),
+                           F.lit("").alias("_okey"), F.lit(True).alias("_m")))
+        x = x.unionByName(markers, allowMissingColumns=True)
+        off = 1
+    need = F.try_element_at(
+        F.create_map(*[v for c, n in sizes.items() for v in (F.lit(c), F.lit(n))]),
+        F.col(class_col))
+    top = max(sizes.values())
+    limit = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if top + off <= limit:
+        w = Window.partitionBy(class_col).orderBy("_okey", *keys)
+        # the filter must sit on row_number() itself for Spark to infer the
+        # partial WindowGroupLimit
+        r = (x.withColumn("_rn1", F.row_number().over(w))
+              .filter(F.col("_rn1") <= top + off)
+              .withColumn("_rn", F.col("_rn1") - 1).drop("_rn1")
+              .withColumn("_got", F.count(F.when(~F.col("_m"), 1))
+                          .over(Window.partitionBy(class_col))))
+    else:
+        r = ranked(x, "_okey", list(keys), partition=[class_col], prefix_len=prefix_len,
+                   name="_rn").withColumn("_got", F.col("_total") - off)
+    err = F.raise_error(F.concat(F.lit("sample_exact: class too small: "),
+                                 F.col(class_col).cast("string")))
+    # one CASE, not a conjunction: the optimizer must not push "not a
+    # marker" below the rank and drop the markers before they are checked
+    keep = (F.when(F.col("_m") & (F.col("_got") < need), err)
+             .when(F.col("_m"), F.lit(False))
+             .otherwise(F.col("_rn") - off < need))
+    r = r.filter(keep)
+    return r.drop("_okey", "_m", "_rn", "_got", "_total")
 
 
 def stratified_kfold(df: DataFrame, label: str, keys: list[str], k: int = 5,

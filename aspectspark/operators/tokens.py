@@ -21,19 +21,20 @@ BROADCAST_VOCAB = 500_000
 
 def build_vocab(texts: DataFrame, cols: list[str], size: int) -> DataFrame:
     """``token, id``: the ``size`` most frequent whitespace tokens over the
-    whole texts, ids from 4 by (count desc, token).  Counting is a partial
-    aggregate; the top-``size`` rank lets Spark keep at most ``size`` rows
-    per map task (WindowGroupLimit) before the final single ordering, whose
-    input is therefore bounded by ``size`` times the task count."""
+    whole texts, ids from 4 by (count desc, token).
+
+    Counting is a partial aggregate.  The top ``size`` come from a
+    range-partitioned (parallel) sort plus a limit; only those ``size`` rows
+    -- a bound set by the caller, not by the data -- meet in one task to
+    receive their ids."""
     toks = None
     for c in cols:
         t = texts.select(F.explode(tokens(c)).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "token").limit(size)
     w = Window.orderBy(F.desc("n"), "token")
-    return (counts.withColumn("_r", F.row_number().over(w))
-                  .filter(F.col("_r") <= size)
-                  .select("token", (F.col("_r") + FIRST_ID - 1).cast("int").alias("id")))
+    return top.select("token", (F.row_number().over(w) + FIRST_ID - 1).cast("int").alias("id"))
 
 
 def encode_tokens(df: DataFrame, key: str, question: str, text: str,

@@ -228,3 +228,19 @@ def test_write_predictions_format(spark):
                                     "annotation": [["본품#품질", "positive"]]}
     assert "문장" in lines[0]                     # UTF-8, not escaped
     assert POLARITIES[0] == "positive"
+
+
+def test_sample_exact_large_uses_exact_smallest_keys(spark):
+    import hashlib
+    df = spark.range(6000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("c"))
+    sizes = {0: 1500, 1: 1200}          # above the window-group-limit threshold
+    got = sorted((r.c, r.k) for r in sampling.sample_exact(df, "c", sizes, ["k"], seed=5)
+                 .collect())
+    want = []
+    for c, n in sizes.items():
+        ks = sorted(range(c, 6000, 3), key=lambda k: (hashlib.md5(f"5:{k}".encode())
+                                                       .hexdigest(), k))[:n]
+        want += [(c, k) for k in ks]
+    assert got == sorted(want)
+    with pytest.raises(Exception):
+        sampling.sample_exact(df, "c", {0: 2500, 2: 1500}, ["k"]).collect()
