@@ -470,8 +470,8 @@ def q_merge_stage_outputs(spark, sf):
 def q_vote_counts(spark, sf):
     a, p = vote.vote_counts(fx.member_annotations(spark, sf))
     cols = lambda kind, v: [F.col("id"), F.lit(kind).alias("kind"), F.col(v).alias("value"),
-                            "n", F.col("first.member").alias("first_member"),
-                            F.col("first.pos").alias("first_pos")]
+                            "n", vote.first_member("first").alias("first_member"),
+                            vote.first_pos("first").alias("first_pos")]
     return a.select(*cols("aspect", "aspect")).unionByName(
         p.select(*cols("polarity", "polarity")))
 

@@ -14,10 +14,6 @@ COUNT_COLS = ["ce_tp", "ce_fn", "ce_fp", "ce_fp_sticky",
               "pi_tp", "pi_fn", "pi_fp", "pi_fp_sticky"]
 
 
-def _i(c):
-    return F.coalesce(c.cast("bigint"), F.lit(0))
-
-
 def set_match_counts(gold: DataFrame, pred: DataFrame, key: str = "id") -> DataFrame:
     """E1 + E2: set-match counts of (aspect, polarity) annotations.
 
@@ -32,45 +28,62 @@ def set_match_counts(gold: DataFrame, pred: DataFrame, key: str = "id") -> DataF
       hit flags; exact FP = rows without a hit.  The sticky variant (the
       reference's unreset flags) counts only predictions before the
       record's first hit; with dense positions that is
-      ``coalesce(first_hit_pos, n_pred)`` per record, a plain aggregate.
-
-    Returns one row with ``COUNT_COLS``.  Both sides are reduced to one row
-    per (record, aspect) before they are joined; the union of the two
-    partial results is summed in a single global aggregate.
+      ``coalesce(first_hit_pos, n_pred)`` per record -- an aggregate, no
+      window and no join back.
+
+    One pass over each input: both sides are unioned and reduced to
+    ``(record, aspect, side, polarity) -> n, min pos`` (partial, map-side),
+    then per (record, aspect) the few stats (at most 2 x #polarities) are
+    combined with array functions, then per record, then globally.  Every
+    shuffle moves pre-aggregated rows, so a hot record or aspect is merged
+    before it reaches a task.  Returns one row with ``COUNT_COLS``.
     """
-    keys = [key, "aspect"]
-    p_first = pred.groupBy(*keys).agg(F.min_by("polarity", "pos").alias("p_first"))
-    g_first = gold.groupBy(*keys).agg(F.min_by("polarity", "pos").alias("g_first"))
-
-    tp = gold.join(p_first, keys, "left").select(
-        F.col("p_first").isNotNull().cast("bigint").alias("ce_tp"),
-        F.col("p_first").isNull().cast("bigint").alias("ce_fn"),
-        F.lit(0).cast("bigint").alias("ce_fp"), F.lit(0).cast("bigint").alias("ce_fp_sticky"),
-        _i(F.col("p_first") == F.col("polarity")).alias("pi_tp"),
-        (1 - _i(F.col("p_first") == F.col("polarity"))).alias("pi_fn"),
-        F.lit(0).cast("bigint").alias("pi_fp"), F.lit(0).cast("bigint").alias("pi_fp_sticky"))
-
-    hits = pred.join(g_first, keys, "left").select(
-        key, "pos",
-        F.col("g_first").isNotNull().alias("ce_hit"),
-        F.coalesce(F.col("g_first") == F.col("polarity"), F.lit(False)).alias("pi_hit"))
-    per_rec = hits.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(~F.col("ce_hit")).alias("ce_fp"),
-        F.count_if(~F.col("pi_hit")).alias("pi_fp"),
-        F.min(F.when(F.col("ce_hit"), F.col("pos"))).alias("ce_first"),
-        F.min(F.when(F.col("pi_hit"), F.col("pos"))).alias("pi_first"))
-    fp = per_rec.select(
-        F.lit(0).cast("bigint").alias("ce_tp"), F.lit(0).cast("bigint").alias("ce_fn"),
-        F.col("ce_fp").cast("bigint").alias("ce_fp"),
-        F.coalesce(F.col("ce_first"), F.col("n")).cast("bigint").alias("ce_fp_sticky"),
-        F.lit(0).cast("bigint").alias("pi_tp"), F.lit(0).cast("bigint").alias("pi_fn"),
-        F.col("pi_fp").cast("bigint").alias("pi_fp"),
-        F.coalesce(F.col("pi_first"), F.col("n")).cast("bigint").alias("pi_fp_sticky"))
-
-    both = tp.unionByName(fp)
-    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
-                      for c in COUNT_COLS])
+    cols = [key, "aspect", "polarity", "pos"]
+    u = gold.select(*cols, F.lit(0).alias("side")).unionByName(
+        pred.select(*cols, F.lit(1).alias("side")))
+    st = u.groupBy(key, "aspect", "side", "polarity").agg(
+        F.count(F.lit(1)).alias("n"), F.min("pos").alias("mpos"))
+    per_aspect = st.groupBy(key, "aspect").agg(
+        F.collect_list(F.struct("side", "mpos", "polarity", "n")).alias("st"))
+
+    g = F.filter("st", lambda x: x["side"] == 0)
+    p = F.filter("st", lambda x: x["side"] == 1)
+
+    def total(arr):
+        return F.aggregate(arr, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+
+    def first_pol(arr):   # polarity of the row with the smallest position
+        return F.get(F.array_sort(F.transform(arr, lambda x: F.struct(
+            x["mpos"].alias("m"), x["polarity"].alias("pol")))), 0)["pol"]
+
+    ng, np_, gf, pf = total(g), total(p), first_pol(g), first_pol(p)
+    pi_tp = total(F.filter(g, lambda x: x["polarity"] == pf))
+    pi_hit = total(F.filter(p, lambda x: x["polarity"] == gf))
+    pi_pos = F.array_min(F.transform(F.filter(p, lambda x: x["polarity"] == gf),
+                                     lambda x: x["mpos"]))
+    ce_pos = F.array_min(F.transform(p, lambda x: x["mpos"]))
+    a = per_aspect.select(
+        key,
+        F.when(np_ > 0, ng).otherwise(0).alias("ce_tp"),
+        F.when(np_ > 0, 0).otherwise(ng).alias("ce_fn"),
+        F.when(ng > 0, 0).otherwise(np_).alias("ce_fp"),
+        pi_tp.alias("pi_tp"), (ng - pi_tp).alias("pi_fn"),
+        (np_ - pi_hit).alias("pi_fp"),
+        np_.alias("n_pred"),
+        F.when(ng > 0, ce_pos).alias("ce_first"),
+        pi_pos.alias("pi_first"))
+    s = lambda c: F.sum(c).cast("bigint")
+    per_rec = a.groupBy(key).agg(
+        s("ce_tp").alias("ce_tp"), s("ce_fn").alias("ce_fn"), s("ce_fp").alias("ce_fp"),
+        s("pi_tp").alias("pi_tp"), s("pi_fn").alias("pi_fn"), s("pi_fp").alias("pi_fp"),
+        s("n_pred").alias("n_pred"),
+        F.min("ce_first").alias("ce_first"), F.min("pi_first").alias("pi_first"))
+    per_rec = per_rec.withColumn(
+        "ce_fp_sticky", F.coalesce(F.col("ce_first").cast("bigint"), F.col("n_pred"))
+    ).withColumn(
+        "pi_fp_sticky", F.coalesce(F.col("pi_first").cast("bigint"), F.col("n_pred")))
+    return per_rec.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
+                         for c in COUNT_COLS])
 
 
 def prf1(tp, fp, fn, zero_division=None):

@@ -17,13 +17,28 @@ ASPECT_THRESHOLD = 2
 def _tallies(members: DataFrame, key: str) -> DataFrame:
     """One aggregate for both vote tables: every annotation casts an aspect
     vote (kind 0) and a polarity vote (kind 1).  ``n`` = votes, ``first`` =
-    (member, pos) where the value was first seen -- the reference's dict
-    insertion order.  Partial aggregation merges repeated votes map-side."""
-    votes = members.select(key, "member", "pos", F.explode(F.array(
+    (member, pos) where the value was first seen, packed by
+    :func:`first_seen` -- the reference's dict insertion order.  Partial aggregation merges repeated votes map-side."""
+    votes = members.select(key, first_seen("member", "pos").alias("_f"), F.explode(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("aspect").alias("value")),
         F.struct(F.lit(1).alias("kind"), F.col("polarity").alias("value")))).alias("v"))
     return votes.groupBy(key, F.col("v.kind").alias("kind"), F.col("v.value").alias("value")) \
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("member", "pos")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_f").alias("first"))
+
+
+def first_seen(member, pos):
+    """(member, pos) packed into one bigint with the same order, so the
+    first-seen minimum is a fixed-width hash aggregate (a struct minimum
+    would fall back to a sort-based aggregate)."""
+    return F.shiftleft(F.col(member).cast("bigint"), 32) + F.col(pos).cast("bigint")
+
+
+def first_member(first):
+    return F.shiftright(F.col(first), 32).cast("int")
+
+
+def first_pos(first):
+    return (F.col(first) % F.lit(1 << 32)).cast("int")
 
 
 def vote_counts(members: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:

@@ -33,8 +33,12 @@ def get_session(master: str | None = None, app: str = "aspectspark",
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
     )
     if (master or "").startswith("local"):
-        # small local inputs: keep enough tasks for the CPU-heavy stages
-        builder = builder.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
+        # small local inputs: AQE would coalesce by shuffle bytes down to a
+        # few tasks, but the stages after the shuffles are CPU-bound; keep
+        # at least two tasks per core
+        builder = (builder
+                   .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
+                   .config("spark.sql.adaptive.coalescePartitions.minPartitionNum", str(parts)))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
