@@ -245,8 +245,7 @@ def q_route_positive(spark, sf):
 
 def q_validate_taxonomy(spark, sf):
     g = fx.gold_annotations(spark, sf).select("id", "pos", "aspect")
-    ok, bad = labels.validate_taxonomy(g)
-    return ok.withColumn("valid", F.lit(1)).unionByName(bad.withColumn("valid", F.lit(0)))
+    return labels.taxonomy_flag(g)
 
 
 # -------------------------------------------------------------- joins J1-J5
@@ -321,10 +320,11 @@ def q_fold_annotations(spark, sf):
 
 def q_stage_counts(spark, sf):
     g = _encoded_gold(spark, sf)
-    three, five = datasets.build_category_sets(g)
+    sets = datasets.category_sets(g).select(
+        F.concat(F.lit("category_"), F.col("set")).alias("stage"))
     return aggregates.stage_counts({
-        "category_3way": three, "category_5way": five,
-        "topic": datasets.build_topic_set(g), "sentiment_dev": datasets.build_sentiment_dev(g)})
+        "category": sets, "topic": datasets.build_topic_set(g),
+        "sentiment_dev": datasets.build_sentiment_dev(g)}, stage_col="stage")
 
 
 def q_label_distribution(spark, sf):
@@ -423,10 +423,7 @@ def q_stratified_kfold(spark, sf):
 
 
 def q_fold_split(spark, sf):
-    train, valid = sampling.fold_split(_folds(spark, sf), 0)
-    return (train.withColumn("split", F.lit("train"))
-                 .unionByName(valid.withColumn("split", F.lit("valid")))
-                 .select("id", "split"))
+    return sampling.fold_tag(_folds(spark, sf), 0).select("id", "split")
 
 
 def q_epoch_batches(spark, sf):
@@ -468,12 +465,10 @@ def q_merge_stage_outputs(spark, sf):
 
 # ------------------------------------------------------------------ vote V1-V5
 def q_vote_counts(spark, sf):
-    a, p = vote.vote_counts(fx.member_annotations(spark, sf))
-    cols = lambda kind, v: [F.col("id"), F.lit(kind).alias("kind"), F.col(v).alias("value"),
-                            "n", vote.first_member("first").alias("first_member"),
-                            vote.first_pos("first").alias("first_pos")]
-    return a.select(*cols("aspect", "aspect")).unionByName(
-        p.select(*cols("polarity", "polarity")))
+    t = vote.vote_tallies(fx.member_annotations(spark, sf), "id")
+    return t.select("id", F.when(F.col("kind") == 0, "aspect").otherwise("polarity").alias("kind"),
+                    "value", "n", vote.first_member("first").alias("first_member"),
+                    vote.first_pos("first").alias("first_pos"))
 
 
 def q_vote_aspects(spark, sf):
@@ -498,10 +493,8 @@ def q_annotation_histogram(spark, sf):
 
 # ------------------------------------------------------- composite C1-C7, M*
 def q_build_category_sets(spark, sf):
-    three, five = datasets.build_category_sets(_encoded_gold(spark, sf))
-    f = lambda d, n: d.select(F.lit(n).alias("set"), "id", "input",
-                              hot_text("label").alias("label_text"))
-    return f(three, "3way").unionByName(f(five, "5way"))
+    both = datasets.category_sets(_encoded_gold(spark, sf))
+    return both.select("set", "id", "input", hot_text("label").alias("label_text"))
 
 
 def q_build_topic_set(spark, sf):

@@ -22,9 +22,12 @@ def fold_annotations(flat: DataFrame, key: str, order: list[str],
     return d.groupBy(key).agg(ann.alias("annotation"))
 
 
-def stage_counts(frames: dict[str, DataFrame]) -> DataFrame:
-    """A4: row count of every named stage frame, as one small table."""
-    parts = [df.select(F.lit(name).alias("stage")) for name, df in frames.items()]
+def stage_counts(frames: dict[str, DataFrame], stage_col: str | None = None) -> DataFrame:
+    """A4: row count of every named stage frame, as one small table.  A
+    frame that already carries a ``stage_col`` (several stages tagged in one
+    pass) is counted per tag instead of under its dict name."""
+    parts = [df.select(F.col(stage_col).alias("stage")) if stage_col and stage_col in df.columns
+             else df.select(F.lit(name).alias("stage")) for name, df in frames.items()]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)

@@ -123,14 +123,26 @@ def route_positive(df: DataFrame, hot: str, names: list[str] | None = None,
     return x.select(*cols)
 
 
+def taxonomy_flag(df: DataFrame, aspect: str = "aspect", pairs: list[str] = ALLOWED_PAIRS,
+                  name: str = "valid") -> DataFrame:
+    """F4 in one pass: adds ``valid`` (1/0).  A short list is an IN-set
+    expression (no join at all); a long one a left join against a broadcast
+    table whose size is known on the driver (``len(pairs)``)."""
+    if len(pairs) <= INSET_LIMIT:
+        ok = F.coalesce(F.col(aspect).isin(list(pairs)), F.lit(False))
+        return df.withColumn(name, ok.cast("int"))
+    spark = df.sparkSession
+    allowed = F.broadcast(spark.createDataFrame([(p, 1) for p in pairs], [aspect, "_ok"]))
+    return (df.join(allowed, aspect, "left")
+              .withColumn(name, F.coalesce("_ok", F.lit(0))).drop("_ok"))
+
+
 def validate_taxonomy(df: DataFrame, aspect: str = "aspect",
                       pairs: list[str] = ALLOWED_PAIRS) -> tuple[DataFrame, DataFrame]:
-    """(valid, invalid) rows by the declared aspect list.
-
-    A short list is an IN-set expression (no join at all); a long one is a
-    semi/anti join against a broadcast table whose size is known on the
-    driver (``len(pairs)``), never data-dependent.
-    """
+    """(valid, invalid) rows by the declared aspect list -- the semi and
+    anti join of the reference's declared pairs.  A short list is an IN-set
+    filter; a long one a semi/anti join against a broadcast table of known
+    size."""
     if len(pairs) <= INSET_LIMIT:
         ok = F.col(aspect).isin(list(pairs))
         return df.filter(ok), df.filter(~ok | F.col(aspect).isNull())

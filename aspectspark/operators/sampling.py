@@ -119,6 +119,11 @@ def fold_split(df: DataFrame, fold: int, col: str = "fold") -> tuple[DataFrame,
     return df.filter(F.col(col) != fold), df.filter(F.col(col) == fold)
 
 
+def fold_tag(df: DataFrame, fold: int, col: str = "fold", name: str = "split") -> DataFrame:
+    """W3 in one pass: ``split`` = 'valid' for the fold, else 'train'."""
+    return df.withColumn(name, F.when(F.col(col) == fold, "valid").otherwise("train"))
+
+
 def epoch_batches(df: DataFrame, keys: list[str], batch_size: int, seed=42,
                   epoch: int = 0, drop_last: bool = True, prefix_len: int = 3) -> DataFrame:
     """Shuffled fixed-size batches for one epoch: adds ``batch`` and

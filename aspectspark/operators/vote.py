@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 ASPECT_THRESHOLD = 2
 
 
-def _tallies(members: DataFrame, key: str) -> DataFrame:
+def vote_tallies(members: DataFrame, key: str) -> DataFrame:
     """One aggregate for both vote tables: every annotation casts an aspect
     vote (kind 0) and a polarity vote (kind 1).  ``n`` = votes, ``first`` =
     (member, pos) where the value was first seen, packed by
@@ -44,7 +44,7 @@ def first_pos(first):
 def vote_counts(members: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """V1: (aspect counts, polarity counts) per record.  Every annotation of
     every member counts (duplicates too)."""
-    t = _tallies(members, key)
+    t = vote_tallies(members, key)
     aspects = t.filter(F.col("kind") == 0).select(key, F.col("value").alias("aspect"),
                                                   "n", "first")
     polarities = t.filter(F.col("kind") == 1).select(key, F.col("value").alias("polarity"),
@@ -98,7 +98,7 @@ def hard_vote(members: DataFrame, key: str = "id",
     first-seen order and all carry the one record polarity.  Join the
     result to the corpus with :func:`vote_lookup` (records without votes get
     an empty list)."""
-    per = _per_record(_tallies(members, key), key)
+    per = _per_record(vote_tallies(members, key), key)
     pol = _record_polarity(F.col("polarities"))
     kept = _keep_aspects(F.col("aspects"), threshold)
     ann = F.transform(kept, lambda x: F.struct(x["value"].alias("aspect"),

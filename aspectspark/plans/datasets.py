@@ -15,15 +15,24 @@ from aspectspark.operators.unions import sentiment_pools
 SENTIMENT_SIZES = {0: 804, 1: 400, 2: 250}
 
 
-def build_category_sets(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(3-way, 5-way) category sets ``id, input, label``.  One aggregate
-    builds both vectors; each set drops its own all-zero rows (F1)."""
+def category_sets(flat: DataFrame) -> DataFrame:
+    """C1 in one pass: ``set ('3way'|'5way'), id, input, label``.  One
+    aggregate builds both vectors, one explode tags them, each set drops its
+    own all-zero rows (F1).  Write both outputs with one job via
+    ``write.partitionBy("set")``."""
     agg = coarse_fine_split(flat, ["id", "sentence_form"], "category")
-    three = drop_all_zero(agg.select("id", F.col("sentence_form").alias("input"),
-                                     F.col("coarse").alias("label")))
-    five = drop_all_zero(agg.select("id", F.col("sentence_form").alias("input"),
-                                    F.col("fine").alias("label")))
-    return three, five
+    both = agg.select("id", F.col("sentence_form").alias("input"), F.explode(F.array(
+        F.struct(F.lit("3way").alias("set"), F.col("coarse").alias("label")),
+        F.struct(F.lit("5way").alias("set"), F.col("fine").alias("label")))).alias("x"))
+    return drop_all_zero(both.select("x.set", "id", "input", "x.label"))
+
+
+def build_category_sets(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(3-way, 5-way) category sets ``id, input, label`` as two frames
+    (filters of :func:`category_sets`)."""
+    both = category_sets(flat)
+    pick = lambda n: both.filter(F.col("set") == n).drop("set")
+    return pick("3way"), pick("5way")
 
 
 def build_topic_set(flat: DataFrame) -> DataFrame:

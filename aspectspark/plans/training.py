@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from aspectspark.functions.text import tokens
 from aspectspark.operators.metrics import f1_per_class
 from aspectspark.operators.sampling import fold_split, stratified_kfold
+from aspectspark.session import shared_dir
 
 
 def vector_features(df: DataFrame, vec: str, out: str = "features") -> DataFrame:
@@ -76,7 +77,9 @@ def cross_validate(df: DataFrame, label: str, keys: list[str], k: int = 5,
     first: it feeds k fits and k evaluations, and a lost executor must not
     replay the whole lineage for each of them.
     """
+    shared_dir(df.sparkSession)          # the cluster's checkpoint dir (set in tests only)
     folded = stratified_kfold(df, label, keys, k=k, seed=seed).checkpoint(eager=True)
+    # one metric number reaches the driver, never rows
     n_classes = n_classes or (folded.agg(F.max(label)).first()[0] + 1)
     rows = None
     for f in range(k):
