@@ -10,7 +10,7 @@ file, a directory or a glob, so both layouts round-trip.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RAW_CORPUS = "id string, sentence_form string, annotation array<array<string>>"
@@ -83,20 +83,22 @@ def read_members(spark: SparkSession, root: str, id_type: str = "string",
     sentence_form, annotation``.  ``member`` = rank of the member's name
     (sorted; the reference used the arbitrary ``os.listdir`` order).
     ``layout='dirs'``: root/<member>/part-*; ``'files'``: root/<member>.
+
+    The names come from the file listing Spark already holds on the driver
+    (``inputFiles()``, metadata only, one entry per file), so ranking them
+    needs neither a second scan nor a shuffle: it is a literal map lookup.
     """
     glob = f"{root.rstrip('/')}/*"
-    raw = (spark.read.schema(RAW_CORPUS).option("mode", "FAILFAST").json(glob)
-                .select("*", F.col("_metadata.file_path").alias("_path")))
+    raw = spark.read.schema(RAW_CORPUS).option("mode", "FAILFAST").json(glob)
     idx = -2 if layout == "dirs" else -1
-    raw = raw.withColumn("_name", F.element_at(F.split("_path", "/"), idx))
-    # one row per member: tiny, so the rank window runs on a handful of rows
-    names = raw.select("_name").distinct().withColumn(
-        "member", (F.dense_rank().over(Window.orderBy("_name")) - 1).cast("int"))
-    out = raw.join(names, "_name")
+    names = sorted({f.rstrip("/").split("/")[idx] for f in raw.inputFiles()})
+    rank = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), idx)
     ann = F.transform(_annotation_structs(F.coalesce("annotation", F.array())),
                       lambda a: F.struct(a["aspect"].alias("aspect"),
                                          a["polarity"].alias("polarity")))
-    return out.select("member", F.col("id").cast(id_type).alias("id"), "sentence_form",
+    return raw.select(F.try_element_at(rank, name).cast("int").alias("member"),
+                      F.col("id").cast(id_type).alias("id"), "sentence_form",
                       ann.alias("annotation"))
 
 
