@@ -10,7 +10,7 @@ records shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from aspectspark.functions.taxonomy import (
@@ -37,8 +37,14 @@ def distinct_sentences(corpus: DataFrame, text: str = "sentence_form") -> DataFr
 
 
 def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
-                 keys: tuple[str, ...] = ("sentence_key",)) -> dict[str, DataFrame]:
-    """The cascade as a chain of narrow steps; returns every stage frame:
+                 keys: tuple[str, ...] = ("sentence_key",),
+                 observations: dict | None = None) -> dict[str, DataFrame]:
+    """The cascade as a chain of narrow steps; returns every stage frame.
+
+    ``observations`` (A4): pass a dict to receive one ``Observation`` per
+    stage input (``stage0`` .. ``stage3``); the row counts are gathered in
+    the same pass that computes the predictions, readable after the action.
+    Frames:
 
     * ``routing``: keys, text, hot0 (3), hot1 (5 or NULL)
     * ``categories``: keys, text, category, routed (bool)
@@ -46,10 +52,19 @@ def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
     * ``sentiments``: keys, category, topic, aspect, polarity
     """
     k = list(keys)
+
+    def obs(df, name, rows=None):
+        if observations is None:
+            return df
+        o = observations.setdefault(name, Observation(name))
+        return df.observe(o, (F.count(F.lit(1)) if rows is None else F.sum(rows)).alias("n"))
+
+    sentences = obs(sentences, "stage0")
     s0 = sentences.withColumn(
         "hot0", threshold_decode_or_top1(
             scorers["trinary"].column(build_prompt("trinary", "text")), threshold))
     need1 = F.get("hot0", HEAD) == 1
+    s0 = obs(s0, "stage1", F.when(F.get("hot0", HEAD) == 1, 1).otherwise(0))
     routing = s0.withColumn(
         "hot1", threshold_decode_or_top1(
             scorers["category"].column(build_prompt("category", "text"), need1), threshold))
@@ -59,7 +74,7 @@ def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
                  lambda i: F.coalesce(F.get("hot1", i), F.lit(0)) == 1),
         lambda i: i + HEAD)
     cats = routing.select(*k, "text", F.explode(F.concat(direct, routed)).alias("category"))
-    cats = cats.withColumn("routed", F.col("category") >= HEAD)
+    cats = obs(cats.withColumn("routed", F.col("category") >= HEAD), "stage2")
 
     cname = name_of("category", CATEGORIES)
     hot2 = threshold_decode_or_top1(
@@ -68,7 +83,7 @@ def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
                    .filter(F.col("_h") == 1).drop("_h"))
 
     aspect = join_aspect(name_of("topic", TOPICS), cname)
-    a = aspects.withColumn("aspect", aspect)
+    a = obs(aspects.withColumn("aspect", aspect), "stage3")
     pol = argmax(scorers["sentiment"].column(build_prompt("sentiment", "text", "aspect")))
     sentiments = a.select(*k, "category", "topic", "aspect",
                           name_of(pol, POLARITIES).alias("polarity"))
@@ -90,12 +105,15 @@ def fold_by_sentence(sentiments: DataFrame, keys: tuple[str, ...] = ("sentence_k
 
 
 def cascade_predict(corpus: DataFrame, scorers: dict | None = None,
-                    threshold: float = 0.5, text: str = "sentence_form") -> DataFrame:
+                    threshold: float = 0.5, text: str = "sentence_form",
+                    observations: dict | None = None) -> DataFrame:
     """Corpus (id, sentence_form) -> D9 (id, sentence_form, annotation).
-    Records with equal text share predictions; no prediction -> []."""
+    Records with equal text share predictions; no prediction -> [].
+    ``observations``: see :func:`stage_frames` (per-stage input counts)."""
     scorers = scorers or default_scorers()
     sent = distinct_sentences(corpus, text)
-    preds = fold_by_sentence(stage_frames(sent, scorers, threshold)["sentiments"])
+    preds = fold_by_sentence(stage_frames(sent, scorers, threshold,
+                                          observations=observations)["sentiments"])
     c = corpus.select("id", text).withColumn("sentence_key", F.md5(text))
     return attach_predictions(c, preds, "sentence_key", text)
 

@@ -27,3 +27,22 @@ def test_stream_matches_batch(spark):
     want = cascade_predict(docs.select("id", "sentence_form"))
     key = lambda r: (r.id, [(a.aspect, a.polarity) for a in r.annotation])
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_cascade_stage_counts_in_one_pass(spark):
+    import duckdb
+
+    from aspectspark import oracle
+
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("sentence_form"))
+    obs = {}
+    cascade_predict(docs, observations=obs).write.format("noop").mode("overwrite").save()
+    got = {k: o.get["n"] for k, o in obs.items()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF001}/documents.parquet')")
+    base = oracle.W(oracle.cascade_sql(False))
+    want = {n: con.sql(base + f"SELECT count(*) FROM {t}").fetchall()[0][0]
+            for n, t in (("stage0", "d"), ("stage1", "need1"), ("stage2", "cats"),
+                         ("stage3", "asp"))}
+    assert got == want
