@@ -102,3 +102,31 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(path)
     spark.conf.set("aspectspark.shipped", "true")
     _SHIPPED.add(key)
+
+
+SPREAD_MAX_BYTES = 2 << 30
+
+
+def spread(df, max_bytes: int = SPREAD_MAX_BYTES):
+    """Round-robin repartition a *small* input read from few files, so CPU
+    heavy per-row work after the scan uses every core.
+
+    A file with one row group is read by one task however many cores there
+    are.  Large inputs (many files, or more than ``max_bytes``) are returned
+    unchanged: their scan splits already give the parallelism, and a full
+    shuffle of them would cost more than it saves.  Only file metadata is
+    read to decide.
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= want:
+        return df
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    total = 0
+    for f in files:
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        total += p.getFileSystem(conf).getFileStatus(p).getLen()
+        if total > max_bytes:
+            return df
+    return df.repartition(want)

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from aspectspark.session import spread
 from aspectspark.functions.taxonomy import (
     CATEGORIES, LEGACY_POLARITIES, POLARITIES, TOPICS, hash6, join_aspect, name_of)
 
@@ -24,8 +25,14 @@ N_MEMBERS = 5
 SPAN_TEXT = "[null,0,0]"
 
 
+# tables whose rows feed CPU-heavy per-row work right after the scan (long
+# texts: tokenizing, hashing, prompting); see ``session.spread``
+TEXT_TABLES = ("documents",)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def sentence_col() -> F.Column:
