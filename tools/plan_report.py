@@ -25,7 +25,8 @@ def summarize(plan: str) -> dict:
     out = {"exchanges": [], "joins": [], "windows": 0, "group_limits": 0, "aggs": {},
            "python": 0, "scans": []}
     for ln in lines:
-        m = re.search(r"Exchange (hashpartitioning\(([^)]*)\)|SinglePartition|rangepartitioning)", ln)
+        m = re.search(r"Exchange (hashpartitioning\(([^)]*)\)|SinglePartition|rangepartitioning"
+                      r"|RoundRobinPartitioning\(\d+\))", ln)
         if m and "ReusedExchange" not in ln:
             part = m.group(1)
             if m.group(2):
