@@ -88,8 +88,8 @@ def read_members(spark: SparkSession, root: str, id_type: str = "string",
     (``inputFiles()``, metadata only, one entry per file), so ranking them
     needs neither a second scan nor a shuffle: it is a literal map lookup.
     """
-    glob = f"{root.rstrip('/')}/*"
-    raw = spark.read.schema(RAW_CORPUS).option("mode", "FAILFAST").json(glob)
+    raw = (spark.read.schema(RAW_CORPUS).option("mode", "FAILFAST")
+                .option("recursiveFileLookup", True).json(root.rstrip("/")))
     idx = -2 if layout == "dirs" else -1
     names = sorted({f.rstrip("/").split("/")[idx] for f in raw.inputFiles()})
     rank = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
