@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import SparkSession
@@ -71,18 +72,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _SHIPPED = set()
+_SHIP_LOCK = threading.Lock()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers (``addPyFile`` of a
     zip of the package, once per SparkContext).  Needed wherever a pandas
-    UDF closure refers to functions of this package."""
-    import zipfile
-
+    UDF closure refers to functions of this package.  The zip is a driver
+    side artifact served to executors by Spark itself (like ``--py-files``);
+    on a cluster where the package is installed, set
+    ``aspectspark.shipped=true`` to skip it."""
     sc = spark.sparkContext
     key = sc.applicationId
-    if key in _SHIPPED:
-        return
+    with _SHIP_LOCK:
+        if key in _SHIPPED:
+            return
+        _ship(spark, sc, key)
+
+
+def _ship(spark: SparkSession, sc, key: str) -> None:
+    import zipfile
+
     try:  # already importable on the workers (installed, or shipped by submit)
         if spark.conf.get("aspectspark.shipped", "false") == "true":
             _SHIPPED.add(key)
