@@ -85,7 +85,7 @@ def q_read_stage_csv(spark, sf):
 
 
 def q_write_predictions(spark, sf):
-    p = fx.member_predictions(spark, sf).filter(F.col("member") == 0).drop("member")
+    p = fx.member_predictions(spark, sf, [0]).drop("member")
     path = scratch_path(spark, "pred")
     io.write_predictions(p, path)
     r = io.read_predictions(spark, path, id_type="bigint")
@@ -250,11 +250,11 @@ def q_validate_taxonomy(spark, sf):
 
 # -------------------------------------------------------------- joins J1-J5
 def _member0(spark, sf):
-    return fx.member_annotations(spark, sf).filter(F.col("member") == 0).drop("member")
+    return fx.member_annotations(spark, sf, [0]).drop("member")
 
 
 def q_align_gold_pred(spark, sf):
-    pred = fx.member_predictions(spark, sf).filter(F.col("member") == 0)
+    pred = fx.member_predictions(spark, sf, [0])
     a = joins.align_gold_pred(fx.gold_corpus(spark, sf), pred)
     return a.select("id", F.size("gold_annotation").alias("n_gold"),
                     F.size("pred_annotation").alias("n_pred"))

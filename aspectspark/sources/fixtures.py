@@ -110,13 +110,19 @@ def gold_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("id", "sentence_form", ann.alias("annotation")))
 
 
-def member_annotations(spark: SparkSession, sf_dir: str,
-                       n_members: int = N_MEMBERS) -> DataFrame:
+def _member_ids(members) -> F.Column:
+    ids = list(range(members)) if isinstance(members, int) else list(members)
+    return F.explode(F.array(*[F.lit(i) for i in ids]))
+
+
+def member_annotations(spark: SparkSession, sf_dir: str, members=N_MEMBERS) -> DataFrame:
     """Flat member predictions: member, id, pos, aspect, polarity, topic,
-    category, pol (dense 0-based ``pos`` per member and record)."""
+    category, pol (dense 0-based ``pos`` per member and record).
+    ``members``: a count (0..n-1) or the member ids to derive -- a filter
+    on the exploded member column could not be pushed below the explode."""
     g = gold_codes(spark, sf_dir)
     m = F.col("member")
-    x = (g.withColumn("member", F.explode(F.sequence(F.lit(0), F.lit(n_members - 1))))
+    x = (g.withColumn("member", _member_ids(members))
           .filter((F.col("l_partkey") + m) % 5 != 0)
           .select(
               "member", "rec", "pos", "category",
@@ -133,15 +139,13 @@ def member_annotations(spark: SparkSession, sf_dir: str,
                             "topic", "category", "pol")
 
 
-def member_predictions(spark: SparkSession, sf_dir: str,
-                       n_members: int = N_MEMBERS) -> DataFrame:
+def member_predictions(spark: SparkSession, sf_dir: str, members=N_MEMBERS) -> DataFrame:
     """Member, id, sentence_form, annotation array<struct<aspect,polarity>>
     for every record and member (empty list when a member predicts nothing)."""
-    a = member_annotations(spark, sf_dir, n_members)
+    a = member_annotations(spark, sf_dir, members)
     nested = a.groupBy("member", "id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "aspect", "polarity"))).alias("a"))
-    s = sentences(spark, sf_dir).withColumn(
-        "member", F.explode(F.sequence(F.lit(0), F.lit(n_members - 1))))
+    s = sentences(spark, sf_dir).withColumn("member", _member_ids(members))
     ann = F.transform(F.coalesce(F.col("a"), F.array()), lambda x: F.struct(
         x["aspect"].alias("aspect"), x["polarity"].alias("polarity")))
     return (s.join(nested, ["member", "id"], "left")
