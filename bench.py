@@ -6,7 +6,8 @@ Each job is run to completion by writing every column of its result to
 the ``noop`` sink (a plain ``count()`` would let the optimizer drop joins
 whose columns are unused).  One untimed pass of all headline jobs on the
 small sf0.01 tables comes first, so JVM start-up and JIT warm-up are not
-charged to whichever query happens to run first.
+charged to whichever query happens to run first.  Each job is then timed
+``BENCH_RUNS`` times (default 2) and the best run is reported.
 """
 
 from __future__ import annotations
@@ -43,17 +44,22 @@ def main():
     for fn in HEADLINE.values():  # untimed warm-up pass
         fn(spark, warm_dir).write.format("noop").mode("overwrite").save()
     times, rows = {}, {}
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     for name, fn in HEADLINE.items():
-        t0 = time.time()
-        df = fn(spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        best = None
+        for _ in range(runs):       # best of N: the VM's CPU speed drifts
+            t0 = time.time()
+            df = fn(spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
+            el = time.time() - t0
+            best = el if best is None else min(best, el)
+        times[name] = round(best, 3)
         rows[name] = len(df.columns)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_wall_time", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "columns": rows, "sf": float(m.group(1)) if m else sf_dir,
-        "cpus": cpus}))
+        "cpus": cpus, "runs": runs, "timing": "best of runs, each job fully materialised"}))
 
 
 if __name__ == "__main__":
