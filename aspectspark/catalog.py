@@ -415,7 +415,8 @@ def q_sample_exact(spark, sf):
 def _folds(spark, sf):
     three, _ = datasets.build_category_sets(_encoded_gold(spark, sf))
     t = three.select("id", hot_text("label").alias("label_text"))
-    return sampling.stratified_kfold(t, "label_text", ["id"], k=5, seed=42)
+    # the 3-way set is an aggregate: checkpoint it once, the rank reads it twice
+    return sampling.stratified_kfold(t, "label_text", ["id"], k=5, seed=42, materialize=True)
 
 
 def q_stratified_kfold(spark, sf):

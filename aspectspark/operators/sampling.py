@@ -25,6 +25,10 @@ def ranked(df: DataFrame, okey: str, tiebreak: list[str], lead: list[str] = (),
     start of every bucket is a window over that small count table, and the
     row number inside each (lead, bucket) runs in parallel.  Start + local
     number is exactly the global rank.
+
+    The input is read twice (bucket counts, then the rows).  Over a file
+    scan the count pass reads only the order-key columns; a derived input
+    (an aggregate, a join) should be materialized first.
     """
     lead, partition = list(lead), list(partition)
     b = F.substring(F.col(okey), 1, prefix_len)
@@ -100,14 +104,27 @@ def sample_exact(df: DataFrame, class_col: str, sizes: dict, keys: list[str],
     return r.drop("_okey", "_m", "_rn", "_got", "_total")
 
 
+def _materialized(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the cluster's checkpoint directory (reliable,
+    survives lost executors) and read it back: the two-level rank reads its
+    input twice, which must not mean computing a derived input twice."""
+    from aspectspark.session import shared_dir
+
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def stratified_kfold(df: DataFrame, label: str, keys: list[str], k: int = 5,
-                     seed=42, prefix_len: int = 3) -> DataFrame:
+                     seed=42, prefix_len: int = 3, materialize: bool = False) -> DataFrame:
     """Adds ``fold`` in 0..k-1, stratified by the label value.
 
     Rows are ranked by (label, md5 order); ``fold = rank % k``.  Consecutive
     ranks of one class cycle through the folds, so every class's fold sizes
-    differ by at most one, and so do the fold totals.
+    differ by at most one, and so do the fold totals.  ``materialize``:
+    checkpoint a derived input first (see :func:`ranked`).
     """
+    if materialize:
+        df = _materialized(df)
     x = df.withColumn("_okey", seeded_md5(seed, *keys))
     r = ranked(x, "_okey", list(keys), lead=[label], prefix_len=prefix_len, name="_rank")
     return r.withColumn("fold", (F.col("_rank") % k).cast("int")).drop(
@@ -125,11 +142,15 @@ def fold_tag(df: DataFrame, fold: int, col: str = "fold", name: str = "split") -
 
 
 def epoch_batches(df: DataFrame, keys: list[str], batch_size: int, seed=42,
-                  epoch: int = 0, drop_last: bool = True, prefix_len: int = 3) -> DataFrame:
+                  epoch: int = 0, drop_last: bool = True, prefix_len: int = 3,
+                  materialize: bool = False) -> DataFrame:
     """Shuffled fixed-size batches for one epoch: adds ``batch`` and
     ``slot``.  The order is md5('seed:epoch:key'); the global rank is the
     two-level rank, so no single task sorts the table.  ``drop_last``
-    removes the final partial batch (training); keep it for validation."""
+    removes the final partial batch (training); keep it for validation.
+    ``materialize``: checkpoint a derived input first (see :func:`ranked`)."""
+    if materialize:
+        df = _materialized(df)
     x = df.withColumn("_okey", seeded_md5(f"{seed}:{epoch}", *keys))
     r = ranked(x, "_okey", list(keys), prefix_len=prefix_len, name="_rank")
     r = r.withColumn("batch", (F.col("_rank") / batch_size).cast("bigint")) \
