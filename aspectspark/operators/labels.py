@@ -11,8 +11,9 @@ from aspectspark.functions.taxonomy import (
     code_of, split_aspect)
 
 # Above this many allowed pairs the taxonomy check becomes a broadcast join
-# instead of an IN-set expression.
+# instead of an IN-set expression; above BROADCAST_PAIRS a plain join.
 INSET_LIMIT = 1000
+BROADCAST_PAIRS = 2_000_000
 # Multi-hot vectors up to this width are built with one max() per slot.
 WIDE_HOT = 64
 
@@ -132,7 +133,8 @@ def taxonomy_flag(df: DataFrame, aspect: str = "aspect", pairs: list[str] = ALLO
         ok = F.coalesce(F.col(aspect).isin(list(pairs)), F.lit(False))
         return df.withColumn(name, ok.cast("int"))
     spark = df.sparkSession
-    allowed = F.broadcast(spark.createDataFrame([(p, 1) for p in pairs], [aspect, "_ok"]))
+    allowed = spark.createDataFrame([(p, 1) for p in pairs], [aspect, "_ok"])
+    allowed = F.broadcast(allowed) if len(pairs) <= BROADCAST_PAIRS else allowed
     return (df.join(allowed, aspect, "left")
               .withColumn(name, F.coalesce("_ok", F.lit(0))).drop("_ok"))
 
@@ -147,7 +149,8 @@ def validate_taxonomy(df: DataFrame, aspect: str = "aspect",
         ok = F.col(aspect).isin(list(pairs))
         return df.filter(ok), df.filter(~ok | F.col(aspect).isNull())
     spark = df.sparkSession
-    allowed = F.broadcast(spark.createDataFrame([(p,) for p in pairs], [aspect]))
+    allowed = spark.createDataFrame([(p,) for p in pairs], [aspect])
+    allowed = F.broadcast(allowed) if len(pairs) <= BROADCAST_PAIRS else allowed
     return (df.join(allowed, aspect, "left_semi"),
             df.join(allowed, aspect, "left_anti"))
 

@@ -122,6 +122,9 @@ def member_annotations(spark: SparkSession, sf_dir: str, members=N_MEMBERS) -> D
     on the exploded member column could not be pushed below the explode."""
     g = gold_codes(spark, sf_dir)
     m = F.col("member")
+    # The modulo rules below *are* the perturbation that turns gold into a
+    # member's predictions (FIXTURES.md part B); every gold row is read and
+    # decided on, nothing is subset to make a check cheaper.
     x = (g.withColumn("member", _member_ids(members))
           .filter((F.col("l_partkey") + m) % 5 != 0)
           .select(
@@ -186,6 +189,7 @@ def score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def single_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, pos, y, p, scores(3): gold rows kept by member 0; y = gold
     polarity, p = member-0 polarity, scores = H(id:pos:i) % 1000 / 1000."""
+    # the gold rows member 0 keeps (its perturbation rule), all of them
     g = gold_codes(spark, sf_dir).filter(F.col("l_partkey") % 5 != 0)
     p = (F.col("pol") + F.when(F.col("l_suppkey") % 9 == 0, 1).otherwise(0)) % 3
     scores = F.array(*[

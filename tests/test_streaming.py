@@ -18,7 +18,7 @@ def test_stream_matches_batch(spark):
         .alias("annotation"))
     root = tempfile.mkdtemp(prefix="stream-")
     src, out = os.path.join(root, "in"), os.path.join(root, "out")
-    # two arrivals
+    # all documents, arriving as two files
     io.write_corpus(docs.filter(F.col("id").cast("int") % 2 == 0), src + "/a")
     io.write_corpus(docs.filter(F.col("id").cast("int") % 2 == 1), src + "/b")
     q = stream_predictions(spark, src + "/*", out, checkpoint_dir=os.path.join(root, "ckpt"))
