@@ -28,7 +28,7 @@ def main(argv=None):
     a = ap.parse_args(argv)
     spark = get_session(a.master)
     if a.job == "datasets":
-        print(json.dumps(jobs.make_datasets(spark, a.train, a.dev, a.legacy, a.out,
+        print(json.dumps(jobs.build_stage_sets(spark, a.train, a.dev, a.legacy, a.out,
                                             seed=a.seed, compat=a.compat)))
     elif a.job == "predict":
         jobs.predict_file(spark, a.corpus, a.out)

@@ -1,6 +1,6 @@
 """File-to-file jobs: the reference's four entry points as one call each.
 
-* :func:`make_datasets`  -- dataset build (corpus JSONL -> stage CSVs)
+* :func:`build_stage_sets`  -- dataset build (corpus JSONL -> stage CSVs)
 * :func:`predict_file`   -- cascade inference (corpus -> prediction JSONL)
 * :func:`vote_files`     -- ensemble hard vote (member predictions -> submission)
 * :func:`evaluate_files` -- set-match report (gold + predictions -> 2 rows)
@@ -30,7 +30,7 @@ def _flat(spark: SparkSession, path: str, on_invalid: str) -> DataFrame:
     return encode_annotations(explode_annotations(read_corpus(spark, path)), on_invalid)
 
 
-def make_datasets(spark: SparkSession, train_path: str, dev_path: str, legacy_path: str,
+def build_stage_sets(spark: SparkSession, train_path: str, dev_path: str, legacy_path: str,
                   out_dir: str, sizes: dict = SENTIMENT_SIZES, seed=42, compat: bool = False,
                   on_invalid: str = "fail") -> dict[str, str]:
     """Write the eight stage sets (3-way / 5-way category, topic, sentiment;

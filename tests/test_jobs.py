@@ -25,7 +25,7 @@ def _setup(spark):
 
 def test_jobs_end_to_end(spark):
     root = _setup(spark)
-    paths = jobs.make_datasets(spark, f"{root}/gold", f"{root}/gold", f"{root}/legacy",
+    paths = jobs.build_stage_sets(spark, f"{root}/gold", f"{root}/gold", f"{root}/legacy",
                                f"{root}/sets")
     assert len(paths) == 8
     three = io.read_stage_csv(spark, paths["0_category_3way_train"])
