@@ -1,4 +1,4 @@
-"""Evaluation operators (E1-E11, A3-style counts).
+"""Evaluation operators (E1-E11) and the report rows.
 
 All metrics are global aggregates built from per-row expressions with
 partial (map-side) aggregation; only the final one-row results reach the

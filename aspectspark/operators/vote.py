@@ -1,9 +1,10 @@
 """Ensemble hard vote (V1-V5).
 
 Input: exploded member predictions ``member, <key>, pos, aspect, polarity``.
-Counts are partial aggregates per (record, aspect) and (record, polarity);
-the per-record decision then works on arrays whose length is bounded by the
-label space (aspects + polarities), never by the data size.
+Aspect and polarity votes are tallied in one partial (map-side) aggregate
+per (record, kind, value); the per-record decision then works on arrays
+whose length is bounded by the label space (aspects + polarities), never by
+the data size.
 """
 
 from __future__ import annotations
