@@ -37,8 +37,11 @@ def encode_annotations(flat: DataFrame, on_invalid: str = "fail") -> DataFrame:
 
     ``on_invalid``: ``fail`` raises on an unknown name or malformed aspect
     (the reference's KeyError/ValueError); ``drop`` removes such rows;
-    ``keep`` leaves NULL codes (use :func:`quarantine` to split them off).
+    ``keep`` / ``quarantine`` leave NULL codes (split them off with
+    :func:`quarantine`).
     """
+    if on_invalid not in ("fail", "drop", "keep", "quarantine"):
+        raise ValueError(f"on_invalid: {on_invalid!r}")
     strict = on_invalid == "fail"
     mode = "fail" if strict else "null"
     topic, category = split_aspect("aspect", strict=strict)

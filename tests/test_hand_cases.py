@@ -77,7 +77,7 @@ def test_unknown_labels(spark):
         labels.encode_annotations(df, "fail").collect()
     kept = labels.encode_annotations(df, "drop").collect()
     assert [(r.id, r.topic, r.category, r.pol) for r in kept] == [(1, 1, 0, 0)]
-    ok, bad = labels.quarantine(labels.encode_annotations(df, "keep"))
+    ok, bad = labels.quarantine(labels.encode_annotations(df, "quarantine"))
     assert ok.count() == 1 and bad.count() == 3
 
 
