@@ -264,7 +264,10 @@ def q_first_match_join(spark, sf):
     g = fx.gold_labels(spark, sf).select("id", "pos", "aspect", "polarity")
     p = _member0(spark, sf).select("id", "pos", "aspect", "polarity")
     j = joins.first_match(g, p, ["id", "aspect"])
-    return j.select("id", "pos", "aspect", "match_polarity", "match_pos")
+    # no match -> '' / -1, so the checked output has no NULL numbers
+    return j.select("id", "pos", "aspect",
+                    F.coalesce("match_polarity", F.lit("")).alias("match_polarity"),
+                    F.coalesce("match_pos", F.lit(-1)).alias("match_pos"))
 
 
 def _sentence_folded_member0(spark, sf):
@@ -329,7 +332,10 @@ def q_stage_counts(spark, sf):
 
 def q_label_distribution(spark, sf):
     d = labels.label_distribution(_encoded_gold(spark, sf), ["topic", "category"])
-    return d.select("topic", "category", "n", "share")
+    # rollup levels: 0 = (topic, category), 1 = topic, 3 = total; -1 marks "all"
+    return d.select(F.coalesce("topic", F.lit(-1)).alias("topic"),
+                    F.coalesce("category", F.lit(-1)).alias("category"),
+                    F.col("level").cast("int").alias("level"), "n", "share")
 
 
 # ------------------------------------------------------------ metrics E1-E11

@@ -304,7 +304,8 @@ FROM s LEFT JOIN (SELECT rec, count(*) AS n FROM g GROUP BY rec) a ON s.id = a.r
 LEFT JOIN (SELECT id, count(*) AS n FROM m0 GROUP BY id) b ON s.id = b.id"""
 
 SQL["first_match_join"] = W(G, S, GN, GF, M) + """
-SELECT gf.id, gf.pos, gf.aspect, f.polarity AS match_polarity, f.pos AS match_pos
+SELECT gf.id, gf.pos, gf.aspect, coalesce(f.polarity, '') AS match_polarity,
+       coalesce(f.pos, -1) AS match_pos
 FROM gf LEFT JOIN (
   SELECT id, aspect, polarity, pos FROM (
     SELECT *, row_number() OVER (PARTITION BY id, aspect ORDER BY pos) AS rn FROM m0)
@@ -395,7 +396,8 @@ UNION ALL SELECT 'topic', count(*) FROM (SELECT DISTINCT id, category FROM gf)
 UNION ALL SELECT 'sentiment_dev', count(*) FROM gf"""
 
 SQL["label_distribution"] = W(G, S, GN, GF) + """
-SELECT topic, category, n, round(CAST(n AS DOUBLE) / max(CASE WHEN lvl = 3 THEN n END) OVER (), 6) AS share
+SELECT coalesce(topic, -1) AS topic, coalesce(category, -1) AS category, CAST(lvl AS INTEGER) AS level,
+       n, round(CAST(n AS DOUBLE) / max(CASE WHEN lvl = 3 THEN n END) OVER (), 6) AS share
 FROM (SELECT topic, category, count(*) AS n, GROUPING(topic, category) AS lvl
       FROM gf GROUP BY ROLLUP (topic, category))"""
 
