@@ -28,10 +28,11 @@ def test_jobs_end_to_end(spark):
     paths = jobs.build_stage_sets(spark, f"{root}/gold", f"{root}/gold", f"{root}/legacy",
                                f"{root}/sets")
     assert len(paths) == 8
-    three = io.read_stage_csv(spark, paths["0_category_3way_train"])
+    three = io.read_stage_csv(spark, paths["0_category_3way_train"]["path"])
     want = catalog.q_build_category_sets(spark, SF001).filter("set = '3way'").count()
-    assert three.count() == want
-    sent = io.read_stage_csv(spark, paths["3_sentiment_train"], "int",
+    assert three.count() == want == paths["0_category_3way_train"]["rows"]
+    assert paths["3_sentiment_train"]["rows"] == sum(catalog.W1_SIZES.values())
+    sent = io.read_stage_csv(spark, paths["3_sentiment_train"]["path"], "int",
                              ("input", "entity", "label"))
     assert sorted(r.n for r in sent.groupBy("label").agg(F.count("*").alias("n")).collect()) \
         == sorted(catalog.W1_SIZES.values())
