@@ -11,7 +11,7 @@ All heavy work stays in Spark; only the report rows reach the driver.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectspark.operators.joins import vote_lookup
@@ -32,11 +32,9 @@ def _flat(spark: SparkSession, path: str, on_invalid: str) -> DataFrame:
 
 def build_stage_sets(spark: SparkSession, train_path: str, dev_path: str, legacy_path: str,
                   out_dir: str, sizes: dict = SENTIMENT_SIZES, seed=42, compat: bool = False,
-                  on_invalid: str = "fail") -> dict[str, dict]:
+                  on_invalid: str = "fail") -> dict[str, str]:
     """Write the eight stage sets (3-way / 5-way category, topic, sentiment;
-    train and dev) as header CSVs under ``out_dir``; returns name ->
-    ``{"path", "rows"}`` (A4: the row counts ride along with each write as
-    an observation, no extra pass).
+    train and dev) as header CSVs under ``out_dir``; returns name -> path.
 
     Each corpus is parsed once: its encoded annotations are persisted for
     the few writes that read them and released at the end (a lost executor
@@ -45,10 +43,9 @@ def build_stage_sets(spark: SparkSession, train_path: str, dev_path: str, legacy
     paths = {}
 
     def write(name: str, df: DataFrame) -> None:
-        obs = Observation(name)
         p = f"{out}/{name}.csv"
-        write_stage_csv(df.observe(obs, F.count(F.lit(1)).alias("rows")), p)
-        paths[name] = {"path": p, "rows": obs.get["rows"]}
+        write_stage_csv(df, p)
+        paths[name] = p
 
     flats = {s: _flat(spark, p, on_invalid).persist(StorageLevel.MEMORY_AND_DISK)
              for s, p in (("train", train_path), ("dev", dev_path))}
