@@ -41,9 +41,12 @@ def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
                  observations: dict | None = None) -> dict[str, DataFrame]:
     """The cascade as a chain of narrow steps; returns every stage frame.
 
-    ``observations`` (A4): pass a dict to receive one ``Observation`` per
-    stage input (``stage0`` .. ``stage3``); the row counts are gathered in
-    the same pass that computes the predictions, readable after the action.
+    ``observations`` (A4, opt-in): pass a dict to receive one
+    ``Observation`` per stage input (``stage0`` .. ``stage3``); the row
+    counts are gathered in the same pass that computes the predictions,
+    readable after the action.  (In one full test run a later Spark ML fit
+    in the same session failed to serialize the session's observation
+    manager, so no default code path creates observations.)
     Frames:
 
     * ``routing``: keys, text, hot0 (3), hot1 (5 or NULL)
