@@ -44,9 +44,11 @@ def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
     ``observations`` (A4, opt-in): pass a dict to receive one
     ``Observation`` per stage input (``stage0`` .. ``stage3``); the row
     counts are gathered in the same pass that computes the predictions,
-    readable after the action.  (In one full test run a later Spark ML fit
-    in the same session failed to serialize the session's observation
-    manager, so no default code path creates observations.)
+    readable after the action.  Use it in a session that does not later
+    run Spark ML model transforms (or in ``spark.newSession()``): on Spark
+    4.1.2, after an Observation has been used, ML transforms in the same
+    session fail with "Task not serializable" (the session's observation
+    manager).  No default code path creates observations.
     Frames:
 
     * ``routing``: keys, text, hot0 (3), hot1 (5 or NULL)

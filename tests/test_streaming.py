@@ -34,6 +34,9 @@ def test_cascade_stage_counts_in_one_pass(spark):
 
     from aspectspark import oracle
 
+    # Observations get their own session: once one is used, Spark ML model
+    # transforms in the same session fail to serialize (Spark 4.1.2).
+    spark = spark.newSession()
     docs = spark.read.parquet(f"{SF001}/documents.parquet").select(
         F.col("doc_id").alias("id"), F.col("text").alias("sentence_form"))
     obs = {}
