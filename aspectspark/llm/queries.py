@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectspark.llm.common import table
+from aspectspark.llm.licenses import scan_licenses
 from aspectspark.llm.mixing import mix
+from aspectspark.llm.pieces import encode_pieces
+from aspectspark.llm.private import BASE_KINDS, find_private, span_string
 from aspectspark.llm.quality import COUNTS, quality
+from aspectspark.llm.simhash import hex_digits, near_duplicates
 from aspectspark.llm.url_filter import filter_urls
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -24,12 +28,64 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc.doc_id", *COUNTS, "base_failed", "kept")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def piece_digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and of decoded texts."""
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                          F.sha2(F.array_join(F.col("ends").cast("array<string>"), ","), 256).alias("ends_sha256"))
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return piece_digests(encode_pieces(docs, piece_model(), round_trip=True))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken",
                         F.array_min("positions").alias("position"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_string(base), 256).alias("base_sha256"),
+                        span_string(F.col("spans")).alias("spans"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["phrase"])
+    starts = F.transform(base, lambda s: s["first"].cast("long"))
+
+    def names(spans):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+
+    best = F.array_max(F.transform("spans", lambda s: s["coverage"]))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
+                        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+                        names(base).alias("base_labels"), names(F.col("spans")).alias("labels"),
+                        F.coalesce(best, F.lit(0.0)).alias("score"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), hex_digits(F.col("fp")).alias("fingerprint"),
+                        F.col("first.id").alias("component_id"))
+
+
 def junk_urls(pages: DataFrame) -> DataFrame:
     """The list that op9 probes: the URLs of pages full of symbols."""
     plain = F.translate("html", JUNK_SYMBOLS, "")
@@ -43,6 +99,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_sentencepiece": op2_sentencepiece,
     "op5_mixing": op5_mixing,
+    "op6_personal_data": op6_personal_data,
+    "op7_license_scan": op7_license_scan,
     "op9_url_filter": op9_url_filter,
+    "op10_simhash": op10_simhash,
 }
