@@ -14,6 +14,7 @@ from aspectspark.llm.pieces import encode_pieces
 from aspectspark.llm.private import BASE_KINDS, find_private, span_string
 from aspectspark.llm.quality import COUNTS, quality
 from aspectspark.llm.simhash import hex_digits, near_duplicates
+from aspectspark.llm.suffixes import find_repeats
 from aspectspark.llm.url_filter import filter_urls
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -80,6 +81,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.coalesce(best, F.lit(0.0)).alias("score"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), hex_digits(F.col("fp")).alias("fingerprint"),
@@ -103,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_personal_data": op6_personal_data,
     "op7_license_scan": op7_license_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
