@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from aspectspark.llm.common import table
 from aspectspark.llm.licenses import scan_licenses
+from aspectspark.llm.lines import dedup_lines
 from aspectspark.llm.mixing import mix
 from aspectspark.llm.pieces import encode_pieces
 from aspectspark.llm.private import BASE_KINDS, find_private, span_string
@@ -48,6 +49,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode_pieces(docs, piece_model(), round_trip=True))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc.doc_id", "n_lines", "n_dropped",
+                        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken",
@@ -108,6 +115,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_line_dedup": op3_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_personal_data": op6_personal_data,
     "op7_license_scan": op7_license_scan,

@@ -96,4 +96,50 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
-SQL = {"op1_quality_rules": QUALITY, "op9_url_filter": URL_FILTER}
+
+
+def line_ctes(docs: str) -> str:
+    """CTEs that drop recurring lines of ``docs`` (rid, doc_id, text); the
+    last is ``deduped`` (rid, doc_id, n_lines, n_dropped, kept)."""
+    return rf"""
+l_split AS (SELECT rid, doc_id, text, string_split(text, chr(10)) AS lines FROM {docs}),
+l_raw AS (SELECT rid, doc_id, unnest(lines) AS raw, generate_subscripts(lines, 1) - 1 AS line FROM l_split),
+l_flat AS (
+  SELECT rid, doc_id, line, trim(regexp_replace(raw, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS flat FROM l_raw),
+l_tokens AS (
+  SELECT rid, doc_id, line, list_transform(string_split(flat, ' '),
+    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM l_flat WHERE flat <> ''),
+l_kinds AS (
+  SELECT tokens, md5(array_to_string(tokens, ' ')) AS own, len(tokens) AS size,
+    array_to_string(tokens[1:3], ' ') AS lead, count(*) AS n FROM l_tokens GROUP BY ALL),
+l_leaders AS (
+  SELECT size, lead, first(tokens ORDER BY n DESC, own) AS leader, first(own ORDER BY n DESC, own) AS leader_own
+  FROM l_kinds GROUP BY size, lead),
+l_templates AS (
+  SELECT own, CASE WHEN list_sum(list_transform(list_zip(tokens, leader), lambda p: CASE WHEN p[1] = p[2] THEN 1 ELSE 0 END))
+    >= 0.8 * l_kinds.size THEN leader_own ELSE own END AS template
+  FROM l_kinds JOIN l_leaders ON l_leaders.size = l_kinds.size AND l_leaders.lead = l_kinds.lead),
+l_joined AS (
+  SELECT rid, doc_id, line, template FROM l_tokens
+  JOIN l_templates ON l_templates.own = md5(array_to_string(tokens, ' '))),
+l_recurring AS (
+  SELECT template, first(rid ORDER BY doc_id, line) AS first_rid, first(line ORDER BY doc_id, line) AS first_line
+  FROM l_joined GROUP BY template HAVING count(DISTINCT rid) >= 3),
+l_drops AS (
+  SELECT rid, list(line) AS dropped FROM l_joined JOIN l_recurring ON l_recurring.template = l_joined.template
+  WHERE NOT (rid = first_rid AND line = first_line) GROUP BY rid),
+deduped AS (
+  SELECT l_split.rid, doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines,
+    CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped,
+    CASE WHEN dropped IS NULL THEN text ELSE array_to_string(
+      list_filter(lines, lambda x, i: NOT list_contains(dropped, i - 1)), chr(10)) END AS kept
+  FROM l_split LEFT JOIN l_drops ON l_drops.rid = l_split.rid)"""
+
+
+LINE_DEDUP = f"""
+WITH rows_in AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+{line_ctes('rows_in')}
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM deduped
+"""
+
+SQL = {"op3_line_dedup": LINE_DEDUP, "op1_quality_rules": QUALITY, "op9_url_filter": URL_FILTER}
