@@ -11,6 +11,7 @@ from aspectspark.llm.common import table
 from aspectspark.llm.licenses import scan_licenses
 from aspectspark.llm.lines import dedup_lines
 from aspectspark.llm.mixing import mix
+from aspectspark.llm.multi_index import nearest
 from aspectspark.llm.pieces import encode_pieces
 from aspectspark.llm.private import BASE_KINDS, find_private, span_string
 from aspectspark.llm.quality import COUNTS, quality
@@ -55,6 +56,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken",
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_line_dedup": op3_line_dedup,
+    "op4_nearest": op4_nearest,
     "op5_mixing": op5_mixing,
     "op6_personal_data": op6_personal_data,
     "op7_license_scan": op7_license_scan,
