@@ -48,7 +48,8 @@ def _lines(rows: DataFrame) -> DataFrame:
     """id, t1, t2, number, and template of each line with a word: a digest of
     its tokens, their count, and the leaf."""
     split = rows.select("id", "t1", "t2", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    tokens = split.select("id", "t1", "t2", "line", line_tokens(F.col("raw")).alias("tokens")).where("tokens <> ''")
+    tokens = split.where(F.rlike("raw", F.lit("[^\\x20\\x09-\\x0D]"))).select(
+        "id", "t1", "t2", "line", line_tokens(F.col("raw")).alias("tokens"))
     size = F.char_length("tokens") - F.char_length(F.replace("tokens", F.lit(" "), F.lit(""))) + 1
     return tokens.select("id", "t1", "t2", "line", F.unhex(F.md5("tokens")).alias("own"), size.alias("size"),
                          F.xxhash64(F.substring_index("tokens", " ", DEPTH)).alias("leaf"), "tokens")

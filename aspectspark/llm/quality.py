@@ -156,5 +156,10 @@ def quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "tex
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
-    """The documents that no rule rejects, with their own columns."""
-    return quality(docs, rules, text_col).where("kept").select("doc.*")
+    """The documents that no rule rejects, with their own columns.
+
+    Not a filter on ``kept``: that would be pushed below the projections,
+    and the word array computed again for each of its elements.
+    """
+    judged = quality(docs, rules, text_col)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("doc"))).alias("doc")).select("doc.*")
