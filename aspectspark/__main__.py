@@ -6,6 +6,8 @@ import argparse
 import json
 
 from aspectspark.plans import jobs
+from aspectspark.plans.cascade import named_scorers
+from aspectspark.plans.scorers import SCORERS
 from aspectspark.session import get_session
 
 
@@ -17,8 +19,10 @@ def main(argv=None):
     d.add_argument("train"), d.add_argument("dev"), d.add_argument("legacy"), d.add_argument("out")
     d.add_argument("--compat", action="store_true")
     d.add_argument("--seed", default="42")
+    d.add_argument("--on-invalid", default="fail", choices=("fail", "drop", "quarantine"))
     p = sub.add_parser("predict")
     p.add_argument("corpus"), p.add_argument("out")
+    p.add_argument("--scorer", required=True, choices=sorted(SCORERS))
     v = sub.add_parser("vote")
     v.add_argument("members"), v.add_argument("corpus"), v.add_argument("out")
     v.add_argument("--threshold", type=int, default=2)
@@ -29,9 +33,10 @@ def main(argv=None):
     spark = get_session(a.master)
     if a.job == "datasets":
         print(json.dumps(jobs.build_stage_sets(spark, a.train, a.dev, a.legacy, a.out,
-                                            seed=a.seed, compat=a.compat)))
+                                            seed=a.seed, compat=a.compat,
+                                            on_invalid=a.on_invalid)))
     elif a.job == "predict":
-        jobs.predict_file(spark, a.corpus, a.out)
+        jobs.predict_file(spark, a.corpus, a.out, named_scorers(a.scorer))
     elif a.job == "vote":
         jobs.vote_files(spark, a.members, a.corpus, a.out, a.threshold)
     else:

@@ -72,9 +72,10 @@ def q_write_stage_csv(spark, sf):
 
 
 def q_read_stage_csv(spark, sf):
-    d = fx.table(spark, sf, "documents").join(fx.table(spark, sf, "labels"), "doc_id")
+    # every document; one without labels has -1 in both slots
+    d = fx.table(spark, sf, "documents").join(fx.table(spark, sf, "labels"), "doc_id", "left")
     s = d.select("doc_id", F.col("text").alias("input"),
-                 F.array("quality", "toxic").alias("label"))
+                 F.array(*[F.coalesce(c, F.lit(-1)) for c in ("quality", "toxic")]).alias("label"))
     path = scratch_path(spark, "text-csv")
     io.write_stage_csv(s, path)
     r = io.read_stage_csv(spark, path, "array", ("doc_id", "input", "label"))
@@ -85,12 +86,14 @@ def q_read_stage_csv(spark, sf):
 
 
 def q_write_predictions(spark, sf):
-    p = fx.member_predictions(spark, sf, [0]).drop("member")
-    path = scratch_path(spark, "pred")
-    io.write_predictions(p, path)
-    r = io.read_predictions(spark, path, id_type="bigint")
-    return r.select("id", "sentence_form", F.size("annotation").alias("n_annotations"),
-                    ann_text().alias("annotation_text"))
+    out = None
+    for m in range(fx.N_MEMBERS):       # a file set per member, as the cascade writes them
+        path = scratch_path(spark, f"pred-{m}")
+        io.write_predictions(fx.member_predictions(spark, sf, [m]).drop("member"), path)
+        r = io.read_predictions(spark, path, id_type="bigint").withColumn("member", F.lit(m))
+        out = r if out is None else out.unionByName(r)
+    return out.select("member", "id", "sentence_form", F.size("annotation").alias("n_annotations"),
+                      ann_text().alias("annotation_text"))
 
 
 def q_read_members(spark, sf):
@@ -168,26 +171,23 @@ def q_build_prompt(spark, sf):
                     F.length("prompt").alias("prompt_len"))
 
 
-VOCAB_SIZE = 5000
-
-
 def _encoded_docs(spark, sf, max_len=128):
     d = fx.table(spark, sf, "documents").select(
         "doc_id", "text", F.lit(QUESTIONS["trinary"]).alias("question"))
-    v = tokens.build_vocab(d, ["text"], VOCAB_SIZE)
-    return tokens.encode_tokens(d, "doc_id", "question", "text", v, VOCAB_SIZE, max_len)
+    return tokens.encode_tokens(d, "doc_id", "question", "text",
+                                tokens.build_vocab(d, ["text"]), max_len)
 
 
 def q_encode_tokens(spark, sf):
     e = _encoded_docs(spark, sf)
-    return e.select("doc_id", hot_text("input_ids", " ").alias("ids_text"),
+    return e.select("doc_id", "window", hot_text("input_ids", " ").alias("ids_text"),
                     F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m)
                     .alias("n_real"))
 
 
 def q_segment_ids(spark, sf):
     e = _encoded_docs(spark, sf)
-    return e.select("doc_id", hot_text(segment_ids("input_ids"), "").alias("segments"))
+    return e.select("doc_id", "window", hot_text(segment_ids("input_ids"), "").alias("segments"))
 
 
 HEAD_OUT, HEAD_DIM = 10, 64
@@ -254,34 +254,35 @@ def _member0(spark, sf):
 
 
 def q_align_gold_pred(spark, sf):
-    pred = fx.member_predictions(spark, sf, [0])
-    a = joins.align_gold_pred(fx.gold_corpus(spark, sf), pred)
-    return a.select("id", F.size("gold_annotation").alias("n_gold"),
+    pred = fx.member_predictions(spark, sf)
+    a = joins.align_gold_pred(fx.gold_corpus(spark, sf), pred, carry=("member",))
+    return a.select("member", "id", F.size("gold_annotation").alias("n_gold"),
                     F.size("pred_annotation").alias("n_pred"))
 
 
 def q_first_match_join(spark, sf):
     g = fx.gold_labels(spark, sf).select("id", "pos", "aspect", "polarity")
-    p = _member0(spark, sf).select("id", "pos", "aspect", "polarity")
-    j = joins.first_match(g, p, ["id", "aspect"])
+    p = fx.member_annotations(spark, sf).select("member", "id", "pos", "aspect", "polarity")
+    j = joins.first_match(joins.expand_members(g, fx.N_MEMBERS), p, ["member", "id", "aspect"])
     # no match -> '' / -1, so the checked output has no NULL numbers
-    return j.select("id", "pos", "aspect",
+    return j.select("member", "id", "pos", "aspect",
                     F.coalesce("match_polarity", F.lit("")).alias("match_polarity"),
                     F.coalesce("match_pos", F.lit(-1)).alias("match_pos"))
 
 
-def _sentence_folded_member0(spark, sf):
-    m = _member0(spark, sf)
+def _by_sentence(spark, sf):
+    m = fx.member_annotations(spark, sf)
     s = fx.sentences(spark, sf).withColumn("sentence_key", F.md5("sentence_form"))
-    x = m.join(s, "id").select("sentence_key", "sentence_form", "id", "pos", "aspect", "polarity")
-    return x
+    return m.join(s, "id").select("member", "sentence_key", "sentence_form", "id", "pos",
+                                  "aspect", "polarity")
 
 
 def q_attach_predictions(spark, sf):
-    x = _sentence_folded_member0(spark, sf)
-    folded = aggregates.fold_annotations(x, "sentence_key", ["id", "pos"])
-    out = joins.attach_predictions(fx.sentences(spark, sf), folded)
-    return out.select("id", F.size("annotation").alias("n_annotations"),
+    x = _by_sentence(spark, sf)
+    folded = aggregates.fold_annotations(x, ["member", "sentence_key"], ["id", "pos"])
+    records = joins.expand_members(fx.sentences(spark, sf), fx.N_MEMBERS)
+    out = joins.attach_predictions(records, folded, also=("member",))
+    return out.select("member", "id", F.size("annotation").alias("n_annotations"),
                       ann_text().alias("annotation_text"))
 
 
@@ -313,11 +314,11 @@ def q_topics_per_category(spark, sf):
 
 
 def q_fold_annotations(spark, sf):
-    x = _sentence_folded_member0(spark, sf)
-    f = aggregates.fold_annotations(x, "sentence_key", ["id", "pos"])
-    s = x.select("sentence_key", "sentence_form").dropDuplicates(["sentence_key"])
-    return f.join(s, "sentence_key").select(
-        "sentence_form", F.size("annotation").alias("n_annotations"),
+    # the sentence itself is the key here: short texts, and no join back to them
+    x = _by_sentence(spark, sf).drop("sentence_key")
+    f = aggregates.fold_annotations(x, ["member", "sentence_form"], ["id", "pos"])
+    return f.select(
+        "member", "sentence_form", F.size("annotation").alias("n_annotations"),
         ann_text().alias("annotation_text"))
 
 
@@ -439,6 +440,12 @@ def q_epoch_batches(spark, sf):
     return b.select("o_orderkey", "batch", "slot")
 
 
+def q_epoch_batches_all(spark, sf):
+    o = fx.table(spark, sf, "orders").select("o_orderkey")
+    b = sampling.epoch_batches(o, ["o_orderkey"], 32, seed=42, epoch=0, drop_last=False)
+    return b.select("o_orderkey", "batch", "slot")
+
+
 # --------------------------------------------------------------- unions U1-U4
 def q_sentiment_pools(spark, sf):
     return unions.sentiment_pools(fx.legacy_corpus(spark, sf), _encoded_gold(spark, sf))
@@ -529,6 +536,33 @@ def q_ensemble_predict(spark, sf):
                     ann_text().alias("annotation_text"))
 
 
+def _annotated(p):
+    return p.select("id", F.size("annotation").alias("n_annotations"),
+                    ann_text().alias("annotation_text"))
+
+
+def q_cascade_predict_python(spark, sf):
+    """The cascade with a Python model in every stage."""
+    return _annotated(cascade.cascade_predict(_docs_corpus(spark, sf),
+                                              cascade.named_scorers("md5_python")))
+
+
+def q_ensemble_models(spark, sf):
+    """Members with models of their own: Python ones and JVM ones."""
+    members = {m: cascade.named_scorers("md5_python" if m % 2 else "md5", salt=m)
+               for m in range(fx.N_MEMBERS)}
+    return _annotated(cascade.ensemble_predict(_docs_corpus(spark, sf), members=members))
+
+
+def q_cascade_stage_counts(spark, sf):
+    """A4 of the inference stages: rows that enter each of them."""
+    sent = cascade.distinct_sentences(_docs_corpus(spark, sf))
+    f = cascade.stage_frames(sent, cascade.default_scorers())
+    return aggregates.stage_counts({
+        "stage0": sent, "stage1": f["routing"].filter(F.col("hot1").isNotNull()),
+        "stage2": f["categories"], "stage3": f["aspects"]})
+
+
 def q_evaluation_report(spark, sf):
     return _rounded(metrics.evaluation_report(_counts(spark, sf), ("exact", "sticky")))
 
@@ -542,17 +576,41 @@ def q_scorer(spark, sf):
 
 def q_train_head(spark, sf):
     e = training.vector_features(fx.table(spark, sf, "embeddings"), "embedding")
-    predict = training.train_head(e, "label", "multiclass", max_iter=20)
-    return predict(e).select("vec_id", "label", "prediction")
+    head = training.train_head(e, "label", "multiclass", max_iter=20)
+    return head.predict(e).select("vec_id", "label", "prediction")
 
 
-def q_cross_validate(spark, sf):
+def q_head_predict(spark, sf):
+    """A head with given weights, saved and loaded again."""
+    path = scratch_path(spark, "head")
+    training.LinearHead(HEAD_W).save(spark, path)
+    head = training.LinearHead.load(spark, path)
+    return head.predict(fx.table(spark, sf, "embeddings"), "embedding").select("vec_id", "prediction")
+
+
+def _cross_validated(spark, sf):
     e = training.vector_features(fx.table(spark, sf, "embeddings"), "embedding")
     return training.cross_validate(e, "label", ["vec_id"], k=5, n_classes=10, max_iter=20)
 
 
+def q_cross_validate(spark, sf):
+    """The folds that were fitted and scored: sizes and support."""
+    return _cross_validated(spark, sf).select("fold", "n_train", "n_valid",
+                                              hot_text("support").alias("support_text"))
+
+
+def q_cross_validate_metrics(spark, sf):
+    return _cross_validated(spark, sf).select("fold", "accuracy", "f1_macro", "f1_micro")
+
+
 QUERIES = {
     # sources / sinks
+    "cascade_predict_python": q_cascade_predict_python,
+    "ensemble_models": q_ensemble_models,
+    "cascade_stage_counts": q_cascade_stage_counts,
+    "epoch_batches_all": q_epoch_batches_all,
+    "head_predict": q_head_predict,
+    "cross_validate_metrics": q_cross_validate_metrics,
     "read_corpus": q_read_corpus,
     "read_legacy_polarity": q_read_legacy_polarity,
     "write_stage_csv": q_write_stage_csv,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fold_annotations(flat: DataFrame, key: str, order: list[str],
+def fold_annotations(flat: DataFrame, key: str | list[str], order: list[str],
                      items: tuple[str, ...] = ("aspect", "polarity")) -> DataFrame:
     """A3: ``key -> annotation``: the distinct ``items`` of every key as an
     ordered list, first-seen order by ``order``.
@@ -15,11 +15,12 @@ def fold_annotations(flat: DataFrame, key: str, order: list[str],
     per-key collect, so the collected list is bounded by the number of
     distinct items (the label space), not by how often they repeat.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     first = F.min(F.struct(*order)).alias("_first")
-    d = flat.groupBy(key, *items).agg(first)
+    d = flat.groupBy(*keys, *items).agg(first)
     ann = F.transform(F.array_sort(F.collect_list(F.struct("_first", *items))),
                       lambda x: F.struct(*[x[i].alias(i) for i in items]))
-    return d.groupBy(key).agg(ann.alias("annotation"))
+    return d.groupBy(*keys).agg(ann.alias("annotation"))
 
 
 def stage_counts(frames: dict[str, DataFrame], stage_col: str | None = None) -> DataFrame:

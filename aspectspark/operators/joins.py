@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def align_gold_pred(gold: DataFrame, pred: DataFrame, on: str = "id") -> DataFrame:
+def align_gold_pred(gold: DataFrame, pred: DataFrame, on: str = "id",
+                    carry: tuple[str, ...] = ()) -> DataFrame:
     """Pair each gold record with its prediction record by id (the
     reference zips two files by line position; an id join is the stable
-    form).  A record missing from ``pred`` gets an empty prediction list."""
-    p = pred.select(on, F.col("annotation").alias("pred_annotation"))
+    form).  A record missing from ``pred`` gets an empty prediction list.
+    ``carry``: columns of ``pred`` to keep (such as the member, one row each)."""
+    p = pred.select(on, *carry, F.col("annotation").alias("pred_annotation"))
     return (gold.withColumnRenamed("annotation", "gold_annotation")
                 .join(p, on, "left")
                 .withColumn("pred_annotation",
@@ -32,17 +34,18 @@ def first_match(left: DataFrame, right: DataFrame, keys: list[str],
 
 
 def attach_predictions(corpus: DataFrame, preds: DataFrame,
-                       key: str = "sentence_key",
-                       text: str = "sentence_form") -> DataFrame:
+                       key: str = "sentence_key", text: str = "sentence_form",
+                       also: tuple[str, ...] = ()) -> DataFrame:
     """Predictions keyed by sentence -> every record with that sentence.
 
     Both sides join on a fixed-width ``md5(sentence)`` key, so long texts are
     never hashed or compared in the shuffle.  Missing -> empty list.
+    ``also``: further key columns that both sides have (such as the member).
     """
     c = corpus if key in corpus.columns else corpus.withColumn(key, F.md5(text))
     ann_type = preds.schema["annotation"].dataType
-    return (c.join(preds.select(key, "annotation").withColumnRenamed("annotation", "_p"),
-                   key, "left")
+    return (c.join(preds.select(key, *also, F.col("annotation").alias("_p")),
+                   [key, *also], "left")
              .withColumn("annotation", F.coalesce("_p", F.array().cast(ann_type)))
              .drop("_p", key))
 

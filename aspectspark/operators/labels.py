@@ -10,13 +10,6 @@ from aspectspark.functions.taxonomy import (
     ALLOWED_PAIRS, CATEGORIES, HEAD, LEGACY_POLARITIES, POLARITIES, TOPICS,
     code_of, split_aspect)
 
-# Above this many allowed pairs the taxonomy check becomes a broadcast join
-# instead of an IN-set expression; above BROADCAST_PAIRS a plain join.
-INSET_LIMIT = 1000
-BROADCAST_PAIRS = 2_000_000
-# Multi-hot vectors up to this width are built with one max() per slot.
-WIDE_HOT = 64
-
 
 def explode_annotations(corpus: DataFrame, outer: bool = False,
                         keep: tuple[str, ...] = ("id", "sentence_form")) -> DataFrame:
@@ -68,32 +61,31 @@ def quarantine(encoded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hot_columns(code, n: int, name: str) -> list:
-    """Aggregate expressions for a 0/1 presence vector of width ``n``
-    (one max() per slot; each slot aggregates map-side)."""
+    """Aggregate expressions for a 0/1 presence vector of width ``n``: the
+    distinct codes (at most as many as the label space has) merge map-side,
+    and slots are looked up in them.  NULL codes set no slot."""
     c = F.col(code) if isinstance(code, str) else code
-    return [F.array(*[F.max((c == i).cast("int")) for i in range(n)]).alias(name)]
+    found = F.collect_set(c)
+    return [F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
+                        lambda i: F.array_contains(found, i).cast("int")).alias(name)]
 
 
 def multi_hot(df: DataFrame, keys: list[str], code: str, n: int,
               name: str = "label") -> DataFrame:
     """``groupBy(keys)`` -> 0/1 vector of the codes present.  Partial
-    aggregation runs map-side, so a hot key never reaches one task whole.
-    Wide label spaces collect the (bounded) distinct code set instead."""
-    if n <= WIDE_HOT:
-        return df.groupBy(*keys).agg(*hot_columns(code, n, name))
-    return (df.groupBy(*keys).agg(F.collect_set(code).alias("_s"))
-              .select(*keys, F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                                         lambda i: F.array_contains("_s", i).cast("int"))
-                      .alias(name)))
+    aggregation runs map-side, so a hot key never reaches one task whole.  A
+    key with NULL codes alone gets zeros, whatever the width."""
+    return df.groupBy(*keys).agg(*hot_columns(code, n, name))
 
 
 def coarse_fine_split(df: DataFrame, keys: list[str], code: str = "category",
                       head: int = HEAD, n: int = len(CATEGORIES),
                       coarse: str = "coarse", fine: str = "fine") -> DataFrame:
     """Coarse vector (codes < head keep their slot, the rest share slot
-    ``head``) and fine vector (code - head for the rest), in one aggregate."""
+    ``head``) and fine vector (code - head for the rest), in one aggregate.
+    A NULL code (an invalid label) sets no slot of either."""
     c = F.col(code)
-    coarse_code = F.when(c < head, c).otherwise(head)
+    coarse_code = F.when(c < head, c).when(c.isNotNull(), head)
     return df.groupBy(*keys).agg(
         *hot_columns(coarse_code, head + 1, coarse),
         *hot_columns(c - head, n - head, fine))
@@ -127,35 +119,23 @@ def route_positive(df: DataFrame, hot: str, names: list[str] | None = None,
     return x.select(*cols)
 
 
+def _allowed(aspect: str, pairs: list[str]):
+    """One rule for any list: the distinct pairs as an IN-set expression, so
+    rows are neither multiplied nor moved (a repeated pair counts once)."""
+    return F.coalesce(F.col(aspect).isin(sorted(set(pairs))), F.lit(False))
+
+
 def taxonomy_flag(df: DataFrame, aspect: str = "aspect", pairs: list[str] = ALLOWED_PAIRS,
                   name: str = "valid") -> DataFrame:
-    """F4 in one pass: adds ``valid`` (1/0).  A short list is an IN-set
-    expression (no join at all); a long one a left join against a broadcast
-    table whose size is known on the driver (``len(pairs)``)."""
-    if len(pairs) <= INSET_LIMIT:
-        ok = F.coalesce(F.col(aspect).isin(list(pairs)), F.lit(False))
-        return df.withColumn(name, ok.cast("int"))
-    spark = df.sparkSession
-    allowed = spark.createDataFrame([(p, 1) for p in pairs], [aspect, "_ok"])
-    allowed = F.broadcast(allowed) if len(pairs) <= BROADCAST_PAIRS else allowed
-    return (df.join(allowed, aspect, "left")
-              .withColumn(name, F.coalesce("_ok", F.lit(0))).drop("_ok"))
+    """F4 in one pass: adds ``valid`` (1/0; a NULL aspect is not valid)."""
+    return df.withColumn(name, _allowed(aspect, pairs).cast("int"))
 
 
 def validate_taxonomy(df: DataFrame, aspect: str = "aspect",
                       pairs: list[str] = ALLOWED_PAIRS) -> tuple[DataFrame, DataFrame]:
-    """(valid, invalid) rows by the declared aspect list -- the semi and
-    anti join of the reference's declared pairs.  A short list is an IN-set
-    filter; a long one a semi/anti join against a broadcast table of known
-    size."""
-    if len(pairs) <= INSET_LIMIT:
-        ok = F.col(aspect).isin(list(pairs))
-        return df.filter(ok), df.filter(~ok | F.col(aspect).isNull())
-    spark = df.sparkSession
-    allowed = spark.createDataFrame([(p,) for p in pairs], [aspect])
-    allowed = F.broadcast(allowed) if len(pairs) <= BROADCAST_PAIRS else allowed
-    return (df.join(allowed, aspect, "left_semi"),
-            df.join(allowed, aspect, "left_anti"))
+    """(valid, invalid) rows by the declared aspect list."""
+    ok = _allowed(aspect, pairs)
+    return df.filter(ok), df.filter(~ok)
 
 
 def distinct_categories(flat: DataFrame, keys: tuple[str, ...] = ("id",),

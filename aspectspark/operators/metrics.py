@@ -117,22 +117,33 @@ def evaluation_report(counts: DataFrame, modes: tuple[str, ...] = ("exact",),
 
 
 def accuracy(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
-    """Single-label accuracy."""
-    return df.agg(F.count(F.lit(1)).alias("n"),
-                  F.count_if(F.col(y) == F.col(p)).alias("n_correct"),
-                  F.avg((F.col(y) == F.col(p)).cast("double")).alias("accuracy"))
+    """Single-label accuracy.  A NULL label or prediction is a miss, in
+    the count and in the mean."""
+    hit = F.coalesce(F.col(y) == F.col(p), F.lit(False))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("n_correct"),
+                  F.avg(hit.cast("double")).alias("accuracy"))
 
 
 def subset_accuracy(df: DataFrame, label: str = "label", hot: str = "hot") -> DataFrame:
-    """E5: multi-label exact-match ratio (whole vector equal)."""
-    eq = F.col(label) == F.col(hot)
+    """E5: multi-label exact-match ratio (whole vector equal).  A NULL vector
+    is a miss."""
+    eq = F.coalesce(F.col(label) == F.col(hot), F.lit(False))
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(eq).alias("n_exact"),
                   F.avg(eq.cast("double")).alias("accuracy"))
 
 
+def checked_code(code: str, n: int):
+    """The code, or an error if it lies outside ``0 .. n - 1`` (NULL: none)."""
+    c = F.col(code)
+    err = F.raise_error(F.concat(F.lit(f"class code outside 0..{n - 1}: "), c.cast("string")))
+    return F.when((c < 0) | (c >= n), err).otherwise(c).cast("int")
+
+
 def one_hot(code: str, n: int):
+    """0/1 vector of a code (NULL: all zero)."""
+    c = checked_code(code, n)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                       lambda i: (i == F.col(code)).cast("int"))
+                       lambda i: F.coalesce(i == c, F.lit(False)).cast("int"))
 
 
 def class_counts(df: DataFrame, label: str, hot: str) -> DataFrame:
@@ -177,7 +188,9 @@ def f1_micro(per_class: DataFrame) -> DataFrame:
 
 
 def prediction_distribution(df: DataFrame, p: str = "p", n_classes: int = 3) -> DataFrame:
-    """Percent of predictions per class, one global aggregate."""
+    """Percent of predictions per class, one global aggregate.  A code
+    outside the classes is an error; NULL predictions count in the total."""
+    df = df.withColumn(p, checked_code(p, n_classes))
     agg = df.agg(F.count(F.lit(1)).alias("_n"),
                  F.array(*[F.count_if(F.col(p) == i) for i in range(n_classes)]).alias("_c"))
     return agg.select(F.posexplode("_c").alias("cls", "n"), "_n").select(

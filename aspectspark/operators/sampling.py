@@ -13,56 +13,70 @@ from pyspark.sql import functions as F
 from aspectspark.functions.taxonomy import seeded_md5
 
 
+def _digits(n: int) -> int:
+    """Hex digits that make about as many buckets as rows in a bucket."""
+    return max(1, -(-n.bit_length() // 8))
+
+
 def ranked(df: DataFrame, okey: str, tiebreak: list[str], lead: list[str] = (),
-           partition: list[str] = (), prefix_len: int = 3, name: str = "rank") -> DataFrame:
+           partition: list[str] = (), prefix_len: int | None = None, name: str = "rank") -> DataFrame:
     """0-based rank of every row ordered by ``(*lead, okey, *tiebreak)``
-    within ``partition`` (or globally), computed in two levels.
+    within ``partition`` (or globally), computed in levels.
 
     A plain ``row_number()`` over a whole class (or the whole table) runs in
     one task.  Here rows are bucketed by the first ``prefix_len`` hex digits
-    of the md5 order key (16**prefix_len buckets per lead value, uniformly
-    filled), bucket sizes are counted with a partial aggregate, the running
-    start of every bucket is a window over that small count table, and the
-    row number inside each (lead, bucket) runs in parallel.  Start + local
-    number is exactly the global rank.
-
-    The input is read twice (bucket counts, then the rows).  Over a file
-    scan the count pass reads only the order-key columns; a derived input
-    (an aggregate, a join) should be materialized first.
+    of the md5 order key (default: from the row count, about as many buckets
+    as rows in a bucket), bucket sizes are counted with a partial aggregate,
+    and the row number inside each (lead, bucket) runs in parallel.  The
+    running start of a bucket is summed within its lead value; only the
+    totals of the lead values, one row each, are summed in one window.  NULL
+    is a value like any other, in ``lead`` and in ``partition``.
+
+    The input is read more than once (row and bucket counts, then the rows).
+    Over a file scan the count passes read only the order-key columns; a
+    derived input (an aggregate, a join) should be materialized first.
     """
     lead, partition = list(lead), list(partition)
-    b = F.substring(F.col(okey), 1, prefix_len)
-    x = df.withColumn("_b", b)
-    grp = [*partition, *lead, "_b"]
-    counts = x.groupBy(*grp).agg(F.count(F.lit(1)).alias("_n"))
-    w_start = (Window.partitionBy(*partition).orderBy(*lead, "_b")
-               .rowsBetween(Window.unboundedPreceding, 0))
-    starts = counts.select(*grp, (F.sum("_n").over(w_start) - F.col("_n")).alias("_start"),
-                           F.sum("_n").over(Window.partitionBy(*partition)).alias("_total"))
-    w_local = Window.partitionBy(*grp).orderBy(okey, *tiebreak)
+    digits = prefix_len or _digits(df.count())
+    x = df.withColumn("_b", F.substring(F.col(okey), 1, digits))
+    own = [*partition, *lead]
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    counts = x.groupBy(*own, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    in_lead = counts.withColumn("_in", F.coalesce(
+        F.sum("_n").over(before(Window.partitionBy(*own).orderBy("_b"))), F.lit(0)))
+    totals = counts.groupBy(*own).agg(F.sum("_n").alias("_n"))
+    totals = totals.withColumn("_start", F.coalesce(
+        F.sum("_n").over(before(Window.partitionBy(*partition).orderBy(*(lead or [F.lit(0)])))), F.lit(0))
+    ).withColumn("_total", F.sum("_n").over(Window.partitionBy(*partition))).drop("_n")
+    starts = _null_safe(in_lead.drop("_n"), totals, own)
+    w_local = Window.partitionBy(*own, "_b").orderBy(okey, *tiebreak)
     local = x.withColumn("_rn", F.row_number().over(w_local) - 1)
-    return (local.join(starts, grp, "inner")
-                 .withColumn(name, (F.col("_start") + F.col("_rn")).cast("bigint"))
-                 .drop("_b", "_rn", "_start"))
+    return (_null_safe(local, starts, [*own, "_b"])
+            .withColumn(name, (F.col("_start") + F.col("_in") + F.col("_rn")).cast("bigint"))
+            .drop("_b", "_rn", "_start", "_in"))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, NULL equal to NULL; keys once."""
+    renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                           *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return left.join(renamed, on).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def sample_exact(df: DataFrame, class_col: str, sizes: dict, keys: list[str],
-                 seed=42, on_short: str = "fail", prefix_len: int = 3) -> DataFrame:
+                 seed=42, on_short: str = "fail", prefix_len: int | None = None) -> DataFrame:
     """Exactly ``sizes[c]`` rows of class ``c``, without replacement,
     the rows with the smallest ``md5('seed:key')``.
 
-    * ``max(sizes)`` within Spark's window-group-limit threshold: a
-      ``row_number() <= n`` filter, which Spark turns into a partial
-      WindowGroupLimit before the shuffle -- every map task forwards at most
-      ``n`` rows per class, so a class holding a third of the data never
-      reaches one task whole.
-    * larger samples: the two-level rank (:func:`ranked`), fully parallel.
-
-    ``on_short='fail'`` raises when a class has fewer rows than requested
-    (also when it has none); ``'take_all'`` keeps what there is.  The check
-    rides along in the same pass: one marker row per requested class is
-    ranked first in its class, and that row raises when its class comes up
-    short -- nothing is computed twice.
+    The rank is the two-level one (:func:`ranked`) at every size, so no task
+    holds a class.  ``on_short='fail'`` raises when a class has fewer rows
+    than requested (also when it has none); ``'take_all'`` keeps what there
+    is.  The check rides along in the same pass: one marker row per
+    requested class is ranked first in its class, and that row raises when
+    its class comes up short.
     """
     if on_short not in ("fail", "take_all"):
         raise ValueError("on_short must be 'fail' or 'take_all'")
@@ -79,20 +93,8 @@ def sample_exact(df: DataFrame, class_col: str, sizes: dict, keys: list[str],
     need = F.try_element_at(
         F.create_map(*[v for c, n in sizes.items() for v in (F.lit(c), F.lit(n))]),
         F.col(class_col))
-    top = max(sizes.values())
-    limit = int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if top + off <= limit:
-        w = Window.partitionBy(class_col).orderBy("_okey", *keys)
-        # the filter must sit on row_number() itself for Spark to infer the
-        # partial WindowGroupLimit
-        r = (x.withColumn("_rn1", F.row_number().over(w))
-              .filter(F.col("_rn1") <= top + off)
-              .withColumn("_rn", F.col("_rn1") - 1).drop("_rn1")
-              .withColumn("_got", F.count(F.when(~F.col("_m"), 1))
-                          .over(Window.partitionBy(class_col))))
-    else:
-        r = ranked(x, "_okey", list(keys), partition=[class_col], prefix_len=prefix_len,
-                   name="_rn").withColumn("_got", F.col("_total") - off)
+    r = ranked(x, "_okey", list(keys), partition=[class_col], prefix_len=prefix_len,
+               name="_rn").withColumn("_got", F.col("_total") - off)
     err = F.raise_error(F.concat(F.lit("sample_exact: class too small: "),
                                  F.col(class_col).cast("string")))
     # one CASE, not a conjunction: the optimizer must not push "not a
@@ -104,7 +106,7 @@ def sample_exact(df: DataFrame, class_col: str, sizes: dict, keys: list[str],
     return r.drop("_okey", "_m", "_rn", "_got", "_total")
 
 
-def _materialized(df: DataFrame) -> DataFrame:
+def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the cluster's checkpoint directory (reliable,
     survives lost executors) and read it back: the two-level rank reads its
     input twice, which must not mean computing a derived input twice."""
@@ -115,16 +117,17 @@ def _materialized(df: DataFrame) -> DataFrame:
 
 
 def stratified_kfold(df: DataFrame, label: str, keys: list[str], k: int = 5,
-                     seed=42, prefix_len: int = 3, materialize: bool = False) -> DataFrame:
+                     seed=42, prefix_len: int | None = None, materialize: bool = False) -> DataFrame:
     """Adds ``fold`` in 0..k-1, stratified by the label value.
 
     Rows are ranked by (label, md5 order); ``fold = rank % k``.  Consecutive
     ranks of one class cycle through the folds, so every class's fold sizes
-    differ by at most one, and so do the fold totals.  ``materialize``:
+    differ by at most one, and so do the fold totals.  Rows with a NULL
+    label are a class of their own.  ``materialize``:
     checkpoint a derived input first (see :func:`ranked`).
     """
     if materialize:
-        df = _materialized(df)
+        df = materialized(df)
     x = df.withColumn("_okey", seeded_md5(seed, *keys))
     r = ranked(x, "_okey", list(keys), lead=[label], prefix_len=prefix_len, name="_rank")
     return r.withColumn("fold", (F.col("_rank") % k).cast("int")).drop(
@@ -142,7 +145,7 @@ def fold_tag(df: DataFrame, fold: int, col: str = "fold", name: str = "split") -
 
 
 def epoch_batches(df: DataFrame, keys: list[str], batch_size: int, seed=42,
-                  epoch: int = 0, drop_last: bool = True, prefix_len: int = 3,
+                  epoch: int = 0, drop_last: bool = True, prefix_len: int | None = None,
                   materialize: bool = False) -> DataFrame:
     """Shuffled fixed-size batches for one epoch: adds ``batch`` and
     ``slot``.  The order is md5('seed:epoch:key'); the global rank is the
@@ -150,7 +153,7 @@ def epoch_batches(df: DataFrame, keys: list[str], batch_size: int, seed=42,
     removes the final partial batch (training); keep it for validation.
     ``materialize``: checkpoint a derived input first (see :func:`ranked`)."""
     if materialize:
-        df = _materialized(df)
+        df = materialized(df)
     x = df.withColumn("_okey", seeded_md5(f"{seed}:{epoch}", *keys))
     r = ranked(x, "_okey", list(keys), prefix_len=prefix_len, name="_rank")
     r = r.withColumn("batch", (F.col("_rank") / batch_size).cast("bigint")) \

@@ -6,70 +6,75 @@ regroup, all in the JVM.  A pretrained tokenizer can be plugged in through
 ``encode_with`` (Arrow-batched pandas UDF), loaded once per Python worker.
 """
 
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectspark.functions.text import tokens
+from aspectspark.operators.sampling import ranked
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 FIRST_ID = 4
-# a vocabulary up to this many entries is broadcast to the encoder join;
-# its size is the caller's parameter, never data-dependent
-BROADCAST_VOCAB = 500_000
 
 
-def build_vocab(texts: DataFrame, cols: list[str], size: int) -> DataFrame:
-    """``token, id``: the ``size`` most frequent whitespace tokens over the
-    whole texts, ids from 4 by (count desc, token).
+def build_vocab(texts: DataFrame, cols: list[str], size: int | None = None) -> DataFrame:
+    """``token, id``: all whitespace tokens of the whole texts, or the
+    ``size`` most frequent; ids from 4 by (count desc, md5 of the token).
 
-    Counting is a partial aggregate.  The top ``size`` come from a
-    range-partitioned (parallel) sort plus a limit; only those ``size`` rows
-    -- a bound set by the caller, not by the data -- meet in one task to
-    receive their ids."""
+    Counting is a partial aggregate; ids are two-level ranks, so no task
+    holds the vocabulary, whatever its size."""
     toks = None
     for c in cols:
         t = texts.select(F.explode(tokens(c)).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(size)
-    w = Window.orderBy(F.desc("n"), "token")
-    return top.select("token", (F.row_number().over(w) + FIRST_ID - 1).cast("int").alias("id"))
-
-
-def encode_tokens(df: DataFrame, key: str, question: str, text: str,
-                  vocab: DataFrame, vocab_size: int, max_len: int = 128) -> DataFrame:
-    """``key, input_ids, attention_mask`` with layout
-    ``CLS question SEP text SEP`` cut to ``max_len`` and padded with PAD.
-
-    Only the first ``max_len`` words of each part can survive truncation, so
-    each part is sliced to ``max_len`` words *before* the explode: row
-    blow-up is bounded by ``2*max_len`` whatever the text length.
+    counts = toks.groupBy("token").agg((-F.count(F.lit(1))).alias("_less"))
+    counts = counts.withColumn("_okey", F.md5("token"))
+    order = ranked(counts, "_okey", ["token"], lead=["_less"], name="_rank")
+    if size is not None:
+        order = order.filter(F.col("_rank") < size)
+    return order.select("token", (F.col("_rank") + FIRST_ID).cast("int").alias("id"))
+
+
+def encode_tokens(df: DataFrame, key: str, question: str, text: str, vocab: DataFrame,
+                  max_len: int = 128, truncate: bool = False) -> DataFrame:
+    """``key, window, input_ids, attention_mask`` with layout
+    ``CLS question SEP text SEP``, ``max_len`` ids, padded with PAD.
+
+    The words of a text follow each other over as many windows as they fill,
+    each with the question in front (cut to leave room for a word), so every
+    word is encoded.  ``truncate=True`` keeps the one window of a model's
+    fixed input.  A NULL question or text has no words.
     """
-    q = F.slice(tokens(question), 1, max_len)
-    t = F.slice(tokens(text), 1, max_len)
-    x = df.select(key, F.size(q).alias("_nq"),
-                  F.posexplode_outer(F.concat(q, t)).alias("_p", "token"))
-    v = F.broadcast(vocab) if vocab_size <= BROADCAST_VOCAB else vocab
-    x = x.join(v, "token", "left")
+    no_words = F.array().cast("array<string>")
+    q = F.slice(F.coalesce(tokens(question), no_words), 1, max_len - 4)
+    x = df.select(key, q.alias("_q"), F.coalesce(tokens(text), no_words).alias("_t"))
+    room = F.lit(max_len - 3) - F.size("_q")
+    n = F.lit(1) if truncate else F.greatest(F.lit(1), F.ceil(F.size("_t") / room).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), n - 1),
+                        lambda w: F.concat("_q", F.slice("_t", w * room + 1, room)))
+    x = x.select(key, F.size("_q").alias("_nq"), F.posexplode(parts).alias("window", "_w"))
+    x = x.select(key, "window", "_nq", F.posexplode_outer("_w").alias("_p", "token"))
+    x = x.join(vocab.select("token", F.col("id").alias("_id")), "token", "left")
     item = F.when(F.col("_p").isNotNull(),
-                  F.struct("_p", F.coalesce("id", F.lit(UNK)).alias("id")))
-    g = x.groupBy(key, "_nq").agg(F.array_sort(F.collect_list(item)).alias("_s"))
+                  F.struct("_p", F.coalesce("_id", F.lit(UNK)).alias("id")))
+    g = x.groupBy(key, "window", "_nq").agg(F.array_sort(F.collect_list(item)).alias("_s"))
     ids = F.transform("_s", lambda s: s["id"])
     body = F.concat(F.array(F.lit(CLS)), F.slice(ids, 1, F.col("_nq")), F.array(F.lit(SEP)),
                     F.slice(ids, F.col("_nq") + 1, max_len))
-    g = g.select(key, F.concat(F.slice(body, 1, max_len - 1), F.array(F.lit(SEP))).alias("_b"))
+    g = g.select(key, "window", F.concat(body, F.array(F.lit(SEP))).alias("_b"))
     pad = F.array_repeat(F.lit(PAD), F.lit(max_len) - F.size("_b"))
     return g.select(
-        key,
+        key, "window",
         F.concat("_b", pad).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size("_b")),
                  F.array_repeat(F.lit(0), F.lit(max_len) - F.size("_b"))).alias("attention_mask"))
 
 
-def encode_with(df: DataFrame, text: str, fn, max_len: int = 128) -> DataFrame:
+def encode_with(df: DataFrame, text: str, fn, max_len: int = 128, pad_id: int = PAD) -> DataFrame:
     """Tokenizer hook: ``fn(list[str], max_len) -> list[list[int]]`` (e.g. a
-    pretrained fast tokenizer), run once per Arrow batch in a pandas UDF."""
+    pretrained fast tokenizer, which adds its own special tokens), run once
+    per Arrow batch in a pandas UDF.  Adds ``input_ids``, padded with
+    ``pad_id`` to ``max_len`` (longer lists are cut: the model's fixed
+    input), and ``attention_mask``."""
     import pandas as pd
 
     from aspectspark.session import ship_package
@@ -80,4 +85,9 @@ def encode_with(df: DataFrame, text: str, fn, max_len: int = 128) -> DataFrame:
     def _enc(s: pd.Series) -> pd.Series:
         return pd.Series(fn(s.tolist(), max_len))
 
-    return df.withColumn("input_ids", _enc(F.col(text)))
+    real = df.withColumn("_ids", F.slice(_enc(F.col(text)), 1, max_len))
+    n = F.size("_ids")
+    return real.withColumn(
+        "input_ids", F.concat("_ids", F.array_repeat(F.lit(pad_id), F.lit(max_len) - n))).withColumn(
+        "attention_mask", F.concat(F.array_repeat(F.lit(1), n),
+                                   F.array_repeat(F.lit(0), F.lit(max_len) - n))).drop("_ids")

@@ -118,7 +118,7 @@ SL = f"""sl AS (
          ({H("CAST(rec AS VARCHAR) || ':' || CAST(pos AS VARCHAR) || ':0'")} % 1000) / 1000.0::DOUBLE AS c0,
          ({H("CAST(rec AS VARCHAR) || ':' || CAST(pos AS VARCHAR) || ':1'")} % 1000) / 1000.0::DOUBLE AS c1,
          ({H("CAST(rec AS VARCHAR) || ':' || CAST(pos AS VARCHAR) || ':2'")} % 1000) / 1000.0::DOUBLE AS c2
-  FROM g WHERE l_partkey % 5 <> 0)"""
+  FROM g)"""
 
 
 def W(*ctes):
@@ -159,15 +159,16 @@ SELECT id, sentence_form AS input, '[' || l || ']' AS label FROM (
 
 SQL["read_stage_csv"] = """
 SELECT d.doc_id, md5(d.text) AS input_md5, CAST(length(d.text) AS INTEGER) AS input_len,
-       CAST(l.quality AS VARCHAR) || ',' || CAST(l.toxic AS VARCHAR) AS label_text
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+       CAST(coalesce(l.quality, -1) AS VARCHAR) || ',' || CAST(coalesce(l.toxic, -1) AS VARCHAR) AS label_text
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 SQL["write_predictions"] = W(G, S, M) + """
-SELECT s.id, s.sentence_form, CAST(coalesce(a.n, 0) AS INTEGER) AS n_annotations,
+SELECT k.member, s.id, s.sentence_form, CAST(coalesce(a.n, 0) AS INTEGER) AS n_annotations,
        coalesce(a.t, '') AS annotation_text
-FROM s LEFT JOIN (
-  SELECT id, count(*) AS n, string_agg(aspect || '/' || polarity, ';' ORDER BY pos) AS t
-  FROM m0 GROUP BY id) a ON s.id = a.id"""
+FROM s CROSS JOIN (SELECT CAST(range AS INTEGER) AS member FROM range(5)) k
+LEFT JOIN (
+  SELECT member, id, count(*) AS n, string_agg(aspect || '/' || polarity, ';' ORDER BY pos) AS t
+  FROM mf GROUP BY member, id) a ON s.id = a.id AND k.member = a.member"""
 
 SQL["read_members"] = W(G, S, M) + """
 SELECT k.member, s.id, CAST(coalesce(a.n, 0) AS INTEGER) AS n_annotations,
@@ -227,30 +228,30 @@ _ENC = f"""tk AS (
   FROM documents),
 cnt AS (SELECT token, count(*) AS n FROM (SELECT unnest(toks) AS token FROM tk) GROUP BY token),
 vocab AS (
-  SELECT token, CAST(rn + 3 AS INTEGER) AS id FROM (
-    SELECT token, row_number() OVER (ORDER BY n DESC, token) AS rn FROM cnt) WHERE rn <= 5000),
-qt AS (SELECT list_slice(list_filter(regexp_split_to_array({q_sql(QUESTIONS["trinary"])},
-        '{SPLIT}'), lambda t: t <> ''), 1, 128) AS q),
-sq AS (SELECT doc_id, len(q) AS nq, list_concat(q, list_slice(toks, 1, 128)) AS allt
-       FROM tk, qt),
-ex AS (SELECT doc_id, unnest(allt) AS token, generate_subscripts(allt, 1) AS p FROM sq),
-li AS (SELECT ex.doc_id, list(coalesce(v.id, 1) ORDER BY ex.p) AS l
-       FROM ex LEFT JOIN vocab v ON ex.token = v.token GROUP BY ex.doc_id),
-bd AS (
-  SELECT sq.doc_id, list_concat([2], list_slice(coalesce(li.l, []), 1, sq.nq), [3],
-                                list_slice(coalesce(li.l, []), sq.nq + 1, 100000)) AS b
-  FROM sq LEFT JOIN li ON sq.doc_id = li.doc_id),
-fin AS (SELECT doc_id, list_concat(list_slice(b, 1, 127), [3]) AS b2 FROM bd)"""
+  SELECT token, CAST(row_number() OVER (ORDER BY n DESC, md5(token), token) + 3 AS INTEGER) AS id FROM cnt),
+qt AS (SELECT list_filter(regexp_split_to_array({q_sql(QUESTIONS["trinary"])},
+        '{SPLIT}'), lambda t: t <> '') AS q),
+wn AS (SELECT doc_id, q, toks, 125 - len(q) AS room,
+              unnest(range(greatest(1, CAST(ceil(len(toks) / (125 - len(q))) AS BIGINT)))) AS w FROM tk, qt),
+sq AS (SELECT doc_id, CAST(w AS INTEGER) AS "window", len(q) AS nq,
+              list_concat(q, list_slice(toks, w * room + 1, (w + 1) * room)) AS allt FROM wn),
+ex AS (SELECT doc_id, "window", unnest(allt) AS token, generate_subscripts(allt, 1) AS p FROM sq),
+li AS (SELECT ex.doc_id, ex."window", list(coalesce(v.id, 1) ORDER BY ex.p) AS l
+       FROM ex LEFT JOIN vocab v ON ex.token = v.token GROUP BY ex.doc_id, ex."window"),
+fin AS (
+  SELECT sq.doc_id, sq."window", list_concat([2], list_slice(coalesce(li.l, []), 1, sq.nq), [3],
+                                list_slice(coalesce(li.l, []), sq.nq + 1, 100000), [3]) AS b2
+  FROM sq LEFT JOIN li ON sq.doc_id = li.doc_id AND sq."window" = li."window")"""
 
 SQL["encode_tokens"] = W(_ENC) + """
-SELECT doc_id, array_to_string(list_resize(b2, 128, 0), ' ') AS ids_text,
+SELECT doc_id, "window", array_to_string(list_resize(b2, 128, 0), ' ') AS ids_text,
        CAST(len(b2) AS INTEGER) AS n_real FROM fin"""
 
 SQL["segment_ids"] = W(_ENC) + """,
-sp AS (SELECT doc_id, x, list_position(x, 3) AS s1 FROM (
-         SELECT doc_id, list_resize(b2, 128, 0) AS x FROM fin)),
-sp2 AS (SELECT doc_id, x, s1, s1 + list_position(list_slice(x, s1 + 1, 128), 3) AS s2 FROM sp)
-SELECT doc_id, array_to_string(list_transform(x, lambda v, k:
+sp AS (SELECT doc_id, "window", x, list_position(x, 3) AS s1 FROM (
+         SELECT doc_id, "window", list_resize(b2, 128, 0) AS x FROM fin)),
+sp2 AS (SELECT doc_id, "window", x, s1, s1 + list_position(list_slice(x, s1 + 1, 128), 3) AS s2 FROM sp)
+SELECT doc_id, "window", array_to_string(list_transform(x, lambda v, k:
          CASE WHEN s2 IS NOT NULL AND k > s1 AND k <= s2 THEN 1 ELSE 0 END), '') AS segments
 FROM sp2"""
 
@@ -299,38 +300,42 @@ SELECT id, pos, aspect, CASE WHEN list_contains({_lst(ALLOWED_PAIRS)}, aspect) T
        AS valid FROM gf"""
 
 SQL["align_gold_pred"] = W(G, S, M) + """
-SELECT s.id, CAST(coalesce(a.n, 0) AS INTEGER) AS n_gold, CAST(coalesce(b.n, 0) AS INTEGER) AS n_pred
-FROM s LEFT JOIN (SELECT rec, count(*) AS n FROM g GROUP BY rec) a ON s.id = a.rec
-LEFT JOIN (SELECT id, count(*) AS n FROM m0 GROUP BY id) b ON s.id = b.id"""
+SELECT k.member, s.id, CAST(coalesce(a.n, 0) AS INTEGER) AS n_gold, CAST(coalesce(b.n, 0) AS INTEGER) AS n_pred
+FROM s CROSS JOIN (SELECT CAST(range AS INTEGER) AS member FROM range(5)) k
+LEFT JOIN (SELECT rec, count(*) AS n FROM g GROUP BY rec) a ON s.id = a.rec
+LEFT JOIN (SELECT member, id, count(*) AS n FROM mf GROUP BY member, id) b
+  ON s.id = b.id AND k.member = b.member"""
 
 SQL["first_match_join"] = W(G, S, GN, GF, M) + """
-SELECT gf.id, gf.pos, gf.aspect, coalesce(f.polarity, '') AS match_polarity,
+SELECT k.member, gf.id, gf.pos, gf.aspect, coalesce(f.polarity, '') AS match_polarity,
        coalesce(f.pos, -1) AS match_pos
-FROM gf LEFT JOIN (
-  SELECT id, aspect, polarity, pos FROM (
-    SELECT *, row_number() OVER (PARTITION BY id, aspect ORDER BY pos) AS rn FROM m0)
-  WHERE rn = 1) f ON gf.id = f.id AND gf.aspect = f.aspect"""
+FROM gf CROSS JOIN (SELECT CAST(range AS INTEGER) AS member FROM range(5)) k
+LEFT JOIN (
+  SELECT member, id, aspect, polarity, pos FROM (
+    SELECT *, row_number() OVER (PARTITION BY member, id, aspect ORDER BY pos) AS rn FROM mf)
+  WHERE rn = 1) f ON gf.id = f.id AND gf.aspect = f.aspect AND k.member = f.member"""
 
-_FOLD0 = """ms AS (SELECT s.sentence_form, m0.id, m0.pos, m0.aspect, m0.polarity
-       FROM m0 JOIN s ON m0.id = s.id),
+_FOLD = """ms AS (SELECT mf.member, s.sentence_form, mf.id, mf.pos, mf.aspect, mf.polarity
+       FROM mf JOIN s ON mf.id = s.id),
 fd AS (
-  SELECT sentence_form, count(*) AS n,
+  SELECT member, sentence_form, count(*) AS n,
          string_agg(aspect || '/' || polarity, ';' ORDER BY id, pos) AS t
-  FROM (SELECT *, row_number() OVER (PARTITION BY sentence_form, aspect, polarity
+  FROM (SELECT *, row_number() OVER (PARTITION BY member, sentence_form, aspect, polarity
                                      ORDER BY id, pos) AS rn FROM ms)
-  WHERE rn = 1 GROUP BY sentence_form)"""
+  WHERE rn = 1 GROUP BY member, sentence_form)"""
 
-SQL["attach_predictions"] = W(G, S, M, _FOLD0) + """
-SELECT s.id, CAST(coalesce(fd.n, 0) AS INTEGER) AS n_annotations,
+SQL["attach_predictions"] = W(G, S, M, _FOLD) + """
+SELECT k.member, s.id, CAST(coalesce(fd.n, 0) AS INTEGER) AS n_annotations,
        coalesce(fd.t, '') AS annotation_text
-FROM s LEFT JOIN fd ON s.sentence_form = fd.sentence_form"""
+FROM s CROSS JOIN (SELECT CAST(range AS INTEGER) AS member FROM range(5)) k
+LEFT JOIN fd ON s.sentence_form = fd.sentence_form AND k.member = fd.member"""
 
-SQL["fold_annotations"] = W(G, S, M, _FOLD0) + """
-SELECT sentence_form, CAST(n AS INTEGER) AS n_annotations, t AS annotation_text FROM fd"""
+SQL["fold_annotations"] = W(G, S, M, _FOLD) + """
+SELECT member, sentence_form, CAST(n AS INTEGER) AS n_annotations, t AS annotation_text FROM fd"""
 
-_VOTE = """ac AS (SELECT {k}, aspect, count(*) AS n, min(member * 1000 + pos) AS f
+_VOTE = """ac AS (SELECT {k}, aspect, count(*) AS n, min((member, pos)) AS f
        FROM {src} GROUP BY {k}, aspect),
-pc AS (SELECT {k}, polarity, count(*) AS n, min(member * 1000 + pos) AS f
+pc AS (SELECT {k}, polarity, count(*) AS n, min((member, pos)) AS f
        FROM {src} GROUP BY {k}, polarity),
 mxn AS (SELECT {k}, max(n) AS mn FROM ac GROUP BY {k}),
 rp AS (SELECT {k}, polarity FROM (
@@ -356,12 +361,12 @@ FROM s LEFT JOIN vt ON s.id = vt.id GROUP BY 1"""
 
 SQL["vote_counts"] = W(G, M) + """
 SELECT id, 'aspect' AS kind, aspect AS value, count(*) AS n,
-       CAST(min(member * 1000 + pos) // 1000 AS INTEGER) AS first_member,
-       CAST(min(member * 1000 + pos) % 1000 AS INTEGER) AS first_pos
+       CAST(min((member, pos))[1] AS INTEGER) AS first_member,
+       CAST(min((member, pos))[2] AS INTEGER) AS first_pos
 FROM mf GROUP BY id, aspect
 UNION ALL
 SELECT id, 'polarity', polarity, count(*),
-       CAST(min(member * 1000 + pos) // 1000 AS INTEGER), CAST(min(member * 1000 + pos) % 1000 AS INTEGER)
+       CAST(min((member, pos))[1] AS INTEGER), CAST(min((member, pos))[2] AS INTEGER)
 FROM mf GROUP BY id, polarity"""
 
 SQL["vote_aspects"] = W(G, M) + """
@@ -372,7 +377,7 @@ SELECT id, aspect, n FROM (
 SQL["vote_polarity"] = W(G, M) + """
 SELECT id, polarity FROM (
   SELECT id, polarity, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC,
-         min(member * 1000 + pos)) AS rn
+         min((member, pos))) AS rn
   FROM mf GROUP BY id, polarity) WHERE rn = 1"""
 
 SQL["expand_members"] = W(S) + """
@@ -531,6 +536,24 @@ SELECT o_orderkey, batch, slot FROM (
                                               o_orderkey) AS rn FROM orders))
 WHERE batch < total // 32"""
 
+SQL["epoch_batches_all"] = """
+SELECT o_orderkey, CAST((rn - 1) // 32 AS BIGINT) AS batch, CAST((rn - 1) % 32 AS INTEGER) AS slot
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:0:' || CAST(o_orderkey AS VARCHAR)),
+                                            o_orderkey) AS rn FROM orders)"""
+
+SQL["head_predict"] = W(_LOG) + """
+SELECT vec_id, CAST(arg_max(j, (v, -j)) AS INTEGER) AS prediction FROM lg2 GROUP BY vec_id"""
+
+SQL["cross_validate"] = """
+WITH folds AS (
+  SELECT label, CAST((row_number() OVER (ORDER BY label, md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) - 1) % 5
+                     AS INTEGER) AS fold FROM embeddings),
+per_class AS (
+  SELECT f.fold, c.range AS cls, count(*) FILTER (WHERE folds.fold = f.fold AND label = c.range) AS n
+  FROM folds, (SELECT CAST(range AS INTEGER) AS fold FROM range(5)) f, range(10) c GROUP BY ALL)
+SELECT fold, (SELECT count(*) FROM embeddings) - CAST(sum(n) AS BIGINT) AS n_train, CAST(sum(n) AS BIGINT) AS n_valid,
+  string_agg(CAST(n AS VARCHAR), ',' ORDER BY cls) AS support_text FROM per_class GROUP BY fold"""
+
 _POOLS = f"""pools AS (
   SELECT sentence AS input, aspect AS entity,
          CASE WHEN answer = '{LEGACY_POLARITIES[1]}' THEN 1 ELSE 2 END AS label,
@@ -649,6 +672,15 @@ SELECT doc.doc_id AS id, CAST(coalesce(vt.n, 0) AS INTEGER) AS n_annotations,
        coalesce(vt.t, '') AS annotation_text
 FROM documents doc LEFT JOIN vt ON doc.text = vt.text"""
 
+SQL["cascade_predict_python"] = SQL["cascade_predict"]
+SQL["ensemble_models"] = SQL["ensemble_predict"]
+
+SQL["cascade_stage_counts"] = W(cascade_sql(False)) + """
+SELECT 'stage0' AS stage, count(*) AS n FROM dm
+UNION ALL SELECT 'stage1', count(*) FROM need1
+UNION ALL SELECT 'stage2', count(*) FROM cats
+UNION ALL SELECT 'stage3', count(*) FROM asp"""
+
 SQL["scorer"] = "SELECT doc_id, " + ", ".join(
     f"({H(prompt_sql('trinary') + f' || {chr(39)}:{i}{chr(39)}')} % 1000) / 1000.0::DOUBLE AS s{i}"
     for i in range(3)) + " FROM documents"

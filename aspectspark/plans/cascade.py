@@ -18,22 +18,29 @@ from aspectspark.functions.taxonomy import (
 from aspectspark.functions.text import build_prompt
 from aspectspark.functions.vectors import argmax, threshold_decode_or_top1
 from aspectspark.operators.joins import attach_predictions, expand_members
+from aspectspark.operators.sampling import materialized
 from aspectspark.operators.vote import hard_vote
-from aspectspark.plans.scorers import Md5Scorer
+from aspectspark.plans.scorers import Md5Scorer, load_scorer
 
 STAGE_LABELS = {"trinary": HEAD + 1, "category": len(CATEGORIES) - HEAD,
                 "topic": len(TOPICS), "sentiment": len(POLARITIES)}
 
 
 def default_scorers(member: str | None = None) -> dict:
+    """The md5 stand-in model for every stage."""
     return {s: Md5Scorer(n, member=member) for s, n in STAGE_LABELS.items()}
 
 
+def named_scorers(name: str, **kw) -> dict:
+    """One registered scorer (:data:`scorers.SCORERS`) for every stage."""
+    return {s: load_scorer(name, n, **kw) for s, n in STAGE_LABELS.items()}
+
+
 def distinct_sentences(corpus: DataFrame, text: str = "sentence_form") -> DataFrame:
     """``sentence_key, text``: one row per distinct sentence (partial
     aggregate first, so repeated texts are merged map-side)."""
     return (corpus.select(F.md5(text).alias("sentence_key"), F.col(text).alias("text"))
-                  .groupBy("sentence_key").agg(F.any_value("text").alias("text")))
+                  .dropDuplicates(["sentence_key"]))
 
 
 def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
@@ -64,15 +71,15 @@ def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
         o = observations.setdefault(name, Observation(name))
         return df.observe(o, (F.count(F.lit(1)) if rows is None else F.sum(rows)).alias("n"))
 
+    # a stage's scores are a column of their own: the decode step reads them
+    # several times, and may do so inside a lambda, where no Python scorer runs
     sentences = obs(sentences, "stage0")
-    s0 = sentences.withColumn(
-        "hot0", threshold_decode_or_top1(
-            scorers["trinary"].column(build_prompt("trinary", "text")), threshold))
+    s0 = (sentences.withColumn("_s0", scorers["trinary"].column(build_prompt("trinary", "text")))
+                   .withColumn("hot0", threshold_decode_or_top1("_s0", threshold)).drop("_s0"))
     need1 = F.get("hot0", HEAD) == 1
     s0 = obs(s0, "stage1", F.when(F.get("hot0", HEAD) == 1, 1).otherwise(0))
-    routing = s0.withColumn(
-        "hot1", threshold_decode_or_top1(
-            scorers["category"].column(build_prompt("category", "text"), need1), threshold))
+    routing = (s0.withColumn("_s1", scorers["category"].column(build_prompt("category", "text"), need1))
+                 .withColumn("hot1", threshold_decode_or_top1("_s1", threshold)).drop("_s1"))
     direct = F.filter(F.sequence(F.lit(0), F.lit(HEAD - 1)), lambda i: F.get("hot0", i) == 1)
     routed = F.transform(
         F.filter(F.sequence(F.lit(0), F.lit(len(CATEGORIES) - HEAD - 1)),
@@ -82,16 +89,16 @@ def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
     cats = obs(cats.withColumn("routed", F.col("category") >= HEAD), "stage2")
 
     cname = name_of("category", CATEGORIES)
-    hot2 = threshold_decode_or_top1(
-        scorers["topic"].column(build_prompt("topic", "text", cname)), threshold)
-    aspects = (cats.select(*k, "text", "category", F.posexplode(hot2).alias("topic", "_h"))
-                   .filter(F.col("_h") == 1).drop("_h"))
+    topics = cats.withColumn("_s2", scorers["topic"].column(build_prompt("topic", "text", cname)))
+    hot2 = threshold_decode_or_top1("_s2", threshold)
+    aspects = (topics.select(*k, "text", "category", F.posexplode(hot2).alias("topic", "_h"))
+                     .filter(F.col("_h") == 1).drop("_h"))
 
     aspect = join_aspect(name_of("topic", TOPICS), cname)
     a = obs(aspects.withColumn("aspect", aspect), "stage3")
-    pol = argmax(scorers["sentiment"].column(build_prompt("sentiment", "text", "aspect")))
-    sentiments = a.select(*k, "category", "topic", "aspect",
-                          name_of(pol, POLARITIES).alias("polarity"))
+    scored = a.withColumn("_s3", scorers["sentiment"].column(build_prompt("sentiment", "text", "aspect")))
+    sentiments = scored.select(*k, "category", "topic", "aspect",
+                               name_of(argmax("_s3"), POLARITIES).alias("polarity"))
     return {"routing": routing, "categories": cats, "aspects": aspects,
             "sentiments": sentiments}
 
@@ -125,14 +132,29 @@ def cascade_predict(corpus: DataFrame, scorers: dict | None = None,
 
 def ensemble_predict(corpus: DataFrame, n_members: int = 5, threshold: float = 0.5,
                      scorers: dict | None = None, vote_threshold: int = 2,
-                     text: str = "sentence_form") -> DataFrame:
-    """The cascade once per member (member-salted scorers), then the hard
-    vote.  All members' predictions of a record are those of its sentence,
-    so the vote runs per sentence and is attached to the records once."""
-    scorers = scorers or default_scorers(member="member")
-    sent = expand_members(distinct_sentences(corpus, text), n_members)
+                     text: str = "sentence_form", members: dict[int, dict] | None = None) -> DataFrame:
+    """The cascade once per member, then the hard vote.
+
+    ``members``: member id -> its own four stage scorers, as separately
+    trained models have.  Without it ``n_members`` members share ``scorers``,
+    which tell them apart by the ``member`` column (default: the salted
+    stand-in).  All members' predictions of a record are those of its
+    sentence, so the vote runs per sentence and is attached to the records
+    once."""
     keys = ("member", "sentence_key")
-    folded = fold_by_sentence(stage_frames(sent, scorers, threshold, keys)["sentiments"], keys)
+    if members is not None:
+        if scorers is not None:
+            raise ValueError("give either scorers or members")
+        sent = materialized(distinct_sentences(corpus, text))   # each member reads it
+        folded = None
+        for m, own in sorted(members.items()):
+            one = sent.withColumn("member", F.lit(m).cast("int"))
+            part = fold_by_sentence(stage_frames(one, own, threshold, keys)["sentiments"], keys)
+            folded = part if folded is None else folded.unionByName(part)
+    else:
+        sent = expand_members(distinct_sentences(corpus, text), n_members)
+        own = scorers or default_scorers(member="member")
+        folded = fold_by_sentence(stage_frames(sent, own, threshold, keys)["sentiments"], keys)
     flat = folded.select("member", "sentence_key",
                          F.posexplode("annotation").alias("pos", "a")).select(
         "member", "sentence_key", "pos", "a.aspect", "a.polarity")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectspark.operators.joins import vote_lookup
-from aspectspark.operators.labels import encode_annotations, explode_annotations
+from aspectspark.operators.labels import encode_annotations, explode_annotations, quarantine
 from aspectspark.operators.metrics import evaluation_report, set_match_counts
 from aspectspark.operators.vote import ASPECT_THRESHOLD, hard_vote
 from aspectspark.plans.cascade import cascade_predict
@@ -26,8 +26,10 @@ from aspectspark.sources.corpus import (
     write_stage_csv)
 
 
-def _flat(spark: SparkSession, path: str, on_invalid: str) -> DataFrame:
-    return encode_annotations(explode_annotations(read_corpus(spark, path)), on_invalid)
+def _flat(spark: SparkSession, path: str, on_invalid: str) -> tuple[DataFrame, DataFrame | None]:
+    """(encoded annotations, invalid ones if these are to be set apart)."""
+    flat = encode_annotations(explode_annotations(read_corpus(spark, path)), on_invalid)
+    return quarantine(flat) if on_invalid in ("keep", "quarantine") else (flat, None)
 
 
 def build_stage_sets(spark: SparkSession, train_path: str, dev_path: str, legacy_path: str,
@@ -36,6 +38,9 @@ def build_stage_sets(spark: SparkSession, train_path: str, dev_path: str, legacy
     """Write the eight stage sets (3-way / 5-way category, topic, sentiment;
     train and dev) as header CSVs under ``out_dir``; returns name -> path.
 
+    ``on_invalid='quarantine'`` (or ``'keep'``): annotations with an unknown
+    name stay out of the sets and are written as ``invalid_<split>.csv``.
+
     Each corpus is parsed once: its encoded annotations are persisted for
     the few writes that read them and released at the end (a lost executor
     recomputes its blocks from the files)."""
@@ -47,8 +52,11 @@ def build_stage_sets(spark: SparkSession, train_path: str, dev_path: str, legacy
         write_stage_csv(df, p)
         paths[name] = p
 
-    flats = {s: _flat(spark, p, on_invalid).persist(StorageLevel.MEMORY_AND_DISK)
-             for s, p in (("train", train_path), ("dev", dev_path))}
+    split = {s: _flat(spark, p, on_invalid) for s, p in (("train", train_path), ("dev", dev_path))}
+    for s, (_, invalid) in split.items():
+        if invalid is not None:
+            write(f"invalid_{s}", invalid.select("id", "sentence_form", "aspect", "polarity"))
+    flats = {s: valid.persist(StorageLevel.MEMORY_AND_DISK) for s, (valid, _) in split.items()}
     try:
         for split, flat in flats.items():
             cats = category_sets(flat)
@@ -68,7 +76,7 @@ def build_stage_sets(spark: SparkSession, train_path: str, dev_path: str, legacy
 
 
 def predict_file(spark: SparkSession, corpus_path: str, out_path: str,
-                 scorers: dict | None = None, threshold: float = 0.5) -> None:
+                 scorers: dict, threshold: float = 0.5) -> None:
     """Cascade inference over a corpus file (gold annotations ignored)."""
     c = read_corpus(spark, corpus_path).select("id", "sentence_form")
     write_predictions(cascade_predict(c, scorers, threshold), out_path)

@@ -26,15 +26,18 @@ from aspectspark.functions.taxonomy import hash6
 
 
 class Md5Scorer:
-    """score_i = H(prompt ':' i [':' member]) % 1000 / 1000."""
+    """score_i = H(prompt ':' i [':' member]) % 1000 / 1000.
 
-    def __init__(self, n_labels: int, member: str | None = None):
+    ``member`` names a column with the member id; ``salt`` is a fixed one."""
+
+    def __init__(self, n_labels: int, member: str | None = None, salt: int | None = None):
         self.n_labels = n_labels
-        self.member = member
+        self.tail = [] if member is None else [F.lit(":"), F.col(member).cast("string")]
+        if salt is not None:
+            self.tail.append(F.lit(f":{salt}"))
 
     def column(self, prompt: Column, mask: Column | None = None) -> Column:
-        parts = lambda i: [prompt, F.lit(f":{i}")] + (
-            [F.lit(":"), F.col(self.member).cast("string")] if self.member else [])
+        parts = lambda i: [prompt, F.lit(f":{i}"), *self.tail]
         s = F.array(*[(hash6(F.concat(*parts(i))) % 1000) / 1000.0
                       for i in range(self.n_labels)])
         return s if mask is None else F.when(mask, s)
@@ -83,19 +86,20 @@ class PandasScorer:
         return _score(p)
 
 
-def _md5_loader(n):
-    return lambda: (lambda prompts: md5_scores_py(prompts, n))
+def _md5_python(n_labels: int, salt: int | None = None) -> PandasScorer:
+    def load():
+        return lambda prompts: md5_scores_py(
+            prompts, n_labels, None if salt is None else [salt] * len(prompts))
+
+    return PandasScorer(n_labels, load)
 
 
-SCORERS = {
-    "md5": lambda n, **kw: Md5Scorer(n, **kw),
-    "md5_python": lambda n, **kw: PandasScorer(n, lambda: _md5_loader(n)()),
-}
+SCORERS = {"md5": Md5Scorer, "md5_python": _md5_python}
 
 
 def load_scorer(name: str, n_labels: int, **kw):
-    """Registry lookup, e.g. ``load_scorer('md5', 3)``."""
-    try:
-        return SCORERS[name](n_labels, **kw)
-    except KeyError:
-        raise ValueError(f"unknown scorer {name!r}; known: {sorted(SCORERS)}") from None
+    """Registry lookup, e.g. ``load_scorer('md5', 3)``; an option that the
+    scorer does not have is a TypeError."""
+    if name not in SCORERS:
+        raise ValueError(f"unknown scorer {name!r}; known: {sorted(SCORERS)}")
+    return SCORERS[name](n_labels, **kw)

@@ -8,13 +8,16 @@ label for multi-label stages (independent sigmoids, like BCE heads).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectspark.functions.text import tokens
+from aspectspark.functions.vectors import argmax, linear_head, sigmoid, threshold_decode
 from aspectspark.operators.metrics import f1_per_class
 from aspectspark.operators.sampling import fold_split, stratified_kfold
 from aspectspark.session import shared_dir
@@ -32,46 +35,93 @@ def text_features(df: DataFrame, text: str, n_features: int = 1 << 18,
         .transform(x).drop("_tok")
 
 
+def hashed_counts(text, dim: int):
+    """Token counts by hash bucket, an array of ``dim`` doubles: features
+    that the same expression gives in training and in scoring."""
+    bucket = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
+    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                       lambda i: F.size(F.filter(bucket, lambda x: x == i)).cast("double"))
+
+
+class LinearHead:
+    """A fitted head: ``n_out x dim`` weights and biases, with a softmax over
+    the outputs (``multiclass``) or a sigmoid for each (``multilabel``)."""
+
+    def __init__(self, weights: list[list[float]], bias: list[float] | None = None,
+                 kind: str = "multiclass"):
+        if kind not in ("multiclass", "multilabel"):
+            raise ValueError(f"kind: {kind!r}")
+        self.weights, self.kind = weights, kind
+        self.bias = bias or [0.0] * len(weights)
+
+    def scores(self, vec):
+        """Probabilities of a feature array."""
+        logits = linear_head(vec, self.weights, self.bias)
+        if self.kind == "multilabel":
+            return sigmoid(logits)
+
+        def softmax(x):
+            e = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
+            return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
+
+        return F.transform(F.array(logits), softmax)[0]
+
+    def predict(self, df: DataFrame, features: str = "features") -> DataFrame:
+        """Adds ``prob`` and ``prediction`` (multiclass) or ``hot``."""
+        vec = F.col(features)
+        if df.schema[features].dataType.typeName() != "array":
+            vec = vector_to_array(vec)
+        out = df.withColumn("prob", self.scores(vec))
+        if self.kind == "multiclass":
+            return out.withColumn("prediction", argmax("prob"))
+        return out.withColumn("hot", threshold_decode("prob"))
+
+    __call__ = predict
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        row = json.dumps({"kind": self.kind, "weights": self.weights, "bias": self.bias})
+        spark.createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LinearHead:
+        return cls(**json.loads(spark.read.text(path).first()["value"]))
+
+
+class HeadScorer:
+    """A fitted head over hashed token counts as a stage scorer."""
+
+    def __init__(self, head: LinearHead):
+        self.head, self.n_labels = head, len(head.weights)
+
+    def column(self, prompt, mask=None):
+        s = self.head.scores(hashed_counts(prompt, len(self.head.weights[0])))
+        return s if mask is None else F.when(mask, s)
+
+
 def train_head(df: DataFrame, label: str | list[str], kind: str = "multiclass",
-               features: str = "features", max_iter: int = 50, reg: float = 0.0):
+               features: str = "features", max_iter: int = 50, reg: float = 0.0) -> LinearHead:
     """M2: fit a head.  ``kind='multiclass'``: one multinomial model on
     integer ``label``; ``'multilabel'``: one binary model per label column.
-    Returns a callable ``predict(df) -> df`` adding ``prediction`` (int) or
-    ``hot`` (array<int>) and ``prob``."""
+    The result scores, saves and loads without Spark ML."""
+    def fit(column: str, family: str):
+        return LogisticRegression(featuresCol=features, labelCol=column, family=family,
+                                  maxIter=max_iter, regParam=reg).fit(
+            df.withColumn(column, F.col(column).cast("double")))
+
     if kind == "multiclass":
-        m = LogisticRegression(featuresCol=features, labelCol=label, family="multinomial",
-                               maxIter=max_iter, regParam=reg).fit(
-            df.withColumn(label, F.col(label).cast("double")))
-
-        def predict(x: DataFrame) -> DataFrame:
-            out = m.transform(x)
-            return (out.withColumn("prediction", F.col("prediction").cast("int"))
-                       .withColumn("prob", vector_to_array("probability"))
-                       .drop("rawPrediction", "probability"))
-        return predict
-    labels = [label] if isinstance(label, str) else list(label)
-    models = [LogisticRegression(featuresCol=features, labelCol=l, family="binomial",
-                                 maxIter=max_iter, regParam=reg,
-                                 predictionCol=f"_pred_{i}", probabilityCol=f"_prob_{i}",
-                                 rawPredictionCol=f"_raw_{i}").fit(
-        df.withColumn(l, F.col(l).cast("double"))) for i, l in enumerate(labels)]
-
-    def predict_ml(x: DataFrame) -> DataFrame:
-        for m in models:
-            x = m.transform(x)
-        n = len(models)
-        x = x.withColumn("hot", F.array(*[F.col(f"_pred_{i}").cast("int") for i in range(n)])) \
-             .withColumn("prob", F.array(*[F.get(vector_to_array(f"_prob_{i}"), 1)
-                                           for i in range(n)]))
-        return x.drop(*[f"_{k}_{i}" for i in range(n) for k in ("pred", "prob", "raw")])
-    return predict_ml
+        m = fit(label, "multinomial")
+        return LinearHead(m.coefficientMatrix.toArray().tolist(), m.interceptVector.toArray().tolist(), kind)
+    models = [fit(c, "binomial") for c in ([label] if isinstance(label, str) else label)]
+    return LinearHead([m.coefficients.toArray().tolist() for m in models],
+                      [float(m.intercept) for m in models], kind)
 
 
 def cross_validate(df: DataFrame, label: str, keys: list[str], k: int = 5,
                    n_classes: int | None = None, features: str = "features",
                    seed=42, max_iter: int = 50) -> DataFrame:
     """M3: stratified k-fold (W2) -> per fold fit on train (W3) and score the
-    validation part: ``fold, n_valid, accuracy, f1_macro, f1_micro``.
+    validation part: ``fold, n_train, n_valid, support`` (per class, of the
+    validation part), ``accuracy, f1_macro, f1_micro``.
 
     The fold table is checkpointed to the shared checkpoint directory
     first: it feeds k fits and k evaluations, and a lost executor must not
@@ -91,7 +141,10 @@ def cross_validate(df: DataFrame, label: str, keys: list[str], k: int = 5,
         # single-label: every row is a TP or an FN of its true class, so
         # accuracy and both F1 averages come from the tiny per-class table
         tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
-        row = pc.agg(F.lit(f).alias("fold"), (tp + fn).alias("n_valid"),
+        support = F.transform(F.array_sort(F.collect_list(F.struct("cls", (F.col("tp") + F.col("fn")).alias("n")))),
+                              lambda x: x["n"])
+        row = pc.agg(F.lit(f).alias("fold"), F.lit(train.count()).alias("n_train"), (tp + fn).alias("n_valid"),
+                     support.alias("support"),
                      (tp / (tp + fn)).alias("accuracy"), F.avg("f1").alias("f1_macro"),
                      F.try_divide(2.0 * tp, 2.0 * tp + fp + fn).alias("f1_micro"))
         rows = row if rows is None else rows.unionByName(row)

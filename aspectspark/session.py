@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -38,6 +39,7 @@ def get_session(master: str | None = None, app: str = "aspectspark",
         # few tasks, but the stages after the shuffles are CPU-bound; keep
         # at least two tasks per core
         builder = (builder
+                   .config("aspectspark.inputPartitions", str(cores))
                    .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
                    .config("spark.sql.adaptive.coalescePartitions.minPartitionNum", str(parts)))
     spark = builder.getOrCreate()
@@ -48,9 +50,10 @@ def get_session(master: str | None = None, app: str = "aspectspark",
 def shared_dir(spark: SparkSession) -> str:
     """Shared storage root for checkpoints and written intermediate tables.
 
-    Uses the directory the cluster names in ``spark.checkpoint.dir``.  Only
-    when that is unset (local runs, tests) a fresh local directory is
-    created and registered as the checkpoint directory.
+    Uses the directory the cluster names in ``spark.checkpoint.dir``.  Where
+    that is unset, a local master gets a fresh local directory, registered
+    as the checkpoint directory; any other master is an error, as executors
+    would each write to their own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -60,6 +63,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[[^\]]*\])?$", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="aspectspark-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -114,29 +119,12 @@ def _ship(spark: SparkSession, sc, key: str) -> None:
     _SHIPPED.add(key)
 
 
-SPREAD_MAX_BYTES = 2 << 30
+def input_partitions(spark: SparkSession) -> int | None:
+    """Partitions to deal text tables into after the scan, as the session's
+    ``aspectspark.inputPartitions`` says; unset: as the scan splits them.
 
-
-def spread(df, max_bytes: int = SPREAD_MAX_BYTES):
-    """Round-robin repartition a *small* input read from few files, so CPU
-    heavy per-row work after the scan uses every core.
-
-    A file with one row group is read by one task however many cores there
-    are.  Large inputs (many files, or more than ``max_bytes``) are returned
-    unchanged: their scan splits already give the parallelism, and a full
-    shuffle of them would cost more than it saves.  Only file metadata is
-    read to decide.
+    :func:`get_session` sets it for local masters alone, whose small inputs
+    are single files with one row group, which one task would read.
     """
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= want:
-        return df
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    total = 0
-    for f in files:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(conf).getFileStatus(p).getLen()
-        if total > max_bytes:
-            return df
-    return df.repartition(want)
+    value = spark.conf.get("aspectspark.inputPartitions", None)
+    return int(value) if value else None

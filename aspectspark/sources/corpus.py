@@ -64,7 +64,9 @@ def write_predictions(pred: DataFrame, path: str, mode: str = "overwrite") -> No
     """D9 -> JSON lines ``{"id", "sentence_form", "annotation":
     [[aspect, polarity], ...]}``."""
     ann = F.transform("annotation", lambda a: F.array(a["aspect"], a["polarity"]))
-    (pred.select(F.to_json(F.struct("id", "sentence_form", ann.alias("annotation")))
+    # a NULL field is written as null, not left out
+    (pred.select(F.to_json(F.struct("id", "sentence_form", ann.alias("annotation")),
+                           {"ignoreNullFields": "false"})
                  .alias("value"))
          .write.mode(mode).text(path))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aspectspark.session import spread
+from aspectspark.session import input_partitions
 from aspectspark.functions.taxonomy import (
     CATEGORIES, LEGACY_POLARITIES, POLARITIES, TOPICS, hash6, join_aspect, name_of)
 
@@ -26,13 +26,14 @@ SPAN_TEXT = "[null,0,0]"
 
 
 # tables whose rows feed CPU-heavy per-row work right after the scan (long
-# texts: tokenizing, hashing, prompting); see ``session.spread``
+# texts: tokenizing, hashing, prompting); see ``session.input_partitions``
 TEXT_TABLES = ("documents",)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    parts = input_partitions(spark) if name in TEXT_TABLES else None
+    return df.repartition(parts) if parts else df
 
 
 def sentence_col() -> F.Column:
@@ -187,10 +188,9 @@ def score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def single_label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, pos, y, p, scores(3): gold rows kept by member 0; y = gold
-    polarity, p = member-0 polarity, scores = H(id:pos:i) % 1000 / 1000."""
-    # the gold rows member 0 keeps (its perturbation rule), all of them
-    g = gold_codes(spark, sf_dir).filter(F.col("l_partkey") % 5 != 0)
+    """id, pos, y, p, scores(3) of all gold rows; y = gold polarity, p = the
+    perturbed polarity of member 0, scores = H(id:pos:i) % 1000 / 1000."""
+    g = gold_codes(spark, sf_dir)
     p = (F.col("pol") + F.when(F.col("l_suppkey") % 9 == 0, 1).otherwise(0)) % 3
     scores = F.array(*[
         (hash6(F.concat_ws(":", F.col("rec").cast("string"), F.col("pos").cast("string"),

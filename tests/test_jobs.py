@@ -8,6 +8,7 @@ from aspectspark import catalog
 from aspectspark.plans import jobs
 from aspectspark.sources import corpus as io
 from aspectspark.sources import fixtures as fx
+from aspectspark.plans.cascade import default_scorers
 from tests.conftest import SF001
 
 
@@ -49,6 +50,6 @@ def test_jobs_end_to_end(spark):
     for r in rep:
         assert round(r["f1"], 6) == ref[(r["result"], r["mode"])].f1
 
-    jobs.predict_file(spark, f"{root}/gold", f"{root}/pred")
+    jobs.predict_file(spark, f"{root}/gold", f"{root}/pred", default_scorers())
     assert io.read_predictions(spark, f"{root}/pred").count() == \
         fx.table(spark, SF001, "orders").count()

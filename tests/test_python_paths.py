@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from aspectspark.functions.vectors import linear_head
 from aspectspark.operators.heads import linear_head_wide
 from aspectspark.operators.tokens import encode_with
-from aspectspark.plans import training
+from aspectspark.plans import cascade, training
 from aspectspark.plans.scorers import PandasScorer, load_scorer
 from aspectspark.sources import fixtures as fx
 from tests.conftest import SF001
@@ -17,8 +17,8 @@ def test_tokenizer_hook(spark):
         return [[len(w) for w in t.split()][:max_len] for t in texts]
 
     df = spark.createDataFrame([("ab cde f",), ("",)], "text string")
-    got = [r.input_ids for r in encode_with(df, "text", fake_tokenizer, 2).collect()]
-    assert got == [[2, 3], []]
+    got = [(r.input_ids, r.attention_mask) for r in encode_with(df, "text", fake_tokenizer, 4).collect()]
+    assert got == [([2, 3, 1, 0], [1, 1, 1, 0]), ([0] * 4, [0] * 4)]
 
 
 def test_wide_head_equals_jvm_head(spark):
@@ -57,9 +57,37 @@ def test_md5_scorers_agree(spark):
 
 def test_multilabel_head(spark):
     docs = fx.table(spark, SF001, "documents").join(fx.table(spark, SF001, "labels"), "doc_id")
-    feats = training.text_features(docs, "text", n_features=1 << 12)
-    predict = training.train_head(feats, ["quality", "toxic"], "multilabel", max_iter=10)
-    out = predict(feats).select("doc_id", "hot", "prob")
+    feats = training.vector_features(
+        docs.withColumn("counts", training.hashed_counts("text", 64)), "counts")
+    head = training.train_head(feats, ["quality", "toxic"], "multilabel", max_iter=10)
+    out = head.predict(feats).select("doc_id", "hot", "prob")
     rows = out.collect()
     assert len(rows) == docs.count()
     assert all(len(r.hot) == 2 and all(0.0 <= p <= 1.0 for p in r.prob) for r in rows)
+
+
+def test_head_fits_saves_loads_and_scores_the_cascade(spark, tmp_path):
+    docs = fx.table(spark, SF001, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("sentence_form"),
+        (F.col("doc_id") % 3).cast("int").alias("y"))
+    feats = training.vector_features(
+        docs.withColumn("counts", training.hashed_counts("sentence_form", 16)), "counts")
+    head = training.train_head(feats, "y", "multiclass", max_iter=5)
+    head.save(spark, str(tmp_path / "head"))
+    again = training.LinearHead.load(spark, str(tmp_path / "head"))
+    assert (again.weights, again.bias, again.kind) == (head.weights, head.bias, head.kind)
+    scorers = {s: training.HeadScorer(training.LinearHead(
+        [again.weights[i % 3] for i in range(n)], [again.bias[i % 3] for i in range(n)],
+        "multiclass" if s == "sentiment" else "multilabel")) for s, n in cascade.STAGE_LABELS.items()}
+    out = cascade.cascade_predict(docs.select("id", "sentence_form"), scorers)
+    assert out.count() == docs.count()
+    assert out.filter(F.size("annotation") > 0).count() > 0
+
+
+def test_unknown_scorer_options_raise():
+    import pytest
+
+    with pytest.raises(TypeError):
+        load_scorer("md5_python", 3, member="member")
+    with pytest.raises(ValueError):
+        load_scorer("no_such_model", 3)

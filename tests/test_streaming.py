@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from aspectspark.plans.cascade import cascade_predict
+from aspectspark.plans.cascade import cascade_predict, default_scorers
 from aspectspark.sources import corpus as io
 from aspectspark.streaming import stream_predictions
 from tests.conftest import SF001
@@ -21,8 +21,12 @@ def test_stream_matches_batch(spark):
     # all documents, arriving as two files
     io.write_corpus(docs.filter(F.col("id").cast("int") % 2 == 0), src + "/a")
     io.write_corpus(docs.filter(F.col("id").cast("int") % 2 == 1), src + "/b")
-    q = stream_predictions(spark, src + "/*", out, checkpoint_dir=os.path.join(root, "ckpt"))
-    q.awaitTermination(300)
+    start = lambda: stream_predictions(spark, src + "/*", out, os.path.join(root, "ckpt"),
+                                       default_scorers())
+    start().awaitTermination(300)
+    epochs = sorted(os.listdir(out))
+    start().awaitTermination(300)       # a restart goes on: nothing is read again
+    assert sorted(os.listdir(out)) == epochs
     got = io.read_predictions(spark, out + "/*")
     want = cascade_predict(docs.select("id", "sentence_form"))
     key = lambda r: (r.id, [(a.aspect, a.polarity) for a in r.annotation])
