@@ -150,3 +150,30 @@ def group(rows, key):
     for r in rows:
         out[key(r)].append(r)
     return out
+
+
+def line_dedup(docs, min_docs=3, depth=3, similarity=0.8):
+    """{(id, text): kept text}; equal rows are one document."""
+    docs = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0))
+
+    def tokens(line):
+        return tuple("<*>" if re.search("[0-9]", t) else t for t in WORD.findall(line))
+
+    count, split = Counter(), {d: (d[1] or "").split("\n") for d in docs}
+    for d in docs:
+        count.update(tokens(x) for x in split[d] if WORD.search(x))
+    digest = {t: hashlib.md5(" ".join(t).encode()).digest() for t in count}
+    leaves = group(count, lambda t: (len(t), t[:depth]))
+    template = {}
+    for kinds in leaves.values():
+        leader = min(kinds, key=lambda t: (-count[t], digest[t]))
+        for t in kinds:
+            template[t] = leader if sum(a == b for a, b in zip(t, leader)) >= similarity * len(t) else t
+    places = defaultdict(list)
+    for d in docs:
+        for i, x in enumerate(split[d]):
+            if WORD.search(x):
+                places[template[tokens(x)]].append((d, i))
+    gone = {p for at in places.values() if len({d for d, _ in at}) >= min_docs for p in at[1:]}
+    return {d: d[1] if not any((d, i) in gone for i in range(len(split[d]))) else
+            "\n".join(x for i, x in enumerate(split[d]) if (d, i) not in gone) for d in docs}
