@@ -10,9 +10,41 @@ from __future__ import annotations
 
 import re
 
-from aspectspark.functions.taxonomy import (
-    ALLOWED_PAIRS, CATEGORIES, LEGACY_POLARITIES, POLARITIES, TOPICS)
-from aspectspark.functions.text import QUESTIONS, SEP_TEXT, TOKEN_SPLIT
+#: Label names in code order, the declared pairs, prompt
+#: questions, separator and token split, as the corpus format and the trained
+#: models have them.  Stated here apart from the code that this SQL checks.
+TOPICS = [
+    "제품 전체", "본품", "패키지/구성품", "브랜드",
+]
+CATEGORIES = [
+    "품질", "일반", "편의성", "디자인",
+    "인지도", "가격", "다양성",
+]
+POLARITIES = [
+    "positive", "negative", "neutral",
+]
+LEGACY_POLARITIES = [
+    "긍정", "부정", "중립",
+]
+ALLOWED_PAIRS = [
+    "제품 전체#품질", "제품 전체#편의성", "제품 전체#일반",
+    "제품 전체#다양성", "제품 전체#인지도", "제품 전체#가격",
+    "제품 전체#디자인", "본품#품질", "본품#편의성",
+    "본품#일반", "본품#다양성", "본품#인지도",
+    "본품#가격", "본품#디자인", "패키지/구성품#품질",
+    "패키지/구성품#편의성", "패키지/구성품#일반", "패키지/구성품#다양성",
+    "패키지/구성품#가격", "패키지/구성품#디자인", "브랜드#품질",
+    "브랜드#일반", "브랜드#인지도", "브랜드#가격",
+    "브랜드#디자인",
+]
+QUESTIONS = {
+    "trinary": "다음 문장은 품질, 일반, 나머지 중에 뭐에 대한 거야?",
+    "category": "다음 문장의 카테고리를 분류하면?",
+    "topic": "{entity}에 대해 [제품 전체, 본품, 패키지/구성품, 브랜드] 중에 하나를 고르면?",
+    "sentiment": "{topic}의 {category}에 대한 감성을 분류하면?",
+}
+SEP_TEXT = "[SEP]"
+TOKEN_SPLIT = '[ \\t\\n\\r\\f\\x0B]+'
 
 
 def _lst(xs):
