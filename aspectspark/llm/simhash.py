@@ -28,11 +28,14 @@ SEED = 42
 #: Fingerprints the tree is built from at most; their distances to the
 #: vantage points set the boundaries.  A bound on the driver's work, not on
 #: the search: all fingerprints are dealt and compared.
-SAMPLE = 1 << 16
+SAMPLE = 1 << 14
 
-#: Fingerprints that a leaf is to hold, and that one block of a leaf holds.
-LEAF = 4096
-BLOCK = 8192
+#: Fingerprints that live in a leaf on average, and members (visitors too)
+#: of a block, in pairs of which larger leaves are searched.  Distances
+#: between unrelated fingerprints lie close together, so every level of the
+#: tree adds visitors: a leaf is as large as a task can search in seconds.
+LEAF = 1 << 15
+BLOCK = 1 << 18
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -136,15 +139,16 @@ def merge_close(points: np.ndarray, home: np.ndarray, bits: int) -> np.ndarray:
     """
     d = distances(points, points[0])
     order = np.argsort(d, kind="stable")
-    points, d, home = points[order], d[order], home[order]
+    points, d = points[order], d[order]
+    own = np.flatnonzero(home[order])
     label = np.arange(len(points))
-    for at in range(0, len(points), 256):
-        rows = slice(at, min(at + 256, len(points)))
-        last = np.searchsorted(d, d[rows][-1] + bits, side="right")
-        near = np.bitwise_count(points[rows, None] ^ points[None, at:last]) <= bits
-        near &= home[rows, None] | home[None, at:last]
+    for at in range(0, len(own), 64):
+        rows = own[at:at + 64]
+        low = np.searchsorted(d, d[rows[0]] - bits, side="left")
+        high = np.searchsorted(d, d[rows[-1]] + bits, side="right")
+        near = np.bitwise_count(points[rows, None] ^ points[None, low:high]) <= bits
         i, j = np.nonzero(near)
-        pairs = np.unique(np.stack([label[at + i], label[at + j]], axis=1), axis=0)
+        pairs = np.unique(np.stack([label[rows[i]], label[low + j]], axis=1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
         if not len(pairs):
             continue
@@ -174,7 +178,10 @@ def links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     spark = prints.sparkSession
     ship_package(spark)
     total = prints.count()
-    sample = [r[0] for r in prints.select("fp").orderBy(F.xxhash64("fp", F.lit(11)), "fp").limit(SAMPLE).collect()]
+    # by hash, so reruns agree; the first condition keeps what tasks send small
+    order = F.xxhash64("fp", F.lit(11))
+    some = F.shiftrightunsigned(order, 32) < min(1.0, 2 * SAMPLE / max(1, total)) * 2**32
+    sample = [r[0] for r in prints.select("fp").where(some).orderBy(order, "fp").limit(SAMPLE).collect()]
     depth = max(0, min((total // LEAF).bit_length(), (len(sample) // 8).bit_length() - 1))
     tree = spark.sparkContext.broadcast(grow(np.array(sample, dtype=np.int64).view(np.uint64), depth, iter(range(1 << 30))))
 
