@@ -29,7 +29,8 @@ def ranked(df: DataFrame, okey: str, tiebreak: list[str], lead: list[str] = (),
     as rows in a bucket), bucket sizes are counted with a partial aggregate,
     and the row number inside each (lead, bucket) runs in parallel.  The
     running start of a bucket is summed within its lead value; only the
-    totals of the lead values, one row each, are summed in one window.  NULL
+    totals of the lead values, one row each, are summed in one window (without
+    ``lead``, the bucket counts).  NULL
     is a value like any other, in ``lead`` and in ``partition``.
 
     The input is read more than once (row and bucket counts, then the rows).
@@ -44,11 +45,15 @@ def ranked(df: DataFrame, okey: str, tiebreak: list[str], lead: list[str] = (),
     counts = x.groupBy(*own, "_b").agg(F.count(F.lit(1)).alias("_n"))
     in_lead = counts.withColumn("_in", F.coalesce(
         F.sum("_n").over(before(Window.partitionBy(*own).orderBy("_b"))), F.lit(0)))
-    totals = counts.groupBy(*own).agg(F.sum("_n").alias("_n"))
-    totals = totals.withColumn("_start", F.coalesce(
-        F.sum("_n").over(before(Window.partitionBy(*partition).orderBy(*(lead or [F.lit(0)])))), F.lit(0))
-    ).withColumn("_total", F.sum("_n").over(Window.partitionBy(*partition))).drop("_n")
-    starts = _null_safe(in_lead.drop("_n"), totals, own)
+    if lead:
+        totals = counts.groupBy(*own).agg(F.sum("_n").alias("_n"))
+        totals = totals.withColumn("_start", F.coalesce(
+            F.sum("_n").over(before(Window.partitionBy(*partition).orderBy(*lead))), F.lit(0))
+        ).withColumn("_total", F.sum("_n").over(Window.partitionBy(*partition))).drop("_n")
+        starts = _null_safe(in_lead.drop("_n"), totals, own)
+    else:
+        starts = in_lead.withColumn("_start", F.lit(0)).withColumn(
+            "_total", F.sum("_n").over(Window.partitionBy(*partition))).drop("_n")
     w_local = Window.partitionBy(*own, "_b").orderBy(okey, *tiebreak)
     local = x.withColumn("_rn", F.row_number().over(w_local) - 1)
     return (_null_safe(local, starts, [*own, "_b"])

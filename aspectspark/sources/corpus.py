@@ -80,20 +80,22 @@ def read_predictions(spark: SparkSession, path: str, id_type: str = "string") ->
 
 
 def read_members(spark: SparkSession, root: str, id_type: str = "string",
-                 layout: str = "dirs") -> DataFrame:
+                 layout: str = "dirs", names: list[str] | None = None) -> DataFrame:
     """Every member under ``root`` in one scan: ``member, id,
     sentence_form, annotation``.  ``member`` = rank of the member's name
     (sorted; the reference used the arbitrary ``os.listdir`` order).
     ``layout='dirs'``: root/<member>/part-*; ``'files'``: root/<member>.
 
-    The names come from the file listing Spark already holds on the driver
-    (``inputFiles()``, metadata only, one entry per file), so ranking them
-    needs neither a second scan nor a shuffle: it is a literal map lookup.
+    Ranking the names needs neither a second scan nor a shuffle: it is a
+    literal map lookup.  ``names`` gives the members; without it they come
+    from the file listing (``inputFiles()``, metadata only, one entry per
+    file), which a large run should not pull to the driver.  A file of no
+    named member has a NULL member.
     """
     raw = (spark.read.schema(RAW_CORPUS).option("mode", "FAILFAST")
                 .option("recursiveFileLookup", True).json(root.rstrip("/")))
     idx = -2 if layout == "dirs" else -1
-    names = sorted({f.rstrip("/").split("/")[idx] for f in raw.inputFiles()})
+    names = sorted(names if names is not None else {f.rstrip("/").split("/")[idx] for f in raw.inputFiles()})
     rank = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), idx)
     ann = F.transform(_annotation_structs(F.coalesce("annotation", F.array())),
@@ -116,9 +118,14 @@ def read_legacy_polarity(spark: SparkSession, path: str) -> DataFrame:
                  .withColumnRenamed("답", "answer"))
 
 
+# a file of multi-line CSV is read by one task, so files are kept small
+CSV_FILE_ROWS = 100_000
+
+
 def _csv_writer(df: DataFrame, mode: str):
     # the writer trims surrounding blanks by default; texts must stay whole
     return (df.write.mode(mode).option("header", True).option("quote", '"')
+              .option("maxRecordsPerFile", CSV_FILE_ROWS)
               .option("escape", '"').option("lineSep", "\n")
               .option("ignoreLeadingWhiteSpace", False)
               .option("ignoreTrailingWhiteSpace", False))
