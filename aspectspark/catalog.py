@@ -599,8 +599,17 @@ def q_cross_validate(spark, sf):
                                               hot_text("support").alias("support_text"))
 
 
+def q_cross_validate_multilabel(spark, sf):
+    """A multi-label stage: sizes and support of the folds that were fitted."""
+    d = fx.table(spark, sf, "documents").join(fx.table(spark, sf, "labels"), "doc_id")
+    counts = d.select("doc_id", "quality", "toxic", training.hashed_counts("text", 32).alias("counts"))
+    cv = training.cross_validate(training.vector_features(counts, "counts"), ["quality", "toxic"],
+                                 ["doc_id"], k=5, max_iter=5)
+    return cv.select("fold", "n_train", "n_valid", hot_text("support").alias("support_text"))
+
+
 def q_cross_validate_metrics(spark, sf):
-    return _cross_validated(spark, sf).select("fold", "accuracy", "f1_macro", "f1_micro")
+    return _cross_validated(spark, sf).select("fold", "accuracy", "loss", "f1_macro", "f1_micro")
 
 
 QUERIES = {
@@ -610,6 +619,7 @@ QUERIES = {
     "cascade_stage_counts": q_cascade_stage_counts,
     "epoch_batches_all": q_epoch_batches_all,
     "head_predict": q_head_predict,
+    "cross_validate_multilabel": q_cross_validate_multilabel,
     "cross_validate_metrics": q_cross_validate_metrics,
     "read_corpus": q_read_corpus,
     "read_legacy_polarity": q_read_legacy_polarity,

@@ -538,6 +538,16 @@ SELECT round(sum({_bce('a0', 's0')} + {_bce('a1', 's1')} + {_bce('a2', 's2')}) /
 SQL["cross_entropy_loss"] = W(G, SL) + """
 SELECT round(avg(ln(exp(c0) + exp(c1) + exp(c2)) - [c0, c1, c2][y + 1]), 6) AS ce FROM sl"""
 
+SQL["cross_validate_multilabel"] = """
+WITH stratum AS (
+  SELECT doc_id, quality, toxic, CAST(quality AS VARCHAR) || ',' || CAST(toxic AS VARCHAR) AS s
+  FROM documents JOIN labels USING (doc_id)),
+folds AS (
+  SELECT quality, toxic, CAST((row_number() OVER (ORDER BY s, md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5
+                              AS INTEGER) AS fold FROM stratum)
+SELECT fold, (SELECT count(*) FROM folds) - count(*) AS n_train, count(*) AS n_valid,
+  CAST(sum(quality) AS VARCHAR) || ',' || CAST(sum(toxic) AS VARCHAR) AS support_text FROM folds GROUP BY fold"""
+
 SQL["sample_exact"] = W(G, S, GN, GF) + """
 SELECT id, pos, label FROM (
   SELECT id, pos, pol AS label,

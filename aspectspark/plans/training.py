@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectspark.functions.text import tokens
-from aspectspark.functions.vectors import argmax, linear_head, sigmoid, threshold_decode
-from aspectspark.operators.metrics import f1_per_class
+from aspectspark.functions.vectors import argmax, hot_text, linear_head, sigmoid, threshold_decode
+from aspectspark.operators.metrics import one_hot
 from aspectspark.operators.sampling import fold_split, stratified_kfold
 from aspectspark.session import shared_dir
 
@@ -116,36 +116,63 @@ def train_head(df: DataFrame, label: str | list[str], kind: str = "multiclass",
                       [float(m.intercept) for m in models], kind)
 
 
-def cross_validate(df: DataFrame, label: str, keys: list[str], k: int = 5,
+def fold_metrics(pred: DataFrame, n: int, kind: str) -> DataFrame:
+    """One row from ``label`` and ``hot`` (0/1 vectors of width ``n``) and
+    ``prob``, in one aggregate: n_valid, per class support, number predicted
+    and F1, exact-match accuracy, macro and micro F1, and the loss (binary
+    cross-entropy over all cells, or -log of the true class)."""
+    y, h, q = (lambda i: F.get("label", F.lit(i))), (lambda i: F.get("hot", F.lit(i))), F.col("prob")
+    safe = lambda x: F.greatest(F.log(F.greatest(x, F.lit(1e-300))), F.lit(-100.0))
+    if kind == "multilabel":
+        cells = F.zip_with("label", q, lambda a, p: -(a * safe(p) + (1 - a) * safe(1 - p)))
+        loss = F.aggregate(cells, F.lit(0.0), lambda a, v: a + v) / n
+    else:
+        loss = -safe(F.get(q, F.array_position("label", 1).cast("int") - 1))
+    per_class = lambda name, cell: F.array(*[F.sum(cell(i)) for i in range(n)]).alias(name)
+    sums = pred.agg(F.count(F.lit(1)).alias("n_valid"),
+                    F.avg(F.coalesce(F.col("label") == F.col("hot"), F.lit(False)).cast("double")).alias("accuracy"),
+                    F.avg(loss).alias("loss"), per_class("support", y), per_class("predicted", h),
+                    per_class("tp", lambda i: y(i) * h(i)))
+    # tp + fp = predicted, tp + fn = support
+    f1 = F.transform(F.arrays_zip("tp", "support", "predicted"), lambda x: F.coalesce(
+        F.try_divide(2.0 * x["tp"], (x["support"] + x["predicted"]).cast("double")), F.lit(0.0)))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)
+    out = sums.withColumn("f1", f1)
+    return out.select(
+        "n_valid", "support", "predicted", "f1", "accuracy", "loss",
+        (F.aggregate("f1", F.lit(0.0), lambda a, v: a + v) / n).alias("f1_macro"),
+        F.coalesce(F.try_divide(2.0 * total("tp"), (total("support") + total("predicted")).cast("double")),
+                   F.lit(0.0)).alias("f1_micro"))
+
+
+def cross_validate(df: DataFrame, label: str | list[str], keys: list[str], k: int = 5,
                    n_classes: int | None = None, features: str = "features",
                    seed=42, max_iter: int = 50) -> DataFrame:
     """M3: stratified k-fold (W2) -> per fold fit on train (W3) and score the
-    validation part: ``fold, n_train, n_valid, support`` (per class, of the
-    validation part), ``accuracy, f1_macro, f1_micro``.
+    validation part: ``fold, n_train`` and :func:`fold_metrics`.
+
+    ``label``: one integer column (single-label stage), or a list of 0/1
+    columns (multi-label stage, stratified by their combination).  Train and
+    dev rows go in together, as one frame (``unions.concat_splits``).
 
     The fold table is checkpointed to the shared checkpoint directory
     first: it feeds k fits and k evaluations, and a lost executor must not
     replay the whole lineage for each of them.
     """
     shared_dir(df.sparkSession)          # the cluster's checkpoint dir (set in tests only)
-    folded = stratified_kfold(df, label, keys, k=k, seed=seed).checkpoint(eager=True)
-    # one metric number reaches the driver, never rows
-    n_classes = n_classes or (folded.agg(F.max(label)).first()[0] + 1)
+    many = not isinstance(label, str)
+    kind = "multilabel" if many else "multiclass"
+    df = df.withColumn("_stratum", hot_text(F.array(*label)) if many else F.col(label))
+    folded = stratified_kfold(df, "_stratum", keys, k=k, seed=seed).checkpoint(eager=True)
+    # one number reaches the driver, never rows
+    n = len(label) if many else n_classes or (folded.agg(F.max(label)).first()[0] + 1)
     rows = None
     for f in range(k):
         train, valid = fold_split(folded, f)
-        pred = train_head(train, label, "multiclass", features, max_iter)(valid)
-        pred = pred.select(F.col(label).cast("int").alias("y"),
-                           F.col("prediction").alias("p"))
-        pc = f1_per_class(pred, "y", "p", n_classes)
-        # single-label: every row is a TP or an FN of its true class, so
-        # accuracy and both F1 averages come from the tiny per-class table
-        tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
-        support = F.transform(F.array_sort(F.collect_list(F.struct("cls", (F.col("tp") + F.col("fn")).alias("n")))),
-                              lambda x: x["n"])
-        row = pc.agg(F.lit(f).alias("fold"), F.lit(train.count()).alias("n_train"), (tp + fn).alias("n_valid"),
-                     support.alias("support"),
-                     (tp / (tp + fn)).alias("accuracy"), F.avg("f1").alias("f1_macro"),
-                     F.try_divide(2.0 * tp, 2.0 * tp + fp + fn).alias("f1_micro"))
+        pred = train_head(train, label, kind, features, max_iter).predict(valid, features)
+        pred = (pred.select(F.array(*label).alias("label"), "hot", "prob") if many else
+                pred.select(one_hot(label, n).alias("label"), one_hot("prediction", n).alias("hot"), "prob"))
+        row = fold_metrics(pred, n, kind).select(
+            F.lit(f).alias("fold"), F.lit(train.count()).alias("n_train"), "*")
         rows = row if rows is None else rows.unionByName(row)
     return rows
