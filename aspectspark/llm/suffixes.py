@@ -37,9 +37,9 @@ BATCHES = 4
 #: the last full window began.
 CHUNK = 1 << 18
 
-#: Runs under one suffix key that a task compares at a time; the windows of
-#: a key with more are counted as rows of their own.
-GROUP = 1024
+#: Runs under one suffix key that a task compares at a time (2 MB of bytes);
+#: the windows of a key with more are counted as rows of their own.
+GROUP = 8192
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -217,13 +217,16 @@ def _shared_windows(contents: DataFrame, length: int) -> DataFrame:
                                        F.col("key") == F.col("hot"), "left").drop("hot"), "suffix-contents")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         def shared(group: list[tuple]) -> Iterator[tuple]:
             if len(group) < 2:
                 return
-            seen = Counter((anchor - i, data[i:i + length]) for _, _, _, _, anchor, data in group
-                           for i in range(len(data) - length + 1))
-            for t1, t2, run, once, anchor, data in group:
-                if once and (at := [i for i in range(len(data) - length + 1) if seen[anchor - i, data[i:i + length]] > 1]):
+            windows = [[(anchor - i, xxh3_128_digest(data[i:i + length])) for i in range(len(data) - length + 1)]
+                       for *_, anchor, data in group]
+            seen = Counter(w for own in windows for w in own)
+            for (t1, t2, run, once, _, _), own in zip(group, windows):
+                if once and (at := [i for i, w in enumerate(own) if seen[w] > 1]):
                     yield t1, t2, run, at
 
         def groups() -> Iterator[list[tuple]]:
