@@ -57,20 +57,26 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 def _generalised(lines: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """own -> template, for the lines whose template is another line's."""
-    kinds = materialize(lines.groupBy("own", "size", "leaf").agg(F.count("*").alias("n")), "line-kinds")
+    kinds = materialize(lines.groupBy("own", "size", "leaf").agg(
+        F.count("*").alias("n"), F.min(F.struct("t1", "t2", "line")).alias("place")), "line-kinds")
     # the most frequent line of a leaf leads it; leaves with one kind are done
     leaders = kinds.groupBy("size", "leaf").agg(
         F.min(F.struct((-F.col("n")).alias("n"), "own")).alias("least"), F.count("*").alias("kinds")).where(
         "kinds > 1").select(F.col("size").alias("s"), F.col("leaf").alias("l"), F.col("least.own").alias("leader"))
     led = materialize(kinds.join(spread_keys(leaders, [F.col("leader")]),
-                                 (F.col("size") == F.col("s")) & (F.col("leaf") == F.col("l"))).select("own", "leader"),
+                                 (F.col("size") == F.col("s")) & (F.col("leaf") == F.col("l"))).select("own", "leader", "place"),
                       "line-leaves")
-    wanted = led.select("own").union(led.select("leader")).distinct()
-    texts = might_contain(_lines(rows).select("own", "tokens"), bloom_filter(wanted, "own"), F.col("own"), "maybe")
-    texts = materialize(texts.where("maybe").join(spread_keys(wanted, [F.xxhash64("own", F.lit(3))]), "own", "left_semi")
-                        .groupBy("own").agg(F.first("tokens").alias("tokens")), "line-texts")
+    # one line of each such kind is read again, from one document that has it
+    asked = materialize(led.groupBy("place.t1", "place.t2").agg(
+        F.collect_list(F.struct("own", "place.line")).alias("asked")), "line-places")
+    some = might_contain(rows.select("t1", "t2", "text"), bloom_filter(asked, "t1"), F.col("t1"), "maybe").where("maybe")
+    found = some.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(asked, ["t1", "t2"]).select(
+        "asked", F.split("text", "\n").alias("lines"))
+    pairs = found.select(F.explode(F.transform("asked", lambda a: F.struct(
+        a["own"].alias("own"), F.col("lines")[a["line"]].alias("raw")))).alias("one"))
+    texts = materialize(pairs.select("one.own", line_tokens(F.col("one.raw")).alias("tokens")), "line-texts")
     lead = spread_keys(texts.select(F.col("own").alias("leader"), F.col("tokens").alias("lead")), [F.xxhash64("lead")])
-    pairs = led.join(texts, "own").join(lead, "leader").where("own <> leader")
+    pairs = led.select("own", "leader").join(texts, "own").join(lead, "leader").where("own <> leader")
     same = F.zip_with(F.split("tokens", " "), F.split("lead", " "), lambda a, b: F.when(a == b, 1).otherwise(0))
     agree = F.aggregate(same, F.lit(0), lambda n, x: n + x)
     return pairs.where(agree >= similarity * F.size(same)).select("own", F.col("leader").alias("template"))
