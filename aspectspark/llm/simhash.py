@@ -227,7 +227,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select("a", "b").union(edges.select("b", "a"))
         up = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")), f"links-up-{turn}")
         top = up.select(F.col("a").alias("up"), F.col("up").alias("top"))
-        jump = materialize(up.join(spread_keys(top, [F.col("top")]), "up").select(F.col("a").alias("x"), F.col("top").alias("to")),
+        jump = materialize(up.join(spread_keys(top, [F.xxhash64("up", F.lit(3))]), "up").select(F.col("a").alias("x"), F.col("top").alias("to")),
                            f"links-jump-{turn}")
         a_to, b_to = (jump.select(F.col("x").alias(c), F.col("to").alias(f"{c}_to")) for c in "ab")
         moved = edges.join(a_to, "a").join(b_to, "b").select(F.col("a_to").alias("a"), F.col("b_to").alias("b"))
@@ -254,8 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = prints.join(found, prints["fp"] == found["node"], "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("component"))
     firsts = rooted.groupBy("component").agg(F.min("first").alias("first"))
-    named = rooted.drop("first").join(spread_keys(firsts, [F.col("first.t1")]), "component")
-    return rows.join(spread_keys(named, [F.col("component")]), "fp").select("id", "t1", "t2", "fp", "component", "first")
+    named = rooted.drop("first").join(spread_keys(firsts, [F.xxhash64("component", F.lit(3))]), "component")
+    return rows.join(spread_keys(named, [F.xxhash64("fp", F.lit(3))]), "fp").select("id", "t1", "t2", "fp", "component", "first")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
