@@ -11,6 +11,8 @@ from aspectspark.session import scratch_path
 
 #: The ASCII white space that separates words: tab, LF, VT, FF, CR, space.
 SPACES = "\t\n\u000b\f\r "
+SPACE_RUN = "[\\x20\\x09-\\x0D]+"
+WORD_RUN = "[^\\x20\\x09-\\x0D]+"
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -25,13 +27,9 @@ def lower_ascii(text: Column) -> Column:
 
 
 def word_array(text: Column) -> Column:
-    """Maximal runs of characters other than ASCII white space (null: none).
-
-    White space is mapped to blanks first, so the split is on one plain
-    character class and never sees a leading or trailing separator.
-    """
-    flat = F.trim(F.translate(F.coalesce(text, F.lit("")), SPACES, " " * len(SPACES)))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " +"))
+    """Maximal runs of characters other than ASCII white space (null: none)."""
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE_RUN))
 
 
 def text_key(text: Column) -> tuple[Column, Column]:

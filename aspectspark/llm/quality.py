@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aspectspark.llm.common import SPACES, UPPER, word_array
+from aspectspark.llm.common import WORD_RUN, word_array
 
 #: Fixed word lists: frequent function words of the corpus languages.
 STOP_WORDS = {
@@ -50,8 +50,8 @@ RULES = (
 
 
 def _count_of(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are in ``chars``."""
-    return (F.char_length(text) - F.char_length(F.translate(text, chars, ""))).cast("long")
+    """How many characters of ``text`` are in a regular expression's class."""
+    return F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -85,21 +85,21 @@ def _repeat_words(words: Column) -> Column:
 
 
 def filled_lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit("[^\\x20\\x09-\\x0D]")))
+    return F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD_RUN)))
 
 
 def rule_metrics(text: Column, words: Column, lines: Column, stop_words: Sequence[str]) -> dict[str, Column]:
     """The metrics that rules can name; the ratios use the counts."""
     stop = sorted(set(stop_words))
-    plain = F.split(F.lower(F.translate(text, SPACES + ".,;:!?", " " * len(SPACES))), " +")
+    plain = F.split(F.lower(text), "[\\x20\\x09-\\x0D.,;:!?]+")
     n_words, n_lines = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     letters = F.greatest(F.col("word_chars"), F.lit(1))
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": (F.char_length(F.translate(text, SPACES, ""))).cast("long"),
+        "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
         "n_symbols": _count_of(text, SYMBOLS),
-        "n_upper": _count_of(text, UPPER),
-        "n_exclamations": _count_of(text, "!"),
+        "n_upper": _count_of(text, "A-Z"),
+        "n_exclamations": (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("!"), F.lit("")))).cast("long"),
         "n_stop_words": F.size(F.filter(plain, lambda w: w.isin(stop))).cast("long"),
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
