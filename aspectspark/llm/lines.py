@@ -3,15 +3,22 @@
 A line's tokens with a digit are variable fields.  The tree has a fixed
 depth: token count, then leading tokens.  In a leaf, lines that agree with
 its most frequent line in most tokens share one template, whose differing
-tokens are variable too.  Templates that recur across documents are dropped
-but for their first line.
+tokens are variable too; of the lines left, the most frequent one leads
+next, until no two of them agree.  Templates that recur across documents are
+dropped but for their first line.
 
 DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import defaultdict
+from collections.abc import Iterable
+from functools import reduce
+from math import ceil
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from aspectspark.llm.common import bloom_filter, materialize, might_contain, spread_keys, text_key
@@ -25,6 +32,11 @@ SIMILARITY = 0.8
 #: A template recurs from this number of documents on.
 MIN_DOCS = 3
 
+#: So few lines without a template, and characters in them, are led on the
+#: driver; more of them in rounds over the cluster.
+FEW = 8192
+FEW_CHARS = 1 << 22
+
 VARIABLE = "<*>"
 
 #: A token with a digit.  It is tried at token starts alone, so a long token
@@ -55,6 +67,68 @@ def _lines(rows: DataFrame) -> DataFrame:
                          F.xxhash64(F.substring_index("tokens", " ", DEPTH)).alias("leaf"), "tokens")
 
 
+def _agree(tokens: str, lead: str, similarity: float) -> Column:
+    """Whether so many of the tokens agree."""
+    same = F.zip_with(F.split(tokens, " "), F.split(lead, " "), lambda a, b: F.when(a == b, 1).otherwise(0))
+    return F.aggregate(same, F.lit(0), lambda n, x: n + x) >= similarity * F.size(same)
+
+
+def _bands(similarity: float) -> Column:
+    """Hashes of the runs of tokens behind the leading ones, one run more
+    than tokens may differ, so lines that agree have a run in common."""
+    words = F.split("tokens", " ")
+    differ = F.col("size") - F.ceil(similarity * F.col("size"))
+    rest = F.greatest(F.col("size") - DEPTH, F.lit(0))
+
+    def start(b: Column) -> Column:
+        return F.floor(b * rest / (differ + 1)).cast("int")
+
+    return F.transform(F.sequence(F.lit(0).cast("long"), differ), lambda b: F.xxhash64(
+        b, F.slice(words, start(b) + DEPTH + 1, start(b + 1) - start(b))))
+
+
+def _next_leaders(left: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """One round over the lines ``left`` (own, n, size, leaf, tokens): those
+    that may agree with an earlier one, with the earliest of these as leader
+    and whether they agree with it.
+
+    A line without an earlier one leads.  Where a line's earliest is none
+    that leads, the line waits for the next round.
+    """
+    runs = left.select("own", "size", "leaf", F.struct((-F.col("n")).alias("n"), "own").alias("place"),
+                       F.explode(_bands(similarity)).alias("run"))
+    blocks = runs.groupBy("size", "leaf", "run").agg(F.min("place").alias("head"), F.count("*").alias("kinds"))
+    shared = spread_keys(blocks.where("kinds > 1").drop("kinds"), [F.col("head")])
+    heads = materialize(runs.join(shared, ["size", "leaf", "run"]).groupBy("own").agg(
+        F.min("head").alias("head")).select("own", F.col("head.own").alias("leader")), f"line-heads-{turn}")
+    leads = heads.where("own = leader").select("leader")
+    lead = leads.join(left.select(F.col("own").alias("leader"), F.col("tokens").alias("lead")), "leader")
+    behind = heads.where("own <> leader").join(left, "own")
+    judged = behind.join(spread_keys(lead, [F.xxhash64("lead")]), "leader", "left")
+    return materialize(judged.select("own", "n", "size", "leaf", "tokens", "leader", F.coalesce(
+        _agree("tokens", "lead", similarity), F.lit(False)).alias("same")), f"line-round-{turn}")
+
+
+def _led_here(lines: Iterable[Row], similarity: float) -> list[tuple[bytes, bytes]]:
+    """(own, template) of the lines that agree with an earlier leader."""
+    leaders, out = defaultdict(list), []
+    for r in sorted(lines, key=lambda r: (-r["n"], bytes(r["own"]))):
+        words, size = r["tokens"].split(" "), r["size"]
+        least = ceil(similarity * size)
+        parts, rest = size - least + 1, max(size - DEPTH, 0)
+        runs = [(size, r["leaf"], b, tuple(words[DEPTH + b * rest // parts:DEPTH + (b + 1) * rest // parts]))
+                for b in range(parts)]
+        near = {at: (lead, own) for run in runs for at, lead, own in leaders[run]}
+        own = next((near[at][1] for at in sorted(near) if sum(map(str.__eq__, words, near[at][0])) >= least), None)
+        if own is not None:
+            out.append((bytes(r["own"]), own))
+            continue
+        entry = ((-r["n"], bytes(r["own"])), words, bytes(r["own"]))
+        for run in runs:
+            leaders[run].append(entry)
+    return out
+
+
 def _generalised(lines: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
     """own -> template, for the lines whose template is another line's."""
     kinds = materialize(lines.groupBy("own", "size", "leaf").agg(
@@ -63,9 +137,8 @@ def _generalised(lines: DataFrame, rows: DataFrame, similarity: float) -> DataFr
     leaders = kinds.groupBy("size", "leaf").agg(
         F.min(F.struct((-F.col("n")).alias("n"), "own")).alias("least"), F.count("*").alias("kinds")).where(
         "kinds > 1").select(F.col("size").alias("s"), F.col("leaf").alias("l"), F.col("least.own").alias("leader"))
-    led = materialize(kinds.join(spread_keys(leaders, [F.col("leader")]),
-                                 (F.col("size") == F.col("s")) & (F.col("leaf") == F.col("l"))).select("own", "leader", "place"),
-                      "line-leaves")
+    led = materialize(kinds.join(spread_keys(leaders, [F.col("leader")]), (F.col("size") == F.col("s")) & (
+        F.col("leaf") == F.col("l"))).select("own", "leader", "place", "n", "size", "leaf"), "line-leaves")
     # one line of each such kind is read again, from one document that has it
     asked = materialize(led.groupBy("place.t1", "place.t2").agg(
         F.collect_list(F.struct("own", "place.line")).alias("asked")), "line-places")
@@ -76,10 +149,25 @@ def _generalised(lines: DataFrame, rows: DataFrame, similarity: float) -> DataFr
         a["own"].alias("own"), F.col("lines")[a["line"]].alias("raw")))).alias("one"))
     texts = materialize(pairs.select("one.own", line_tokens(F.col("one.raw")).alias("tokens")), "line-texts")
     lead = spread_keys(texts.select(F.col("own").alias("leader"), F.col("tokens").alias("lead")), [F.xxhash64("lead")])
-    pairs = led.select("own", "leader").join(texts, "own").join(lead, "leader").where("own <> leader")
-    same = F.zip_with(F.split("tokens", " "), F.split("lead", " "), lambda a, b: F.when(a == b, 1).otherwise(0))
-    agree = F.aggregate(same, F.lit(0), lambda n, x: n + x)
-    return pairs.where(agree >= similarity * F.size(same)).select("own", F.col("leader").alias("template"))
+    pairs = led.drop("place").join(texts, "own").join(lead, "leader").where("own <> leader")
+    judged = pairs.withColumn("same", _agree("tokens", "lead", similarity))
+    # no line can agree with one that may differ in no token
+    open_ = F.col("size") > F.ceil(similarity * F.col("size"))
+    judged = materialize(judged.where(F.col("same") | open_).select(
+        "own", "n", "size", "leaf", "leader", "same", F.when(~F.col("same"), F.col("tokens")).alias("tokens")), "line-round-1")
+    out, turn = [], 1
+    while True:
+        out.append(judged.where("same").select("own", F.col("leader").alias("template")))
+        left = judged.where("NOT same").select("own", "n", "size", "leaf", "tokens")
+        size = left.agg(F.count("*").alias("kinds"), F.sum(F.char_length("tokens")).alias("chars")).first()
+        if size["kinds"] <= FEW and (size["chars"] or 0) <= FEW_CHARS:
+            if here := _led_here(left.collect() if size["kinds"] else [], similarity):
+                # by Arrow, as rows would go through Python workers
+                columns = [pa.array(c, pa.binary()) for c in zip(*here)]
+                out.append(lines.sparkSession.createDataFrame(pa.table(columns, ["own", "template"])))
+            return reduce(DataFrame.unionByName, out)
+        turn += 1
+        judged = _next_leaders(left, similarity, turn)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
