@@ -8,13 +8,14 @@ and the spans' words are compared with the template's.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aspectspark.llm.common import bloom_filter, lower_ascii, materialize, might_contain, spread_keys, text_key
+from aspectspark.llm.common import UPPER, bloom_filter, lower_ascii, materialize, might_contain, spread_keys, text_key
 
 #: Words of a k-gram; no template is shorter.
 K = 3
@@ -62,6 +63,15 @@ def license_words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text), SEPARATORS), "")
 
 
+def template_words(text: str) -> list[str]:
+    """A template's words, as :func:`license_words` has a text's."""
+    lowered = text.translate(str.maketrans(UPPER, UPPER.lower()))
+    words = [w for w in re.split(SEPARATORS, lowered) if w]
+    if len(words) < K:
+        raise ValueError(f"a template needs {K} words: {text!r}")
+    return words
+
+
 def _grams(words: Column) -> Column:
     """Hash of the k words from each position (none: no k-gram)."""
     starts = F.sequence(F.lit(0), F.size(words) - K)
@@ -72,8 +82,7 @@ def _grams(words: Column) -> Column:
 def template_positions(spark: SparkSession, templates: Sequence[Template]) -> DataFrame:
     """One row per template and k-gram: as many as the templates have words,
     whatever the documents, so it is broadcast."""
-    rows = [(i, t.label, t.phrase, len(words), words) for i, t in enumerate(templates)
-            if len(words := t.text.split()) >= K]
+    rows = [(i, t.label, t.phrase, len(words := template_words(t.text)), words) for i, t in enumerate(templates)]
     frame = spark.createDataFrame(rows, "template int, label string, phrase boolean, size int, words array<string>")
     return frame.select("template", "label", "phrase", "size", "words",
                         F.posexplode(_grams(F.col("words"))).alias("tpos", "gram"))
