@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aspectspark.llm.collocations import collocations
 from aspectspark.llm.common import table
+from aspectspark.llm.hard_negatives import mine_hard_negatives
 from aspectspark.llm.licenses import scan_licenses
 from aspectspark.llm.lines import dedup_lines
 from aspectspark.llm.mixing import mix
@@ -15,6 +17,7 @@ from aspectspark.llm.multi_index import nearest
 from aspectspark.llm.pieces import encode_pieces
 from aspectspark.llm.private import BASE_KINDS, find_private, span_string
 from aspectspark.llm.quality import COUNTS, quality
+from aspectspark.llm.sharding import shard_documents
 from aspectspark.llm.simhash import hex_digits, near_duplicates
 from aspectspark.llm.suffixes import find_repeats
 from aspectspark.llm.url_filter import filter_urls
@@ -117,6 +120,22 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, junk_urls(pages), URL_RULES)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_hard_negatives(vectors.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard_documents(table(spark, sf_dir, "documents"), n_shards=24)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "version")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_sentencepiece": op2_sentencepiece,
@@ -128,4 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_sharding": op12_sharding,
+    "op13_collocations": op13_collocations,
 }

@@ -142,4 +142,93 @@ WITH rows_in AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents
 SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM deduped
 """
 
-SQL = {"op3_line_dedup": LINE_DEDUP, "op1_quality_rules": QUALITY, "op9_url_filter": URL_FILTER}
+SHARDING = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)
+    ORDER BY b) AS t FROM range(256) r(b)),
+keyed AS (
+  SELECT doc_id, md5(coalesce(text, '')) AS digest, CAST(octet_length(encode(coalesce(text, ''))) + 8 AS BIGINT) AS size,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM documents, crc_table),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, digest) - 1 AS copy FROM keyed),
+slotted AS (
+  SELECT *, CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || digest || ':' || copy), 1, 12) AS BIGINT)
+    % 4096 AS INTEGER) AS virtual_slot FROM numbered),
+slots AS (
+  SELECT virtual_slot, sum(size) AS bytes, count(*) AS n,
+    row_number() OVER (ORDER BY sum(size) DESC, virtual_slot) AS turn FROM slotted GROUP BY virtual_slot),
+dealt AS (
+  SELECT CAST(0 AS BIGINT) AS turn, NULL::INTEGER AS virtual_slot, NULL::INTEGER AS shard,
+    list_transform(range(24), lambda i: CAST(0 AS HUGEINT)) AS loads
+  UNION ALL
+  SELECT s.turn, s.virtual_slot, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER),
+    list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + s.bytes ELSE x END)
+  FROM dealt d JOIN slots s ON s.turn = d.turn + 1),
+starts AS (
+  SELECT d.virtual_slot, shard, sum(n) OVER (PARTITION BY shard ORDER BY d.virtual_slot) - n AS start
+  FROM dealt d JOIN slots s ON s.virtual_slot = d.virtual_slot)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  CAST(start + row_number() OVER (PARTITION BY s.virtual_slot ORDER BY doc_id NULLS LAST, digest, copy) - 1 AS BIGINT) AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard, s.virtual_slot, 1 AS version
+FROM slotted s JOIN starts ON starts.virtual_slot = s.virtual_slot
+"""
+
+HARD_NEGATIVES = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+found AS (
+  SELECT lang, 1 AS m, unnest(w) AS phrase FROM worded
+  UNION ALL
+  SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM worded
+  UNION ALL
+  SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM worded),
+counted AS (SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS f FROM found GROUP BY lang, m, phrase),
+frequent AS (SELECT *, string_split(phrase, ' ') AS p FROM counted WHERE f >= 10),
+cuts AS (
+  SELECT lang, phrase, f, 1 AS k, p[1] AS head, array_to_string(p[2:], ' ') AS rest FROM frequent WHERE m >= 2
+  UNION ALL
+  SELECT lang, phrase, f, 2, array_to_string(p[1:2], ' '), p[3] FROM frequent WHERE m = 3),
+best AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, l.f AS l, r.f AS r, (1000000 * c.f * c.f) // (l.f * r.f) AS score
+  FROM cuts c JOIN frequent l ON l.lang = c.lang AND l.phrase = head JOIN frequent r ON r.lang = c.lang AND r.phrase = rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, part, max(f) AS longer FROM (
+    SELECT lang, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS part, f FROM frequent WHERE m = 3)
+  GROUP BY lang, part),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN inside ON inside.lang = best.lang AND part = phrase
+  WHERE longer IS NULL OR 100 * longer < 50 * a),
+totals AS (SELECT lang, sum(f) AS n FROM counted WHERE m = 1 GROUP BY lang)
+SELECT kept.lang, CAST(row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank,
+  phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score
+FROM kept JOIN totals ON totals.lang = kept.lang QUALIFY rank <= 2000
+"""
+
+SQL = {"op13_collocations": COLLOCATIONS, "op11_hard_negatives": HARD_NEGATIVES, "op12_sharding": SHARDING, "op3_line_dedup": LINE_DEDUP, "op1_quality_rules": QUALITY, "op9_url_filter": URL_FILTER}

@@ -177,3 +177,44 @@ def line_dedup(docs, min_docs=3, depth=3, similarity=0.8):
     gone = {p for at in places.values() if len({d for d, _ in at}) >= min_docs for p in at[1:]}
     return {d: d[1] if not any((d, i) in gone for i in range(len(split[d]))) else
             "\n".join(x for i, x in enumerate(split[d]) if (d, i) not in gone) for d in docs}
+
+
+def hard_negatives(rows, positives=5, negatives=5, low=80, high=100, scale=256, every=100):
+    """Rows (id, vector, label); shorter vectors are filled with zeros."""
+    fine = [(i, [int(np.floor(scale * float(x))) for x in v], c) for i, v, c in rows if i is not None and v is not None
+            and c is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for i, v, c in fine:
+        if i % every:
+            continue
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), j, d) for j, w, d in fine if j != i)
+        for p, j, _ in [s for s in scored if s[2] == c][:positives]:
+            inside = [s for s in scored if s[2] != c and low * -p <= 100 * -s[0] <= high * -p][:negatives]
+            out += [(i, j, r + 1, k, -p, -n) for r, (n, k, _) in enumerate(inside)]
+    return sorted(out)
+
+
+def collocations(docs, longest=3, min_count=10, share=50, top=2000):
+    """Rows (lang, text)."""
+    counts = defaultdict(Counter)
+    for lang, text in docs:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower_ascii(text or "")):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            counts[lang or "und"].update(tuple(words[i:i + m]) for m in range(1, longest + 1) for i in range(len(words) - m + 1))
+    out = []
+    for lang, f in counts.items():
+        total = sum(n for p, n in f.items() if len(p) == 1)
+        often = {p: a for p, a in f.items() if len(p) > 1 and a >= min_count}
+        inside = defaultdict(int)
+        for p, a in often.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    inside[p[i:i + m]] = max(inside[p[i:i + m]], a)
+        kept = []
+        for p, a in often.items():
+            if 100 * inside[p] >= share * a and inside[p]:
+                continue
+            score, k = min((10**6 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, r + 1, p.decode(), -a, l, e, total, -s) for r, (s, a, p, l, e) in enumerate(sorted(kept)[:top])]
+    return sorted(out)
