@@ -21,9 +21,11 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,10 +54,10 @@ MAX_BUCKETS = 1 << 24
 #: "Not active yet" in an activation table.
 NEVER = 255
 
-#: Ends of pieces become this byte, which UTF-8 never has.
-END = b"\xff"
+#: Ends of pieces become a line feed, tabs a blank, A-Z small letters.
+END = b"\n"
 ENDS = b".,;:!?\n\x0b\x0c\r"
-TABLE = bytes(END[0] if c in ENDS else c + 32 if 65 <= c <= 90 else c for c in range(256))
+TABLE = bytes(10 if c in ENDS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 #: Levels of the ranking below the last one.
 RANK_PARTS = 64
@@ -75,34 +77,30 @@ def cut(text: bytes) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """Language and tokens, with ``END`` between pieces, of about ``BLOCK``
-    bytes of text at a time."""
-    held: dict[str, list[bytes]] = defaultdict(list)
-    size: dict[str, int] = defaultdict(int)
+def numbered(parts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Number of each token of the parts (0: the end of a piece), and the
+    words by number; an empty one stands for nothing."""
+    text = b"\n " + END.join(parts).replace(END, b" \n ")
+    found = pc.split_pattern(pa.array([text], pa.large_binary()).cast(pa.large_string()), " ").flatten().dictionary_encode()
+    ids, names = found.indices.to_numpy(), found.dictionary.cast(pa.large_binary()).to_pylist()
+    return ids[ids != names.index(b"")].astype(np.int64) if b"" in names else ids.astype(np.int64), names
 
-    def tokens(parts: list[bytes]) -> list[bytes]:
-        # of white space only tab and blank are left
-        return END.join(parts).replace(END, b" \xff ").split()
 
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, list[bytes]]]:
+    """Language, numbers and words of about ``BLOCK`` bytes of text at a
+    time."""
+    held: dict[str, list[bytes]] = defaultdict(list)
+    size: dict[str, int] = defaultdict(int)
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             for part in cut(text.as_buffer().to_pybytes()):
                 held[lang].append(part)
                 size[lang] += len(part)
                 if size[lang] >= BLOCK:
-                    yield lang, tokens(held.pop(lang))
+                    yield lang, *numbered(held.pop(lang))
                     size.pop(lang)
     for lang, parts in held.items():
-        yield lang, tokens(parts)
-
-
-def numbered(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Number of each token (0: an end), and the words by number."""
-    numbers: dict[bytes, int] = defaultdict()
-    numbers.default_factory = numbers.__len__
-    numbers[END]
-    return np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)), list(numbers)
+        yield lang, *numbered(parts)
 
 
 def word_hash(seed: int) -> Column:
@@ -129,11 +127,11 @@ def bucket_of(hashes: list[np.ndarray], buckets: int) -> np.ndarray:
 def _word_counts(texts: DataFrame) -> DataFrame:
     """lang, word and count, partial per block."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, words in blocks(batches):
-            ids, names = numbered(words)
-            counts = np.bincount(ids, minlength=len(names))[1:]
-            names = pa.array(names[1:], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), names, pa.array(counts)],
+        for lang, ids, names in blocks(batches):
+            counts = np.bincount(ids, minlength=len(names))
+            counts[0] = 0
+            words = pa.array(names, pa.binary()).cast(pa.string()).filter(pa.array(counts > 0))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array(counts[counts > 0])],
                                              names=["lang", "word", "n"])
 
     return texts.mapInArrow(scan, "lang string, word string, n long")
@@ -143,6 +141,47 @@ def _hashed(longest: int) -> list[str]:
     return [f"w{i}" for i in range(1, longest + 1)]
 
 
+class Activation(NamedTuple):
+    """From which scan on the phrases of a block are counted: ``since`` by
+    word number, ``tables`` by length and bucket."""
+
+    since: np.ndarray
+    hashes: np.ndarray
+    tables: list[np.ndarray]
+    turn: int
+
+    def begin(self, words: list[np.ndarray]) -> np.ndarray:
+        """Of phrases of two words or more: as soon as both subphrases may
+        be extended."""
+        if len(words) == 2:
+            return np.maximum(self.since[words[0]], self.since[words[1]])
+        return np.maximum(self.extends(words[:-1]), self.extends(words[1:]))
+
+    def extends(self, words: list[np.ndarray], begin: np.ndarray | None = None) -> np.ndarray:
+        begin = self.begin(words) if begin is None else begin
+        known = np.flatnonzero(begin <= self.turn)
+        table = self.tables[len(words) - 1]
+        out = np.full(len(begin), NEVER, dtype=np.uint8)
+        out[known] = np.maximum(begin[known], table[bucket_of([self.hashes[w[known]] for w in words], len(table))])
+        return out
+
+
+def distinct(words: list[np.ndarray], n_words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different phrases, as word numbers by place, and their counts."""
+    if n_words ** len(words) >= 1 << 63:
+        rows, count = np.unique(np.stack(words, axis=1), axis=0, return_counts=True)
+        return list(rows.T), count
+    code = words[0]
+    for w in words[1:]:
+        code = code * n_words + w
+    code, count = np.unique(code, return_counts=True)
+    places = []
+    for _ in words:
+        code, place = np.divmod(code, n_words)
+        places.append(place)
+    return places[::-1], count
+
+
 def _phrase_counts(texts: DataFrame, active: Broadcast, turn: int, shards: int, seed: int, longest: int) -> DataFrame:
     """w1, w2, ... (null beyond the phrase), since and count, partial per
     block, of the phrases whose cycle takes in this scan."""
@@ -150,30 +189,23 @@ def _phrase_counts(texts: DataFrame, active: Broadcast, turn: int, shards: int,
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = active.value
-        for lang, words in blocks(batches):
-            ids, names = numbered(words)
+        for lang, ids, names in blocks(batches):
             hashes = _word_hashes(lang, names, seed)
             since = tables[0][bucket_of([hashes], len(tables[0]))]
             since[0] = NEVER
+            act = Activation(since, hashes, tables, turn)
             ready = since[ids]  # the scan from which on the phrase that begins here may be extended
             for n in range(2, longest + 1):
                 begin = np.maximum(ready[:-1], ready[1:])
-                at = np.flatnonzero((begin <= turn) & (begin.astype(np.int64) + shards > turn))
+                at = np.flatnonzero((begin <= turn) & (begin.astype(np.int16) + shards > turn))
                 if len(at):
-                    code = ids[at] * len(names) + ids[at + 1]
-                    for i in range(2, n):
-                        code = np.unique(code, return_inverse=True)[1] * len(names) + ids[at + i]
-                    _, first, count = np.unique(code, return_index=True, return_counts=True)
-                    at = at[first]
-                    parts = [pa.array(hashes[ids[at + i]].view(np.int64)) for i in range(n)]
-                    parts += [pa.nulls(len(at), pa.int64())] * (longest - n)
-                    yield pa.RecordBatch.from_arrays([*parts, pa.array(begin[at].astype(np.int32)), pa.array(count)],
-                                                     names=[*columns, "since", "n"])
+                    words, count = distinct([ids[at + i] for i in range(n)], len(names))
+                    parts = [pa.array(hashes[w].view(np.int64)) for w in words]
+                    parts += [pa.nulls(len(count), pa.int64())] * (longest - n)
+                    since_ = pa.array(act.begin(words).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([*parts, since_, pa.array(count)], names=[*columns, "since", "n"])
                 if n < longest:
-                    known = np.flatnonzero(begin <= turn)
-                    bucket = bucket_of([hashes[ids[known + i]] for i in range(n)], len(tables[0]))
-                    ready = np.full(len(begin), NEVER, dtype=np.uint8)
-                    ready[known] = np.maximum(begin[known], tables[n - 1][bucket])
+                    ready = act.extends([ids[i:i + len(begin)] for i in range(n)], begin)
 
     return texts.mapInArrow(scan, ", ".join(f"{c} long" for c in columns) + ", since int, n long")
 

@@ -169,3 +169,11 @@ def test_long_texts_are_cut_between_pieces(monkeypatch):
     for text in (b"abc. defgh ijklmnopqrst, u v w", b"x" * 40, b"", b"a.b.c.d.e.f.g.h.i.j.k.l", b"aaaaaaaaaaaaaaaaa.b"):
         parts = list(phrases.cut(text))
         assert phrases.END.join(parts) == text.translate(phrases.TABLE)
+
+
+@pytest.mark.parametrize("n_words", [50, 1 << 40])
+def test_distinct_phrases(n_words):
+    rng = np.random.default_rng(1)
+    words = [rng.integers(0, 5, 300) for _ in range(3)]
+    places, count = phrases.distinct(words, n_words)
+    assert dict(zip(zip(*(p.tolist() for p in places)), count.tolist())) == Counter(zip(*(w.tolist() for w in words)))
