@@ -20,7 +20,7 @@ from aspectspark.functions.vectors import (
     threshold_decode_or_top1)
 from aspectspark.operators import (
     aggregates, joins, labels, metrics, sampling, tokens, unions, vote)
-from aspectspark.plans import cascade, datasets, scorers, training
+from aspectspark.plans import cascade, datasets, scorers, sparse_heads, training
 from aspectspark.session import scratch_path
 from aspectspark.sources import corpus as io
 from aspectspark.sources import fixtures as fx
@@ -471,9 +471,7 @@ def q_concat_splits(spark, sf):
 def q_merge_stage_outputs(spark, sf):
     sent = cascade.distinct_sentences(_docs_corpus(spark, sf))
     cats = cascade.stage_frames(sent, cascade.default_scorers())["categories"]
-    direct = cats.filter(~F.col("routed"))
-    routed = cats.filter(F.col("routed"))
-    m = unions.merge_stage_outputs(direct, routed)
+    m = unions.merge_stage_outputs(cats)        # tagged in the pass that scores them
     return m.select("sentence_key", "category", F.col("routed").cast("int").alias("routed"))
 
 
@@ -557,10 +555,7 @@ def q_ensemble_models(spark, sf):
 def q_cascade_stage_counts(spark, sf):
     """A4 of the inference stages: rows that enter each of them."""
     sent = cascade.distinct_sentences(_docs_corpus(spark, sf))
-    f = cascade.stage_frames(sent, cascade.default_scorers())
-    return aggregates.stage_counts({
-        "stage0": sent, "stage1": f["routing"].filter(F.col("hot1").isNotNull()),
-        "stage2": f["categories"], "stage3": f["aspects"]})
+    return cascade.stage_totals(sent, cascade.default_scorers())
 
 
 def q_evaluation_report(spark, sf):
@@ -599,19 +594,48 @@ def q_cross_validate(spark, sf):
                                               hot_text("support").alias("support_text"))
 
 
+def _cross_validated_labels(spark, sf):
+    """A multi-label stage on hashed tokens, at the width that heads have."""
+    d = fx.table(spark, sf, "documents").join(fx.table(spark, sf, "labels"), "doc_id")
+    buckets = d.select("doc_id", "quality", "toxic", sparse_heads.token_buckets("text").alias("features"))
+    return training.cross_validate(buckets, ["quality", "toxic"], ["doc_id"], k=5, max_iter=20, reg=0.01,
+                                   dim=sparse_heads.WIDTH)
+
+
 def q_cross_validate_multilabel(spark, sf):
     """A multi-label stage: sizes and support of the folds that were fitted."""
-    d = fx.table(spark, sf, "documents").join(fx.table(spark, sf, "labels"), "doc_id")
-    counts = d.select("doc_id", "quality", "toxic", training.hashed_counts("text", 32).alias("counts"))
-    cv = training.cross_validate(training.vector_features(counts, "counts"), ["quality", "toxic"],
-                                 ["doc_id"], k=5, max_iter=5)
-    return cv.select("fold", "n_train", "n_valid", hot_text("support").alias("support_text"))
+    return _cross_validated_labels(spark, sf).select("fold", "n_train", "n_valid",
+                                                     hot_text("support").alias("support_text"))
+
+
+def q_cross_validate_multilabel_metrics(spark, sf):
+    return _cross_validated_labels(spark, sf).select("fold", "accuracy", "loss", "f1_macro", "f1_micro")
 
 
 def q_cross_validate_metrics(spark, sf):
     return _cross_validated(spark, sf).select("fold", "accuracy", "loss", "f1_macro", "f1_micro")
 
 
+SPARSE_OUT = 3
+
+
+def sparse_weights(spark):
+    """Given weights of a head at full width, eighths from -6 to 6."""
+    b = F.col("bucket")
+    return spark.range(sparse_heads.WIDTH).select(F.col("id").cast("int").alias("bucket")).select(
+        "bucket", F.array(*[((b * (2 * j + 3) + j) % 13 - 6) / 8.0 for j in range(SPARSE_OUT)]).alias("weights"))
+
+
+def q_head_predict_hashed(spark, sf):
+    """A head of 2^18 buckets with given weights, saved and loaded again,
+    over the tokens of whole texts."""
+    path = scratch_path(spark, "sparse-head")
+    sparse_heads.SparseHead(sparse_weights(spark), [0.5 * j for j in range(SPARSE_OUT)]).save(path)
+    head = sparse_heads.SparseHead.load(spark, path)
+    out = head.predict(fx.table(spark, sf, "documents"), ["doc_id"], "text")
+    return out.select("doc_id", *[F.round(F.get("logits", F.lit(j)), R).alias(f"logit{j}") for j in range(SPARSE_OUT)], "prediction")
+
+
 QUERIES = {
     # sources / sinks
     "cascade_predict_python": q_cascade_predict_python,
@@ -621,6 +645,8 @@ QUERIES = {
     "head_predict": q_head_predict,
     "cross_validate_multilabel": q_cross_validate_multilabel,
     "cross_validate_metrics": q_cross_validate_metrics,
+    "cross_validate_multilabel_metrics": q_cross_validate_multilabel_metrics,
+    "head_predict_hashed": q_head_predict_hashed,
     "read_corpus": q_read_corpus,
     "read_legacy_polarity": q_read_legacy_polarity,
     "write_stage_csv": q_write_stage_csv,

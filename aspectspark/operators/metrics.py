@@ -198,23 +198,29 @@ def prediction_distribution(df: DataFrame, p: str = "p", n_classes: int = 3) ->
 
 
 def _clamped_log(x):
-    return F.when(x <= 0, F.lit(-100.0)).otherwise(F.greatest(F.log(x), F.lit(-100.0)))
+    return F.when(x <= 0, F.lit(-100.0)).when(x > 0, F.greatest(F.log(x), F.lit(-100.0)))
 
 
 def bce_loss(df: DataFrame, label: str = "label", prob: str = "prob") -> DataFrame:
     """Mean binary cross-entropy over every cell (logs clamped at -100,
     as torch's BCELoss does).  Summed per row with ``aggregate``, then one
-    global average -- no explode."""
+    global average -- no explode.  A row with a NULL vector or component
+    counts neither in the sum nor in the divisor."""
     cells = F.zip_with(F.col(label), F.col(prob), lambda y, q: -(
         y * _clamped_log(q) + (1 - y) * _clamped_log(1 - q)))
     row_sum = F.aggregate(cells, F.lit(0.0), lambda a, v: a + v)
-    s = df.agg(F.sum(row_sum).alias("_s"), F.sum(F.size(label)).alias("_n"))
+    s = df.select(row_sum.alias("_s"), F.size(label).alias("_n")).where("_s IS NOT NULL").agg(
+        F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
     return s.select((F.col("_s") / F.col("_n")).alias("bce"))
 
 
 def cross_entropy_loss(df: DataFrame, y: str = "y", scores: str = "scores") -> DataFrame:
     """Mean softmax cross-entropy ``logsumexp(s) - s[y]``; the
-    reference feeds sigmoid outputs, so ``scores`` are probabilities."""
+    reference feeds sigmoid outputs, so ``scores`` are probabilities.  A row
+    with a NULL class or score takes no part; a class without a score is an
+    error."""
     s = F.col(scores)
+    err = F.raise_error(F.concat(F.lit("class code without a score: "), F.col(y).cast("string")))
+    own = F.when((F.col(y) < 0) | (F.col(y) >= F.size(s)), err).otherwise(F.get(s, F.col(y)))
     lse = F.log(F.aggregate(s, F.lit(0.0), lambda a, v: a + F.exp(v)))
-    return df.agg(F.avg(lse - F.get(s, F.col(y))).alias("ce"))
+    return df.agg(F.avg(F.when(s.isNotNull(), lse - own)).alias("ce"))

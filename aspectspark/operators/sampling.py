@@ -50,18 +50,18 @@ def ranked(df: DataFrame, okey: str, tiebreak: list[str], lead: list[str] = (),
         totals = totals.withColumn("_start", F.coalesce(
             F.sum("_n").over(before(Window.partitionBy(*partition).orderBy(*lead))), F.lit(0))
         ).withColumn("_total", F.sum("_n").over(Window.partitionBy(*partition))).drop("_n")
-        starts = _null_safe(in_lead.drop("_n"), totals, own)
+        starts = null_safe_join(in_lead.drop("_n"), totals, own)
     else:
         starts = in_lead.withColumn("_start", F.lit(0)).withColumn(
             "_total", F.sum("_n").over(Window.partitionBy(*partition))).drop("_n")
     w_local = Window.partitionBy(*own, "_b").orderBy(okey, *tiebreak)
     local = x.withColumn("_rn", F.row_number().over(w_local) - 1)
-    return (_null_safe(local, starts, [*own, "_b"])
+    return (null_safe_join(local, starts, [*own, "_b"])
             .withColumn(name, (F.col("_start") + F.col("_in") + F.col("_rn")).cast("bigint"))
             .drop("_b", "_rn", "_start", "_in"))
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on equal keys, NULL equal to NULL; keys once."""
     renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                            *[c for c in right.columns if c not in keys])
@@ -76,39 +76,43 @@ def sample_exact(df: DataFrame, class_col: str, sizes: dict, keys: list[str],
     """Exactly ``sizes[c]`` rows of class ``c``, without replacement,
     the rows with the smallest ``md5('seed:key')``.
 
-    The rank is the two-level one (:func:`ranked`) at every size, so no task
-    holds a class.  ``on_short='fail'`` raises when a class has fewer rows
-    than requested (also when it has none); ``'take_all'`` keeps what there
-    is.  The check rides along in the same pass: one marker row per
-    requested class is ranked first in its class, and that row raises when
-    its class comes up short.
+    A distributed order statistic: the rows of a class are counted by md5
+    prefix (a partial aggregate), the prefix in which the sample ends is
+    found from these counts, and rows beyond it are filtered out before
+    anything is shuffled.  What is left, the sample and the rest of one
+    bucket, is ranked by (class, bucket).  ``on_short='fail'`` raises when a
+    class has fewer rows than requested (also when it has none);
+    ``'take_all'`` keeps what there is.  A number per requested class and the
+    cut reach the driver, never rows.
     """
     if on_short not in ("fail", "take_all"):
         raise ValueError("on_short must be 'fail' or 'take_all'")
-    spark = df.sparkSession
-    x = df.withColumn("_okey", seeded_md5(seed, *keys)).withColumn("_m", F.lit(False))
-    off = 0
-    if on_short == "fail":
-        ctype = df.schema[class_col].dataType
-        markers = (spark.createDataFrame([(c,) for c in sizes], [class_col])
-                   .select(F.col(class_col).cast(ctype).alias(class_col),
-                           F.lit("").alias("_okey"), F.lit(True).alias("_m")))
-        x = x.unionByName(markers, allowMissingColumns=True)
-        off = 1
-    need = F.try_element_at(
-        F.create_map(*[v for c, n in sizes.items() for v in (F.lit(c), F.lit(n))]),
-        F.col(class_col))
-    r = ranked(x, "_okey", list(keys), partition=[class_col], prefix_len=prefix_len,
-               name="_rn").withColumn("_got", F.col("_total") - off)
-    err = F.raise_error(F.concat(F.lit("sample_exact: class too small: "),
-                                 F.col(class_col).cast("string")))
-    # one CASE, not a conjunction: the optimizer must not push "not a
-    # marker" below the rank and drop the markers before they are checked
-    keep = (F.when(F.col("_m") & (F.col("_got") < need), err)
-             .when(F.col("_m"), F.lit(False))
-             .otherwise(F.col("_rn") - off < need))
-    r = r.filter(keep)
-    return r.drop("_okey", "_m", "_rn", "_got", "_total")
+    wanted = df.filter(F.col(class_col).isin(*sizes)) if sizes else df.limit(0)
+    have = {r[0]: r[1] for r in wanted.groupBy(class_col).count().collect()}
+    short = {c: have.get(c, 0) for c, n in sizes.items() if have.get(c, 0) < n}
+    if short and on_short == "fail":
+        raise ValueError(f"sample_exact: class too small: {short} of {sizes}")
+    digits = prefix_len or _digits(max(have.values(), default=0))
+    x = wanted.withColumn("_okey", seeded_md5(seed, *keys)).withColumn("_b", F.substring("_okey", 1, digits))
+
+    def of_class(values: dict):
+        return F.try_element_at(F.create_map(*[F.lit(v) for item in values.items() for v in item]), F.col(class_col))
+
+    cut_classes = {c: n for c, n in sizes.items() if have.get(c, 0) > n}
+    if not cut_classes:
+        return x.drop("_okey", "_b")
+    counts = x.filter(F.col(class_col).isin(*cut_classes)).groupBy(class_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(class_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    ends = counts.withColumn("_upto", upto).filter(F.col("_upto") >= of_class(cut_classes))
+    # the first bucket that reaches the size, and the rows before it
+    cuts = ends.groupBy(class_col).agg(F.min("_b").alias("_b"), F.min(F.col("_upto") - F.col("_n")).alias("_start")).collect()
+    last = of_class({r[class_col]: r["_b"] for r in cuts})
+    left = of_class({r[class_col]: cut_classes[r[class_col]] - r["_start"] for r in cuts})
+    near = x.filter(last.isNull() | (F.col("_b") <= last))
+    rank = F.row_number().over(Window.partitionBy(class_col, "_b").orderBy("_okey", *keys))
+    return (near.withColumn("_rn", rank)
+            .filter(last.isNull() | (F.col("_b") < last) | (F.col("_rn") <= left))
+            .drop("_okey", "_b", "_rn"))
 
 
 def materialized(df: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ def concat_splits(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def merge_stage_outputs(direct: DataFrame, routed: DataFrame) -> DataFrame:
+def merge_stage_outputs(direct: DataFrame, routed: DataFrame | None = None) -> DataFrame:
     """U4: direct stage-0 categories plus categories routed through the
-    fine stage, in one frame."""
-    return direct.unionByName(routed)
+    fine stage, in one frame.  The cascade tags both in one pass
+    (``routed``); such a frame alone is merged already."""
+    return direct if routed is None else direct.unionByName(routed)

@@ -586,6 +586,18 @@ FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:0:' || CAST(o_order
 SQL["head_predict"] = W(_LOG) + """
 SELECT vec_id, CAST(arg_max(j, (v, -j)) AS INTEGER) AS prediction FROM lg2 GROUP BY vec_id"""
 
+# eighths: the weights of the head by bucket and output, fixed for the check
+SQL["head_predict_hashed"] = f"""
+WITH tk AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPLIT}'), lambda t: t <> '') AS toks FROM documents),
+bk AS (
+  SELECT doc_id, list_transform(toks, lambda t: CAST('0x' || substr(md5(t), 1, 6) AS BIGINT) % 262144) AS bs FROM tk),
+lg AS (
+  SELECT doc_id, list_transform([0, 1, 2], lambda j: 0.5 * j + coalesce(list_sum(list_transform(bs,
+    lambda b: CAST((b * (2 * j + 3) + j) % 13 - 6 AS DOUBLE) / 8.0)), 0.0)) AS l FROM bk)
+SELECT doc_id, round(l[1], 6) AS logit0, round(l[2], 6) AS logit1, round(l[3], 6) AS logit2,
+  CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS prediction FROM lg"""
+
 SQL["cross_validate"] = """
 WITH folds AS (
   SELECT label, CAST((row_number() OVER (ORDER BY label, md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) - 1) % 5

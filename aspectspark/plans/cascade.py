@@ -37,10 +37,10 @@ def named_scorers(name: str, **kw) -> dict:
 
 
 def distinct_sentences(corpus: DataFrame, text: str = "sentence_form") -> DataFrame:
-    """``sentence_key, text``: one row per distinct sentence (partial
-    aggregate first, so repeated texts are merged map-side)."""
-    return (corpus.select(F.md5(text).alias("sentence_key"), F.col(text).alias("text"))
-                  .dropDuplicates(["sentence_key"]))
+    """``sentence_key, text``: one row per distinct sentence.  Both columns
+    are keys of one hash aggregate (equal texts have equal keys), so repeated
+    texts are merged map-side and no text is sorted."""
+    return corpus.select(F.md5(text).alias("sentence_key"), F.col(text).alias("text")).distinct()
 
 
 def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
@@ -80,12 +80,7 @@ def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
     s0 = obs(s0, "stage1", F.when(F.get("hot0", HEAD) == 1, 1).otherwise(0))
     routing = (s0.withColumn("_s1", scorers["category"].column(build_prompt("category", "text"), need1))
                  .withColumn("hot1", threshold_decode_or_top1("_s1", threshold)).drop("_s1"))
-    direct = F.filter(F.sequence(F.lit(0), F.lit(HEAD - 1)), lambda i: F.get("hot0", i) == 1)
-    routed = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(len(CATEGORIES) - HEAD - 1)),
-                 lambda i: F.coalesce(F.get("hot1", i), F.lit(0)) == 1),
-        lambda i: i + HEAD)
-    cats = routing.select(*k, "text", F.explode(F.concat(direct, routed)).alias("category"))
+    cats = routing.select(*k, "text", F.explode(_categories()).alias("category"))
     cats = obs(cats.withColumn("routed", F.col("category") >= HEAD), "stage2")
 
     cname = name_of("category", CATEGORIES)
@@ -103,6 +98,40 @@ def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,
             "sentiments": sentiments}
 
 
+def stage_totals(sentences: DataFrame, scorers: dict, threshold: float = 0.5) -> DataFrame:
+    """A4 of the cascade: ``stage, n``, the rows that enter each stage, from
+    one pass over the sentences.  A sentence counts itself and its way to
+    stage 1 with its first category; the topics of a category are counted,
+    not exploded; polarities are not scored."""
+    first = sentences.withColumn("_s0", scorers["trinary"].column(build_prompt("trinary", "text"))).withColumn(
+        "hot0", threshold_decode_or_top1("_s0", threshold))
+    to_fine = F.coalesce(F.get("hot0", HEAD) == 1, F.lit(False))
+    second = first.withColumn("_s1", scorers["category"].column(build_prompt("category", "text"), to_fine)).withColumn(
+        "hot1", threshold_decode_or_top1("_s1", threshold))
+    cats = second.select("text", to_fine.alias("fine"), F.posexplode_outer(_categories()).alias("pos", "category"))
+    cname = name_of("category", CATEGORIES)
+    scored = cats.withColumn("_s2", scorers["topic"].column(build_prompt("topic", "text", cname)))
+    topics = F.aggregate(threshold_decode_or_top1("_s2", threshold), F.lit(0), lambda n, x: n + x)
+    once = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    sums = scored.select(once.cast("int").alias("n0"), (once & F.col("fine")).cast("int").alias("n1"),
+                         F.col("category").isNotNull().cast("int").alias("n2"), F.coalesce(topics, F.lit(0)).alias("n3")).agg(
+        *[total(f"n{i}").alias(f"n{i}") for i in range(4)])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(f"stage{i}").alias("stage"), F.col(f"n{i}").alias("n"))
+                                           for i in range(4)])).alias("x")).select("x.*")
+
+
+def _categories():
+    """Codes of the categories of ``hot0`` and ``hot1``: the direct ones of
+    stage 0, then those of stage 1."""
+    direct = F.filter(F.sequence(F.lit(0), F.lit(HEAD - 1)), lambda i: F.get("hot0", i) == 1)
+    routed = F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(len(CATEGORIES) - HEAD - 1)),
+                 lambda i: F.coalesce(F.get("hot1", i), F.lit(0)) == 1),
+        lambda i: i + HEAD)
+    return F.concat(direct, routed)
+
+
 def fold_by_sentence(sentiments: DataFrame, keys: tuple[str, ...] = ("sentence_key",)) -> DataFrame:
     """A3 for the cascade: per sentence the list of [aspect, polarity] in the
     reference's output order (category code, then topic code).  Each

@@ -8,14 +8,15 @@ Two kinds exist:
   cascade can be checked end to end.
 * :class:`PandasScorer` -- any Python model (onnxruntime, numpy, ...), run
   on Arrow batches by an iterator pandas UDF.  The model is loaded once per
-  task by ``loader()``, never per row, and only rows that need a score are
-  sent to it.
+  Python worker by ``loader()`` and stays for later tasks; only rows that
+  need a score are sent to it, those of like length together.
 
 ``SCORERS`` is the registry by name, like the reference's model loader.
 """
 
 
 import hashlib
+import uuid
 from typing import Callable, Iterator
 
 import numpy as np
@@ -54,13 +55,34 @@ def md5_scores_py(prompts: list[str], n_labels: int, members=None) -> np.ndarray
     return out
 
 
+#: Models that a Python worker keeps; beyond that the one unused for longest goes.
+KEPT_MODELS = 8
+_MODELS: dict[str, Callable] = {}
+
+
+def worker_model(key: str, loader: Callable[[], Callable]) -> Callable:
+    """The model of ``key`` in this Python worker, loaded if it has none."""
+    model = _MODELS.pop(key, None)
+    if model is None:
+        model = loader()
+    _MODELS[key] = model            # last in order: used last
+    while len(_MODELS) > KEPT_MODELS:
+        del _MODELS[next(iter(_MODELS))]
+    return model
+
+
 class PandasScorer:
     """Python model on Arrow batches.  ``loader()`` returns a callable
-    ``model(list[str]) -> array (n, n_labels)``; it runs once per task."""
+    ``model(list[str]) -> array (n, n_labels)``; it runs once per Python
+    worker and ``key`` (by default the scorer's own).
+
+    A batch goes to the model in order of length, so a model that pads its
+    input pads little; the scores come back in the order of the rows."""
 
-    def __init__(self, n_labels: int, loader: Callable[[], Callable]):
+    def __init__(self, n_labels: int, loader: Callable[[], Callable], key: str | None = None):
         self.n_labels = n_labels
         self.loader = loader
+        self.key = key or uuid.uuid4().hex
 
     def column(self, prompt: Column, mask: Column | None = None) -> Column:
         import pandas as pd
@@ -68,14 +90,17 @@ class PandasScorer:
         from aspectspark.session import ship_package
 
         ship_package(SparkSession.getActiveSession())
-        loader, n = self.loader, self.n_labels
+        loader, n, key = self.loader, self.n_labels, self.key
 
         @F.pandas_udf("array<double>")
         def _score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            model = loader()
+            from aspectspark.plans.scorers import worker_model
+
+            model = worker_model(key, loader)
             for s in batches:
                 out = [None] * len(s)
                 todo = np.flatnonzero(s.notna().to_numpy())
+                todo = todo[np.argsort(s.iloc[todo].str.len().to_numpy(dtype=np.int64), kind="stable")]
                 if len(todo):
                     res = np.asarray(model(s.iloc[todo].tolist()), dtype=np.float64)
                     for j, row in zip(todo, res.reshape(-1, n)):

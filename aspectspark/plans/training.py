@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from aspectspark.functions.text import tokens
 from aspectspark.functions.vectors import argmax, hot_text, linear_head, sigmoid, threshold_decode
 from aspectspark.operators.metrics import one_hot
-from aspectspark.operators.sampling import fold_split, stratified_kfold
+from aspectspark.operators.sampling import null_safe_join, stratified_kfold
+from aspectspark.plans import fitting
 from aspectspark.session import shared_dir
 
 
@@ -116,63 +117,104 @@ def train_head(df: DataFrame, label: str | list[str], kind: str = "multiclass",
                       [float(m.intercept) for m in models], kind)
 
 
-def fold_metrics(pred: DataFrame, n: int, kind: str) -> DataFrame:
-    """One row from ``label`` and ``hot`` (0/1 vectors of width ``n``) and
-    ``prob``, in one aggregate: n_valid, per class support, number predicted
-    and F1, exact-match accuracy, macro and micro F1, and the loss (binary
-    cross-entropy over all cells, or -log of the true class)."""
+def targets(df: DataFrame, label: str | list[str], kind: str, n_classes: int | None = None):
+    """0/1 per output (NULL if a label is), and the number of outputs."""
+    if kind == "multilabel":
+        labels = [label] if isinstance(label, str) else list(label)
+        known = F.lit(True)
+        for c in labels:
+            known = known & F.col(c).isNotNull()
+        return F.when(known, F.array(*[F.col(c).cast("int") for c in labels])), len(labels)
+    # one number reaches the driver, never rows
+    n = n_classes or df.agg(F.max(label)).first()[0] + 1
+    return F.when(F.col(label).isNotNull(), one_hot(label, n)), n
+
+
+def fold_metrics(pred: DataFrame, n: int, kind: str, by: str = "fold") -> DataFrame:
+    """One row per fold from ``label`` and ``hot`` (0/1 vectors of width
+    ``n``) and ``prob``, in one aggregate: n_valid, per class support, number
+    predicted and F1, exact-match accuracy, macro and micro F1, and the loss
+    (binary cross-entropy over all cells, or -log of the true class).
+
+    A row without a label or without probabilities is a miss; the loss is
+    the mean over the rows that have both."""
     y, h, q = (lambda i: F.get("label", F.lit(i))), (lambda i: F.get("hot", F.lit(i))), F.col("prob")
-    safe = lambda x: F.greatest(F.log(F.greatest(x, F.lit(1e-300))), F.lit(-100.0))
+    safe = lambda x: F.when(x.isNotNull(), F.greatest(F.log(F.greatest(x, F.lit(1e-300))), F.lit(-100.0)))
     if kind == "multilabel":
         cells = F.zip_with("label", q, lambda a, p: -(a * safe(p) + (1 - a) * safe(1 - p)))
         loss = F.aggregate(cells, F.lit(0.0), lambda a, v: a + v) / n
     else:
         loss = -safe(F.get(q, F.array_position("label", 1).cast("int") - 1))
-    per_class = lambda name, cell: F.array(*[F.sum(cell(i)) for i in range(n)]).alias(name)
-    sums = pred.agg(F.count(F.lit(1)).alias("n_valid"),
-                    F.avg(F.coalesce(F.col("label") == F.col("hot"), F.lit(False)).cast("double")).alias("accuracy"),
-                    F.avg(loss).alias("loss"), per_class("support", y), per_class("predicted", h),
-                    per_class("tp", lambda i: y(i) * h(i)))
+    per_class = lambda name, cell: F.array(*[F.coalesce(F.sum(cell(i)), F.lit(0)) for i in range(n)]).alias(name)
+    sums = pred.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n_valid"),
+        F.avg(F.coalesce(F.col("label") == F.col("hot"), F.lit(False)).cast("double")).alias("accuracy"),
+        F.avg(loss).alias("loss"), per_class("support", y), per_class("predicted", h),
+        per_class("tp", lambda i: y(i) * h(i)))
     # tp + fp = predicted, tp + fn = support
     f1 = F.transform(F.arrays_zip("tp", "support", "predicted"), lambda x: F.coalesce(
         F.try_divide(2.0 * x["tp"], (x["support"] + x["predicted"]).cast("double")), F.lit(0.0)))
     total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, v: a + v)
     out = sums.withColumn("f1", f1)
     return out.select(
-        "n_valid", "support", "predicted", "f1", "accuracy", "loss",
+        by, "n_valid", "support", "predicted", "f1", "accuracy", "loss",
         (F.aggregate("f1", F.lit(0.0), lambda a, v: a + v) / n).alias("f1_macro"),
         F.coalesce(F.try_divide(2.0 * total("tp"), (total("support") + total("predicted")).cast("double")),
                    F.lit(0.0)).alias("f1_micro"))
 
 
+def fold_rows(df: DataFrame, label: str | list[str], keys: list[str], k: int, n_classes: int | None, features: str,
+              seed=42) -> tuple[DataFrame, int]:
+    """features, target and fold of every row, and the number of outputs.
+
+    Only the keys and folds are checkpointed; the features are read again
+    and joined with them.  ``keys`` name a row: equal ones are an error.
+    """
+    shared_dir(df.sparkSession)          # the cluster's checkpoint dir (set in tests only)
+    many = not isinstance(label, str)
+    stratum = hot_text(F.array(*label)) if many else F.col(label)
+    ranked = stratified_kfold(df.select(*keys, stratum.alias("_stratum")), "_stratum", keys, k=k, seed=seed)
+    folds = ranked.select(*keys, "fold").checkpoint(eager=True)
+    if not folds.groupBy(*keys).count().where("count > 1").isEmpty():
+        raise ValueError(f"rows with equal {keys}: folds are given by key")
+    target, n = targets(df, label, "multilabel" if many else "multiclass", n_classes)
+    vec = F.col(features) if df.schema[features].dataType.typeName() == "array" else vector_to_array(F.col(features))
+    rows = null_safe_join(df.select(*keys, vec.alias("features"), target.alias("target")), folds, keys)
+    return rows.select("features", "target", "fold"), n
+
+
 def cross_validate(df: DataFrame, label: str | list[str], keys: list[str], k: int = 5,
                    n_classes: int | None = None, features: str = "features",
-                   seed=42, max_iter: int = 50) -> DataFrame:
-    """M3: stratified k-fold (W2) -> per fold fit on train (W3) and score the
-    validation part: ``fold, n_train`` and :func:`fold_metrics`.
+                   seed=42, max_iter: int = 50, reg: float = 0.0, dim: int | None = None) -> DataFrame:
+    """M3: stratified k-fold (W2), a head per fold on the rows of the others
+    (W3), and its scores on the fold: ``fold, n_train`` and
+    :func:`fold_metrics`.
 
     ``label``: one integer column (single-label stage), or a list of 0/1
     columns (multi-label stage, stratified by their combination).  Train and
     dev rows go in together, as one frame (``unions.concat_splits``).
+    ``features``: vectors, or the buckets of the tokens (array<int>) with
+    their number ``dim``.
 
-    The fold table is checkpointed to the shared checkpoint directory
-    first: it feeds k fits and k evaluations, and a lost executor must not
-    replay the whole lineage for each of them.
+    All folds are fitted together, one scan per step for all of them, and
+    scored in one more (:mod:`aspectspark.plans.fitting`).  The rows are kept
+    in the executors' memory or on their disks for that; a lost executor
+    costs a read of its part of the source and of the checkpointed folds.
     """
-    shared_dir(df.sparkSession)          # the cluster's checkpoint dir (set in tests only)
-    many = not isinstance(label, str)
-    kind = "multilabel" if many else "multiclass"
-    df = df.withColumn("_stratum", hot_text(F.array(*label)) if many else F.col(label))
-    folded = stratified_kfold(df, "_stratum", keys, k=k, seed=seed).checkpoint(eager=True)
-    # one number reaches the driver, never rows
-    n = len(label) if many else n_classes or (folded.agg(F.max(label)).first()[0] + 1)
-    rows = None
-    for f in range(k):
-        train, valid = fold_split(folded, f)
-        pred = train_head(train, label, kind, features, max_iter).predict(valid, features)
-        pred = (pred.select(F.array(*label).alias("label"), "hot", "prob") if many else
-                pred.select(one_hot(label, n).alias("label"), one_hot("prediction", n).alias("hot"), "prob"))
-        row = fold_metrics(pred, n, kind).select(
-            F.lit(f).alias("fold"), F.lit(train.count()).alias("n_train"), "*")
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    kind = "multiclass" if isinstance(label, str) else "multilabel"
+    rows, n = fold_rows(df, label, keys, k, n_classes, features, seed)
+    rows = rows.persist()
+    total = rows.count()
+    if dim is None:
+        dim = rows.agg(F.max(F.size("features"))).first()[0] or 0
+    problems = fitting.problems_of(list(range(k)), n, kind)
+    fits = fitting.fit_problems(rows, problems, dim, kind, max_iter, reg)
+    pred = fitting.scored(rows, fitting.stacked(problems, fits), dim, kind)
+    hot = threshold_decode("prob") if kind == "multilabel" else F.when(F.col("prob").isNotNull(), one_hot("_p", n))
+    pred = pred.withColumn("_p", argmax("prob")).select("fold", F.col("target").alias("label"), hot.alias("hot"), "prob")
+    found = fold_metrics(pred, n, kind)
+    every = df.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))
+    out = every.join(found, "fold", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0).cast("bigint")))
+    out = out.select("fold", (F.lit(total) - F.col("n_valid")).alias("n_train"), *found.columns[1:]).checkpoint(eager=True)
+    rows.unpersist()
+    return out

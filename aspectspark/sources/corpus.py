@@ -86,22 +86,28 @@ def read_members(spark: SparkSession, root: str, id_type: str = "string",
     (sorted; the reference used the arbitrary ``os.listdir`` order).
     ``layout='dirs'``: root/<member>/part-*; ``'files'``: root/<member>.
 
-    Ranking the names needs neither a second scan nor a shuffle: it is a
-    literal map lookup.  ``names`` gives the members; without it they come
-    from the file listing (``inputFiles()``, metadata only, one entry per
-    file), which a large run should not pull to the driver.  A file of no
-    named member has a NULL member.
+    ``names`` gives the members; without it the distinct names of the files'
+    members are found on the executors, from paths alone (no content is
+    read), and only these names, one per member, reach the driver.  The rank
+    is then a literal map lookup, without a shuffle.  A file of no named
+    member is an error.
     """
     raw = (spark.read.schema(RAW_CORPUS).option("mode", "FAILFAST")
                 .option("recursiveFileLookup", True).json(root.rstrip("/")))
     idx = -2 if layout == "dirs" else -1
-    names = sorted(names if names is not None else {f.rstrip("/").split("/")[idx] for f in raw.inputFiles()})
-    rank = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), idx)
+    member_of = lambda path: F.element_at(F.split(path, "/"), idx)
+    if names is None:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root.rstrip("/"))
+                      .select(member_of(F.col("path")).alias("name")).distinct())
+        names = [r["name"] for r in files.collect()]
+    ranks = [F.lit(x) for i, n in enumerate(sorted(names)) for x in (n, i)]
+    name = member_of(F.col("_metadata.file_path"))
+    err = F.raise_error(F.concat(F.lit("file of an unknown member: "), name))
+    rank = F.coalesce(F.try_element_at(F.create_map(*ranks), name), err.cast("int")) if ranks else F.lit(None)
     ann = F.transform(_annotation_structs(F.coalesce("annotation", F.array())),
                       lambda a: F.struct(a["aspect"].alias("aspect"),
                                          a["polarity"].alias("polarity")))
-    return raw.select(F.try_element_at(rank, name).cast("int").alias("member"),
+    return raw.select(rank.cast("int").alias("member"),
                       F.col("id").cast(id_type).alias("id"), "sentence_form",
                       ann.alias("annotation"))
 

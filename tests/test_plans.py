@@ -36,7 +36,8 @@ def _final(df):
 @pytest.fixture(scope="module")
 def finals(spark):
     return {n: _final(f(spark, SF001)) for n, f in QUERIES.items()
-            if n not in ("train_head", "cross_validate", "cross_validate_metrics", "cross_validate_multilabel")}
+            if n not in ("train_head", "cross_validate", "cross_validate_metrics", "cross_validate_multilabel",
+                         "cross_validate_multilabel_metrics")}
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +89,23 @@ def test_unpartitioned_windows_only_over_small_tables(finals):
                "epoch_batches_all", "encode_tokens", "segment_ids"}
     seen = {n for n, (_p, k) in finals.items() if k}
     assert seen and seen <= allowed, seen
+
+
+def test_distinct_sentences_sort_no_text(plans):
+    assert "SortAggregate" not in plans["cascade_predict"]
+
+
+def test_cascade_counts_and_categories_read_the_corpus_once(plans):
+    for n in ("cascade_stage_counts", "merge_stage_outputs"):
+        assert plans[n].count("FileScan parquet") == 1, n
+
+
+def test_sampling_filters_before_it_shuffles(plans):
+    # rows beyond the cut prefix leave before the exchange of the ranked rows
+    p = plans["sample_exact"]
+    assert re.search(r"Exchange hashpartitioning\(label[^\n]*\n(.*\n)*?[^\n]*Filter [^\n]*<=", p) and p.count("Window") >= 1
+
+
+def test_hashed_head_shuffles_sums_only(plans):
+    p = plans["head_predict_hashed"]
+    assert len(re.findall(r"Exchange hashpartitioning", p)) == 1 and "SortMergeJoin" not in p
