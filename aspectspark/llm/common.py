@@ -41,6 +41,13 @@ def text_key(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")
 
 
+def rest_key(df: DataFrame, without: Sequence[str]) -> Column:
+    """Hash of the columns beyond ``without``, of any type, maps too: rows
+    that agree in those and in this are equal."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in without]
+    return F.xxhash64(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})) if rest else F.lit(0).cast("long")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: the lineage ends in files
     that every executor sees, so a lost executor costs no recomputation."""

@@ -28,6 +28,9 @@ SAMPLE = 20_000
 MAX_CENTROIDS = 256
 CELL = 50
 
+#: Parts in which copies of a vector are looked through.
+PARTS = 64
+
 #: Entries that the first walk visits, and entries or queries of one block.
 FIRST = 500
 BLOCK = 4096
@@ -96,6 +99,11 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
 
 
+def _filled(vector: str, width: int) -> Column:
+    """The vector with zeros up to ``width``."""
+    return F.concat(vector, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(vector)))
+
+
 def usable(vector: Column) -> Column:
     """No null or non-finite component, and not all zero."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -103,12 +111,27 @@ def usable(vector: Column) -> Column:
 
 
 def _entries(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """row (a number of its own), id and v of every row that takes part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    return rows.where(F.col("id").isNotNull() & usable(F.col("v"))).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.where(F.col("id").isNotNull() & usable(F.col("v"))).select(
+        F.monotonically_increasing_id().alias("row"), "id", "v")
+
+
+def _leading(entries: DataFrame, k: int) -> DataFrame:
+    """Of equal vectors the rows that can be among the ``k`` nearest of any
+    query: those of the k + 1 smallest ids, k of each at most.  Copies fall
+    out in hashed parts first, so no task holds all copies of a vector."""
+    keys = [F.xxhash64("v"), F.xxhash64(F.lit(1), "v")]
+    for part in ([F.pmod(F.xxhash64("row", F.lit(29)), F.lit(PARTS))], []):
+        by_id = Window.partitionBy(*keys, *part).orderBy("id")
+        own = Window.partitionBy(*keys, *part, "id").orderBy("row")
+        entries = entries.withColumns({"nth": F.dense_rank().over(by_id), "copy": F.row_number().over(own)}).where(
+            (F.col("nth") <= k + 1) & (F.col("copy") <= k)).drop("nth", "copy")
+    return entries
 
 
 def _fit(entries: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = entries.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(SAMPLE).collect()
+    rows = entries.orderBy(F.xxhash64("id", F.lit(17)), "id", "v").limit(SAMPLE).collect()
     points = np.array([r["v"] for r in rows], dtype=np.float64)
     k = int(min(MAX_CENTROIDS, len(points), max(2, round((total / CELL) ** 0.5))))
     half = max(1, points.shape[1] // 2)
@@ -127,30 +150,32 @@ def _assign(entries: DataFrame, centres) -> DataFrame:
             yield frame.assign(c1=c1, c2=c2, d1=np.linalg.norm(p1 - left[c1], axis=1),
                                d2=np.linalg.norm(p2 - right[c2], axis=1))
 
-    return entries.mapInPandas(scan, "id long, v array<double>, c1 int, c2 int, d1 double, d2 double")
+    return entries.select("id", "v").mapInPandas(scan, "id long, v array<double>, c1 int, c2 int, d1 double, d2 double")
 
 
 def _search(cells: DataFrame, queries: DataFrame, blocks: DataFrame, query_parts: int, k: int) -> DataFrame:
-    """query, id and exact score of the k best entries in each block of the
-    cells that a query visits, if they reach its bound.
+    """query (a row number), id and exact score of the k best entries in each
+    block of the cells that a query visits, if they reach its bound.
 
     Entries with one left centroid are dealt to as many blocks as they fill,
-    and so are the queries; a block of either meets all of the other, so no
-    task holds more than a block of each.
+    and so are the queries that visit it; an entry is copied to the blocks of
+    queries that do, to no others.  No task holds more than a block of each.
     """
-    entries = cells.join(F.broadcast(blocks), "c1").withColumn(
-        "part", F.pmod(F.xxhash64("id", F.lit(19)), F.col("parts")).cast("int")).withColumn(
-        "query_part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))).select("c1", "part", "query_part", "id", "v", "c2")
     asked = queries.join(F.broadcast(blocks), "c1").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
-        "query_part", F.pmod(F.xxhash64("query", F.lit(23)), F.lit(query_parts)).cast("int")).select(
-        "c1", "part", "query_part", "query", "v", "bound", "visits")
+        "query_part", F.pmod(F.xxhash64("query", F.lit(23)), F.lit(query_parts)).cast("int"))
+    visiting = asked.select(F.col("c1").alias("of"), F.col("query_part").alias("by")).distinct()
+    entries = cells.join(F.broadcast(blocks), "c1").withColumn(
+        "part", F.pmod(F.xxhash64("id", "c2", F.lit(19)), F.col("parts")).cast("int")).join(
+        spread_keys(visiting, [F.xxhash64("of", F.lit(3))]), F.col("c1") == F.col("of")).select(
+        "c1", "part", F.col("by").alias("query_part"), "id", "v", "c2")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "c1", "part", "query_part", "query", "own_id", "v", "bound", "visits")
 
     def search(own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(own) and len(asking):
             points, wanted = _matrix(own["v"]), _matrix(asking["v"])
-            ids, names = own["id"].to_numpy(), asking["query"].to_numpy()
+            ids, names, own_ids = own["id"].to_numpy(), asking["query"].to_numpy(), asking["own_id"].to_numpy()
             bound, c2 = asking["bound"].to_numpy(np.float64), own["c2"].to_numpy()
             open_ = np.zeros((len(asking), int(c2.max()) + 1), dtype=bool)
             for i, visits in enumerate(asking["visits"]):
@@ -160,7 +185,7 @@ def _search(cells: DataFrame, queries: DataFrame, blocks: DataFrame, query_parts
             for at in range(0, len(asking), 256):
                 rows = slice(at, at + 256)
                 near = (wanted[rows] @ points.T >= least[rows, None]) & open_[rows][:, c2]
-                q, e = np.nonzero(near & (names[rows, None] != ids[None, :]))
+                q, e = np.nonzero(near & (own_ids[rows, None] != ids[None, :]))
                 q += at
                 score = np.zeros(len(q))
                 for c in range(points.shape[1]):  # in order, so equal vectors score equally
@@ -186,15 +211,15 @@ def _visits(queries: DataFrame, index, walk) -> DataFrame:
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for query, vector, bound in zip(frame["query"], frame["v"], frame["bound"]):
+            for query, own_id, vector, bound in zip(frame["query"], frame["own_id"], frame["v"], frame["bound"]):
                 by: dict[int, list[int]] = {}
                 for i, j in walk(index.value, np.asarray(vector, dtype=np.float64), bound):
                     by.setdefault(i, []).append(j)
-                rows += [(query, vector, bound, i, js) for i, js in by.items()]
-            yield pd.DataFrame(rows, columns=["query", "v", "bound", "c1", "visits"])
+                rows += [(query, own_id, vector, bound, i, js) for i, js in by.items()]
+            yield pd.DataFrame(rows, columns=["query", "own_id", "v", "bound", "c1", "visits"])
 
-    return queries.select("query", "v", "bound").mapInPandas(
-        scan, "query long, v array<double>, bound double, c1 int, visits array<int>")
+    return queries.select("query", "own_id", "v", "bound").mapInPandas(
+        scan, "query long, own_id long, v array<double>, bound double, c1 int, visits array<int>")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
@@ -204,24 +229,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
 
     ``is_query`` is a condition on ``id`` (the id as a long).  Vectors that
     are null, zero, or hold a null or non-finite component take no part, nor
-    do rows without an id or with another length than most (ties: the
-    longer).  Rows with one id are one entry (the least vector).  Ties go to
+    do rows without an id; shorter vectors count as filled up with zeros.
+    Rows of one id are entries of their own, and none of them is another's
+    neighbour; several query rows of one id have a result each.  Ties go to
     the smaller id.  No usable vector: no rows.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     schema = f"query_id long, rank int, {id_col} long, score double"
     entries = materialize(_entries(vectors, id_col, vector_col), "vectors")
-    lengths = entries.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    if not lengths:
+    shape = entries.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    if not shape["n"]:
         return spark.createDataFrame([], schema)
-    entries = entries.where(F.size("v") == lengths[0]["n"])
-    total = lengths[0]["count"]
-    centres = spark.sparkContext.broadcast(_fit(entries, total))
-    # of equal vectors only the k + 1 smallest ids can be among the k nearest
-    equal = Window.partitionBy(F.xxhash64("v"), F.xxhash64(F.lit(1), "v")).orderBy("id")
-    distinct = entries.withColumn("nth", F.row_number().over(equal)).where(F.col("nth") <= k + 1).drop("nth")
-    cells = materialize(_assign(distinct, centres), "vector-cells")
+    entries = entries.withColumn("v", _filled("v", shape["width"]))
+    centres = spark.sparkContext.broadcast(_fit(entries, shape["n"]))
+    cells = materialize(_assign(_leading(entries, k), centres), "vector-cells")
 
     left, right = centres.value
     size = cells.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.max("d1").alias("d1"), F.max("d2").alias("d2")).collect()
@@ -234,15 +256,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     index = spark.sparkContext.broadcast(Index(left, right, *radius, counts))
     blocks = spark.createDataFrame([(i, int(-(-n // BLOCK))) for i, n in enumerate(counts.sum(1).tolist()) if n],
                                    "c1 int, parts int")
-    queries = entries.where(is_query).select(F.col("id").alias("query"), "v", F.lit(float("-inf")).alias("bound"))
+    queries = entries.where(is_query).select(F.col("row").alias("query"), F.col("id").alias("own_id"), "v",
+                                             F.lit(float("-inf")).alias("bound"))
     query_parts = max(1, -(-queries.count() // BLOCK))
 
     enough = max(FIRST, 4 * k)
-    walked = _visits(queries, index, lambda i, q, _: first_cells(i, q, enough))
+    walked = materialize(_visits(queries, index, lambda i, q, _: first_cells(i, q, enough)), "vector-walks")
     bounds = _best(_search(cells, walked, blocks, query_parts, k), k).where(F.col("rank") == k).select(
-        "query", F.col("score").alias("kth"))
-    bounded = materialize(queries.join(spread_keys(bounds, [F.col("kth")]), "query", "left").select(
-        "query", "v", F.coalesce("kth", "bound").alias("bound")), "vector-bounds")
-    visited = _visits(bounded, index, open_cells)
+        F.col("query").alias("of"), F.col("score").alias("kth"))
+    bounded = queries.join(spread_keys(bounds, [F.col("kth")]), F.col("query") == F.col("of"), "left").select(
+        "query", "own_id", "v", F.coalesce("kth", "bound").alias("bound"))
+    visited = materialize(_visits(bounded, index, open_cells), "vector-visits")
     found = _best(_search(cells, visited, blocks, query_parts, k), k)
-    return found.select(F.col("query").alias("query_id"), F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+    named = queries.select(F.col("query").alias("of"), F.col("own_id").alias("query_id"))
+    return found.join(spread_keys(named, [F.xxhash64("of", F.lit(3))]), F.col("query") == F.col("of")).select(
+        "query_id", F.col("rank").cast("int"), F.col("id").alias(id_col), "score")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from aspectspark.llm.common import materialize, spread_keys, text_key
+from aspectspark.llm.common import materialize, rest_key, spread_keys, text_key
 from aspectspark.session import ship_package
 
 SHINGLE = 3
@@ -260,14 +260,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component, that with the smallest id (null
-    last, then by text); of equal rows one stays."""
+    last, then by text); of rows of one id and text one stays.  Other columns
+    may have any type and are never sorted."""
     first = near_duplicates(docs, id_col, text_col, **options).select("first.*").distinct()
-    kept = first.select(F.col("id").alias("i"), F.col("t1").alias("a"), F.col("t2").alias("b"))
     rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"),
-                       *text_key(F.coalesce(F.col(text_col), F.lit(""))))
-    one = rows.groupBy("id", "t1", "t2").agg(F.min("doc").alias("doc"))
-    on = F.col("id").eqNullSafe(F.col("i")) & (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b"))
-    return one.join(spread_keys(kept, [F.col("a")]), on, "left_semi").select("doc.*")
+                       *text_key(F.coalesce(F.col(text_col), F.lit(""))), rest_key(docs, [id_col, text_col]).alias("rest"))
+    # rows of one id and text: that with the least hash of its other columns
+    elected = rows.groupBy("id", "t1", "t2").agg(F.min("rest").alias("r"), F.count("*").alias("n"))
+    null_safe = F.col("id").eqNullSafe(F.col("i")) & (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b"))
+    keys = first.select(F.col("id").alias("i"), F.col("t1").alias("a"), F.col("t2").alias("b"))
+    kept = elected.join(spread_keys(keys, [F.col("a")]), null_safe, "left_semi").select(
+        F.col("id").alias("i"), F.col("t1").alias("a"), F.col("t2").alias("b"), "r", "n")
+    own = rows.join(spread_keys(kept, [F.xxhash64("a", F.lit(3))]), null_safe & (F.col("rest") == F.col("r")))
+    # equal rows are interchangeable
+    one = own.where("n > 1").groupBy("id", "t1", "t2").agg(F.first("doc").alias("doc"))
+    return own.where("n = 1").select("doc.*").unionByName(one.select("doc.*"))
 
 
 def hex_digits(fp: Column) -> Column:

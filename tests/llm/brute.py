@@ -121,20 +121,23 @@ def components(prints, bits=3):
     return [find(i) for i in range(len(points))]
 
 
-def nearest(vectors, queries, k=20):
-    """(query, rank, id, score): sums in order of the components."""
-    ids = sorted(i for i, v in vectors.items() if v is not None and len(v) and all(
-        x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v))
-    matrix = np.array([vectors[i] for i in ids], dtype=np.float64)
+def nearest(rows, is_query, k=20):
+    """(query, rank, id, score) of rows (id, vector), each an entry: sums in
+    order of the components, shorter vectors filled with zeros."""
+    fine = [(i, v) for i, v in rows if i is not None and v is not None and len(v) and all(
+        x is not None and np.isfinite(x) for x in v) and any(x != 0 for x in v)]
+    matrix = np.zeros((len(fine), max((len(v) for _, v in fine), default=0)))
+    for at, (_, v) in enumerate(fine):
+        matrix[at, :len(v)] = v
     out = []
-    for q in ids:
-        if q not in queries:
+    for at, (q, _) in enumerate(fine):
+        if not is_query(q):
             continue
-        score = np.zeros(len(ids))
+        score = np.zeros(len(fine))
         for c in range(matrix.shape[1]):
-            score += matrix[:, c] * float(vectors[q][c])
-        order = sorted((j for j in range(len(ids)) if ids[j] != q), key=lambda j: (-score[j], ids[j]))[:k]
-        out += [(q, r + 1, ids[j], score[j]) for r, j in enumerate(order)]
+            score += matrix[:, c] * matrix[at, c]
+        order = sorted((j for j in range(len(fine)) if fine[j][0] != q), key=lambda j: (-score[j], fine[j][0]))[:k]
+        out += [(q, r + 1, fine[j][0], score[j]) for r, j in enumerate(order)]
     return out
 
 

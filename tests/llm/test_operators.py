@@ -160,8 +160,32 @@ def test_nearest_equals_brute_force(spark):
              (None, some[3], "", ""), (40, some[40], "again", "")]
     out = multi_index.nearest(vectors(spark, rows), F.col("id") % 20 == 0)
     found = sorted(tuple(r) for r in out.collect())
-    table = {i: v for i, v, *_ in rows if i is not None and i != 2100}
-    assert found == sorted(brute.nearest(table, {i for i in table if i % 20 == 0}))
+    assert found == sorted(brute.nearest([r[:2] for r in rows], lambda i: i % 20 == 0))
+
+
+def test_nearest_keeps_every_row_of_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.875, 0.125]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [0.0, 2.0])] + [(7, [5.0, 0.0])] * 30
+    rows += [(40, [5.0, 0.0])] * 25 + [(41, [5.0, 0.0]), (42, [5.0, 0.0])]
+    found = sorted(tuple(r) for r in multi_index.nearest(vectors(spark, [(*r, "", "") for r in rows]), F.col("id") % 20 == 0, k=4).collect())
+    assert found == sorted(brute.nearest(rows, lambda i: i % 20 == 0, k=4))
+
+
+def test_nearest_copies_entries_to_visiting_blocks_only(spark, monkeypatch):
+    """Two far clusters with queries in one: the other's entries stay."""
+    monkeypatch.setattr(multi_index, "FIRST", 20)
+    rows = [(i, [10.0 + i % 7 / 10, 0.0, 10.0, i % 5 / 10], "", "") for i in range(200)]
+    rows += [(1000 + i, [-10.0 - i % 7 / 10, 0.0, -10.0, i % 5 / 10], "", "") for i in range(200)]
+    copied = []
+    search = multi_index._search
+
+    def spy(cells, queries, blocks, query_parts, k):
+        visiting = queries.select("c1").distinct()
+        copied.append(cells.join(visiting, "c1", "left_semi").count())
+        return search(cells, queries, blocks, query_parts, k)
+
+    monkeypatch.setattr(multi_index, "_search", spy)
+    multi_index.nearest(vectors(spark, rows), (F.col("id") < 1000) & (F.col("id") % 20 == 0), k=5).collect()
+    assert max(copied) <= 200
 
 
 def test_nearest_in_small_blocks(spark, monkeypatch):
@@ -171,7 +195,7 @@ def test_nearest_in_small_blocks(spark, monkeypatch):
     centre = rng.normal(size=(5, 6))
     rows = [(i, [float(np.float32(x)) for x in centre[i % 5] + rng.normal(size=6) / 9], "", "") for i in range(500)]
     found = sorted(tuple(r) for r in multi_index.nearest(vectors(spark, rows), F.col("id") % 3 == 0, k=7).collect())
-    assert found == sorted(brute.nearest({i: v for i, v, *_ in rows}, set(range(0, 500, 3)), k=7))
+    assert found == sorted(brute.nearest([r[:2] for r in rows], lambda i: i % 3 == 0, k=7))
 
 
 def test_nearest_of_few_and_none(spark):
@@ -281,6 +305,36 @@ def test_suffixes_of_a_long_text(spark):
     assert [found[i] for i in (1, 2, 3)] == brute.removed_bytes([t for _, t in texts])
 
 
+@pytest.fixture(scope="module")
+def with_maps(spark):
+    """Rows of one id and text that differ elsewhere, equal rows, and a map."""
+    text = prose(40, 77)
+    rows = [(1, text, "x", "s", {"a": 1}), (1, text, "y", "s", {"a": 1}), (1, text, "y", "s", {"a": 2, "b": 3}), (2, prose(50, 78), "x", "s", None),
+            (2, prose(50, 78), "x", "s", None), (3, None, "z", None, {}), (None, text, "z", "t", {"c": 1})]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, facts map<string,int>").repartition(3)
+
+
+def plain(rows):
+    return sorted((repr((r.doc_id, r.text, r.lang, r.source, r.facts)) for r in rows))
+
+
+def test_near_duplicates_with_maps(with_maps):
+    left = simhash.keep_one_each(with_maps)
+    assert left.columns == with_maps.columns
+    rows = left.collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2, 3] and set(plain(rows)) <= set(plain(with_maps.collect()))
+    assert plain(simhash.keep_one_each(with_maps.repartition(5)).collect()) == plain(rows)
+
+
+def test_mixing_keeps_rows_that_differ_elsewhere(spark, with_maps):
+    every = mixed_documents(with_maps, weights=(1, 1, 1))
+    assert every.columns == with_maps.columns and set(plain(every.collect())) <= set(plain(with_maps.collect()))
+    assert plain(mixed_documents(with_maps.repartition(5), weights=(1, 1, 1)).collect()) == plain(every.collect())
+    twins = [(1, "a b c", "s", {"n": i}) for i in range(4)]
+    out = mixed_documents(spark.createDataFrame(twins, "doc_id long, text string, source string, facts map<string,int>"))
+    assert sorted(r.facts["n"] for r in out.collect()) == [0, 1, 2, 3]
+
+
 def check_simhash(docs, texts):
     found = simhash.near_duplicates(docs).select("id", "fp", F.col("first.id").alias("c")).collect()
     prints = [brute.simhash(t) for _, t in texts]
