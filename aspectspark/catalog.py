@@ -185,6 +185,17 @@ def q_encode_tokens(spark, sf):
                     .alias("n_real"))
 
 
+def q_encode_subwords(spark, sf):
+    """Every word of every document in pieces; the piece table is derived
+    from the words, as a pretrained one is not among the inputs."""
+    d = fx.table(spark, sf, "documents").select(
+        "doc_id", "text", F.lit(QUESTIONS["trinary"]).alias("question"))
+    pieces = sampling.materialized(tokens.build_pieces(d, ["text"]))
+    e = tokens.encode_subwords(d, "doc_id", "question", "text", pieces)
+    return e.select("doc_id", "window", hot_text("input_ids", " ").alias("ids_text"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, m: a + m).alias("n_real"))
+
+
 def q_segment_ids(spark, sf):
     e = _encoded_docs(spark, sf)
     return e.select("doc_id", "window", hot_text(segment_ids("input_ids"), "").alias("segments"))
@@ -663,6 +674,7 @@ QUERIES = {
     "coarse_fine_split": q_coarse_fine_split,
     "build_prompt": q_build_prompt,
     "encode_tokens": q_encode_tokens,
+    "encode_subwords": q_encode_subwords,
     "segment_ids": q_segment_ids,
     "linear_head": q_linear_head,
     "sigmoid_scores": q_sigmoid_scores,

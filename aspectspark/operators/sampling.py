@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from aspectspark.functions.taxonomy import seeded_md5
 
 
+#: Hex digits by which a class is counted at a time, and rows of a bucket
+#: that one task ranks.
+PREFIX = 3
+MAX_BUCKET = 1 << 20
+
+
 def _digits(n: int) -> int:
     """Hex digits that make about as many buckets as rows in a bucket."""
     return max(1, -(-n.bit_length() // 8))
@@ -80,41 +86,66 @@ def sample_exact(df: DataFrame, class_col: str, sizes: dict, keys: list[str],
     prefix (a partial aggregate), the prefix in which the sample ends is
     found from these counts, and rows beyond it are filtered out before
     anything is shuffled.  What is left, the sample and the rest of one
-    bucket, is ranked by (class, bucket).  ``on_short='fail'`` raises when a
-    class has fewer rows than requested (also when it has none);
-    ``'take_all'`` keeps what there is.  A number per requested class and the
-    cut reach the driver, never rows.
+    bucket, is ranked by (class, bucket); a bucket of more than ``MAX_BUCKET``
+    rows is counted by a longer prefix first.  ``on_short='fail'`` raises when
+    a class has fewer rows than requested (also when it has none);
+    ``'take_all'`` keeps what there is.  One row per requested class reaches
+    the driver.
     """
     if on_short not in ("fail", "take_all"):
         raise ValueError("on_short must be 'fail' or 'take_all'")
     wanted = df.filter(F.col(class_col).isin(*sizes)) if sizes else df.limit(0)
-    have = {r[0]: r[1] for r in wanted.groupBy(class_col).count().collect()}
-    short = {c: have.get(c, 0) for c, n in sizes.items() if have.get(c, 0) < n}
+    x = wanted.withColumn("_okey", seeded_md5(seed, *keys))
+    cuts, totals = _cuts(x, class_col, dict(sizes), prefix_len or PREFIX)
+    short = {c: totals.get(c, 0) for c, n in sizes.items() if totals.get(c, 0) < n}
     if short and on_short == "fail":
         raise ValueError(f"sample_exact: class too small: {short} of {sizes}")
-    digits = prefix_len or _digits(max(have.values(), default=0))
-    x = wanted.withColumn("_okey", seeded_md5(seed, *keys)).withColumn("_b", F.substring("_okey", 1, digits))
-
-    def of_class(values: dict):
-        return F.try_element_at(F.create_map(*[F.lit(v) for item in values.items() for v in item]), F.col(class_col))
-
-    cut_classes = {c: n for c, n in sizes.items() if have.get(c, 0) > n}
-    if not cut_classes:
-        return x.drop("_okey", "_b")
-    counts = x.filter(F.col(class_col).isin(*cut_classes)).groupBy(class_col, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(class_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
-    ends = counts.withColumn("_upto", upto).filter(F.col("_upto") >= of_class(cut_classes))
-    # the first bucket that reaches the size, and the rows before it
-    cuts = ends.groupBy(class_col).agg(F.min("_b").alias("_b"), F.min(F.col("_upto") - F.col("_n")).alias("_start")).collect()
-    last = of_class({r[class_col]: r["_b"] for r in cuts})
-    left = of_class({r[class_col]: cut_classes[r[class_col]] - r["_start"] for r in cuts})
-    near = x.filter(last.isNull() | (F.col("_b") <= last))
+    if not cuts:
+        return x.drop("_okey")
+    last = _of_class(class_col, {c: prefix for c, (prefix, _) in cuts.items()})
+    left = _of_class(class_col, {c: n for c, (_, n) in cuts.items()})
+    own = F.coalesce(F.substring(F.col("_okey"), F.lit(1), F.length(last)), F.lit(""))
+    near = x.withColumn("_b", own).filter(last.isNull() | (F.col("_b") <= last))
     rank = F.row_number().over(Window.partitionBy(class_col, "_b").orderBy("_okey", *keys))
     return (near.withColumn("_rn", rank)
             .filter(last.isNull() | (F.col("_b") < last) | (F.col("_rn") <= left))
             .drop("_okey", "_b", "_rn"))
 
 
+def _of_class(class_col: str, values: dict):
+    return F.try_element_at(F.create_map(*[F.lit(v) for item in values.items() for v in item]), F.col(class_col))
+
+
+def _cuts(x: DataFrame, class_col: str, need: dict, digits: int) -> tuple[dict, dict]:
+    """Per class with more rows than it needs: the prefix of ``_okey`` in
+    which the sample ends, and how many rows of that bucket belong to it; and
+    the rows of every class."""
+    cuts, totals, length, prefix = {}, {}, 0, {c: "" for c in need}
+    while prefix:
+        length += digits
+        rows = x.filter(F.col(class_col).isin(*prefix) & F.col("_okey").startswith(_of_class(class_col, prefix)))
+        counts = rows.groupBy(class_col, F.substring("_okey", 1, length).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy(class_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        ends = counts.withColumn("_upto", upto)
+        reached = F.col("_upto") >= _of_class(class_col, {c: need[c] for c in prefix})
+        found = ends.groupBy(class_col).agg(
+            F.sum("_n").alias("total"), F.min(F.when(reached, F.col("_b"))).alias("b"),
+            F.min(F.when(reached, F.col("_upto"))).alias("upto"),
+            F.min(F.when(reached, F.struct("_b", "_n")))["_n"].alias("n")).collect()
+        prefix = {}
+        for r in found:
+            c = r[class_col]
+            if length == digits:
+                totals[c] = r["total"]
+                if r["total"] <= need[c]:
+                    continue
+            need[c] -= r["upto"] - r["n"]       # what the buckets before it leave
+            cuts[c] = (r["b"], need[c])
+            if r["n"] > MAX_BUCKET and length < 32:
+                prefix[c] = r["b"]
+    return cuts, totals
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the cluster's checkpoint directory (reliable,
     survives lost executors) and read it back: the two-level rank reads its

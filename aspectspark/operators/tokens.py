@@ -1,33 +1,43 @@
 """Vocabulary and token-id encoding.
 
-The reference runs a pretrained subword tokenizer per row.  Here the
-vocabulary is a distributed word count, and encoding is explode -> join ->
-regroup, all in the JVM.  A pretrained tokenizer can be plugged in through
-``encode_with`` (Arrow-batched pandas UDF), loaded once per Python worker.
+The reference runs a pretrained subword tokenizer per row.  Here whole words
+are encoded against a distributed word count (``encode_tokens``), and
+subwords against the piece table of such a tokenizer (``encode_subwords``):
+the longest matches of every distinct word are found once, by a join with
+that table, whatever the number of texts.  All of it runs in the JVM.  A
+tokenizer of another kind can be plugged in through ``encode_with``
+(Arrow-batched pandas UDF), loaded once per Python worker.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aspectspark.functions.text import tokens
-from aspectspark.operators.sampling import ranked
+from aspectspark.operators.sampling import materialized, ranked
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 FIRST_ID = 4
 
+#: A piece that goes on within a word begins with this; longer words are UNK.
+#: Fixed values of the reference's tokenizers.
+CONTINUES = "##"
+MAX_WORD = 100
+
 
 def build_vocab(texts: DataFrame, cols: list[str], size: int | None = None) -> DataFrame:
     """``token, id``: all whitespace tokens of the whole texts, or the
     ``size`` most frequent; ids from 4 by (count desc, md5 of the token).
 
     Counting is a partial aggregate; ids are two-level ranks, so no task
-    holds the vocabulary, whatever its size."""
+    holds the vocabulary, whatever its size.  The counts, a row per distinct
+    token, are checkpointed: the rank reads them more than once, the texts
+    only once."""
     toks = None
     for c in cols:
         t = texts.select(F.explode(tokens(c)).alias("token"))
         toks = t if toks is None else toks.unionByName(t)
     counts = toks.groupBy("token").agg((-F.count(F.lit(1))).alias("_less"))
-    counts = counts.withColumn("_okey", F.md5("token"))
+    counts = materialized(counts.withColumn("_okey", F.md5("token")))
     order = ranked(counts, "_okey", ["token"], lead=["_less"], name="_rank")
     if size is not None:
         order = order.filter(F.col("_rank") < size)
@@ -69,6 +79,97 @@ def encode_tokens(df: DataFrame, key: str, question: str, text: str, vocab: Data
                  F.array_repeat(F.lit(0), F.lit(max_len) - F.size("_b"))).alias("attention_mask"))
 
 
+def _words(texts: DataFrame, cols: list[str]) -> DataFrame:
+    """The distinct words of some text columns."""
+    found = None
+    for c in cols:
+        w = texts.select(F.explode(tokens(c)).alias("word"))
+        found = w if found is None else found.unionByName(w)
+    return found.distinct()
+
+
+def _substrings(words: DataFrame, first: int, later: int) -> DataFrame:
+    """word, start, len and the substrings that may be pieces: up to
+    ``first`` characters from the word's start, up to ``later`` elsewhere."""
+    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("start"))
+    room = F.char_length("word") - F.col("start") + 1
+    longest = F.least(F.when(F.col("start") == 1, F.lit(first)).otherwise(F.lit(later)), room)
+    each = starts.select("word", "start", F.explode(F.sequence(F.lit(1), longest)).alias("len"))
+    part = F.substring(F.col("word"), F.col("start"), F.col("len"))
+    return each.withColumn("piece", F.when(F.col("start") == 1, part).otherwise(F.concat(F.lit(CONTINUES), part)))
+
+
+def build_pieces(texts: DataFrame, cols: list[str], first: int = 4, later: int = 3, min_words: int = 2) -> DataFrame:
+    """``piece, id``: the substrings (up to ``first`` characters at the start
+    of a word, ``later`` within) of at least ``min_words`` distinct words; ids
+    from 4 by (number of words desc, md5 of the piece).  A stand-in for the
+    piece table that comes with a pretrained tokenizer."""
+    short = _words(texts, cols).filter(F.char_length("word") <= MAX_WORD)
+    each = _substrings(short, first, later).select("word", "piece").distinct()
+    counts = each.groupBy("piece").agg((-F.count(F.lit(1))).alias("_less")).filter(F.col("_less") <= -min_words)
+    order = ranked(materialized(counts.withColumn("_okey", F.md5("piece"))), "_okey", ["piece"], lead=["_less"], name="_rank")
+    return order.select("piece", (F.col("_rank") + FIRST_ID).cast("int").alias("id"))
+
+
+def word_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``word, ids``: greedy longest match of every distinct ``word`` by the
+    pieces of ``vocab`` (piece, id); a word that they do not cover, or of more
+    than ``MAX_WORD`` characters, is UNK.
+
+    The substrings of a word, no longer than the longest pieces, meet the
+    table in one join; the matches of a word, at most its length times that of
+    the longest piece, are then walked from left to right.
+    """
+    inner = F.col("piece").startswith(CONTINUES)
+    size = vocab.agg(F.max(F.when(~inner, F.char_length("piece"))).alias("first"),
+                     F.max(F.when(inner, F.char_length("piece") - len(CONTINUES))).alias("later")).first()
+    first, later = max(1, size["first"] or 1), max(1, size["later"] or 1)
+    short = words.filter(F.char_length("word") <= MAX_WORD)
+    matches = _substrings(short, first, later).join(vocab.select("piece", "id"), "piece")
+    match = F.struct("start", (-F.col("len")).alias("less"), "id")
+    found = matches.groupBy("word").agg(F.array_sort(F.collect_list(match)).alias("found"))
+    begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("ids"), F.lit(False).alias("gap"))
+
+    def step(held, m):      # longer matches of a start come first
+        here = (m["start"] == held["at"]) & ~held["gap"]
+        return F.struct(F.when(here, held["at"] - m["less"]).otherwise(held["at"]).alias("at"),
+                        F.when(here, F.concat(held["ids"], F.array(m["id"]))).otherwise(held["ids"]).alias("ids"),
+                        (held["gap"] | (m["start"] > held["at"])).alias("gap"))
+
+    walked = found.select("word", F.aggregate("found", begin, step).alias("walk"))
+    whole = ~F.col("walk.gap") & (F.col("walk.at") == F.char_length("word") + 1)
+    ids = walked.filter(whole).select("word", F.col("walk.ids").alias("ids"))
+    return words.join(ids, "word", "left").select("word", F.coalesce("ids", F.array(F.lit(UNK))).alias("ids"))
+
+
+def encode_subwords(df: DataFrame, key: str, question: str, text: str, vocab: DataFrame, max_len: int = 128,
+                    truncate: bool = False) -> DataFrame:
+    """``key, window, input_ids, attention_mask`` as :func:`encode_tokens`,
+    in pieces of words: ``CLS question SEP text SEP``, ``max_len`` ids, over as
+    many windows as the pieces of the text fill.  ``key`` names a row.
+
+    The vocabulary work is per distinct word; a word of a text is then one
+    row that meets its pieces by a join.
+    """
+    sides = [F.struct(F.lit(i).alias("side"), F.coalesce(tokens(c), F.array().cast("array<string>")).alias("w"))
+             for i, c in enumerate((question, text))]
+    x = df.select(key, F.explode(F.array(*sides)).alias("s")).select(key, "s.side", F.posexplode_outer("s.w").alias("pos", "word"))
+    pieces = word_pieces(_words(df, [question, text]), vocab)
+    x = x.join(pieces.withColumnRenamed("ids", "_ids"), "word", "left")
+    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "_ids"))
+    of = lambda side: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, item))), lambda s: s["_ids"]))
+    g = x.groupBy(key).agg(of(0).alias("_q"), of(1).alias("_t")).withColumn("_q", F.slice("_q", 1, max_len - 4))
+    room = F.lit(max_len - 3) - F.size("_q")
+    n = F.lit(1) if truncate else F.greatest(F.lit(1), F.ceil(F.size("_t") / room).cast("int"))
+    one = lambda i: F.array(F.lit(i))
+    bodies = F.transform(F.sequence(F.lit(0), n - 1), lambda w: F.concat(
+        one(CLS), F.col("_q"), one(SEP), F.slice("_t", w * room + 1, room), one(SEP)))
+    g = g.select(key, F.posexplode(bodies).alias("window", "_b"))
+    used = F.size("_b")
+    return g.select(key, "window", F.concat("_b", F.array_repeat(F.lit(PAD), F.lit(max_len) - used)).alias("input_ids"),
+                    F.concat(F.array_repeat(F.lit(1), used), F.array_repeat(F.lit(0), F.lit(max_len) - used)).alias("attention_mask"))
+
+
 def encode_with(df: DataFrame, text: str, fn, max_len: int = 128, pad_id: int = PAD) -> DataFrame:
     """Tokenizer hook: ``fn(list[str], max_len) -> list[list[int]]`` (e.g. a
     pretrained fast tokenizer, which adds its own special tokens), run once

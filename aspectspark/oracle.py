@@ -279,6 +279,33 @@ SQL["encode_tokens"] = W(_ENC) + """
 SELECT doc_id, "window", array_to_string(list_resize(b2, 128, 0), ' ') AS ids_text,
        CAST(len(b2) AS INTEGER) AS n_real FROM fin"""
 
+SQL["encode_subwords"] = f"""
+WITH RECURSIVE tk AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPLIT}'), lambda t: t <> '') AS toks FROM documents),
+qt AS (SELECT list_filter(regexp_split_to_array({q_sql(QUESTIONS["trinary"])}, '{SPLIT}'), lambda t: t <> '') AS q),
+dw AS (SELECT DISTINCT unnest(toks) AS word FROM tk),
+aw AS (SELECT word FROM dw UNION SELECT unnest(q) FROM qt),
+st AS (SELECT word, unnest(range(1, length(word) + 1)) AS start FROM aw WHERE length(word) <= 100),
+sb AS (SELECT word, start, unnest(range(1, least(CASE WHEN start = 1 THEN 4 ELSE 3 END, length(word) - start + 1) + 1)) AS len FROM st),
+ps AS (SELECT word, start, len, CASE WHEN start = 1 THEN '' ELSE '##' END || substr(word, start, len) AS piece FROM sb),
+cn AS (SELECT piece, count(DISTINCT word) AS n FROM ps WHERE word IN (SELECT word FROM dw) GROUP BY piece HAVING n >= 2),
+vo AS (SELECT piece, CAST(row_number() OVER (ORDER BY n DESC, md5(piece), piece) + 3 AS INTEGER) AS id FROM cn),
+mt AS (SELECT word, start, max(len) AS len, arg_max(id, len) AS id FROM ps JOIN vo ON vo.piece = ps.piece GROUP BY word, start),
+wk AS (
+  SELECT word, CAST(1 AS BIGINT) AS place, CAST([] AS INTEGER[]) AS ids FROM aw
+  UNION ALL
+  SELECT wk.word, place + len, list_append(ids, id) FROM wk JOIN mt ON mt.word = wk.word AND mt.start = wk.place),
+wp AS (SELECT word, ids FROM wk WHERE place = length(word) + 1),
+wi AS (SELECT aw.word, coalesce(wp.ids, [1]) AS ids FROM aw LEFT JOIN wp ON wp.word = aw.word),
+ex AS (SELECT doc_id, unnest(toks) AS word, generate_subscripts(toks, 1) AS p FROM tk),
+dt AS (SELECT doc_id, flatten(list(ids ORDER BY p)) AS t FROM ex JOIN wi ON wi.word = ex.word GROUP BY doc_id),
+qe AS (SELECT unnest(q) AS word, generate_subscripts(q, 1) AS p FROM qt),
+qi AS (SELECT list_slice(flatten(list(ids ORDER BY p)), 1, 124) AS q FROM qe JOIN wi ON wi.word = qe.word),
+al AS (SELECT tk.doc_id, q, coalesce(t, []) AS t FROM qi, tk LEFT JOIN dt ON dt.doc_id = tk.doc_id),
+wn AS (SELECT doc_id, q, t, 125 - len(q) AS room, unnest(range(greatest(1, CAST(ceil(len(t) / (125 - len(q))) AS BIGINT)))) AS w FROM al),
+fi AS (SELECT doc_id, CAST(w AS INTEGER) AS "window", list_concat([2], q, [3], list_slice(t, w * room + 1, (w + 1) * room), [3]) AS b FROM wn)
+SELECT doc_id, "window", array_to_string(list_resize(b, 128, 0), ' ') AS ids_text, CAST(len(b) AS INTEGER) AS n_real FROM fi"""
+
 SQL["segment_ids"] = W(_ENC) + """,
 sp AS (SELECT doc_id, "window", x, list_position(x, 3) AS s1 FROM (
          SELECT doc_id, "window", list_resize(b2, 128, 0) AS x FROM fin)),

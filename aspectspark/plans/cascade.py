@@ -37,10 +37,11 @@ def named_scorers(name: str, **kw) -> dict:
 
 
 def distinct_sentences(corpus: DataFrame, text: str = "sentence_form") -> DataFrame:
-    """``sentence_key, text``: one row per distinct sentence.  Both columns
-    are keys of one hash aggregate (equal texts have equal keys), so repeated
-    texts are merged map-side and no text is sorted."""
-    return corpus.select(F.md5(text).alias("sentence_key"), F.col(text).alias("text")).distinct()
+    """``sentence_key, text``: one row per distinct sentence (partial
+    aggregate first, so repeated texts are merged map-side; the result stays
+    dealt by the key, so the stages' fold needs no shuffle)."""
+    return (corpus.select(F.md5(text).alias("sentence_key"), F.col(text).alias("text"))
+                  .dropDuplicates(["sentence_key"]))
 
 
 def stage_frames(sentences: DataFrame, scorers: dict, threshold: float = 0.5,

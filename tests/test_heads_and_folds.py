@@ -11,7 +11,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from aspectspark.functions.text import tokens
-from aspectspark.operators import aggregates, metrics
+from aspectspark.operators import aggregates, metrics, sampling
 from aspectspark.plans import cascade, fitting, sparse_heads, training
 from aspectspark.plans.scorers import PandasScorer
 from aspectspark.sources import corpus as io
@@ -209,6 +209,21 @@ def test_cascade_counts_in_one_pass(spark):
     assert [r.n for r in cascade.stage_totals(sent.limit(0), cascade.default_scorers()).collect()] == [0] * 4
 
 
+@pytest.mark.parametrize("prefix_len,bucket", [(None, 1 << 20), (1, 3), (2, 1)])
+def test_samples_are_the_smallest_keys(spark, monkeypatch, prefix_len, bucket):
+    monkeypatch.setattr(sampling, "MAX_BUCKET", bucket)
+    rows = [(i, "abc"[min(2, i % 5)]) for i in range(500)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "k long, c string").repartition(4)
+    order = lambda k: (hashlib.md5(f"7:{k}".encode()).hexdigest(), k)
+    for sizes in ({"a": 30, "b": 100, "c": 1}, {"c": 299}, {"a": 0, "b": 1}, {"a": 100}):
+        out = sampling.sample_exact(df, "c", sizes, ["k"], seed=7, prefix_len=prefix_len).collect()
+        want = [(k, c) for c, n in sizes.items() for k in sorted((k for k, d in rows if d == c), key=order)[:n]]
+        assert sorted((r.k, r.c) for r in out) == sorted(want)
+    with pytest.raises(ValueError, match="too small"):
+        sampling.sample_exact(df, "c", {"a": 101, "z": 1}, ["k"])
+    assert sampling.sample_exact(df, "c", {"a": 101, "z": 1}, ["k"], on_short="take_all").count() == 100
+
+
 def test_token_buckets_agree_with_python(spark):
     df = spark.createDataFrame(TEXTS, "id long, text string")
     for r in df.select("text", sparse_heads.token_buckets("text").alias("b"), tokens("text").alias("t")).collect():
