@@ -6,8 +6,9 @@ import argparse
 import json
 
 from aspectspark.plans import jobs
-from aspectspark.plans.cascade import named_scorers
+from aspectspark.plans.cascade import STAGE_LABELS, named_scorers
 from aspectspark.plans.scorers import SCORERS
+from aspectspark.plans.sparse_heads import WIDTH
 from aspectspark.session import get_session
 
 
@@ -22,7 +23,18 @@ def main(argv=None):
     d.add_argument("--on-invalid", default="fail", choices=("fail", "drop", "quarantine"))
     p = sub.add_parser("predict")
     p.add_argument("corpus"), p.add_argument("out")
-    p.add_argument("--scorer", required=True, choices=sorted(SCORERS))
+    which = p.add_mutually_exclusive_group(required=True)
+    which.add_argument("--scorer", choices=sorted(SCORERS))
+    which.add_argument("--heads", help="folder of heads saved by fit, one per stage")
+    f = sub.add_parser("fit")
+    f.add_argument("stage", choices=sorted(STAGE_LABELS)), f.add_argument("csv"), f.add_argument("out")
+    c = sub.add_parser("crossval")
+    c.add_argument("stage", choices=sorted(STAGE_LABELS)), c.add_argument("csv")
+    c.add_argument("--folds", type=int, default=5)
+    for x in (f, c):
+        x.add_argument("--dim", type=int, default=WIDTH)
+        x.add_argument("--max-iter", type=int, default=50)
+        x.add_argument("--reg", type=float, default=0.01)
     v = sub.add_parser("vote")
     v.add_argument("members"), v.add_argument("corpus"), v.add_argument("out")
     v.add_argument("--threshold", type=int, default=2)
@@ -36,7 +48,13 @@ def main(argv=None):
                                             seed=a.seed, compat=a.compat,
                                             on_invalid=a.on_invalid)))
     elif a.job == "predict":
-        jobs.predict_file(spark, a.corpus, a.out, named_scorers(a.scorer))
+        scorers = jobs.load_heads(spark, a.heads) if a.heads else named_scorers(a.scorer)
+        jobs.predict_file(spark, a.corpus, a.out, scorers)
+    elif a.job == "fit":
+        print(json.dumps(jobs.fit_stage(spark, a.csv, a.stage, a.out, a.dim, a.max_iter, a.reg)))
+    elif a.job == "crossval":
+        for r in jobs.cross_validate_stage(spark, a.csv, a.stage, a.folds, a.dim, a.max_iter, a.reg):
+            print(json.dumps(r))
     elif a.job == "vote":
         jobs.vote_files(spark, a.members, a.corpus, a.out, a.threshold)
     else:

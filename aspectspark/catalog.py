@@ -334,12 +334,7 @@ def q_fold_annotations(spark, sf):
 
 
 def q_stage_counts(spark, sf):
-    g = _encoded_gold(spark, sf)
-    sets = datasets.category_sets(g).select(
-        F.concat(F.lit("category_"), F.col("set")).alias("stage"))
-    return aggregates.stage_counts({
-        "category": sets, "topic": datasets.build_topic_set(g),
-        "sentiment_dev": datasets.build_sentiment_dev(g)}, stage_col="stage")
+    return datasets.set_counts(_encoded_gold(spark, sf))
 
 
 def q_label_distribution(spark, sf):

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aspectspark.functions.taxonomy import CATEGORIES, name_of
+from aspectspark.functions.taxonomy import CATEGORIES, HEAD, name_of
 from aspectspark.operators.labels import (
     coarse_fine_split, drop_all_zero, topics_per_category)
 from aspectspark.operators.sampling import sample_exact
@@ -50,6 +50,22 @@ def build_sentiment_dev(flat: DataFrame) -> DataFrame:
                        F.col("aspect").alias("entity"), F.col("pol").alias("label"))
 
 
+def set_counts(flat: DataFrame) -> DataFrame:
+    """A4 of the sets: ``stage, n``, the rows of C1, C2 and C4, counted
+    without building them, in one pass over the annotations: per (record,
+    category), then per record, then in all."""
+    per = flat.groupBy("id", "sentence_form", "category").agg(
+        F.count(F.lit(1)).alias("n"), F.count("topic").alias("topics"))
+    known = F.col("category").isNotNull()
+    record = per.groupBy("id", "sentence_form").agg(
+        F.sum("n").alias("n"), F.count_if(F.col("topics") > 0).alias("topics"),
+        F.max(known.cast("int")).alias("coarse"), F.max((known & (F.col("category") >= HEAD)).cast("int")).alias("fine"))
+    sums = record.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(name) for name, c in (
+        ("category_3way", "coarse"), ("category_5way", "fine"), ("topic", "topics"), ("sentiment_dev", "n"))])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("stage"), F.col(c).alias("n"))
+                                           for c in sums.columns])).alias("x")).select("x.*")
+
+
 def build_sentiment_train(legacy: DataFrame, flat: DataFrame,
                           sizes: dict = SENTIMENT_SIZES, seed=42, compat: bool = False,
                           on_short: str = "fail") -> DataFrame:
