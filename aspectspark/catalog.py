@@ -452,6 +452,16 @@ def q_epoch_batches_all(spark, sf):
     return b.select("o_orderkey", "batch", "slot")
 
 
+def q_later_epoch_batches(spark, sf):
+    """Epochs 1 and 2 over the ids of one ranking."""
+    o = fx.table(spark, sf, "orders").select("o_orderkey")
+    ids = sampling.materialized(sampling.dense_ids(o, ["o_orderkey"], seed=42).drop("n_rows"))
+    n = ids.count()
+    parts = [sampling.later_batches(ids, n, 32, e, seed=42).select(F.lit(e).alias("epoch"), "o_orderkey", "batch", "slot")
+             for e in (1, 2)]
+    return parts[0].unionByName(parts[1])
+
+
 # --------------------------------------------------------------- unions U1-U4
 def q_sentiment_pools(spark, sf):
     return unions.sentiment_pools(fx.legacy_corpus(spark, sf), _encoded_gold(spark, sf))
@@ -711,6 +721,7 @@ QUERIES = {
     "stratified_kfold": q_stratified_kfold,
     "fold_split": q_fold_split,
     "epoch_batches": q_epoch_batches,
+    "later_epoch_batches": q_later_epoch_batches,
     # unions
     "sentiment_pools": q_sentiment_pools,
     "sentiment_pools_compat": q_sentiment_pools_compat,

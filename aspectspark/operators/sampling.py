@@ -19,6 +19,10 @@ PREFIX = 3
 MAX_BUCKET = 1 << 20
 
 
+#: Walks of a cycle before a permuted index counts as lost: a chance of 2^-128.
+WALKS = 128
+
+
 def _digits(n: int) -> int:
     """Hex digits that make about as many buckets as rows in a bucket."""
     return max(1, -(-n.bit_length() // 8))
@@ -201,3 +205,66 @@ def epoch_batches(df: DataFrame, keys: list[str], batch_size: int, seed=42,
     if drop_last:
         r = r.filter(F.col("batch") < (F.col("_total") / batch_size).cast("bigint"))
     return r.drop("_okey", "_rank", "_total")
+
+
+def permuted(index, n: int, seed=42, epoch: int = 0):
+    """Place of a dense ``index`` (0 .. n - 1) in the epoch's order: a keyed
+    bijection of these numbers, as a column expression.
+
+    Four alternating Feistel rounds (md5 of seed, epoch, round and one half)
+    permute the numbers of as many bits as n - 1 has; those at n or beyond
+    are permuted again until they fall below it (cycle walking, each time
+    with a chance of over a half; an index that did not in ``WALKS`` is an
+    error).
+    """
+    bits = max(2, (n - 1).bit_length())
+    low = bits - bits // 2
+    masks = [(1 << (bits - low)) - 1, (1 << low) - 1]
+
+    def mixed(i: int, half):
+        text = F.concat(F.lit(f"{seed}:{epoch}:{i}:"), half.cast("string"))
+        return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint").bitwiseAND(F.lit(masks[i % 2]))
+
+    def turn(i: int):
+        if i % 2 == 0:
+            return lambda h: F.array(h[0].bitwiseXOR(mixed(i, h[1])), h[1])
+        return lambda h: F.array(h[0], h[1].bitwiseXOR(mixed(i, h[0])))
+
+    def once(x):
+        halves = F.array(F.shiftright(x, low), x.bitwiseAND(F.lit(masks[1])))
+        for i in range(4):      # one lambda per round, so that no half is computed twice
+            halves = F.transform(F.array(halves), turn(i))[0]
+        return F.transform(F.array(halves), lambda h: F.call_function("shiftleft", h[0], F.lit(low)).bitwiseOR(h[1]))[0]
+
+    start = once(index.cast("bigint"))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    lost = F.raise_error(F.lit(f"permuted: no place in {WALKS} walks")).cast("bigint")
+    return F.transform(F.array(walked), lambda x: F.when(x < n, x).otherwise(lost))[0]
+
+
+def dense_ids(df: DataFrame, keys: list[str], seed=42, materialize: bool = False) -> DataFrame:
+    """Adds ``row_id`` (0, 1, ...; by ``md5('seed:key')``) and ``n_rows``:
+    written once, they serve the batches of all epochs."""
+    if materialize:
+        df = materialized(df)
+    r = ranked(df.withColumn("_okey", seeded_md5(seed, *keys)), "_okey", list(keys), name="row_id")
+    return r.withColumnRenamed("_total", "n_rows").drop("_okey")
+
+
+def later_batches(ids: DataFrame, n: int, batch_size: int, epoch: int, seed=42, drop_last: bool = True) -> DataFrame:
+    """W4 for any further epoch: ``batch`` and ``slot`` of rows with
+    ``row_id`` 0 .. n - 1, by :func:`permuted`: a narrow map, without a sort or
+    a shuffle."""
+    x = ids.withColumn("_at", permuted(F.col("row_id"), n, seed, epoch))
+    x = x.withColumn("batch", F.floor(F.col("_at") / batch_size).cast("bigint")).withColumn(
+        "slot", (F.col("_at") % batch_size).cast("int"))
+    if drop_last:
+        x = x.filter(F.col("batch") < n // batch_size)
+    return x.drop("_at")
+
+
+def write_batches(batches: DataFrame, path: str, files: int) -> None:
+    """Lay batches out for a trainer that reads them in order: ranges of
+    batches per file, sorted by batch and slot inside, so a batch lies in one
+    stretch of one file."""
+    batches.repartitionByRange(files, "batch").sortWithinPartitions("batch", "slot").write.parquet(path)

@@ -610,6 +610,26 @@ SELECT o_orderkey, CAST((rn - 1) // 32 AS BIGINT) AS batch, CAST((rn - 1) % 32 A
 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:0:' || CAST(o_orderkey AS VARCHAR)),
                                             o_orderkey) AS rn FROM orders)"""
 
+SQL["later_epoch_batches"] = """
+WITH RECURSIVE ids AS (
+  SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS id,
+         count(*) OVER () AS n FROM orders),
+par AS (SELECT n, greatest(2, length(bin(n - 1))) AS bits FROM (SELECT max(n) AS n FROM ids)),
+cut AS (SELECT n, bits - bits // 2 AS low, CAST(1 AS BIGINT) << (bits - bits // 2) AS hi_shift,
+               (CAST(1 AS BIGINT) << (bits // 2)) - 1 AS hm, (CAST(1 AS BIGINT) << (bits - bits // 2)) - 1 AS lm FROM par),
+wk AS (
+  SELECT e.epoch, o_orderkey, id AS x, 0 AS step FROM ids, (SELECT unnest([1, 2]) AS epoch) e
+  UNION ALL
+  SELECT epoch, o_orderkey, h2 * hi_shift + l2, step + 1 FROM (
+    SELECT *, xor(l1, CAST('0x' || substr(md5('42:' || epoch || ':3:' || h2), 1, 12) AS BIGINT) & lm) AS l2 FROM (
+    SELECT *, xor(h1, CAST('0x' || substr(md5('42:' || epoch || ':2:' || l1), 1, 12) AS BIGINT) & hm) AS h2 FROM (
+    SELECT *, xor(l0, CAST('0x' || substr(md5('42:' || epoch || ':1:' || h1), 1, 12) AS BIGINT) & lm) AS l1 FROM (
+    SELECT *, xor(h0, CAST('0x' || substr(md5('42:' || epoch || ':0:' || l0), 1, 12) AS BIGINT) & hm) AS h1 FROM (
+    SELECT wk.*, cut.*, x >> low AS h0, x & lm AS l0 FROM wk, cut WHERE step = 0 OR x >= n)))))),
+done AS (SELECT epoch, o_orderkey, x, cut.n FROM wk, cut WHERE step > 0 AND x < cut.n)
+SELECT CAST(epoch AS INTEGER) AS epoch, o_orderkey, CAST(x // 32 AS BIGINT) AS batch, CAST(x % 32 AS INTEGER) AS slot
+FROM done WHERE x // 32 < n // 32"""
+
 SQL["head_predict"] = W(_LOG) + """
 SELECT vec_id, CAST(arg_max(j, (v, -j)) AS INTEGER) AS prediction FROM lg2 GROUP BY vec_id"""
 

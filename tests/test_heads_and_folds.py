@@ -229,3 +229,29 @@ def test_token_buckets_agree_with_python(spark):
     for r in df.select("text", sparse_heads.token_buckets("text").alias("b"), tokens("text").alias("t")).collect():
         if r.text is not None:
             assert r.b == sparse_heads._buckets_py(r.text, sparse_heads.WIDTH) and len(r.b) == len(r.t)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 32, 33, 1000, 1025])
+def test_permuted_is_a_bijection(spark, n):
+    df = spark.range(n)
+    orders = [[r.p for r in df.select("id", sampling.permuted(F.col("id"), n, 7, e).alias("p")).orderBy("id").collect()] for e in (1, 2)]
+    assert all(sorted(o) == list(range(n)) for o in orders)
+    assert n < 32 or orders[0] != orders[1]
+
+
+def test_later_batches_are_a_narrow_map(spark, tmp_path):
+    rows = spark.createDataFrame([(f"k{i}",) for i in range(100)], "k string")
+    ids = sampling.materialized(sampling.dense_ids(rows, ["k"]).drop("n_rows"))
+    out = sampling.later_batches(ids, 100, 16, epoch=3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Sort" not in plan
+    got = sorted((r.batch, r.slot) for r in out.collect())
+    assert got == [(b, s) for b in range(6) for s in range(16)]
+    assert sampling.later_batches(ids, 100, 16, epoch=3, drop_last=False).count() == 100
+    sampling.write_batches(out, str(tmp_path / "batches"), 3)
+    stored = spark.read.parquet(str(tmp_path / "batches")).select("*", F.input_file_name().alias("f")).collect()
+    assert len(stored) == 96
+    for name in {r.f for r in stored}:
+        own = [(r.batch, r.slot) for r in stored if r.f == name]
+        assert own == sorted(own)
+    assert all(len({r.f for r in stored if r.batch == b}) == 1 for b in range(6))
