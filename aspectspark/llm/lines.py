@@ -12,13 +12,9 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterable
 from functools import reduce
-from math import ceil
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aspectspark.llm.common import bloom_filter, materialize, might_contain, spread_keys, text_key
@@ -32,10 +28,10 @@ SIMILARITY = 0.8
 #: A template recurs from this number of documents on.
 MIN_DOCS = 3
 
-#: So few lines without a template, and characters in them, are led on the
-#: driver; more of them in rounds over the cluster.
-FEW = 8192
-FEW_CHARS = 1 << 22
+#: First lines of a block that are compared in the first round, and at most
+#: (up to this number Spark limits a ranking before the shuffle).
+FIRST_FRONT = 32
+FRONT = 1000
 
 VARIABLE = "<*>"
 
@@ -73,60 +69,78 @@ def _agree(tokens: str, lead: str, similarity: float) -> Column:
     return F.aggregate(same, F.lit(0), lambda n, x: n + x) >= similarity * F.size(same)
 
 
-def _bands(similarity: float) -> Column:
-    """Hashes of the runs of tokens behind the leading ones, one run more
-    than tokens may differ, so lines that agree have a run in common."""
-    words = F.split("tokens", " ")
-    differ = F.col("size") - F.ceil(similarity * F.col("size"))
-    rest = F.greatest(F.col("size") - DEPTH, F.lit(0))
+def _blocks(left: DataFrame, similarity: float) -> DataFrame:
+    """own, place and block of the lines that may agree with another one.
 
-    def start(b: Column) -> Column:
-        return F.floor(b * rest / (differ + 1)).cast("int")
-
-    return F.transform(F.sequence(F.lit(0).cast("long"), differ), lambda b: F.xxhash64(
-        b, F.slice(words, start(b) + DEPTH + 1, start(b + 1) - start(b))))
-
-
-def _next_leaders(left: DataFrame, similarity: float, turn: int) -> DataFrame:
-    """One round over the lines ``left`` (own, n, size, leaf, tokens): those
-    that may agree with an earlier one, with the earliest of these as leader
-    and whether they agree with it.
-
-    A line without an earlier one leads.  Where a line's earliest is none
-    that leads, the line waits for the next round.
+    Tokens at their places behind the leading ones are ordered by the number
+    of lines that have them, rarest first.  Lines that agree have one of
+    their rarest in common, where one more is taken than tokens may differ;
+    words that many lines share make blocks only where a line has no others.
     """
-    runs = left.select("own", "size", "leaf", F.struct((-F.col("n")).alias("n"), "own").alias("place"),
-                       F.explode(_bands(similarity)).alias("run"))
-    blocks = runs.groupBy("size", "leaf", "run").agg(F.min("place").alias("head"), F.count("*").alias("kinds"))
-    shared = spread_keys(blocks.where("kinds > 1").drop("kinds"), [F.col("head")])
-    heads = materialize(runs.join(shared, ["size", "leaf", "run"]).groupBy("own").agg(
-        F.min("head").alias("head")).select("own", F.col("head.own").alias("leader")), f"line-heads-{turn}")
-    leads = heads.where("own = leader").select("leader")
-    lead = leads.join(left.select(F.col("own").alias("leader"), F.col("tokens").alias("lead")), "leader")
-    behind = heads.where("own <> leader").join(left, "own")
-    judged = behind.join(spread_keys(lead, [F.xxhash64("lead")]), "leader", "left")
-    return materialize(judged.select("own", "n", "size", "leaf", "tokens", "leader", F.coalesce(
-        _agree("tokens", "lead", similarity), F.lit(False)).alias("same")), f"line-round-{turn}")
-
-
-def _led_here(lines: Iterable[Row], similarity: float) -> list[tuple[bytes, bytes]]:
-    """(own, template) of the lines that agree with an earlier leader."""
-    leaders, out = defaultdict(list), []
-    for r in sorted(lines, key=lambda r: (-r["n"], bytes(r["own"]))):
-        words, size = r["tokens"].split(" "), r["size"]
-        least = ceil(similarity * size)
-        parts, rest = size - least + 1, max(size - DEPTH, 0)
-        runs = [(size, r["leaf"], b, tuple(words[DEPTH + b * rest // parts:DEPTH + (b + 1) * rest // parts]))
-                for b in range(parts)]
-        near = {at: (lead, own) for run in runs for at, lead, own in leaders[run]}
-        own = next((near[at][1] for at in sorted(near) if sum(map(str.__eq__, words, near[at][0])) >= least), None)
-        if own is not None:
-            out.append((bytes(r["own"]), own))
-            continue
-        entry = ((-r["n"], bytes(r["own"])), words, bytes(r["own"]))
-        for run in runs:
-            leaders[run].append(entry)
-    return out
+    words, size = F.split("tokens", " "), F.col("size")
+    placed = left.select(
+        "own", F.struct((-F.col("n")).alias("n"), "own").alias("place"), "size", "leaf",
+        (size - F.ceil(similarity * size) + 1).cast("int").alias("part"),
+        F.posexplode(F.slice(words, F.lit(DEPTH + 1), F.greatest(size - DEPTH, F.lit(0)).cast("int"))).alias("at", "word")
+    ).select("own", "place", "part", F.xxhash64("size", "leaf", "at", "word").alias("block"))
+    often = placed.groupBy("block").agg(F.count("*").alias("kinds"))
+    counted = placed.join(spread_keys(often, [F.xxhash64("block", F.lit(3))]), "block")
+    rarest = counted.groupBy("own", "place", "part").agg(F.sort_array(F.collect_list(F.struct("kinds", "block"))).alias("all"))
+    return rarest.select("own", "place", F.explode(F.slice("all", F.lit(1), F.col("part"))).alias("one")).where(
+        "one.kinds > 1").select("own", "place", "one.block")
+
+
+def _agreeing(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (own, leader) whose lines stand in one leaf and agree."""
+    lead = texts.select(F.col("own").alias("leader"), F.col("size").alias("s"), F.col("leaf").alias("l"),
+                        F.col("tokens").alias("lead"))
+    both = pairs.join(texts, "own").join(spread_keys(lead, [F.xxhash64("lead")]), "leader")
+    same = (F.col("size") == F.col("s")) & (F.col("leaf") == F.col("l"))
+    return both.where(same & _agree("tokens", "lead", similarity)).select("own", "leader", "ahead")
+
+
+def _ahead(blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs of a line of ``blocks`` as leader, and each line behind it that
+    shares a block."""
+    lead = blocks.select("block", F.col("own").alias("leader"), F.col("place").alias("ahead"))
+    return lines.join(spread_keys(lead, [F.xxhash64("block", "leader")]), "block").where("ahead < place").select(
+        "own", "leader", "ahead").distinct()
+
+
+def _later_leaders(left: DataFrame, similarity: float) -> DataFrame | None:
+    """own -> template, for the lines of ``left`` (own, n, size, leaf,
+    tokens) that agree with an earlier leader.
+
+    In a round the first lines of every block are compared with each other.
+    One that is among them in all its blocks, and agrees with none before
+    it, leads; the lines that agree with it leave.  The number of first
+    lines doubles from round to round, up to ``FRONT``, so a block of lines
+    that do not agree takes few rounds, and a family is gone, but for its
+    leader, before many of its lines are compared.
+    """
+    blocks = materialize(_blocks(left, similarity), "line-blocks")
+    texts = left.select("own", "size", "leaf", "tokens")
+    waiting, front, found, turn = blocks, FIRST_FRONT, [], 1
+    while not waiting.isEmpty():
+        turn += 1
+        order = Window.partitionBy("block").orderBy("place")
+        first = materialize(waiting.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= front)
+                            .drop("rank"), f"line-front-{turn}")
+        behind = _agreeing(_ahead(first, first), texts, similarity).select("own").distinct()
+        missing = waiting.select("own", F.lit(1).alias("w")).unionByName(first.select("own", F.lit(-1).alias("w")))
+        ready = missing.groupBy("own").agg(F.sum("w").alias("w")).where("w = 0").select("own")
+        leads = materialize(ready.join(behind, "own", "left_anti"), f"line-leads-{turn}")
+        same = materialize(_agreeing(_ahead(blocks.join(leads, "own", "left_semi"), blocks), texts, similarity),
+                           f"line-round-{turn}")
+        found.append(same)
+        gone = leads.unionByName(same.select("own")).distinct()
+        waiting = materialize(waiting.join(gone, "own", "left_anti"), f"line-waiting-{turn}")
+        front = min(2 * front, FRONT)
+    if not found:
+        return None
+    # a line that left may agree with an earlier line that led later
+    return reduce(DataFrame.unionByName, found).groupBy("own").agg(F.min("ahead").alias("lead")).select(
+        "own", F.col("lead.own").alias("template"))
 
 
 def _generalised(lines: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
@@ -155,19 +169,9 @@ def _generalised(lines: DataFrame, rows: DataFrame, similarity: float) -> DataFr
     open_ = F.col("size") > F.ceil(similarity * F.col("size"))
     judged = materialize(judged.where(F.col("same") | open_).select(
         "own", "n", "size", "leaf", "leader", "same", F.when(~F.col("same"), F.col("tokens")).alias("tokens")), "line-round-1")
-    out, turn = [], 1
-    while True:
-        out.append(judged.where("same").select("own", F.col("leader").alias("template")))
-        left = judged.where("NOT same").select("own", "n", "size", "leaf", "tokens")
-        size = left.agg(F.count("*").alias("kinds"), F.sum(F.char_length("tokens")).alias("chars")).first()
-        if size["kinds"] <= FEW and (size["chars"] or 0) <= FEW_CHARS:
-            if here := _led_here(left.collect() if size["kinds"] else [], similarity):
-                # by Arrow, as rows would go through Python workers
-                columns = [pa.array(c, pa.binary()) for c in zip(*here)]
-                out.append(lines.sparkSession.createDataFrame(pa.table(columns, ["own", "template"])))
-            return reduce(DataFrame.unionByName, out)
-        turn += 1
-        judged = _next_leaders(left, similarity, turn)
+    out = judged.where("same").select("own", F.col("leader").alias("template"))
+    later = _later_leaders(judged.where("NOT same").select("own", "n", "size", "leaf", "tokens"), similarity)
+    return out if later is None else out.unionByName(later)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,

@@ -35,9 +35,7 @@ def kept(spark, docs):
     return {r.doc_id: r.kept for r in lines.dedup_lines(df).select("doc.doc_id", "kept").collect()}
 
 
-@pytest.mark.parametrize("few", [0, lines.FEW])
-def test_a_second_family_of_a_leaf_is_dropped(spark, monkeypatch, few):
-    monkeypatch.setattr(lines, "FEW", few)
+def test_a_second_family_of_a_leaf_is_dropped(spark):
     fixed = "Read more about how we handle your data in our notice"
     docs = [(i, f"{fixed}\nRead more about the {'amber birch cedar delta'.split()[i % 4]}{'xyz'[i // 4]} story on the next few pages")
             for i in range(10)]
@@ -46,9 +44,10 @@ def test_a_second_family_of_a_leaf_is_dropped(spark, monkeypatch, few):
     assert out == families(docs)
 
 
-@pytest.mark.parametrize("few", [0, 20, lines.FEW])
-def test_families_equal_plain_python(spark, monkeypatch, few):
-    monkeypatch.setattr(lines, "FEW", few)
+@pytest.mark.parametrize("front", [(1, 2), (2, 4), (lines.FIRST_FRONT, lines.FRONT)])
+def test_families_equal_plain_python(spark, monkeypatch, front):
+    monkeypatch.setattr(lines, "FIRST_FRONT", front[0])
+    monkeypatch.setattr(lines, "FRONT", front[1])
     rng = random.Random(3)
     words = "ash bay elm fig oak".split()
     heads = ["Read more about", "Sign in to"]
@@ -63,3 +62,46 @@ def test_families_equal_plain_python(spark, monkeypatch, few):
 
     docs = [(i, "\n".join(line() for _ in range(4))) for i in range(60)]
     assert kept(spark, docs) == families(docs)
+
+
+def rounds(monkeypatch):
+    """Names of the tables that the rounds write, as they are written."""
+    names, write = [], lines.materialize
+
+    def noted(df, name):
+        names.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(lines, "materialize", noted)
+    return names
+
+
+def test_many_lines_that_begin_alike_take_few_rounds(spark, monkeypatch):
+    names = rounds(monkeypatch)
+    rng = random.Random(5)
+    docs = [(i, f"Published by the New York {' '.join(f'w{rng.choice(WORDS)}' for _ in range(7))}") for i in range(2000)]
+    assert kept(spark, docs) == families(docs)
+    assert sum(n.startswith("line-front") for n in names) <= 12
+
+
+def test_many_lines_of_few_words_that_do_not_agree_take_few_rounds(spark, monkeypatch):
+    names = rounds(monkeypatch)
+    rng = random.Random(6)
+    docs = [(i, f"Published by the {' '.join(rng.choice('ash bay elm fig oak yew'.split()) for _ in range(17))}")
+            for i in range(2000)]
+    assert kept(spark, docs) == families(docs)
+    assert sum(n.startswith("line-front") for n in names) <= 12
+
+
+def test_a_large_family_leaves_with_its_leader(spark, monkeypatch):
+    names = rounds(monkeypatch)
+    base = "Read more about some story on the next few of our pages"
+    fixed = "Read more about how we handle all of your data in notices"
+    docs = [(0, f"{fixed}\n{fixed}\n{fixed}")]
+    docs += [(i, base.replace("story", f"{WORDS[i % 60]}{WORDS[i // 60]}")) for i in range(1, 1500)]
+    out = kept(spark, docs)
+    assert out == families(docs) and sum(x == "" for x in out.values()) == 1498
+    assert sum(n.startswith("line-front") for n in names) == 1
+
+
+WORDS = [a + b for a in "abcdefgh" for b in "klmnopqr"]
