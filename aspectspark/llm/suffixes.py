@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aspectspark.llm.common import (
-    bloom_filter, materialize, might_contain, shuffle_partitions, spread_keys, text_key,
+    bloom_filter, discard, materialize, might_contain, shuffle_partitions, spread_keys, text_key,
 )
-from aspectspark.session import ship_package
+from aspectspark.session import scratch_path, ship_package
 
 LENGTH = 200
 PREFIX = 96
@@ -37,9 +37,9 @@ BATCHES = 4
 #: the last full window began.
 CHUNK = 1 << 18
 
-#: Runs under one suffix key that a task compares at a time (2 MB of bytes);
-#: the windows of a key with more are counted as rows of their own.
-GROUP = 8192
+#: Runs under one suffix key that a task compares at a time (some 100,000
+#: windows); the windows of a key with more are counted as rows of their own.
+GROUP = 1024
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -95,51 +95,66 @@ def suffix_runs(data: bytes, length: int = LENGTH, k: int = PREFIX) -> tuple[np.
     return tuple(np.concatenate(p) for p in zip(*parts))
 
 
+def _store(df: DataFrame, name: str, by: tuple[str, ...], buckets: int, ordered: bool = False) -> str:
+    """Write a bucketed table, its files in the shared folder."""
+    name = f"{name}_{uuid.uuid4().hex[:12]}"
+    writer = df.write.option("path", scratch_path(df.sparkSession, name)).bucketBy(buckets, *by)
+    (writer.sortBy(*by) if ordered else writer).saveAsTable(name)
+    return name
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    discard(spark.table(name))
+    spark.sql(f"DROP TABLE {name}")
+
+
 class SuffixFamily:
     """Levels of sorted suffix keys, each a table bucketed and sorted by key,
     so that scans and merges read both sides in order without a shuffle.
     Level r holds 2^r batches; a key is one row there however often it
-    occurred, so no level has a hot key."""
+    occurred, so no level has a hot key.
+
+    The levels stay until :meth:`drop`, so a new batch can be added at any
+    time and is scanned against all that came before."""
 
     def __init__(self, spark: SparkSession, length: int, k: int):
         self.spark, self.length, self.k = spark, length, k
         self.buckets = shuffle_partitions(spark)
         self.levels: list[tuple[int, str]] = []
         self.repeated: list[DataFrame] = []
-        self.name = f"suffix_level_{uuid.uuid4().hex[:12]}"
-        self.made = 0
 
-    def _store(self, level: DataFrame) -> str:
-        name, self.made = f"{self.name}_{self.made}", self.made + 1
-        level.write.bucketBy(self.buckets, "key").sortBy("key").saveAsTable(name)
-        return name
+    def _level(self, keys: DataFrame) -> str:
+        return _store(keys, "suffix_level", ("key",), self.buckets, ordered=True)
 
     def _merge_equal(self) -> None:
         """Merge the two youngest levels while they are of one size."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, a), (_, b) = self.levels.pop(), self.levels.pop()
+            (_, a), (rank, b) = self.levels[-2:]
             both = self.spark.table(a).select("key").hint("merge").join(self.spark.table(b).select("key"), "key", "full")
-            self.levels.append((rank + 1, self._store(both.withColumn("n", F.lit(1).cast("long")))))
+            self.levels[-2:] = [(rank + 1, self._level(both.withColumn("n", F.lit(1).cast("long"))))]
             for name in (a, b):
-                self.spark.sql(f"DROP TABLE {name}")
+                _drop(self.spark, name)
 
     def add(self, texts: DataFrame) -> None:
         """A batch of texts (t1, t2, text): its suffix array is scanned
         against all levels and becomes one."""
         self._merge_equal()
         keys = run_rows(texts, self.length, self.k).groupBy("key").agg(F.count("*").alias("n"))
-        batch = self._store(keys)
-        array = self.spark.table(batch)
+        older = list(self.levels)
+        self.levels.append((0, self._level(keys)))
+        array = self.spark.table(self.levels[-1][1])
         found = array.where("n > 1").select("key")
-        for _, level in self.levels:
+        for _, level in older:
             found = found.union(array.select("key").hint("merge").join(self.spark.table(level).select("key"), "key"))
         self.repeated.append(materialize(found.distinct(), "suffix-repeats"))
-        self.levels.append((0, batch))
+
+    def drop(self) -> None:
+        """Delete the levels."""
+        while self.levels:
+            _drop(self.spark, self.levels.pop()[1])
 
     def repeats(self) -> DataFrame:
-        """Keys of the suffixes that occur more than once; drops the levels."""
-        for _, name in self.levels:
-            self.spark.sql(f"DROP TABLE {name}")
+        """Keys of the suffixes that occur more than once in the batches so far."""
         out = self.repeated[0]
         for more in self.repeated[1:]:
             out = out.union(more)
@@ -294,6 +309,26 @@ def _removed(texts: DataFrame, length: int, k: int) -> DataFrame:
         scan, "t1 long, t2 long, spans array<struct<start: long, end: long>>, kept_sha256 string")
 
 
+def _removed_spans(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """t1, t2, spans and kept_sha256 of the texts (t1, t2, n, text, runs)
+    that lose bytes, written."""
+    # runs whose whole content occurs more than once need no further look
+    digests = materialize(_digests(texts, length, k), "suffix-digests")
+    stats = digests.groupBy("digest").agg(F.sum("n").alias("total"), F.min(F.struct("t1", "t2", "run")).alias("least"))
+    known = materialize(digests.join(spread_keys(stats, [F.xxhash64("digest")]), "digest").select(
+        "t1", "t2", "run", "key", (F.col("total") == 1).alias("once"),
+        (F.col("least") == F.struct("t1", "t2", "run")).alias("first")), "suffix-known")
+    # the others are compared with each other and with one of each of those
+    open_keys = known.where("once").select("key").distinct()
+    asked = known.where("first").join(spread_keys(open_keys, [F.xxhash64("key", F.lit(3))]), "key", "left_semi").groupBy(
+        "t1", "t2").agg(F.collect_list(F.struct("run", "once")).alias("asked"))
+    shared = _shared_windows(_contents(texts.join(asked, ["t1", "t2"]), length, k), length)
+
+    whole = known.where("NOT once").select("t1", "t2", "run", F.lit(None).cast("array<long>").alias("at"))
+    marks = whole.unionByName(shared).groupBy("t1", "t2").agg(F.collect_list(F.struct("run", "at")).alias("marks"))
+    return materialize(_removed(texts.join(marks, ["t1", "t2"]), length, k), "suffix-removed")
+
+
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                  k: int = PREFIX, batches: int = BATCHES) -> DataFrame:
     """``id_col``, n_bytes, spans (byte ranges to remove) and kept_sha256
@@ -313,9 +348,12 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long = keyed.where(F.octet_length("text") >= length)
 
     family = SuffixFamily(spark, length, k)
-    for number in range(batches):
-        family.add(long.where(F.pmod(F.col("t2"), F.lit(batches)) == number))
-    repeats = family.repeats()
+    try:
+        for number in range(batches):
+            family.add(long.where(F.pmod(F.col("t2"), F.lit(batches)) == number))
+        repeats = family.repeats()
+    finally:
+        family.drop()
 
     # texts with a repeated suffix, once each, with the numbers of such runs
     probed = might_contain(run_rows(long, length, k), bloom_filter(repeats, "key"), F.col("key"), "maybe")
@@ -323,26 +361,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        .groupBy("t1", "t2").agg(F.sort_array(F.collect_set("run")).alias("runs")), "suffix-runs")
     some = might_contain(long, bloom_filter(runs, "t1"), F.col("t1"), "maybe").where("maybe")
     texts = some.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.first("text").alias("text")).join(runs, ["t1", "t2"])
-    table = f"suffix_texts_{uuid.uuid4().hex[:12]}"
-    texts.write.bucketBy(shuffle_partitions(spark), "t1", "t2").saveAsTable(table)
-    texts = spark.table(table)
-
-    # runs whose whole content occurs more than once need no further look
-    digests = materialize(_digests(texts, length, k), "suffix-digests")
-    stats = digests.groupBy("digest").agg(F.sum("n").alias("total"), F.min(F.struct("t1", "t2", "run")).alias("least"))
-    known = materialize(digests.join(spread_keys(stats, [F.xxhash64("digest")]), "digest").select(
-        "t1", "t2", "run", "key", (F.col("total") == 1).alias("once"),
-        (F.col("least") == F.struct("t1", "t2", "run")).alias("first")), "suffix-known")
-    # the others are compared with each other and with one of each of those
-    open_keys = known.where("once").select("key").distinct()
-    asked = known.where("first").join(spread_keys(open_keys, [F.xxhash64("key", F.lit(3))]), "key", "left_semi").groupBy(
-        "t1", "t2").agg(F.collect_list(F.struct("run", "once")).alias("asked"))
-    shared = _shared_windows(_contents(texts.join(asked, ["t1", "t2"]), length, k), length)
-
-    whole = known.where("NOT once").select("t1", "t2", "run", F.lit(None).cast("array<long>").alias("at"))
-    marks = whole.unionByName(shared).groupBy("t1", "t2").agg(F.collect_list(F.struct("run", "at")).alias("marks"))
-    removed = materialize(_removed(texts.join(marks, ["t1", "t2"]), length, k), "suffix-removed")
-    spark.sql(f"DROP TABLE {table}")
+    table = _store(texts, "suffix_texts", ("t1", "t2"), shuffle_partitions(spark))
+    try:
+        removed = _removed_spans(spark.table(table), length, k)
+    finally:
+        _drop(spark, table)
 
     base = keyed.select("id", "t1", "t2", F.octet_length("text").cast("long").alias("n_bytes"),
                         F.sha2("text", 256).alias("all_sha256"))
