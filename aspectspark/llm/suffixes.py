@@ -37,9 +37,9 @@ BATCHES = 4
 #: the last full window began.
 CHUNK = 1 << 18
 
-#: Runs under one suffix key that a task compares at a time (some 100,000
+#: Runs under one suffix key that a task compares at a time (some 800,000
 #: windows); the windows of a key with more are counted as rows of their own.
-GROUP = 1024
+GROUP = 8192
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
