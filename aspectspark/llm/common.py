@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,40 +78,62 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Blocks of a blocked Bloom filter, 64 bits each: the broadcast side never
-#: has more rows than this (2^17 blocks are 1 MB of bits).
-BLOOM_BLOCKS = 1 << 17
+#: 64-bit words of a block of a blocked Bloom filter; a key sets one bit in each.
+BLOOM_WORDS = 8
 
+#: Keys per block: about one miss in 400 passes.
+BLOOM_KEYS = 40
 
-def _bloom_columns(key: Column, blocks: int) -> tuple[Column, Column]:
-    """Block number and bit mask (4 bits of one 64-bit block) of a key."""
+#: Blocks at most (32 MB of bits): up to 2 * 10^7 keys keep that rate, 4 * 10^7
+#: let one miss in 20 through.
+BLOOM_BLOCKS = 1 << 19
+
+
+class Bloom(NamedTuple):
+    """A blocked Bloom filter: one row per block that has keys."""
+
+    frame: DataFrame
+    blocks: int
+
+
+def _bloom_bits(key: Column) -> list[Column]:
+    """One bit for each word of the key's block."""
     h = F.xxhash64(key, F.lit(7))
-    bits = F.lit(0).cast("long")
-    for shift in (0, 6, 12, 18):
-        bit = F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int")
-        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
-    return F.pmod(F.shiftrightunsigned(h, 24), F.lit(blocks)).cast("int"), bits
+    return [F.call_function("shiftleft", F.lit(1).cast("long"),
+                            F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(BLOOM_WORDS)]
+
+
+def _bloom_block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(8)), F.lit(blocks)).cast("int")
+
+
+def bloom_blocks(keys: int) -> int:
+    """Blocks for a number of keys: a power of two, up to ``BLOOM_BLOCKS``."""
+    return min(BLOOM_BLOCKS, 1 << max(0, -(-keys // BLOOM_KEYS) - 1).bit_length())
 
 
-def bloom_filter(keys: DataFrame, column: str, blocks: int = BLOOM_BLOCKS) -> DataFrame:
-    """Blocked Bloom filter of a column: at most ``blocks`` rows (block, mask)."""
-    block, bits = _bloom_columns(F.col(column), blocks)
-    return (keys.where(F.col(column).isNotNull())
-            .select(block.alias("bloom_block"), bits.alias("bloom_bits"))
-            .groupBy("bloom_block").agg(F.bit_or("bloom_bits").alias("bloom_mask")))
+def bloom_filter(keys: DataFrame, column: str, blocks: int | None = None) -> Bloom:
+    """Blocked Bloom filter of a column.  Its size follows the number of rows
+    of ``keys`` (a written table, as they are counted first) unless
+    ``blocks`` is given."""
+    blocks = bloom_blocks(keys.count()) if blocks is None else blocks
+    key, words = F.col(column), [f"bloom_{i}" for i in range(BLOOM_WORDS)]
+    bits = keys.where(key.isNotNull()).select(
+        _bloom_block(key, blocks).alias("bloom_block"), *[b.alias(w) for w, b in zip(words, _bloom_bits(key))])
+    return Bloom(bits.groupBy("bloom_block").agg(*[F.bit_or(w).alias(w) for w in words]), blocks)
 
 
-def might_contain(df: DataFrame, bloom: DataFrame, key: Column, flag: str,
-                  blocks: int = BLOOM_BLOCKS) -> DataFrame:
+def might_contain(df: DataFrame, bloom: Bloom, key: Column, flag: str) -> DataFrame:
     """Add a boolean column: false means that the filter's keys lack ``key``.
 
-    The filter is broadcast: it has at most ``blocks`` rows whatever the
-    number of keys.  Beyond its capacity it lets more rows through, which
+    The filter is broadcast: it has at most ``BLOOM_BLOCKS`` rows whatever
+    the number of keys.  Beyond its capacity it lets more rows through, which
     the exact join behind it removes.
     """
-    block, bits = _bloom_columns(key, blocks)
-    probed = df.withColumns({"bloom_block": block, "bloom_bits": bits})
-    joined = probed.join(F.broadcast(bloom), "bloom_block", "left")
-    hit = F.col("bloom_mask").bitwiseAND(F.col("bloom_bits")) == F.col("bloom_bits")
-    return joined.withColumn(flag, F.coalesce(hit & key.isNotNull(), F.lit(False))).drop(
-        "bloom_block", "bloom_bits", "bloom_mask")
+    joined = df.withColumn("bloom_block", _bloom_block(key, bloom.blocks)).join(
+        F.broadcast(bloom.frame), "bloom_block", "left")
+    hit = key.isNotNull() & F.col("bloom_0").isNotNull()
+    for i, bit in enumerate(_bloom_bits(key)):
+        hit = hit & (F.col(f"bloom_{i}").bitwiseAND(bit) != 0)
+    return joined.withColumn(flag, F.coalesce(hit, F.lit(False))).drop(
+        "bloom_block", *[f"bloom_{i}" for i in range(BLOOM_WORDS)])

@@ -88,7 +88,7 @@ def template_positions(spark: SparkSession, templates: Sequence[Template]) -> Da
                         F.posexplode(_grams(F.col("words"))).alias("tpos", "gram"))
 
 
-def _verified(texts: DataFrame, votes: DataFrame, blocks: int) -> DataFrame:
+def _verified(texts: DataFrame, votes: DataFrame, blocks: int | None) -> DataFrame:
     """The votes whose words are the template's, word for word.
 
     Only texts with votes are dealt out (by a Bloom filter of their keys),
@@ -97,7 +97,7 @@ def _verified(texts: DataFrame, votes: DataFrame, blocks: int) -> DataFrame:
     per_text = votes.groupBy("t1", "t2").agg(F.collect_list(F.struct("template", "label", "phrase", "size", "tpos", "pos",
                                                                      "expected")).alias("votes"))
     per_text = materialize(per_text, "license-votes")
-    some = might_contain(texts, bloom_filter(per_text, "t1", blocks), F.col("t1"), "voted", blocks).where("voted")
+    some = might_contain(texts, bloom_filter(per_text, "t1", blocks), F.col("t1"), "voted").where("voted")
     joined = spread_keys(some.groupBy("t1", "t2").agg(F.first("text").alias("text"))).join(per_text, ["t1", "t2"])
     words = joined.select("t1", "t2", "votes", license_words(F.col("text")).alias("w"))
     same = F.filter("votes", lambda v: F.forall(
@@ -125,7 +125,7 @@ def _spans(votes: DataFrame) -> DataFrame:
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, id_col: str = "doc_id",
-                  text_col: str = "text", min_coverage: float = MIN_COVERAGE, blocks: int = 1 << 16) -> DataFrame:
+                  text_col: str = "text", min_coverage: float = MIN_COVERAGE, blocks: int | None = None) -> DataFrame:
     """``id_col``, n_words, spans (label, phrase, first and last word,
     coverage) of every row.
 

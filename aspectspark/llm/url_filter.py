@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aspectspark.llm.common import BLOOM_BLOCKS, bloom_filter, lower_ascii, materialize, might_contain
+from aspectspark.llm.common import bloom_filter, lower_ascii, materialize, might_contain
 
 #: Query parameters that only say how a page was reached.
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
@@ -62,15 +62,16 @@ def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str]], va
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]],
                 id_col: str = "page_id", url_col: str = "url", listed_col: str = "url",
-                blocks: int = BLOOM_BLOCKS) -> DataFrame:
+                blocks: int | None = None) -> DataFrame:
     """Judge each page by its URL: ``id_col``, host, path, rule, listed, verdict.
 
     A page is blocked if its canonical URL is in ``listed`` (column
     ``listed_col``, canonicalised here), unless a rule decides.  The list's
-    blocked Bloom filter (at most ``blocks`` rows, so safe to broadcast) lets
-    definite misses pass without a shuffle; possible hits go to an exact
-    join, where a hot URL of the pages is split by adaptive execution (the
-    list side has one row per URL).
+    blocked Bloom filter (sized by the list, or of ``blocks`` blocks, and
+    never above ``BLOOM_BLOCKS`` rows, so safe to broadcast) lets definite
+    misses pass without a shuffle; possible hits go to an exact join, where a
+    hot URL of the pages is split by adaptive execution (the list side has
+    one row per URL).
 
     Null URLs, and URLs without ``://``, have an empty host and path, fit no
     rule, are never listed and are allowed.  Repeated pages are judged each;
@@ -83,8 +84,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     judged = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url")).select(
         "page", url_host(url).alias("host"), url_path(url).alias("path"),
         canonical_url(url).alias("canonical"))
-    probed = might_contain(judged, bloom_filter(urls, "canonical", blocks), F.col("canonical"),
-                           "possible", blocks)
+    probed = might_contain(judged, bloom_filter(urls, "canonical", blocks), F.col("canonical"), "possible")
     misses = probed.where(~F.col("possible")).withColumn("listed", F.lit(False))
     hits = (probed.where("possible")
             .join(urls.withColumn("found", F.lit(True)), "canonical", "left")
