@@ -25,8 +25,11 @@ DEPTH = 3
 #: A line belongs to its leaf's template if so many of its tokens agree.
 SIMILARITY = 0.8
 
-#: A template recurs from this number of documents on.
+#: A template recurs from this number of documents on; one of so many tokens
+#: or more is no chance match and recurs from two on.
 MIN_DOCS = 3
+LONG = 8
+MIN_DOCS_LONG = 2
 
 #: First lines of a block that are compared in the first round, and at most
 #: (up to this number Spark limits a ranking before the shuffle).
@@ -175,20 +178,21 @@ def _generalised(lines: DataFrame, rows: DataFrame, similarity: float) -> DataFr
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
-                  similarity: float = SIMILARITY) -> DataFrame:
+                  similarity: float = SIMILARITY, long: int = LONG, min_docs_long: int = MIN_DOCS_LONG) -> DataFrame:
     """id, t1, t2 (key of the text) and ``drop``, the numbers of the lines to
     drop, of the documents with any."""
     rows = _documents(docs, id_col, text_col).drop("doc")
     lines = materialize(_lines(rows).drop("tokens"), "lines")
     other = materialize(_generalised(lines, rows, similarity), "line-templates")
     joined = materialize(
-        lines.select("id", "t1", "t2", "line", "own").join(spread_keys(other, [F.xxhash64("own", F.lit(3))]), "own", "left")
-        .select("id", "t1", "t2", "line", F.coalesce("template", "own").alias("template")), "line-joined")
+        lines.select("id", "t1", "t2", "line", "size", "own").join(spread_keys(other, [F.xxhash64("own", F.lit(3))]), "own", "left")
+        .select("id", "t1", "t2", "line", "size", F.coalesce("template", "own").alias("template")), "line-joined")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "t1", "t2", "line")
     # a document counts once for a template; both steps add up before they shuffle
-    once = joined.groupBy("template", "id", "t1", "t2").agg(F.min("line").alias("line"))
-    recurring = materialize(once.groupBy("template").agg(F.count("*").alias("docs"), F.min(place).alias("first"))
-                            .where(F.col("docs") >= min_docs).drop("docs"), "line-recurring")
+    once = joined.groupBy("template", "size", "id", "t1", "t2").agg(F.min("line").alias("line"))
+    bound = F.when(F.col("size") >= long, min_docs_long).otherwise(min_docs)
+    recurring = materialize(once.groupBy("template", "size").agg(F.count("*").alias("docs"), F.min(place).alias("first"))
+                            .where(F.col("docs") >= bound).drop("docs", "size"), "line-recurring")
     maybe = might_contain(joined, bloom_filter(recurring, "template"), F.col("template"), "maybe").where("maybe")
     hits = maybe.join(spread_keys(recurring, [F.xxhash64("template", F.lit(3))]), "template")
     return hits.where(place != F.col("first")).groupBy("id", "t1", "t2").agg(F.collect_set("line").alias("drop"))
@@ -197,8 +201,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Every row as a struct ``doc``, n_lines, n_dropped and ``kept``, its
     text without the lines whose template stands in ``min_docs`` documents
-    or more; the first line of a template (smallest id, null last, then text
-    and line) stays.
+    or more (``min_docs_long``, if it has ``long`` tokens or more); the first
+    line of a template (smallest id, null last, then text and line) stays.
 
     Lines without a word are never dropped and have no template; a null text
     has no lines and stays null.  Equal rows are one document here and lose

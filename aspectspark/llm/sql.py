@@ -112,19 +112,21 @@ l_tokens AS (
 l_kinds AS (
   SELECT tokens, md5(array_to_string(tokens, ' ')) AS own, len(tokens) AS size,
     array_to_string(tokens[1:3], ' ') AS lead, count(*) AS n FROM l_tokens GROUP BY ALL),
-l_leaders AS (
-  SELECT size, lead, first(tokens ORDER BY n DESC, own) AS leader, first(own ORDER BY n DESC, own) AS leader_own
-  FROM l_kinds GROUP BY size, lead),
-l_templates AS (
-  SELECT own, CASE WHEN list_sum(list_transform(list_zip(tokens, leader), lambda p: CASE WHEN p[1] = p[2] THEN 1 ELSE 0 END))
-    >= 0.8 * l_kinds.size THEN leader_own ELSE own END AS template
-  FROM l_kinds JOIN l_leaders ON l_leaders.size = l_kinds.size AND l_leaders.lead = l_kinds.lead),
+l_rounds AS (
+  SELECT tokens, own, size, lead, n, CAST(NULL AS VARCHAR) AS template, FALSE AS same FROM l_kinds
+  UNION ALL
+  SELECT tokens, own, size, lead, n, leader_own, list_sum(list_transform(list_zip(tokens, leader),
+    lambda p: CASE WHEN p[1] = p[2] THEN 1 ELSE 0 END)) >= 0.8 * size
+  FROM (SELECT tokens, own, size, lead, n, first_value(tokens) OVER leaf AS leader, first_value(own) OVER leaf AS leader_own
+        FROM l_rounds WHERE NOT same WINDOW leaf AS (PARTITION BY size, lead ORDER BY n DESC, own))),
+l_templates AS (SELECT own, template FROM l_rounds WHERE same),
 l_joined AS (
-  SELECT rid, doc_id, line, template FROM l_tokens
+  SELECT rid, doc_id, line, len(tokens) AS size, template FROM l_tokens
   JOIN l_templates ON l_templates.own = md5(array_to_string(tokens, ' '))),
 l_recurring AS (
   SELECT template, first(rid ORDER BY doc_id, line) AS first_rid, first(line ORDER BY doc_id, line) AS first_line
-  FROM l_joined GROUP BY template HAVING count(DISTINCT rid) >= 3),
+  FROM l_joined GROUP BY template, size
+  HAVING count(DISTINCT rid) >= CASE WHEN size >= 8 THEN 2 ELSE 3 END),
 l_drops AS (
   SELECT rid, list(line) AS dropped FROM l_joined JOIN l_recurring ON l_recurring.template = l_joined.template
   WHERE NOT (rid = first_rid AND line = first_line) GROUP BY rid),
@@ -137,7 +139,7 @@ deduped AS (
 
 
 LINE_DEDUP = f"""
-WITH rows_in AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+WITH RECURSIVE rows_in AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 {line_ctes('rows_in')}
 SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM deduped
 """

@@ -155,8 +155,10 @@ def group(rows, key):
     return out
 
 
-def line_dedup(docs, min_docs=3, depth=3, similarity=0.8):
-    """{(id, text): kept text}; equal rows are one document."""
+def line_dedup(docs, bound=lambda size: 2 if size >= 8 else 3, depth=3, similarity=0.8):
+    """{(id, text): kept text}; equal rows are one document.  In a leaf each
+    kind of lines, most frequent first, joins the first leader it agrees with
+    or leads."""
     docs = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0))
 
     def tokens(line):
@@ -169,15 +171,18 @@ def line_dedup(docs, min_docs=3, depth=3, similarity=0.8):
     leaves = group(count, lambda t: (len(t), t[:depth]))
     template = {}
     for kinds in leaves.values():
-        leader = min(kinds, key=lambda t: (-count[t], digest[t]))
-        for t in kinds:
-            template[t] = leader if sum(a == b for a, b in zip(t, leader)) >= similarity * len(t) else t
+        leaders = []
+        for t in sorted(kinds, key=lambda t: (-count[t], digest[t])):
+            agree = (x for x in leaders if sum(a == b for a, b in zip(t, x)) >= similarity * len(t))
+            template[t] = next(agree, t)
+            if template[t] is t:
+                leaders.append(t)
     places = defaultdict(list)
     for d in docs:
         for i, x in enumerate(split[d]):
             if WORD.search(x):
                 places[template[tokens(x)]].append((d, i))
-    gone = {p for at in places.values() if len({d for d, _ in at}) >= min_docs for p in at[1:]}
+    gone = {p for t, at in places.items() if len({d for d, _ in at}) >= bound(len(t)) for p in at[1:]}
     return {d: d[1] if not any((d, i) in gone for i in range(len(split[d]))) else
             "\n".join(x for i, x in enumerate(split[d]) if (d, i) not in gone) for d in docs}
 

@@ -10,7 +10,7 @@ from aspectspark.llm import lines
 from tests.llm import brute
 
 
-def families(docs, min_docs=3, depth=3, similarity=0.8):
+def families(docs, bound=lambda size: 2 if size >= 8 else 3, depth=3, similarity=0.8):
     """{id: kept text} of documents with distinct ids and lines of words
     without digits: each kind joins the first leader that it agrees with."""
     split = {i: t.split("\n") for i, t in docs}
@@ -26,7 +26,7 @@ def families(docs, min_docs=3, depth=3, similarity=0.8):
                 leaders.append(t)
     places = brute.group([(i, n, template[tuple(x.split())]) for i in sorted(split) for n, x in enumerate(split[i])],
                          lambda p: p[2])
-    gone = {p[:2] for at in places.values() if len({p[0] for p in at}) >= min_docs for p in at[1:]}
+    gone = {p[:2] for t, at in places.items() if len({p[0] for p in at}) >= bound(len(t)) for p in at[1:]}
     return {i: "\n".join(x for n, x in enumerate(ls) if (i, n) not in gone) for i, ls in split.items()}
 
 
@@ -105,3 +105,11 @@ def test_a_large_family_leaves_with_its_leader(spark, monkeypatch):
 
 
 WORDS = [a + b for a in "abcdefgh" for b in "klmnopqr"]
+
+
+def test_two_documents_are_enough_for_long_lines(spark):
+    long, short = "one two three four five six seven eight", "one two three four five six seven"
+    docs = [(1, f"{long} x\n{short}\na"), (2, f"b\n{long} y\n{short}"), (3, f"c\n{long}"), (4, f"d\n{long}")]
+    out = kept(spark, docs)
+    assert out == {1: docs[0][1], 2: f"b\n{short}", 3: docs[2][1], 4: "d"}
+    assert out == families(docs)
