@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from aspectspark.llm import lines, multi_index, quality, queries, simhash, suffixes
 from aspectspark.llm.licenses import scan_licenses
-from aspectspark.llm.mixing import mix, mixed_documents, targets
+from aspectspark.llm.mixing import mix, mixed_documents, shares
 from aspectspark.llm.pieces import PieceEncoder, Normalizer, decode_pieces, encode_pieces
 from aspectspark.llm.private import BASE_KINDS, find_private, private_spans
 from aspectspark.llm.url_filter import filter_urls
@@ -205,14 +205,24 @@ def test_nearest_of_few_and_none(spark):
         assert multi_index.nearest(vectors(spark, rows), F.col("id") % 20 == 0).count() == 0
 
 
-def test_targets_follow_the_rounds():
-    rng = random.Random(1)
-    for _ in range(200):
-        sizes = [rng.choice([0, 1, 10, 1000, rng.randint(1, 10**6)]) for _ in range(rng.randint(1, 9))]
-        weights = [1 + i % 3 for i in range(len(sizes))]
-        found, want = targets(sizes, weights), brute.mix_targets(sizes, weights)
-        assert np.allclose(found, want)
-        assert np.isclose(sum(found), sum(sizes))
+@pytest.mark.parametrize("sources", [1, 2, 5, 9, 9, 9, 3000])
+def test_targets_follow_the_rounds(spark, sources):
+    rng = random.Random(sources)
+    sizes = [rng.choice([0, 1, 10, 1000, rng.randint(1, 10**6)]) for _ in range(sources)]
+    names = sorted({f"{rng.choice('aAz\u00e9\U0001f600')}{rng.random()}" for _ in range(sources - 1)}) + [None]
+    rows = [(s, n // 2) for s, n in zip(names, sizes)] + [(s, n - n // 2) for s, n in zip(names, sizes)]
+    out = shares(spark.createDataFrame(rows, "source string, size long"), (1, 2, 3)).collect()
+    found = {r.source: r for r in out}
+    want = brute.mix_targets(sizes, [1 + i % 3 for i in range(sources)])
+    assert len(out) == sources and [found[s].source_size for s in names] == sizes
+    assert np.allclose([found[s].target for s in names], want)
+    assert [found[s].start_weight for s in names] == [(1.5, 1.0, 0.5)[i % 3] for i in range(sources)]
+
+
+def test_targets_without_words(spark):
+    assert shares(spark.createDataFrame([], "source string, size long"), (1, 2, 3)).collect() == []
+    rows = shares(spark.createDataFrame([("a", 0), (None, 0)], "source string, size long"), (1, 2, 3)).collect()
+    assert sorted((r.source or "", r.target) for r in rows) == [("", 0.0), ("a", 0.0)]
 
 
 def test_mix(docs):
