@@ -25,10 +25,13 @@ SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 
-#: Fingerprints the tree is built from at most; their distances to the
-#: vantage points set the boundaries.  A bound on the driver's work, not on
-#: the search: all fingerprints are dealt and compared.
+#: Fingerprints the tree is built from: so many, or 16 per leaf where that is
+#: more, up to the last number (2 MB on the driver; enough for leaves of
+#: ``LEAF`` up to 10^9 fingerprints).  Their distances to the vantage points
+#: set the boundaries.  A bound on the driver's work, not on the search: all
+#: fingerprints are dealt and compared.
 SAMPLE = 1 << 14
+LARGEST_SAMPLE = 1 << 18
 
 #: Fingerprints that live in a leaf on average, and members (visitors too)
 #: of a block, in pairs of which larger leaves are searched.  Distances
@@ -180,8 +183,9 @@ def links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     total = prints.count()
     # by hash, so reruns agree; the first condition keeps what tasks send small
     order = F.xxhash64("fp", F.lit(11))
-    some = F.shiftrightunsigned(order, 32) < min(1.0, 2 * SAMPLE / max(1, total)) * 2**32
-    sample = [r[0] for r in prints.select("fp").where(some).orderBy(order, "fp").limit(SAMPLE).collect()]
+    size = min(LARGEST_SAMPLE, max(SAMPLE, 16 * (total // LEAF)))
+    some = F.shiftrightunsigned(order, 32) < min(1.0, 2 * size / max(1, total)) * 2**32
+    sample = [r[0] for r in prints.select("fp").where(some).orderBy(order, "fp").limit(size).collect()]
     depth = max(0, min((total // LEAF).bit_length(), (len(sample) // 8).bit_length() - 1))
     tree = spark.sparkContext.broadcast(grow(np.array(sample, dtype=np.int64).view(np.uint64), depth, iter(range(1 << 30))))
 
