@@ -64,10 +64,14 @@ def linear_head(vec: Column | str, weights: list[list[float]],
 
 def segment_ids(ids: Column | str, sep_id: int = 3) -> Column:
     """P10: 1 for positions after the first SEP up to and including the
-    second, else 0.  Fewer than two SEPs -> all zeros."""
+    second, else 0.  Fewer than two SEPs -> all zeros.
+
+    Three runs of equal values, laid end to end: nothing is looked up again
+    for each position."""
     x = _c(ids)
-    seps = F.filter(F.sequence(F.lit(0), F.size(x) - 1),
-                    lambda i: F.get(x, i) == F.lit(sep_id))
-    s1, s2 = F.get(seps, 0), F.get(seps, 1)
-    return F.transform(
-        x, lambda _v, i: F.when(s2.isNotNull() & (i > s1) & (i <= s2), 1).otherwise(0))
+    n, s1 = F.size(x), F.array_position(x, sep_id)          # 1-based, 0: none
+    between = F.array_position(F.slice(x, (s1 + 1).cast("int"), n), sep_id)
+    ones = F.when((s1 > 0) & (between > 0), between).otherwise(0).cast("int")
+    before = F.when(ones > 0, s1).otherwise(0).cast("int")
+    return F.when(x.isNotNull(), F.concat(F.array_repeat(F.lit(0), before), F.array_repeat(F.lit(1), ones),
+                                          F.array_repeat(F.lit(0), n - before - ones)))
