@@ -156,6 +156,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     target, passes (of the source that take it), positions (a training
     position for each), taken, and the document's key t1, t2.
 
+    Rows come range-sorted in training order: by the first position that
+    takes the document, those that none takes last."""
+    mixed = placed(docs, id_col, text_col, source_col, weights, schedules, rest)
+    order = [F.array_min("positions").asc_nulls_last(), F.col("doc_id").asc_nulls_last(), F.col("t1"), F.col("t2"), F.col("rest")]
+    return mixed.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+
+
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+           weights: Sequence[float] = (1, 2, 3), schedules: Sequence[float] = SCHEDULES, rest: Column | None = None) -> DataFrame:
+    """The rows of :func:`mix` in no order.
+
     Sources in order of code point, null last, weigh ``weights``, repeating.
     A null text has size 0; a document of size 0 takes no words but is
     placed like any other.  Ties in the hash order are broken by id and
@@ -168,8 +179,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                         (F.lit(0).cast("long") if rest is None else rest).alias("rest"))
     base = materialize(named.select("doc_id", "source", n_words(F.col("text")).alias("size"), *text_key(text), "rest"), "mix-sizes")
     goals = shares(base, weights, schedules).withColumnRenamed("source", "ss")
-    placed = _offsets(base).join(goals, F.col("source").eqNullSafe(F.col("ss"))).drop("ss")
-    settled = _settle(materialize(placed.withColumn("passes", _passes()), "mix-placed"))
+    offset = _offsets(base).join(goals, F.col("source").eqNullSafe(F.col("ss"))).drop("ss")
+    settled = _settle(materialize(offset.withColumn("passes", _passes()), "mix-placed"))
     return settled.withColumn("positions", _position()).withColumn(
         "taken", (F.col("size") * F.size("passes")).cast("long")).select(
         "doc_id", "size", "source", "source_size", "target", "passes", "positions", "taken", "t1", "t2", "rest")
@@ -182,7 +193,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that differ elsewhere are documents of their own; other columns may have
     any type."""
     rest = rest_key(docs, [id_col, text_col, source_col])
-    mixed = mix(docs, id_col, text_col, source_col, rest=rest, **options).groupBy("doc_id", "source", "t1", "t2", "rest").agg(
+    mixed = placed(docs, id_col, text_col, source_col, rest=rest, **options).groupBy("doc_id", "source", "t1", "t2", "rest").agg(
         F.flatten(F.collect_list("positions")).alias("positions"))
     mixed = spread_keys(mixed.where(F.size("positions") > 0).select(
         F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("t1").alias("a"), F.col("t2").alias("b"),
@@ -194,6 +205,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = rows.groupBy(*keys).agg(F.first("doc").alias("doc"))
     on = (F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s"))
           & (F.col("t1") == F.col("a")) & (F.col("t2") == F.col("b")) & (F.col("rest") == F.col("r")))
-    placed = one.join(mixed, on).select("doc", F.explode("positions").alias("position"))
-    ranged = placed.repartitionByRange(shuffle_partitions(docs.sparkSession), "position", F.col(f"doc.{id_col}"))
+    each = one.join(mixed, on).select("doc", F.explode("positions").alias("position"))
+    ranged = each.repartitionByRange(shuffle_partitions(docs.sparkSession), "position", F.col(f"doc.{id_col}"))
     return ranged.sortWithinPartitions("position", f"doc.{id_col}").select("doc.*")
