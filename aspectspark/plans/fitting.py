@@ -28,8 +28,8 @@ from aspectspark.session import ship_package
 #: times that in the driver's memory of the last steps.
 MAX_CELLS = 1 << 22
 
-#: Tasks that add up the gradients before the driver does.
-FAN = 4
+#: Gradients of a problem that one task adds up at a time.
+FAN = 16
 
 HISTORY = 10
 
@@ -97,14 +97,14 @@ class Fit(NamedTuple):
 
 
 def _packed(gradient: np.ndarray) -> tuple[bytes, bytes]:
-    """The columns that are not all zero, and what they hold."""
-    at = np.flatnonzero(gradient.any(axis=0))
-    return at.astype(np.int64).tobytes(), gradient[:, at].tobytes()
+    """The columns that are not all zero, a bit for each, and what they hold."""
+    used = gradient.any(axis=0)
+    return np.packbits(used).tobytes(), gradient[:, used].tobytes()
 
 
 def _add(total: np.ndarray, columns: bytes, values: bytes) -> None:
-    at = np.frombuffer(columns, dtype=np.int64)
-    total[:, at] += np.frombuffer(values).reshape(len(total), len(at))
+    used = np.unpackbits(np.frombuffer(columns, dtype=np.uint8), count=total.shape[1]).astype(bool)
+    total[:, used] += np.frombuffer(values).reshape(len(total), -1)
 
 
 def problems_of(folds: list[int], n_out: int, kind: str) -> list[Problem]:
@@ -115,7 +115,11 @@ def problems_of(folds: list[int], n_out: int, kind: str) -> list[Problem]:
 
 def _evaluate(rows: DataFrame, problems: list[Problem], points: list[np.ndarray], dim: int, kind: str):
     """Rows, loss and gradient of every problem at its point, in one scan of
-    ``rows`` (features, target, fold)."""
+    ``rows`` (features, target, fold).
+
+    The tasks' gradients are added by tasks, ``FAN`` of them and then the sums
+    of a problem, so the driver gets one gradient per problem: eight bytes a
+    weight at most, whatever the number of rows and tasks."""
     held = rows.sparkSession.sparkContext.broadcast((problems, points))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,15 +150,17 @@ def _evaluate(rows: DataFrame, problems: list[Problem], points: list[np.ndarray]
 
         problem = int(frame["problem"].iloc[0])
         total = np.zeros(shapes[problem])
+        frame = frame.sort_values("part")       # sums do not depend on the order of arrival
         for columns, values in zip(frame["columns"], frame["values"]):
             _add(total, columns, values)
         columns, values = _packed(total)
         return pd.DataFrame({"problem": [problem], "n": [frame["n"].sum()], "loss": [frame["loss"].sum()],
-                             "columns": [columns], "values": [values]})
+                             "columns": [columns], "values": [values], "part": [int(frame["part"].iloc[0]) // FAN]})
 
     schema = "problem int, n long, loss double, columns binary, values binary"
-    parts = rows.mapInArrow(scan, schema).withColumn("fan", F.spark_partition_id() % FAN)
-    found = parts.groupBy("problem", "fan").applyInPandas(add, schema).collect()
+    parts = rows.mapInArrow(scan, schema).withColumn("part", F.spark_partition_id())
+    fans = parts.groupBy("problem", F.expr(f"part div {FAN}").alias("fan")).applyInPandas(add, f"{schema}, part int")
+    found = fans.groupBy("problem").applyInPandas(add, f"{schema}, part int").drop("part").collect()
     held.unpersist()
     out = [[0, 0.0, np.zeros_like(p)] for p in points]
     for r in sorted(found, key=lambda r: (r["problem"], r["n"], r["loss"])):

@@ -2,9 +2,11 @@
 
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from aspectspark.functions.vectors import hot_text, segment_ids
+from aspectspark.plans import fitting
 
 
 def test_segment_ids_of_long_rows_and_edges(spark):
@@ -16,3 +18,23 @@ def test_segment_ids_of_long_rows_and_edges(spark):
     began = time.time()
     text = spark.range(20).select(hot_text(segment_ids(ids), "").alias("s")).agg(F.min("s")).first()[0]
     assert text == "0" * 20001 + "1" * 20001 and time.time() - began < 60
+
+
+def test_gradients_are_packed_by_bits():
+    g = np.zeros((2, 1001))
+    g[0, 3], g[1, 1000] = 1.5, -2.0
+    total = np.ones((2, 1001))
+    columns, values = fitting._packed(g)
+    fitting._add(total, columns, values)
+    assert (total == g + 1).all() and len(columns) == 126 and len(values) == 2 * 2 * 8
+
+
+def test_the_driver_gets_one_gradient_per_problem(spark, monkeypatch):
+    rows = [([i % 5, i % 7], [i % 2], i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "features array<int>, target array<int>, fold int").repartition(40)
+    got = []
+    frame = type(df)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    fitting.fit_problems(df, fitting.problems_of([0, 1], 1, "multilabel"), 8, "multilabel", max_iter=2)
+    assert got and all(len(g) <= 2 for g in got)
