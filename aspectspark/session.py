@@ -8,7 +8,7 @@ import tempfile
 import threading
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(master: str | None = None, app: str = "aspectspark",
@@ -119,6 +119,30 @@ def _ship(spark: SparkSession, sc, key: str) -> None:
     _SHIPPED.add(key)
 
 
+#: Rows of a flat table (annotations) that a task takes at most, about: some
+#: hundred MB where it sorts and aggregates them for all members.
+TASK_ROWS = 1 << 17
+
+
+def task_count(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int | None:
+    """Tasks for so many rows, ``each`` per task; None where one task takes
+    them all.  No fewer than shuffles have, so a join keeps this number."""
+    if rows <= each:
+        return None
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """Deal a table by keys to as many tasks as its rows need.
+
+    Adaptive execution merges partitions by shuffled bytes, before a task
+    derives several rows from each and sorts them; this number is kept, so the
+    memory of a task does not grow with the table.  ``rows`` (default: counted,
+    for a file from its footers) is the table's number of rows."""
+    n = task_count(df.sparkSession, df.count() if rows is None else rows)
+    return df.repartition(n, *keys) if n else df
+
+
 def input_partitions(spark: SparkSession) -> int | None:
     """Partitions to deal text tables into after the scan, as the session's
     ``aspectspark.inputPartitions`` says; unset: as the scan splits them.

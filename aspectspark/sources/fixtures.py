@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aspectspark.session import input_partitions
+from aspectspark.session import dealt, input_partitions
 from aspectspark.functions.taxonomy import (
     CATEGORIES, LEGACY_POLARITIES, POLARITIES, TOPICS, hash6, join_aspect, name_of)
 
@@ -47,11 +47,14 @@ def gold_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     The window partitions by ``rec`` itself (not by the source column), so
     its hash partitioning is recognised downstream: every later step keyed
     by the record (member derivation, per-record aggregates, joins on the
-    record id) reuses this one shuffle instead of adding its own.
+    record id) reuses this one shuffle instead of adding its own.  All these
+    steps run in one task per partition, so the table is dealt into as many
+    as its rows need (:func:`aspectspark.session.dealt`).
     """
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("rec"), "l_linenumber", "l_partkey", "l_suppkey",
         "l_quantity", "l_extendedprice", "l_returnflag")
+    li = dealt(li, ["rec"])
     w = Window.partitionBy("rec").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     return li.select(
@@ -145,15 +148,18 @@ def member_annotations(spark: SparkSession, sf_dir: str, members=N_MEMBERS) -> D
 
 def member_predictions(spark: SparkSession, sf_dir: str, members=N_MEMBERS) -> DataFrame:
     """Member, id, sentence_form, annotation array<struct<aspect,polarity>>
-    for every record and member (empty list when a member predicts nothing)."""
+    for every record and member (empty list when a member predicts nothing).
+
+    The record's lists of all members meet its sentence in one join by id,
+    then each member takes its own: nothing is shuffled by (member, id)."""
     a = member_annotations(spark, sf_dir, members)
-    nested = a.groupBy("member", "id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "aspect", "polarity"))).alias("a"))
-    s = sentences(spark, sf_dir).withColumn("member", _member_ids(members))
-    ann = F.transform(F.coalesce(F.col("a"), F.array()), lambda x: F.struct(
+    nested = a.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("member", "pos", "aspect", "polarity"))).alias("a"))
+    s = sentences(spark, sf_dir).join(nested, "id", "left").withColumn("member", _member_ids(members))
+    own = F.filter(F.coalesce(F.col("a"), F.array()), lambda x: x["member"] == F.col("member"))
+    ann = F.transform(own, lambda x: F.struct(
         x["aspect"].alias("aspect"), x["polarity"].alias("polarity")))
-    return (s.join(nested, ["member", "id"], "left")
-             .select("member", "id", "sentence_form", ann.alias("annotation")))
+    return s.select("member", "id", "sentence_form", ann.alias("annotation"))
 
 
 def legacy_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

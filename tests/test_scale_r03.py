@@ -5,8 +5,11 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from aspectspark import session
 from aspectspark.functions.vectors import hot_text, segment_ids
 from aspectspark.plans import fitting
+from aspectspark.sources import fixtures as fx
+from tests.conftest import SF001
 
 
 def test_segment_ids_of_long_rows_and_edges(spark):
@@ -20,6 +23,22 @@ def test_segment_ids_of_long_rows_and_edges(spark):
     assert text == "0" * 20001 + "1" * 20001 and time.time() - began < 60
 
 
+def test_a_task_takes_a_bounded_number_of_annotations(spark, tmp_path, monkeypatch):
+    sf = _lineitems(tmp_path, spark, 4000)
+    small = {f: sorted(map(str, f(spark, sf).collect())) for f in (fx.member_annotations, fx.member_predictions, fx.gold_corpus)}
+    monkeypatch.setattr(session.task_count, "__defaults__", (100,))
+    for f, rows in small.items():
+        assert sorted(map(str, f(spark, sf).collect())) == rows
+    # 40 tasks of 100 rows, which adaptive execution does not merge again
+    assert fx.member_annotations(spark, sf).rdd.getNumPartitions() == 40
+
+
+def test_member_predictions_are_not_shuffled_by_member(spark):
+    df = fx.member_predictions(spark, SF001)
+    assert not [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines()
+                if "Exchange hashpartitioning" in x and "member" in x]
+
+
 def test_gradients_are_packed_by_bits():
     g = np.zeros((2, 1001))
     g[0, 3], g[1, 1000] = 1.5, -2.0
