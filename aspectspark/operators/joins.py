@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aspectspark.session import dealt
+
 
 def align_gold_pred(gold: DataFrame, pred: DataFrame, on: str = "id",
                     carry: tuple[str, ...] = ()) -> DataFrame:
@@ -22,14 +24,18 @@ def align_gold_pred(gold: DataFrame, pred: DataFrame, on: str = "id",
 
 def first_match(left: DataFrame, right: DataFrame, keys: list[str],
                 value: str = "polarity", order: str = "pos",
-                prefix: str = "match_") -> DataFrame:
+                prefix: str = "match_", rows: int | None = None) -> DataFrame:
     """For each left row the *first* right row (smallest ``order``) with
     equal ``keys``: adds ``match_<value>`` and ``match_pos`` (NULL when
     there is none).  The right side is reduced to one row per key with a
-    partial aggregate before the join, so duplicates never multiply rows."""
+    partial aggregate before the join, so duplicates never multiply rows.
+    ``rows``: rows of the left side, if known; the join then has as many tasks
+    as they need."""
     firsts = right.groupBy(*keys).agg(
         F.min_by(value, order).alias(prefix + value),
         F.min(order).alias(prefix + order))
+    if rows is not None:    # both sides: a join keeps the number of one that is dealt already
+        left, firsts = dealt(left, keys, rows), dealt(firsts, keys, rows)
     return left.join(firsts, keys, "left")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aspectspark import session
 from aspectspark.functions.vectors import hot_text, segment_ids
+from aspectspark.operators import joins
 from aspectspark.plans import fitting
 from aspectspark.sources import fixtures as fx
 from tests.conftest import SF001
@@ -39,6 +40,14 @@ def test_member_predictions_are_not_shuffled_by_member(spark):
                 if "Exchange hashpartitioning" in x and "member" in x]
 
 
+def test_first_match_with_a_known_number_of_rows(spark):
+    left = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (None, 0, "a")], "id int, pos int, aspect string")
+    right = spark.createDataFrame([(1, 2, "a", "y"), (1, 1, "a", "x"), (2, 0, "b", "z"), (None, 0, "a", "n")],
+                                  "id int, pos int, aspect string, polarity string")
+    plain, sized = (sorted(map(str, joins.first_match(left, right, ["id", "aspect"], rows=n).collect())) for n in (None, 1 << 18))
+    assert plain == sized and joins.first_match(left, right, ["id", "aspect"], rows=1 << 22).rdd.getNumPartitions() == 32
+
+
 def test_gradients_are_packed_by_bits():
     g = np.zeros((2, 1001))
     g[0, 3], g[1, 1000] = 1.5, -2.0
