@@ -86,12 +86,10 @@ def q_read_stage_csv(spark, sf):
 
 
 def q_write_predictions(spark, sf):
-    out = None
-    for m in range(fx.N_MEMBERS):       # a file set per member, as the cascade writes them
-        path = scratch_path(spark, f"pred-{m}")
-        io.write_predictions(fx.member_predictions(spark, sf, [m]).drop("member"), path)
-        r = io.read_predictions(spark, path, id_type="bigint").withColumn("member", F.lit(m))
-        out = r if out is None else out.unionByName(r)
+    # a file set per member, as the cascade writes them, all from one pass
+    root = scratch_path(spark, "pred")
+    io.write_predictions(fx.member_predictions(spark, sf), root, by="member", compression="gzip")
+    out = io.read_predictions(spark, root, id_type="bigint", by="member")
     return out.select("member", "id", "sentence_form", F.size("annotation").alias("n_annotations"),
                       ann_text().alias("annotation_text"))
 

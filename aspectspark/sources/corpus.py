@@ -26,12 +26,13 @@ def _annotation_structs(raw):
         F.get(a, F.size(a) - 1).alias("polarity")))
 
 
-def read_corpus(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, id_type: str = "string", by: str | None = None) -> DataFrame:
     """``id, sentence_form, annotation array<struct<aspect,span,polarity>>``.
-    A malformed line fails the read (FAILFAST), like ``json.loads``."""
-    raw = (spark.read.schema(RAW_CORPUS).option("mode", "FAILFAST")
+    A malformed line fails the read (FAILFAST), like ``json.loads``.  ``by``:
+    also the column (int) that names the folders of the files."""
+    raw = (spark.read.schema(f"{RAW_CORPUS}, {by} int" if by else RAW_CORPUS).option("mode", "FAILFAST")
                 .option("encoding", "UTF-8").json(path))
-    return raw.select(F.col("id").cast(id_type).alias("id"), "sentence_form",
+    return raw.select(*([by] if by else []), F.col("id").cast(id_type).alias("id"), "sentence_form",
                       _annotation_structs(F.coalesce("annotation", F.array()))
                       .alias("annotation"))
 
@@ -60,20 +61,24 @@ def write_corpus(corpus: DataFrame, path: str, mode: str = "overwrite") -> None:
     corpus_lines(corpus).write.mode(mode).text(path)
 
 
-def write_predictions(pred: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_predictions(pred: DataFrame, path: str, mode: str = "overwrite", by: str | None = None,
+                      compression: str = "none") -> None:
     """D9 -> JSON lines ``{"id", "sentence_form", "annotation":
-    [[aspect, polarity], ...]}``."""
+    [[aspect, polarity], ...]}``.  ``by``: a column (the member) that names a
+    folder of files each, written in one job; ``compression``: of the files,
+    as Spark's text writer has it (readers tell it by the file's name)."""
     ann = F.transform("annotation", lambda a: F.array(a["aspect"], a["polarity"]))
     # a NULL field is written as null, not left out
-    (pred.select(F.to_json(F.struct("id", "sentence_form", ann.alias("annotation")),
-                           {"ignoreNullFields": "false"})
-                 .alias("value"))
-         .write.mode(mode).text(path))
+    lines = pred.select(*([by] if by else []), F.to_json(
+        F.struct("id", "sentence_form", ann.alias("annotation")), {"ignoreNullFields": "false"}).alias("value"))
+    writer = lines.write.mode(mode).option("compression", compression)
+    (writer.partitionBy(by) if by else writer).text(path)
 
 
-def read_predictions(spark: SparkSession, path: str, id_type: str = "string") -> DataFrame:
-    """D9 reader: ``id, sentence_form, annotation array<struct<aspect,polarity>>``."""
-    c = read_corpus(spark, path, id_type)
+def read_predictions(spark: SparkSession, path: str, id_type: str = "string", by: str | None = None) -> DataFrame:
+    """D9 reader: ``id, sentence_form, annotation array<struct<aspect,polarity>>``;
+    ``by``: the column (int) of a set of folders, read in one scan."""
+    c = read_corpus(spark, path, id_type, by)
     return c.withColumn("annotation", F.transform(
         "annotation", lambda a: F.struct(a["aspect"].alias("aspect"),
                                          a["polarity"].alias("polarity"))))

@@ -9,6 +9,7 @@ from aspectspark import session
 from aspectspark.functions.vectors import hot_text, segment_ids
 from aspectspark.operators import joins
 from aspectspark.plans import fitting
+from aspectspark.sources import corpus as io
 from aspectspark.sources import fixtures as fx
 from tests.conftest import SF001
 
@@ -48,6 +49,18 @@ def test_first_match_with_a_known_number_of_rows(spark):
     assert plain == sized and joins.first_match(left, right, ["id", "aspect"], rows=1 << 22).rdd.getNumPartitions() == 32
 
 
+def test_predictions_of_all_members_in_one_job(spark, tmp_path):
+    rows = [(m, i, f"s{i}", [("x#y", f"p{m}")] if i else []) for m in range(3) for i in range(4)] + [(1, None, None, [])]
+    df = spark.createDataFrame(rows, "member int, id bigint, sentence_form string, annotation array<struct<aspect:string,polarity:string>>")
+    io.write_predictions(df, f"{tmp_path}/p", by="member", compression="gzip")
+    back = io.read_predictions(spark, f"{tmp_path}/p", id_type="bigint", by="member")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    one = io.read_predictions(spark, f"{tmp_path}/p/member=2", id_type="bigint")
+    assert one.count() == 4
+    io.write_predictions(df.limit(0), f"{tmp_path}/none", by="member")
+    assert io.read_predictions(spark, f"{tmp_path}/none", by="member").count() == 0
+
+
 def test_gradients_are_packed_by_bits():
     g = np.zeros((2, 1001))
     g[0, 3], g[1, 1000] = 1.5, -2.0
