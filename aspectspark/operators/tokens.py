@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from aspectspark.functions.text import tokens
 from aspectspark.operators.sampling import materialized, ranked
+from aspectspark.session import task_count
 
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 FIRST_ID = 4
@@ -23,6 +24,15 @@ FIRST_ID = 4
 CONTINUES = "##"
 MAX_WORD = 100
 
+#: Most frequent words whose pieces are sent to every task; words of a text
+#: that one task puts together again.
+FREQUENT = 1 << 16
+TASK_WORDS = 1 << 20
+
+#: A piece table of at most so many rows is broadcast (some 30 MB); a larger
+#: one meets the substrings in a shuffled join.
+PIECES_SENT = 1 << 18
+
 
 def build_vocab(texts: DataFrame, cols: list[str], size: int | None = None) -> DataFrame:
     """``token, id``: all whitespace tokens of the whole texts, or the
@@ -80,12 +90,12 @@ def encode_tokens(df: DataFrame, key: str, question: str, text: str, vocab: Data
 
 
 def _words(texts: DataFrame, cols: list[str]) -> DataFrame:
-    """The distinct words of some text columns."""
+    """The distinct words of some text columns, and how often each occurs."""
     found = None
     for c in cols:
         w = texts.select(F.explode(tokens(c)).alias("word"))
         found = w if found is None else found.unionByName(w)
-    return found.distinct()
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _substrings(words: DataFrame, first: int, later: int) -> DataFrame:
@@ -112,20 +122,23 @@ def build_pieces(texts: DataFrame, cols: list[str], first: int = 4, later: int =
 
 
 def word_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``word, ids``: greedy longest match of every distinct ``word`` by the
-    pieces of ``vocab`` (piece, id); a word that they do not cover, or of more
+    """``words`` with ``ids``: greedy longest match of every distinct ``word``
+    by the pieces of ``vocab`` (piece, id); a word that they do not cover, or of more
     than ``MAX_WORD`` characters, is UNK.
 
     The substrings of a word, no longer than the longest pieces, meet the
     table in one join; the matches of a word, at most its length times that of
-    the longest piece, are then walked from left to right.
+    the longest piece, are then walked from left to right.  With a table of up
+    to ``PIECES_SENT`` pieces no substring is shuffled.
     """
     inner = F.col("piece").startswith(CONTINUES)
     size = vocab.agg(F.max(F.when(~inner, F.char_length("piece"))).alias("first"),
-                     F.max(F.when(inner, F.char_length("piece") - len(CONTINUES))).alias("later")).first()
+                     F.max(F.when(inner, F.char_length("piece") - len(CONTINUES))).alias("later"),
+                     F.count(F.lit(1)).alias("n")).first()
     first, later = max(1, size["first"] or 1), max(1, size["later"] or 1)
     short = words.filter(F.char_length("word") <= MAX_WORD)
-    matches = _substrings(short, first, later).join(vocab.select("piece", "id"), "piece")
+    table = vocab.select("piece", "id")
+    matches = _substrings(short, first, later).join(F.broadcast(table) if size["n"] <= PIECES_SENT else table, "piece")
     match = F.struct("start", (-F.col("len")).alias("less"), "id")
     found = matches.groupBy("word").agg(F.array_sort(F.collect_list(match)).alias("found"))
     begin = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("ids"), F.lit(False).alias("gap"))
@@ -139,7 +152,7 @@ def word_pieces(words: DataFrame, vocab: DataFrame) -> DataFrame:
     walked = found.select("word", F.aggregate("found", begin, step).alias("walk"))
     whole = ~F.col("walk.gap") & (F.col("walk.at") == F.char_length("word") + 1)
     ids = walked.filter(whole).select("word", F.col("walk.ids").alias("ids"))
-    return words.join(ids, "word", "left").select("word", F.coalesce("ids", F.array(F.lit(UNK))).alias("ids"))
+    return words.join(ids, "word", "left").select(*words.columns, F.coalesce("ids", F.array(F.lit(UNK))).alias("ids"))
 
 
 def encode_subwords(df: DataFrame, key: str, question: str, text: str, vocab: DataFrame, max_len: int = 128,
@@ -149,13 +162,22 @@ def encode_subwords(df: DataFrame, key: str, question: str, text: str, vocab: Da
     many windows as the pieces of the text fill.  ``key`` names a row.
 
     The vocabulary work is per distinct word; a word of a text is then one
-    row that meets its pieces by a join.
+    row that meets its pieces by a join.  The ``FREQUENT`` most frequent words
+    are broadcast for that, so only the others are shuffled by word; all are
+    shuffled once by row, in the order of the text, to as many tasks as there
+    are words for.
     """
     sides = [F.struct(F.lit(i).alias("side"), F.coalesce(tokens(c), F.array().cast("array<string>")).alias("w"))
              for i, c in enumerate((question, text))]
     x = df.select(key, F.explode(F.array(*sides)).alias("s")).select(key, "s.side", F.posexplode_outer("s.w").alias("pos", "word"))
-    pieces = word_pieces(_words(df, [question, text]), vocab)
-    x = x.join(pieces.withColumnRenamed("ids", "_ids"), "word", "left")
+    pieces = materialized(word_pieces(_words(df, [question, text]), vocab).withColumnRenamed("ids", "_ids"))
+    often = F.broadcast(pieces.orderBy(F.desc("n"), "word").limit(FREQUENT).drop("n"))
+    known = x.join(often, "word", "left")
+    rare = known.filter(F.col("word").isNotNull() & F.col("_ids").isNull()).drop("_ids")
+    x = known.filter(F.col("word").isNull() | F.col("_ids").isNotNull()).unionByName(rare.join(pieces.drop("n"), "word"))
+    x = x.select(key, "side", "pos", "_ids")
+    tasks = task_count(df.sparkSession, pieces.agg(F.sum("n")).first()[0] or 0, TASK_WORDS)
+    x = x.repartition(tasks, key) if tasks else x
     item = F.when(F.col("pos").isNotNull(), F.struct("pos", "_ids"))
     of = lambda side: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, item))), lambda s: s["_ids"]))
     g = x.groupBy(key).agg(of(0).alias("_q"), of(1).alias("_t")).withColumn("_q", F.slice("_q", 1, max_len - 4))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aspectspark import session
 from aspectspark.functions.vectors import hot_text, segment_ids
-from aspectspark.operators import joins
+from aspectspark.operators import joins, tokens
 from aspectspark.plans import fitting
 from aspectspark.sources import corpus as io
 from aspectspark.sources import fixtures as fx
@@ -79,3 +79,17 @@ def test_the_driver_gets_one_gradient_per_problem(spark, monkeypatch):
     monkeypatch.setattr(frame, "collect", lambda self: got.append(collect(self)) or got[-1])
     fitting.fit_problems(df, fitting.problems_of([0, 1], 1, "multilabel"), 8, "multilabel", max_iter=2)
     assert got and all(len(g) <= 2 for g in got)
+
+
+def test_frequent_words_are_not_shuffled_by_word(spark, monkeypatch):
+    vocab = spark.createDataFrame([("a", 4), ("b", 5), ("##b", 6), ("##a", 7)], "piece string, id int")
+    docs = spark.createDataFrame([(i, "a ab", " ".join(["ab", "ba", "zz", "a" * (i % 9 + 1)] * (i + 1))) for i in range(30)]
+                                 + [(99, None, None)], "id int, q string, t string")
+    found = []
+    for often, each in ((1 << 16, 1 << 20), (1, 50), (0, 50)):
+        monkeypatch.setattr(tokens, "FREQUENT", often)
+        monkeypatch.setattr(tokens, "TASK_WORDS", each)
+        out = tokens.encode_subwords(docs, "id", "q", "t", vocab, 16)
+        found.append(sorted(map(str, out.collect())))
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert found[0] == found[1] == found[2]
