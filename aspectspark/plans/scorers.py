@@ -7,7 +7,7 @@ Two kinds exist:
   expression (md5 of ``prompt:label[:member]``); exact in SQL, so the
   cascade can be checked end to end.
 * :class:`PandasScorer` -- any Python model (onnxruntime, numpy, ...), run
-  on Arrow batches by an iterator pandas UDF.  The model is loaded once per
+  on Arrow batches by an iterator Arrow UDF.  The model is loaded once per
   Python worker by ``loader()`` and stays for later tasks; only rows that
   need a score are sent to it, those of like length together.
 
@@ -20,6 +20,8 @@ import uuid
 from typing import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,13 +73,36 @@ def worker_model(key: str, loader: Callable[[], Callable]) -> Callable:
     return model
 
 
+#: Bytes of prompts that go to the model at a time.
+SCORE_BYTES = 1 << 20
+
+
+def score_batch(model: Callable, prompts: pa.Array, n: int) -> pa.Array:
+    """The ``n`` scores of every prompt of a batch (NULL: NULL)."""
+    known = np.flatnonzero(prompts.is_valid().to_numpy(zero_copy_only=False))
+    sizes = pc.utf8_length(prompts).fill_null(0).to_numpy(zero_copy_only=False)
+    todo = known[np.argsort(sizes[known], kind="stable")]
+    taken = np.cumsum(pc.binary_length(prompts).fill_null(0).to_numpy(zero_copy_only=False)[todo]) // SCORE_BYTES
+    scores = np.zeros((len(prompts), n))
+    for rows in np.split(todo, np.flatnonzero(np.diff(taken)) + 1) if len(todo) else ():
+        found = np.asarray(model(prompts.take(pa.array(rows)).to_pylist()), dtype=np.float64)
+        scores[rows] = found.reshape(-1, n)
+    # as many values as known rows have; a NULL row has none
+    ends = np.concatenate([[0], np.cumsum(np.isin(np.arange(len(prompts)), known, assume_unique=True) * n)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(scores[known].ravel()),
+                                    mask=prompts.is_null() if prompts.null_count else None)
+
+
 class PandasScorer:
     """Python model on Arrow batches.  ``loader()`` returns a callable
     ``model(list[str]) -> array (n, n_labels)``; it runs once per Python
     worker and ``key`` (by default the scorer's own).
 
     A batch goes to the model in order of length, so a model that pads its
-    input pads little; the scores come back in the order of the rows."""
+    input pads little; the scores come back in the order of the rows.  The
+    prompts of a batch become Python strings ``SCORE_BYTES`` at a time (one
+    prompt at least), the rest stays in Arrow: a worker holds one batch and
+    that, whatever the number of rows."""
 
     def __init__(self, n_labels: int, loader: Callable[[], Callable], key: str | None = None):
         self.n_labels = n_labels
@@ -85,27 +110,18 @@ class PandasScorer:
         self.key = key or uuid.uuid4().hex
 
     def column(self, prompt: Column, mask: Column | None = None) -> Column:
-        import pandas as pd
-
         from aspectspark.session import ship_package
 
         ship_package(SparkSession.getActiveSession())
         loader, n, key = self.loader, self.n_labels, self.key
 
-        @F.pandas_udf("array<double>")
-        def _score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            from aspectspark.plans.scorers import worker_model
+        @F.arrow_udf("array<double>")
+        def _score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            from aspectspark.plans.scorers import score_batch, worker_model
 
             model = worker_model(key, loader)
-            for s in batches:
-                out = [None] * len(s)
-                todo = np.flatnonzero(s.notna().to_numpy())
-                todo = todo[np.argsort(s.iloc[todo].str.len().to_numpy(dtype=np.int64), kind="stable")]
-                if len(todo):
-                    res = np.asarray(model(s.iloc[todo].tolist()), dtype=np.float64)
-                    for j, row in zip(todo, res.reshape(-1, n)):
-                        out[j] = row.tolist()
-                yield pd.Series(out, dtype=object)
+            for prompts in batches:
+                yield score_batch(model, prompts, n)
 
         p = prompt if mask is None else F.when(mask, prompt)
         return _score(p)

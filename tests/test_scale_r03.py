@@ -3,12 +3,13 @@
 import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from aspectspark import session
 from aspectspark.functions.vectors import hot_text, segment_ids
 from aspectspark.operators import joins, tokens
-from aspectspark.plans import fitting
+from aspectspark.plans import fitting, scorers
 from aspectspark.sources import corpus as io
 from aspectspark.sources import fixtures as fx
 from tests.conftest import SF001
@@ -25,6 +26,20 @@ def test_segment_ids_of_long_rows_and_edges(spark):
     assert text == "0" * 20001 + "1" * 20001 and time.time() - began < 60
 
 
+def _lineitems(tmp_path, spark, n):
+    li = spark.range(n).select(
+        (F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"),
+        (F.col("id") * 7 % 1000).alias("l_partkey"), (F.col("id") * 5 % 97).alias("l_suppkey"),
+        (F.col("id") % 50).cast("double").alias("l_quantity"), F.lit(1.0).alias("l_extendedprice"),
+        F.element_at(F.array(F.lit("A"), F.lit("R"), F.lit("N")), (F.col("id") % 3 + 1).cast("int")).alias("l_returnflag"))
+    li.write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = spark.range(n // 4 + 3).select(
+        F.col("id").alias("o_orderkey"), F.lit("1-URGENT").alias("o_orderpriority"), F.lit("O").alias("o_orderstatus"),
+        F.to_date(F.lit("2020-01-02")).alias("o_orderdate"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    return str(tmp_path)
+
+
 def test_a_task_takes_a_bounded_number_of_annotations(spark, tmp_path, monkeypatch):
     sf = _lineitems(tmp_path, spark, 4000)
     small = {f: sorted(map(str, f(spark, sf).collect())) for f in (fx.member_annotations, fx.member_predictions, fx.gold_corpus)}
@@ -93,3 +108,19 @@ def test_frequent_words_are_not_shuffled_by_word(spark, monkeypatch):
         found.append(sorted(map(str, out.collect())))
         assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
     assert found[0] == found[1] == found[2]
+
+
+def test_a_scorer_holds_a_part_of_a_batch(monkeypatch):
+    monkeypatch.setattr(scorers, "SCORE_BYTES", 10)
+    seen = []
+
+    def model(prompts):
+        seen.append(sum(map(len, prompts)))
+        return [[len(p), 0.5] for p in prompts]
+
+    texts = ["가나다", None, "x" * 25, "", "ab", None, "abcdefgh"]
+    got = scorers.score_batch(model, pa.array(texts), 2).to_pylist()
+    assert got == [None if t is None else [float(len(t)), 0.5] for t in texts]
+    assert len(seen) > 2 and seen == sorted(seen)
+    assert scorers.score_batch(model, pa.array([None, None], pa.string()), 2).to_pylist() == [None, None]
+    assert scorers.score_batch(model, pa.array([], pa.string()), 2).to_pylist() == []
