@@ -22,9 +22,16 @@ from aspectspark.session import ship_package
 
 SPACE = "▁"
 
+#: The first blank of a run.
+RUN_START = re.compile(f"(?<!{SPACE}){SPACE}")
+
 #: Bytes of text that one output batch is made of (a longer text is one batch).
 BATCH_BYTES = 1 << 20
 
+#: Characters after which a text is cut for the library at the next blank,
+#: where no piece can span it: its work on a stretch grows faster than the stretch.
+STRETCH = 512
+
 
 def read_character_map(blob: bytes) -> dict[str, str]:
     """The entries of a compiled character map: the size of a double-array
@@ -128,11 +135,26 @@ class PieceEncoder:
         self.is_byte = byte
         self.sizes = np.where(byte, 1, [len(p.piece.encode()) for p in proto.pieces]).astype(np.int32)
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.UNKNOWN)
+        self.separable = (proto.trainer_spec.model_type == pb.TrainerSpec.BPE
+                          and any(p.piece == SPACE and p.type == kinds.NORMAL for p in proto.pieces)
+                          and not any(re.search(f"[^{SPACE}]{SPACE}", p.piece) for p in proto.pieces))
         spec = proto.normalizer_spec
         spec.precompiled_charsmap, spec.add_dummy_prefix = b"", False
         spec.remove_extra_whitespaces, spec.escape_whitespaces, spec.name = False, False, "identity"
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
+    def segment(self, normal: str) -> list[int]:
+        """Ids of a normalised text.  Pieces of a BPE model that have a blank
+        at their start alone never join what is on both sides of one: such a
+        text is segmented stretch by stretch, with the ids of the whole."""
+        if not self.separable:
+            return self.plain.encode(normal)
+        ids, at = [], 0
+        while m := RUN_START.search(normal, at + STRETCH):
+            ids += self.plain.encode(normal[at:m.start()])
+            at = m.start()
+        return ids + self.plain.encode(normal[at:])
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and the byte where each piece begins and ends in the text.
         Of the byte pieces of one character the last has its span, the
@@ -140,7 +162,7 @@ class PieceEncoder:
         normal, source = self.normalize(text)
         if not normal:
             return (np.empty(0, dtype=np.int32),) * 3
-        ids = np.array(self.plain.encode(normal), dtype=np.int32)
+        ids = np.array(self.segment(normal), dtype=np.int32)
         sizes = self.sizes[ids]
         if (ids == self.unknown).any():  # the piece does not tell its length
             pieces = self.plain.encode(normal, return_type="proto").pieces

@@ -42,10 +42,13 @@ def piece_model() -> str:
 
 def piece_digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of decoded texts."""
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    def digest(numbers: str):  # of the numbers joined by commas: the JSON list without its brackets
+        text = F.to_json(numbers)
+        return F.sha2(F.substring(text, F.lit(2), F.length(text) - 2), 256)
+
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                          F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-                          F.sha2(F.array_join(F.col("ends").cast("array<string>"), ","), 256).alias("ends_sha256"))
+                          digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                          digest("ends").alias("ends_sha256"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

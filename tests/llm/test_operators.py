@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from aspectspark.llm import lines, multi_index, quality, queries, simhash, suffixes
 from aspectspark.llm.licenses import scan_licenses
 from aspectspark.llm.mixing import mix, mixed_documents, shares
+from aspectspark.llm import pieces
 from aspectspark.llm.pieces import PieceEncoder, Normalizer, decode_pieces, encode_pieces
 from aspectspark.llm.private import BASE_KINDS, find_private, private_spans
 from aspectspark.llm.url_filter import filter_urls
@@ -117,6 +118,28 @@ def test_piece_spans_through_character_maps(rule, trim, suffix):
         assert list(zip(begins.tolist(), ends.tolist())) == [(p.begin, p.end) for p in pieces], text
 
 
+def test_a_text_is_segmented_by_stretches(monkeypatch):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    with open(queries.piece_model(), "rb") as file:
+        model = file.read()
+    encoder, seen = PieceEncoder(model), []
+    rng = random.Random(5)
+    texts = ["", " ", "a" * 50, " " * 50] + ["".join(rng.choices("abthe  ▁é日\U0001F600\n\x00", k=rng.randint(1, 80))) for _ in range(500)]
+    for stretch in (1, 7, 30):
+        monkeypatch.setattr(pieces, "STRETCH", stretch)
+        assert all(encoder.encode(t)[0].tolist() == encoder.library.encode(t) for t in texts)
+    plain = encoder.plain
+    encoder.plain = type("Seen", (), {"encode": lambda self, t: seen.append(len(t)) or plain.encode(t)})()
+    encoder.encode("some words " * 1000)
+    assert max(seen) < 50
+    proto = pb.ModelProto()  # a piece that spans a blank: the text stays whole
+    proto.ParseFromString(model)
+    proto.pieces[-1].piece = "e▁t"
+    encoder = PieceEncoder(proto.SerializeToString())
+    assert not encoder.separable and all(encoder.encode(t)[0].tolist() == encoder.library.encode(t) for t in texts)
+
+
 def test_normalizer_offsets_point_into_the_text():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
