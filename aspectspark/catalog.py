@@ -21,7 +21,7 @@ from aspectspark.functions.vectors import (
 from aspectspark.operators import (
     aggregates, joins, labels, metrics, sampling, tokens, unions, vote)
 from aspectspark.plans import cascade, datasets, scorers, sparse_heads, training
-from aspectspark.session import scratch_path
+from aspectspark.session import dealt, scratch_path
 from aspectspark.sources import corpus as io
 from aspectspark.sources import fixtures as fx
 
@@ -288,9 +288,11 @@ def _by_sentence(spark, sf):
 
 
 def q_attach_predictions(spark, sf):
+    n = fx.table(spark, sf, "lineitem").count()
     x = _by_sentence(spark, sf)
-    folded = aggregates.fold_annotations(x, ["member", "sentence_key"], ["id", "pos"])
-    records = joins.expand_members(fx.sentences(spark, sf), fx.N_MEMBERS)
+    folded = aggregates.fold_annotations(x, ["member", "sentence_key"], ["id", "pos"], rows=n)
+    # dealt first: a task shuffles its records once for each member
+    records = joins.expand_members(dealt(fx.sentences(spark, sf), ["id"], n), fx.N_MEMBERS)
     out = joins.attach_predictions(records, folded, also=("member",))
     return out.select("member", "id", F.size("annotation").alias("n_annotations"),
                       ann_text().alias("annotation_text"))
@@ -326,7 +328,8 @@ def q_topics_per_category(spark, sf):
 def q_fold_annotations(spark, sf):
     # the sentence itself is the key here: short texts, and no join back to them
     x = _by_sentence(spark, sf).drop("sentence_key")
-    f = aggregates.fold_annotations(x, ["member", "sentence_form"], ["id", "pos"])
+    f = aggregates.fold_annotations(x, ["member", "sentence_form"], ["id", "pos"],
+                                    rows=fx.table(spark, sf, "lineitem").count())
     return f.select(
         "member", "sentence_form", F.size("annotation").alias("n_annotations"),
         ann_text().alias("annotation_text"))

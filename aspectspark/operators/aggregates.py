@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aspectspark.session import dealt
+
 
 def fold_annotations(flat: DataFrame, key: str | list[str], order: list[str],
-                     items: tuple[str, ...] = ("aspect", "polarity")) -> DataFrame:
+                     items: tuple[str, ...] = ("aspect", "polarity"),
+                     rows: int | None = None) -> DataFrame:
     """A3: ``key -> annotation``: the distinct ``items`` of every key as an
     ordered list, first-seen order by ``order``.
 
     Duplicates are removed by a partial aggregate on (key, items) before the
     per-key collect, so the collected list is bounded by the number of
     distinct items (the label space), not by how often they repeat.
+    ``rows``: rows of the table that ``flat`` derives from, if known; both
+    steps then have as many tasks as they need (:func:`aspectspark.session.dealt`).
+    The first deals by items too: a key of many rows goes to several tasks.
     """
     keys = [key] if isinstance(key, str) else list(key)
     first = F.min(F.struct(*order)).alias("_first")
+    if rows is not None:
+        flat = dealt(flat.select(*keys, *items, *order), [*keys, *items], rows)
     d = flat.groupBy(*keys, *items).agg(first)
+    if rows is not None:
+        d = dealt(d, keys, rows)
     ann = F.transform(F.array_sort(F.collect_list(F.struct("_first", *items))),
                       lambda x: F.struct(*[x[i].alias(i) for i in items]))
     return d.groupBy(*keys).agg(ann.alias("annotation"))

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from aspectspark import session
+from aspectspark import catalog, session
 from aspectspark.functions.vectors import hot_text, segment_ids
 from aspectspark.operators import joins, tokens
 from aspectspark.plans import fitting, scorers
@@ -50,6 +50,24 @@ def test_a_task_takes_a_bounded_number_of_annotations(spark, tmp_path, monkeypat
     assert fx.member_annotations(spark, sf).rdd.getNumPartitions() == 40
 
 
+def test_votes_and_alignment_take_a_bounded_number_of_annotations(spark, tmp_path, monkeypatch):
+    sf = _lineitems(tmp_path, spark, 4000)
+    jobs = [catalog.QUERIES[q] for q in ("hard_vote", "vote_lookup", "vote_counts", "vote_aspects", "vote_polarity",
+                                         "align_gold_pred", "decode_label", "attach_predictions", "fold_annotations")]
+    small = [sorted(map(str, q(spark, sf).collect())) for q in jobs]
+    monkeypatch.setattr(session.task_count, "__defaults__", (100,))
+    for q, rows in zip(jobs, small):
+        assert sorted(map(str, q(spark, sf).collect())) == rows
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as over tables too large for it
+    try:
+        for q, rows in zip(jobs, small):
+            out = q(spark, sf)
+            assert sorted(map(str, out.collect())) == rows
+            assert out.rdd.getNumPartitions() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_member_predictions_are_not_shuffled_by_member(spark):
     df = fx.member_predictions(spark, SF001)
     assert not [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines()
