@@ -21,7 +21,7 @@ from aspectspark.functions.vectors import (
 from aspectspark.operators import (
     aggregates, joins, labels, metrics, sampling, tokens, unions, vote)
 from aspectspark.plans import cascade, datasets, scorers, sparse_heads, training
-from aspectspark.session import dealt, scratch_path
+from aspectspark.session import scratch_path
 from aspectspark.sources import corpus as io
 from aspectspark.sources import fixtures as fx
 
@@ -282,20 +282,48 @@ def q_first_match_join(spark, sf):
 
 def _by_sentence(spark, sf):
     m = fx.member_annotations(spark, sf)
-    s = fx.sentences(spark, sf).withColumn("sentence_key", F.md5("sentence_form"))
-    return m.join(s, "id").select("member", "sentence_key", "sentence_form", "id", "pos",
-                                  "aspect", "polarity")
+    return m.join(_keyed(fx.sentences(spark, sf)), "id").select(
+        "member", "sentence_key", "sentence_form", "id", "pos", "aspect", "polarity",
+        "topic", "category", "pol")
+
+
+def _keyed(sentences):
+    # the md5 as 16 bytes
+    return sentences.withColumn("sentence_key", F.unhex(F.md5("sentence_form")))
+
+
+def _member_texts(annotation):
+    """Folded codes of all members -> a list with each member's annotations as
+    their number and text."""
+    def texts(member):
+        own = F.filter(annotation, lambda a: a["member"] == member)
+        named = F.transform(own, lambda a: F.struct(
+            join_aspect(name_of(F.floor(a["code"] / len(CATEGORIES)), TOPICS),
+                        name_of(a["code"] % len(CATEGORIES), CATEGORIES)).alias("aspect"),
+            name_of(a["pol"], POLARITIES).alias("polarity")))
+        return F.struct(F.lit(member).alias("member"), F.size(own).alias("n"), ann_text(named).alias("text"))
+    return F.array(*[texts(m) for m in range(fx.N_MEMBERS)])
 
 
 def q_attach_predictions(spark, sf):
+    """The fold is shuffled as codes, a row for each record, and the records once
+    for all members: each takes its own annotations after the join.  They get their
+    text before it, once for a sentence."""
     n = fx.table(spark, sf, "lineitem").count()
-    x = _by_sentence(spark, sf)
-    folded = aggregates.fold_annotations(x, ["member", "sentence_key"], ["id", "pos"], rows=n)
-    # dealt first: a task shuffles its records once for each member
-    records = joins.expand_members(dealt(fx.sentences(spark, sf), ["id"], n), fx.N_MEMBERS)
-    out = joins.attach_predictions(records, folded, also=("member",))
-    return out.select("member", "id", F.size("annotation").alias("n_annotations"),
-                      ann_text().alias("annotation_text"))
+    named = F.col("topic").between(0, len(TOPICS) - 1) & F.col("category").between(0, len(CATEGORIES) - 1)
+    x = _by_sentence(spark, sf).select(
+        "sentence_key", "id", "pos", F.col("member").cast("tinyint").alias("member"),
+        # an aspect without a name is one, whatever its codes
+        F.when(named, F.col("topic") * len(CATEGORIES) + F.col("category")).cast("tinyint").alias("code"),
+        F.col("pol").cast("tinyint").alias("pol"))
+    folded = aggregates.fold_annotations(x, "sentence_key", ["id", "pos"], ("member", "code", "pol"),
+                                         rows=n, within="id")
+    texts = folded.select("sentence_key", _member_texts(F.col("annotation")).alias("annotation"))
+    out = joins.attach_predictions(_keyed(fx.sentences(spark, sf)), texts)
+    own = F.get(F.filter("annotation", lambda a: a["member"] == F.col("member")), 0)
+    return (joins.expand_members(out, fx.N_MEMBERS).withColumn("_own", own)
+            .select("member", "id", F.coalesce("_own.n", F.lit(0)).alias("n_annotations"),
+                    F.coalesce("_own.text", F.lit("")).alias("annotation_text")))
 
 
 def _hard_vote(spark, sf):
