@@ -24,16 +24,31 @@ def align_gold_pred(gold: DataFrame, pred: DataFrame, on: str = "id",
 
 def first_match(left: DataFrame, right: DataFrame, keys: list[str],
                 value: str = "polarity", order: str = "pos",
-                prefix: str = "match_", rows: int | None = None) -> DataFrame:
+                prefix: str = "match_", rows: int | None = None,
+                by: str | None = None) -> DataFrame:
     """For each left row the *first* right row (smallest ``order``) with
     equal ``keys``: adds ``match_<value>`` and ``match_pos`` (NULL when
     there is none).  The right side is reduced to one row per key with a
     partial aggregate before the join, so duplicates never multiply rows.
     ``rows``: rows of the left side, if known; the join then has as many tasks
-    as they need."""
+    as they need.
+    ``by``: the one of ``keys`` that both sides are dealt by already.  They
+    then join by it alone and shuffle nothing: the first rows of each of its
+    values are a map by the other keys (for a record, the label space bounds
+    it), in which every left row looks up its own."""
     firsts = right.groupBy(*keys).agg(
         F.min_by(value, order).alias(prefix + value),
         F.min(order).alias(prefix + order))
+    if by is not None:
+        others = [k for k in keys if k != by]
+        found = [prefix + value, prefix + order]
+        for k in others:        # a NULL key equals none
+            firsts = firsts.filter(F.col(k).isNotNull())
+        maps = firsts.groupBy(by).agg(F.map_from_entries(F.collect_list(
+            F.struct(F.struct(*others), F.struct(*found)))).alias("_firsts"))
+        own = F.try_element_at("_firsts", F.struct(*others))
+        return left.join(maps, by, "left").select(
+            *keys, *[c for c in left.columns if c not in keys], *[own[c].alias(c) for c in found])
     if rows is not None:    # both sides: a join keeps the number of one that is dealt already
         left, firsts = dealt(left, keys, rows), dealt(firsts, keys, rows)
     return left.join(firsts, keys, "left")

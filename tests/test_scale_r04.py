@@ -29,6 +29,12 @@ def test_predictions_are_not_shuffled_by_member(spark, tmp_path, unbroadcast):
     assert sorted(x.split("#")[0] for x in _exchanges(out)) == ["id", "rec", "sentence_key", "sentence_key"]
 
 
+def test_first_match_of_dealt_sides_shuffles_nothing_more(spark, tmp_path, unbroadcast):
+    out = catalog.QUERIES["first_match_join"](spark, _lineitems(tmp_path, spark, 2000))
+    assert [x.split("#")[0] for x in _exchanges(out)] == ["rec", "rec"]
+    assert out.rdd.getNumPartitions() == 20
+
+
 def test_predictions_of_records_with_odd_keys(spark, tmp_path):
     """Orders twice, without line items or without a sentence's fields; line
     items without a supplier (an aspect without a name) or with negative keys."""
@@ -70,3 +76,17 @@ def test_fold_within_records_is_the_plain_fold(spark, n):
     assert plain == packed and len(plain) == 6
     with pytest.raises(ValueError):
         aggregates.fold_annotations(df, "k", ["pos", "id"], within="id")
+
+
+def test_first_match_by_a_dealt_key(spark):
+    left = spark.createDataFrame([(m, i, p, a, "l") for m in (0, 1, None) for i in (1, 2, None) for p, a in enumerate(("a", "b", "b", None))],
+                                 "member int, id int, pos int, aspect string, other string")
+    rnd = random.Random(6)
+    right = spark.createDataFrame([(rnd.choice((0, 1, None)), rnd.choice((1, 3, None)), p, rnd.choice(("a", "b", "c", None)), f"x{p}")
+                                   for p in range(60)] + [(0, 1, 60, "b", None)],
+                                  "member int, id int, pos int, aspect string, polarity string")
+    keys = ["member", "id", "aspect"]
+    plain, by = joins.first_match(left, right, keys), joins.first_match(left, right, keys, by="id")
+    assert plain.columns == by.columns
+    assert sorted(map(str, plain.collect())) == sorted(map(str, by.collect()))
+    assert by.filter("match_pos is not null").count() > 0
