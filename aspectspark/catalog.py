@@ -282,7 +282,8 @@ def q_first_match_join(spark, sf):
 
 def _by_sentence(spark, sf):
     m = fx.member_annotations(spark, sf)
-    return m.join(_keyed(fx.sentences(spark, sf)), "id").select(
+    # the annotations stay dealt by record: they are not the side to broadcast
+    return m.join(_keyed(fx.sentences(spark, sf)).hint("merge"), "id").select(
         "member", "sentence_key", "sentence_form", "id", "pos", "aspect", "polarity",
         "topic", "category", "pol")
 

@@ -47,7 +47,8 @@ def first_match(left: DataFrame, right: DataFrame, keys: list[str],
         maps = firsts.groupBy(by).agg(F.map_from_entries(F.collect_list(
             F.struct(F.struct(*others), F.struct(*found)))).alias("_firsts"))
         own = F.try_element_at("_firsts", F.struct(*others))
-        return left.join(maps, by, "left").select(
+        # both sides lie as a merge needs them, so neither is broadcast
+        return left.join(maps.hint("merge"), by, "left").select(
             *keys, *[c for c in left.columns if c not in keys], *[own[c].alias(c) for c in found])
     if rows is not None:    # both sides: a join keeps the number of one that is dealt already
         left, firsts = dealt(left, keys, rows), dealt(firsts, keys, rows)

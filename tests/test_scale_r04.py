@@ -90,3 +90,11 @@ def test_first_match_by_a_dealt_key(spark):
     assert plain.columns == by.columns
     assert sorted(map(str, plain.collect())) == sorted(map(str, by.collect()))
     assert by.filter("match_pos is not null").count() > 0
+
+
+def test_dealt_annotations_are_not_broadcast(spark, tmp_path):
+    """Spark estimates them as small before they are derived."""
+    sf = _lineitems(tmp_path, spark, 2000)
+    for q in ("attach_predictions", "first_match_join"):
+        plan = catalog.QUERIES[q](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [id" in plan and "BroadcastHashJoin [id" not in plan
